@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, mixing, warc_store
+from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,28 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_hash_dedup.repeated_units(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return impact_index.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archived_pages(_table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_line_hash_dedup": op2_line_hash_dedup,
     "op5_impact_topk": op5_impact_topk,
+    "op8_language_hierarchy": op8_language_hierarchy,
     "op10_warc_store": op10_warc_store,
 }
 
