@@ -27,7 +27,7 @@ from lumenlake.llm.common import write_table
 #: Words, as the contract has them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of the Pareto order in a source; rows of one of them are ordered.
-BINS = 65536
+BINS = 4096
 
 
 def word_count(text: str | Column) -> Column:
@@ -47,9 +47,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     turn = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", turn.cast("double")).withColumn("cap", F.col("source_size").cast("double") * most)
     full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
+    before = full.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    by = by.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # the first source, by cap to weight, that its share does not fill: those before it are full
     by = by.withColumn("share", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     return by.select("source", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
@@ -62,7 +62,8 @@ def _source_rates(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     larger = Window.partitionBy("source").orderBy(F.col("size").desc())
     at = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["source"], "size", "n", "target")
     at = at.withColumn("full", F.coalesce(F.sum(words).over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double"))
-    at = at.withColumn("rest", F.sum(squares).over(larger.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
+    before = F.coalesce(F.sum(squares).over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,0)"))
+    at = at.withColumn("rest", (F.sum(squares).over(Window.partitionBy("source")) - before).cast("double"))
     at = at.withColumn("k", (F.col("target") - F.lit(float(most)) * F.col("full")) / F.col("rest"))
     rates = at.where(F.col("k") * F.col("size") <= most).groupBy("source").agg(F.max_by("k", "size").alias("k"))
     return targets.join(rates, targets["source"].eqNullSafe(rates["source"]), "left").select(targets["*"], "k")

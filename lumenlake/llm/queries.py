@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, warc_store
+from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, spaced_seed, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_hash_dedup": op2_line_hash_dedup,
     "op5_impact_topk": op5_impact_topk,
+    "op7_spaced_seeds": op7_spaced_seeds,
     "op8_language_hierarchy": op8_language_hierarchy,
     "op10_warc_store": op10_warc_store,
 }
@@ -101,6 +106,27 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_spaced_seeds": r"""
+WITH dt AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IS NOT NULL
+), it AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark WHERE item_id IS NOT NULL
+), d AS (
+  SELECT doc_id, len(t) AS dn, unnest(t) AS w, unnest(range(len(t))) AS p FROM dt
+), i AS (
+  SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM it
+), e AS (
+  SELECT doc_id, item_id, d.p - i.p AS shift, i.p AS p FROM d JOIN i ON d.w = i.w
+  WHERE least(n, dn - (d.p - i.p)) - greatest(0, i.p - d.p) >= 12
+), w AS (
+  SELECT doc_id, item_id, shift,
+         count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS best,
+         count(*) OVER (PARTITION BY doc_id, item_id, shift) AS equal
+  FROM e
+)
+SELECT doc_id, item_id, max(best) AS best, max(equal) AS equal FROM w
+WHERE (doc_id, item_id, shift) IN (SELECT (doc_id, item_id, shift) FROM w WHERE best >= 10)
+GROUP BY doc_id, item_id""",
     "op10_warc_store": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
