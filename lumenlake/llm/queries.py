@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, spaced_seed, warc_store
+from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, order_minhash, spaced_seed, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_hash_dedup.repeated_units(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return impact_index.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -41,6 +45,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_hash_dedup": op2_line_hash_dedup,
+    "op4_order_minhash": op4_order_minhash,
     "op5_impact_topk": op5_impact_topk,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_language_hierarchy": op8_language_hierarchy,
