@@ -1,14 +1,17 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components become integers floor(256 * x).  The index is cut into shards of about SHARD vectors.  In a shard
-each dimension has one posting list (vector, signed impact) in order of falling |impact|, quantised
-to steps of STEP.  A query takes the segments of all dimensions by falling |q_d| * impact and adds them to
-accumulators.  What is not yet added, and what quantising left out, bounds each score from both sides:
-a vector whose upper bound is below the k-th lower bound cannot be in the result.  Processing
-stops only when that proof leaves few vectors, or no segment is left; the ones left are rescored from the exact
-integers, so the answer does not depend on STEP or on when it stopped.
-
-Every query meets every shard: queries go out in blocks of QUERIES to each shard by an equi-join on
+Components become integers floor(256 * x).  The index is cut into shards of about SHARD vectors.  A shard
+keeps its postings (dimension, vector, impact) in segments by falling |impact|, each impact quantised to a
+multiple of STEP; embeddings are dense, so a segment is held as a block with zeros for the postings of
+others.  With each segment goes the length of what it and those before it leave of every vector.
+
+A block of queries takes the segments in order and adds them to its scores.  By the Cauchy-Schwarz
+inequality a score is off by at most |query| * |rest of the vector|, so a vector whose upper bound is below the
+k-th lower bound cannot be in the result.  A query stops only when that proof leaves few
+vectors, or no segment is left; these are rescored from the exact integers, so the answer does not depend on
+STEP or on when it stopped.
+
+Every query meets every shard: queries go out in blocks of about QUERIES to each shard by an equi-join on
 the shard's number, k rows per query and shard come back.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import write_table
 
-#: Vectors of a shard, queries of a block, width of an impact step.
-SHARD, QUERIES, STEP = 4096, 512, 8
+#: Vectors of a shard, queries of a block, width of an impact step, segments of a shard.
+SHARD, QUERIES, STEP, SEGMENTS = 8192, 512, 4, 4
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -39,48 +42,47 @@ def whole_numbers(vectors: DataFrame) -> DataFrame:
 
 
 class ShardIndex:
-    """Posting lists of one shard: for each dimension the vectors by falling quantised impact."""
+    """Segments of one shard by falling quantised impact, and what each leaves of the vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, step: int = STEP) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, step: int = STEP, segments: int = SEGMENTS) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.exact, self.step = ids[order], np.ascontiguousarray(vectors[order]), step
-        level = np.abs(self.exact.T) // step
-        self.posting = np.argsort(-level, axis=1, kind="stable")
-        self.level = np.take_along_axis(level, self.posting, axis=1)
-        signed = np.sign(self.exact.T) * (level * step + step // 2)
-        self.impact = np.take_along_axis(signed, self.posting, axis=1).astype(np.float64)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k best."""
-        n, dims = self.exact.shape
-        mine = self.ids == own
-        if n - mine.sum() <= k:
-            left = np.flatnonzero(~mine)
-        else:
-            size = np.abs(query).astype(np.float64)
-            total, done, left = np.zeros(n), np.zeros(dims, dtype=np.int64), np.flatnonzero(~mine)
-            # largest contributions first: each round halves the least contribution that is processed
-            least = max(1.0, float((size * self.step * (self.level[:, 0] + 1)).max()) / 2)
-            while True:
-                floor_level = np.ceil(least / np.maximum(size * self.step, 1e-9)).astype(np.int64)
-                for d in np.flatnonzero(size):
-                    upto = int(np.searchsorted(-self.level[d], -floor_level[d], side="right"))
-                    if upto > done[d]:
-                        seg = slice(done[d], upto)
-                        total[self.posting[d, seg]] += query[d] * self.impact[d, seg]
-                        done[d] = upto
-                # a score differs from its total by this at most: whole steps not added, half steps added
-                rest = np.where(done < n, self.step * (self.level[np.arange(dims), np.minimum(done, n - 1)] + 1), 0)
-                gap = float((size * np.maximum(rest, self.step)).sum())
-                best = total[left]
-                low = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
-                left = left[best >= low - 2 * gap]
-                if len(left) * 8 <= n or (done == n)[size > 0].all() or least <= 1:
-                    break
-                least /= 2
-        scores = self.exact[left] @ query
-        keep = np.lexsort((self.ids[left], -scores))[:k]
-        return left[keep], scores[keep]
+        self.ids, self.exact = ids[order], np.ascontiguousarray(vectors[order])
+        size = np.abs(self.exact)
+        most, rest, above = int(size.max(initial=0)), self.exact.astype(np.float64), None
+        self.segments, self.rest = [], []
+        for s in range(segments):
+            least = most // 2 ** (s + 1) if s + 1 < segments else 0
+            mine = (size >= least) if above is None else (size >= least) & (size < above)
+            block = np.where(mine, np.sign(self.exact) * (size // step * step + step // 2), 0).astype(np.float64)
+            rest = rest - block
+            self.segments.append(np.ascontiguousarray(block.T))
+            self.rest.append(np.linalg.norm(rest, axis=1))
+            above = least
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the positions and exact scores of the k best."""
+        n = len(self.ids)
+        out: list = [None] * len(queries)
+        left, score = np.arange(len(queries)), np.zeros((len(queries), n))
+        length = np.linalg.norm(queries.astype(np.float64), axis=1)
+        for number, (block, rest) in enumerate(zip(self.segments, self.rest, strict=True)):
+            score += queries[left].astype(np.float64) @ block
+            gap = length[left, None] * rest[None, :] * (1 + 1e-9) + 1e-6
+            low = score - gap
+            low[self.ids[None, :] == own[left, None]] = -np.inf
+            floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
+            possible = score + gap >= floor[:, None]
+            done = (possible.sum(axis=1) * 32 <= n) | (number + 1 == len(self.segments))
+            for row in np.flatnonzero(done):
+                at = np.flatnonzero(possible[row])
+                at = at[self.ids[at] != own[left[row]]]
+                exact = self.exact[at] @ queries[left[row]]
+                keep = np.lexsort((self.ids[at], -exact))[:k]
+                out[left[row]] = (at[keep], exact[keep])
+            left, score = left[~done], score[~done]
+            if not left.size:
+                break
+        return out
 
 
 def _probe(k: int):
@@ -90,11 +92,9 @@ def _probe(k: int):
             for shard, dims, ids, packed, q_ids, q_packed in zip(batch["shard"], batch["dims"], batch["ids"], batch["packed"], batch["q_ids"], batch["q_packed"], strict=True):
                 if last != (shard, dims):
                     index, last = ShardIndex(np.frombuffer(ids, np.int64), np.frombuffer(packed, np.int64).reshape(-1, dims)), (shard, dims)
-                out = []
-                for own, q in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q_packed, np.int64).reshape(-1, dims), strict=True):
-                    at, scores = index.top(q, own, k)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": index.ids[at], "score": scores}))
-                yield pd.concat(out)
+                own = np.frombuffer(q_ids, np.int64)
+                best = index.top(np.frombuffer(q_packed, np.int64).reshape(-1, dims), own, k)
+                yield pd.DataFrame({"query_id": np.repeat(own, [len(at) for at, _ in best]), "vec_id": index.ids[np.concatenate([at for at, _ in best])], "score": np.concatenate([x for _, x in best])})
 
     return run
 
