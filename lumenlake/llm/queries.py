@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, langid, line_hash_dedup, mixing, order_minhash, spaced_seed, warc_store
+from lumenlake.llm import edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, spaced_seed, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_hash_dedup.repeated_units(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op3_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its lines, how many of them repeat an earlier one, and their numbers."""
+    lines = edit_join.removed_lines(_table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_hash_dedup": op2_line_hash_dedup,
+    "op3_edit_join": op3_edit_join,
     "op4_order_minhash": op4_order_minhash,
     "op5_impact_topk": op5_impact_topk,
     "op7_spaced_seeds": op7_spaced_seeds,
