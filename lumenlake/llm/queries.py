@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, spaced_seed, warc_store
+from lumenlake.llm import cotraining, edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, pii, spaced_seed, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seed.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,10 @@ def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -54,8 +62,10 @@ QUERIES = {
     "op3_edit_join": op3_edit_join,
     "op4_order_minhash": op4_order_minhash,
     "op5_impact_topk": op5_impact_topk,
+    "op6_cotraining": op6_cotraining,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_language_hierarchy": op8_language_hierarchy,
+    "op9_pii_bilstm_crf": op9_pii_bilstm_crf,
     "op10_warc_store": op10_warc_store,
 }
 
