@@ -50,8 +50,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     before = full.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by = by.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # the first source, by cap to weight, that its share does not fill: those before it are full
-    by = by.withColumn("share", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
+    # taking too few or too many sources for full gives a lower level, so the highest one is right
+    by = by.withColumn("share", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     return by.select("source", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
 
 

@@ -84,7 +84,7 @@ WITH d AS (
             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s1 WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
 ), s3 AS (
-  SELECT *, min(level) FILTER (level * weight <= cap) OVER () AS share FROM s2
+  SELECT *, max(level) FILTER (level * weight <= cap) OVER () AS share FROM s2
 ), t AS (
   SELECT source, source_size, CASE WHEN share IS NULL THEN cap ELSE least(cap, share * weight) END AS target FROM s3
 ), h0 AS (
