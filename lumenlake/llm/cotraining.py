@@ -4,7 +4,7 @@ The text view is a logistic regression over hashed words; the metadata view is o
 language and the shape of the page (lengths, line and character shares).  Both start from the labelled
 documents.  In each round either view labels the documents of an unlabelled pool of which it is surest, in the
 labels' proportion, for the other view to learn from.  Each view is then calibrated on labelled documents
-that neither learned from, the calibrated log-odds are weighed there too, and all documents are scored.
+that neither learned from, the calibrated log-odds are combined by a logistic regression on them, and all documents are scored.
 
 The models are fitted on bounded samples (LABELLED and POOL documents, chosen by hash); every
 document is scored over its whole text.
@@ -107,14 +107,14 @@ class Model:
     prior: float = 0.5
     views: list[tuple[np.ndarray, float]] = field(default_factory=list)
     scale: list[tuple[float, float]] = field(default_factory=list)
-    share: float = 0.5
+    weights: tuple[float, float, float] = (0.5, 0.5, 0.0)
 
     def score(self, rows: list[Rows], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of quality by text, by metadata and by both."""
         if not self.views:
             return (np.full(n, self.prior),) * 3
         odds = [a * (x.dot(w) + b0) + b for x, (w, b0), (a, b) in zip(rows, self.views, self.scale, strict=True)]
-        both = self.share * odds[0] + (1 - self.share) * odds[1]
+        both = self.weights[0] * odds[0] + self.weights[1] * odds[1] + self.weights[2]
         return tuple(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (*odds, both))
 
 
@@ -148,8 +148,8 @@ def cotrain(rows: list[Rows], y: np.ndarray, held: np.ndarray) -> Model:
     truth = y[check].astype(np.float64)
     scale = [platt(m, truth) for m in margins]
     odds = [a * m + b for m, (a, b) in zip(margins, scale, strict=True)]
-    loss = lambda s: float(np.logaddexp(0, -(2 * truth - 1) * (s * odds[0] + (1 - s) * odds[1])).mean())
-    return Model(prior, views, scale, min((k / 20 for k in range(21)), key=loss))
+    w, b = logistic(Rows([np.arange(2)] * len(truth), list(np.stack(odds, axis=1)), 2), truth, 1e-3, 300)
+    return Model(prior, views, scale, (float(w[0]), float(w[1]), b))
 
 
 def _featured(batch: pa.RecordBatch, known: dict[str, int]) -> list[Rows]:
