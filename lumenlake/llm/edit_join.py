@@ -252,9 +252,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without their repeated lines, n_chars set anew; documents of which nothing is left go."""
     gone = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("removed").alias("_gone"))
-    met = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_key(docs["text"]) == F.col("_key")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = met.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    numbers = gone["_gone"]
+    met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (text_key(docs["text"]) == gone["_key"]), "left")
+    rest = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    new = {"text": F.when(numbers.isNull(), docs["text"]).otherwise(rest)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+        new["n_chars"] = F.when(numbers.isNull(), docs["n_chars"]).otherwise(F.length(rest).cast(docs.schema["n_chars"].dataType))
+    return met.where(numbers.isNull() | rest.rlike(r"\S")).select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])

@@ -54,16 +54,16 @@ def features(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Weights of the L2-regularised squared-hinge machine, the last one the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    w, alpha, soft = np.zeros(x.shape[1]), np.zeros(len(x)), 1 / (2 * cost)
-    diagonal, random = (x * x).sum(axis=1) + soft, np.random.default_rng(7)
+    w, bias, alpha, soft = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), 1 / (2 * cost)
+    diagonal, random = np.einsum("ij,ij->i", x, x) + 1 + soft, np.random.default_rng(7)
     for _ in range(rounds):
         for i in random.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (w @ x[i]) - 1 + soft * alpha[i]) / diagonal[i], 0) - alpha[i]
+            step = max(alpha[i] - (y[i] * (w @ x[i] + bias) - 1 + soft * alpha[i]) / diagonal[i], 0) - alpha[i]
             if step:
                 alpha[i] += step
                 w += step * y[i] * x[i]
-    return w
+                bias += step * y[i]
+    return np.r_[w, bias]
 
 
 class Pairs:

@@ -98,23 +98,39 @@ def _cuts(ranked: DataFrame) -> DataFrame:
         F.col("_source").alias("source"), F.coalesce(F.col("cut.z"), F.col("bin") / BINS).alias("cut_z"), F.coalesce(F.col("cut.d"), F.lit(-(2**63))).alias("cut_doc"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, narrow: bool = False) -> DataFrame:
-    """docs with size, source_size, target and copies (0 to most); copies is how often the mix takes the row.
-
-    narrow: return doc_id, source and the computed columns alone, without a second pass over the texts.
-    """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
-    sized = write_table(sized, "mix-sizes")
+def _decided(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """rows (doc_id, source, size, perhaps row) with source_size, target and copies, as the rows of sized decide."""
     rates = write_table(_source_rates(sized, source_targets(sized, weights, most), most), "mix-rates")
     cuts = write_table(_cuts(_ranked(sized, rates, most)), "mix-cuts")
-    rows = sized if narrow else docs.withColumn("size", word_count("text"))
-    rows = _ranked(rows.drop("source_size", "target", "copies", "z", "k", "_e", "_p", "cut_z", "cut_doc", "_source"), rates, most)
+    rows = _ranked(rows, rates, most)
     rows = rows.join(cuts.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")), "left")
     more = (F.col("z") < F.col("cut_z")) | ((F.col("z") == F.col("cut_z")) & (F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)) <= F.col("cut_doc")))
     return rows.withColumn("copies", F.col("copies") + F.coalesce(more.cast("long"), F.lit(0))).drop("z", "cut_z", "cut_doc", "_source")
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    return write_table(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+
+
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """Each document with its whole row set aside, so that no column of it can clash."""
+    return docs.select("doc_id", "source", word_count("text").alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, narrow: bool = False) -> DataFrame:
+    """docs with size, source_size, target and copies (0 to most); copies is how often the mix takes the row.
+
+    narrow: return doc_id, source and the computed columns alone, without a second pass over the texts.
+    """
+    sized = _sizes(docs)
+    if narrow:
+        return _decided(sized, sized, weights, most)
+    out = _decided(_with_rows(docs), sized, weights, most)
+    made = ["size", "source_size", "target", "copies"]
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *made)
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with its columns and `copy`, from 1."""
-    out = pareto_mix(docs, weights, most)
-    return out.where("copies > 0").select(*[c for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    out = _decided(_with_rows(docs), _sizes(docs), weights, most).where("copies > 0")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -76,4 +76,4 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a passage of a test item."""
     found = contaminated(docs, items).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_doc"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_doc"], "left_anti")

@@ -20,6 +20,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     cuts = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("_cuts.start").alias("_from"), F.col("_cuts.end").alias("_to"))
+    begin, end = cuts["_from"], cuts["_to"]
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
@@ -32,9 +33,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series([t if t is None or a is None else one(t, a, b) for t, a, b in zip(text, start, end, strict=True)])
 
-    met = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_key(docs["text"]) == F.col("_key")), "left")
-    new = {"text": F.when(F.col("_from").isNull(), F.col("text")).otherwise(cut("text", "_from", "_to"))}
-    out = met.withColumns(new)
+    met = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc"]) & (text_key(docs["text"]) == cuts["_key"]), "left")
+    text = F.when(begin.isNull(), docs["text"]).otherwise(cut(docs["text"], begin, end))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_from").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(begin.isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return met.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
