@@ -164,3 +164,24 @@ def level_percentile(levels: DataFrame, key: str, p: float) -> DataFrame:
     run = F.sum("n").over(Window.partitionBy(key).orderBy("level"))
     whole = F.sum("n").over(Window.partitionBy(key))
     return levels.withColumn("_run", run).withColumn("_all", whole).where(F.col("_run") >= F.col("_all") * p / 100).groupBy(key).agg(F.min("level").alias("level"))
+
+
+def histogram_cells(images: DataFrame, key: str) -> DataFrame:
+    """(key, channel, level, n) of the luma, red, green and blue histograms, cells without pixels left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, w, h, data in zip(batch[key], batch["width"], batch["height"], batch["data"], strict=True):
+                rgb = np.frombuffer(data, np.uint8).reshape(h, w, 3)[:, :, ::-1]
+                for name, levels in (("luma", luma(rgb)), *zip(("red", "green", "blue"), np.moveaxis(rgb, 2, 0), strict=True)):
+                    n = np.bincount(levels.ravel(), minlength=256)
+                    some = np.flatnonzero(n)
+                    yield pd.DataFrame({key: k, "channel": name, "level": some.astype(np.int32), "n": n[some]})
+
+    return images.select(key, "width", "height", "data").mapInPandas(run, f"`{key}` {images.schema[key].dataType.simpleString()}, channel string, level int, n long")
+
+
+def applicable(dx: F.Column, dy: F.Column, value: F.Column, least: float = 6.0) -> F.Column:
+    """The value, where the eyes are far enough apart to be judged."""
+    apart = F.hypot(dx, dy)
+    return F.when(~F.isnan(apart) & (apart >= least), value)

@@ -123,3 +123,15 @@ def multi_hot(rows: DataFrame, classes: list[str], column: str) -> DataFrame:
     """(image_id, target): zeros and ones over the classes."""
     by = rows.groupBy("image_id").agg(F.collect_set(column).alias("_set"))
     return by.select("image_id", F.transform(F.array(*map(F.lit, classes)), lambda c: F.array_contains("_set", c).cast("int")).alias("target"))
+
+
+def mapped(places: DataFrame, classes: DataFrame, overrides: DataFrame, drops: DataFrame) -> DataFrame:
+    """(place, class_id, how): places (place, norm) whose name is a class's (class_id, norm); overrides win over names, and dropped classes go unless overridden to."""
+    exact = places.join(classes, "norm").select("place", "class_id").join(drops, "class_id", "left_anti").join(overrides.select("place"), "place", "left_anti")
+    return exact.withColumn("how", F.lit("exact")).unionByName(overrides.withColumn("how", F.lit("override"))).select("place", "class_id", "how")
+
+
+def free_licence(name: str) -> Column:
+    """Whether a licence lets the image be used: public domain, CC0, or attribution with or without share-alike."""
+    n = F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit(" "))
+    return n.rlike(r"^(cc0|pdm|public domain|cc by( sa)?( [0-9.]+)?$)")

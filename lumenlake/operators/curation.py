@@ -64,7 +64,7 @@ def rename_plan(photos: DataFrame, template: str, group_name: str, existing: Dat
     row; two equal destinations abort the whole plan.
     """
     n = photos.agg(F.count(F.lit(1)).alias("_n"))
-    place = _numbered(photos)
+    place = numbered(photos)
     time = F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")) for c in ("capture_datetime", "file_mtime", "indexed_at")])
     width = F.greatest(F.lit(3), F.length(F.col("_n").cast("string")))
     values = {
@@ -83,15 +83,16 @@ def rename_plan(photos: DataFrame, template: str, group_name: str, existing: Dat
     return rows.crossJoin(aborted).select("id", "source", "destination", (F.col("_taken").isNull() | (F.col("destination") == F.col("source"))).alias("ok"), "aborted")
 
 
-def _numbered(photos: DataFrame) -> DataFrame:
-    """photos with their place in plan order, from 1, without ordering all in one task.
+def numbered(photos: DataFrame, order: list | None = None) -> DataFrame:
+    """photos with their place in an order, plan order by default, from 1, without ordering all in one task.
 
     Rows are range-partitioned by the order; each partition counts itself and starts after those before it.
     """
-    ranged = photos.repartitionByRange(*plan_order()).withColumn("_part", F.spark_partition_id())
+    order = order or plan_order()
+    ranged = photos.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*plan_order()))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_row", inner).join(F.broadcast(before), "_part").withColumn("place", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
 
@@ -132,3 +133,19 @@ def sheet_cells(photos: DataFrame, most: int = 500, columns: int = 4, rows: int
     cell = first.withColumn("_i", at)
     caption = F.when(F.length("filename") > 24, F.concat(F.substring("filename", 1, 23), F.lit("…"))).otherwise(F.col("filename"))
     return cell.select("id", F.floor(F.col("_i") / (columns * rows)).alias("page"), F.floor(F.col("_i") % (columns * rows) / columns).alias("row"), (F.col("_i") % columns).cast("long").alias("column"), caption.alias("caption"))
+
+
+def sound_progress(rows: DataFrame, photos: DataFrame) -> DataFrame:
+    """Progress rows whose focus is a photo of their session and whose index is not negative."""
+    own = photos.select("session_id", F.col("id").alias("focused_photo_id"))
+    return rows.where("unit_index >= 0").join(own, ["session_id", "focused_photo_id"], "left_semi")
+
+
+def applied(photos: DataFrame, done: DataFrame) -> DataFrame:
+    """photos (id, path) after done operations (photo_id, op_type, destination)."""
+    met = photos.join(done, F.col("id") == F.col("photo_id"), "left")
+    kept = met.where(~F.coalesce("op_type", F.lit("")).isin("trash", "delete"))
+    kept = kept.select("id", F.when(F.col("op_type").isin("rename", "move"), F.col("destination")).otherwise(F.col("path")).alias("path"))
+    top = photos.agg(F.max("id").alias("_top"))
+    copies = numbered(met.where("op_type = 'copy'"), [F.col("id")]).crossJoin(top)
+    return kept.unionByName(copies.select((F.col("_top") + F.col("place")).alias("id"), F.col("destination").alias("path")))

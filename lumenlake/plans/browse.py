@@ -234,3 +234,17 @@ def catalog_status(c: Catalog) -> DataFrame:
     """The whole status from one pass over the joined rows."""
     one = grid(c).agg(F.count(F.lit(1)).alias("photos"), F.count("photo_id").alias("analyzed"), F.count_if(F.expr("exif_at is null or file_mtime > exif_at")).alias("metadata_pending"), F.count_if(F.col("review_state") == "selected").alias("selected"), F.count_if(F.col("review_state") == "rejected").alias("rejected"), F.count("face_count").alias("faces_done"), F.count_if(F.col("eye_algorithm_version") == 2).alias("eyes_done"), F.count("scene_fine").alias("scenes_done"))
     return one.crossJoin(c.view("sessions").agg(F.count(F.lit(1)).alias("sessions")))
+
+
+VIEWS = {"sharp": (filters.as_json(("sharpness", ">=", 80)), "sharpness >= 80"), "best": (filters.as_json(("rating", "=", 5), ("flagged", "=", True)), "rating = 5 AND flag = 1"), "all": ("", "true")}
+
+
+@query("C17_saved_view_counts", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({w}) AS n FROM g" for n, (_, w) in VIEWS.items()) + ")", ALL + " g")
+def saved_view_counts(c: Catalog) -> DataFrame:
+    """All saved views counted in one pass."""
+    return filters.matches(grid(c), {n: f for n, (f, _) in VIEWS.items()})
+
+
+@query("S14_session_camera_averages", "SELECT session_id, avg(iso) AS avg_iso, avg(aperture) AS avg_aperture, avg(shutter_speed) AS avg_shutter_speed FROM photos GROUP BY 1", "photos", rounded="avg_iso avg_aperture avg_shutter_speed")
+def session_camera_averages(c: Catalog) -> DataFrame:
+    return c.photos.groupBy("session_id").agg(*stats.camera_averages())

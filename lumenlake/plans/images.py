@@ -69,3 +69,29 @@ def box_overlaps(c: Catalog) -> DataFrame:
     k = c.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.struct((F.col("l_partkey") % 40).cast("double").alias("x"), (F.col("l_suppkey") % 40).cast("double").alias("y"), (20 + F.col("l_quantity") / 5).alias("w"), (20 + F.col("l_linenumber").cast("double")).alias("h")).alias("box"))
     a, b = k.select("id", F.col("n").alias("i"), F.col("box").alias("a")), k.select("id", F.col("n").alias("j"), F.col("box").alias("b"))
     return a.join(b, "id").where("i < j").groupBy("id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(pixels.iou("a", "b") > 0.3).alias("overlapping"))
+
+
+@query("B12_channel_histograms", "SELECT vec_id, 'luma' AS channel, l AS level, count(*) AS n FROM lum GROUP BY 1, 3 UNION ALL SELECT vec_id, 'red', r, count(*) FROM lum GROUP BY 1, 3", "px lum")
+def channel_histograms(c: Catalog) -> DataFrame:
+    """Non-zero cells of the luma and red histograms."""
+    return pixels.histogram_cells(images(c), "vec_id").where("channel in ('luma', 'red')")
+
+
+@query("B19_applicable_eyes", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN sqrt(pow(l_partkey % 9, 2) + pow(l_suppkey % 9, 2)) >= 6 THEN l_discount END AS left_open FROM lineitem")
+def applicable_eyes(c: Catalog) -> DataFrame:
+    """Eye values of faces whose eyes lie at least six pixels apart."""
+    return c.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), pixels.applicable(F.col("l_partkey") % 9, F.col("l_suppkey") % 9, F.col("l_discount")).alias("left_open"))
+
+
+@query("B21_merged_groups", "SELECT CASE event_type WHEN 'purchase' THEN 'people' WHEN 'error' THEN 'nature' WHEN 'signup' THEN 'people' ELSE 'other' END AS merged, count(*) AS n FROM events GROUP BY 1")
+def merged_groups(c: Catalog) -> DataFrame:
+    """Labels to groups by a fixed map; unknown labels are other."""
+    named = F.create_map(*map(F.lit, ["purchase", "people", "error", "nature", "signup", "people"]))
+    return c.table("events").select(F.coalesce(named[F.col("event_type")], F.lit("other")).alias("merged")).groupBy("merged").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("B22_size_guard", "SELECT id, CASE WHEN size_bytes > 5000000 OR width * height > 9000000 THEN 0 END AS face_count, size_bytes > 5000000 OR coalesce(width * height > 9000000, false) AS refused FROM photos", "photos")
+def size_guard(c: Catalog) -> DataFrame:
+    """Files and images beyond a size are stamped as having no faces and count as done."""
+    refused = (F.col("size_bytes") > 5_000_000) | F.coalesce(F.col("width") * F.col("height") > 9_000_000, F.lit(False))
+    return c.photos.select("id", F.when(refused, 0).alias("face_count"), refused.alias("refused"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlake.functions import names
 from lumenlake.operators import curation
+from lumenlake.operators.tables import shared_dir
 from lumenlake.plans.registry import query
 from lumenlake.sources.catalog import Catalog, known_time, merge_rows
-from lumenlake.sources.files import extension_class, orientation_of
+from lumenlake.sources import exif
+from lumenlake.sources.files import extension_class, manifest, orientation_of, scan_summary, with_names
 
 _CHANGES = "SELECT o_orderkey % 10000 AS photo_id, CASE o_orderstatus WHEN 'F' THEN 'selected' WHEN 'O' THEN 'rejected' END AS state, lpad(CAST(o_orderkey AS STRING), 12, '0') AS updated_at FROM {orders}"
 
@@ -224,3 +230,117 @@ for _n, _t in _QUEUES.items():
 @query("A23_progress", "SELECT count(*) AS decodable, count(photo_id) AS analyzed FROM photos LEFT JOIN analysis ON photo_id = id WHERE extension IN ('jpg', 'jpeg', 'png', 'webp', 'tif', 'tiff')", "photos analysis")
 def progress(c: Catalog) -> DataFrame:
     return c.joined.where(extension_class("extension") == "decodable").agg(F.count(F.lit(1)).alias("decodable"), F.count("photo_id").alias("analyzed"))
+
+
+@query("A01_file_rows", """
+SELECT p AS path, regexp_extract(p, '[^/]*$') AS filename, lower(regexp_extract(p, '\\.([^./]+)$', 1)) AS extension, CASE WHEN lower(regexp_extract(p, '\\.([^./]+)$', 1)) IN ('jpg', 'png') THEN 'decodable' WHEN lower(regexp_extract(p, '\\.([^./]+)$', 1)) = 'heic' THEN 'heic' ELSE 'raw' END AS class
+FROM (SELECT CASE WHEN id % 9 = 0 THEN replace(path, '/shoot/', '/.trash/') ELSE path END AS p FROM photos) WHERE NOT regexp_matches(p, '/\\.[^/]')""", "photos")
+def file_rows(c: Catalog) -> DataFrame:
+    """The scan's rules over a listing: hidden folders out, names, endings and classes."""
+    listing = c.photos.select(F.when(F.col("id") % 9 == 0, F.replace("path", F.lit("/shoot/"), F.lit("/.trash/"))).otherwise(F.col("path")).alias("path"))
+    return with_names(listing).where("class <> 'ignored'")
+
+
+@query("A03_scan_summary", "SELECT count(*) FILTER (id % 9 <> 0) AS total_files, count(*) FILTER (id % 9 <> 0 AND id % 5 <> 0) AS indexed, count(*) FILTER (id % 9 <> 0 AND id % 5 = 0) AS ignored FROM photos", "photos")
+def scan_totals(c: Catalog) -> DataFrame:
+    listing = c.photos.select(F.concat(F.when(F.col("id") % 9 == 0, "/.x").otherwise("/x"), F.regexp_replace("path", r"\.[^.]*$", ""), F.when(F.col("id") % 5 == 0, ".txt").otherwise(".jpg")).alias("path"))
+    return scan_summary(listing)
+
+
+def exif_files(c: Catalog) -> DataFrame:
+    """Small JPEG heads that carry each photo's camera columns."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(make: pd.Series, lens: pd.Series, iso: pd.Series, aperture: pd.Series, taken: pd.Series, gps: pd.Series) -> pd.Series:
+        plain = lambda v: None if pd.isna(v) else v
+        return pd.Series([exif.write_tags({"make": plain(m), "lens": plain(n), "iso_photographic": None if pd.isna(i) else int(i), "aperture": plain(a), "taken": plain(t), "gps": bool(g)}) for m, n, i, a, t, g in zip(make, lens, iso, aperture, taken, gps, strict=True)])
+
+    clock = F.replace(F.replace(F.translate("capture_datetime", "-T", ": "), F.lit("Z"), F.lit("")), F.lit("x"), F.lit(""))
+    return c.photos.select("id", encode("camera_make", "lens", "iso", "aperture", clock, "gps_present").alias("content"))
+
+
+@query("A09_exif_fields", "SELECT id, nullif(trim(camera_make), '') AS camera_make, nullif(trim(lens), '') AS lens, iso, aperture, capture_datetime, gps_present, coalesce(nullif(trim(camera_make), ''), lens, iso::VARCHAR, aperture::VARCHAR, capture_datetime) IS NOT NULL OR gps_present AS has_metadata FROM photos", "photos")
+def exif_fields(c: Catalog) -> DataFrame:
+    rows = exif.fields(exif.raw_tags(exif_files(c), "id")).withColumn("has_metadata", exif.has_metadata())
+    return rows.select("id", "camera_make", "lens", "iso", "aperture", "capture_datetime", "gps_present", "has_metadata")
+
+
+@query("A14_capture_provenance", """
+SELECT id, coalesce(e, n, capture_datetime) AS capture_datetime, CASE WHEN e IS NOT NULL THEN 'exif' WHEN n IS NOT NULL THEN 'filename' ELSE capture_datetime_source END AS source
+FROM (SELECT *, CASE WHEN id % 3 = 0 THEN exif_at END AS e, CASE WHEN id % 2 = 0 THEN file_mtime END AS n FROM photos)""", "photos")
+def capture_provenance(c: Catalog) -> DataFrame:
+    """A read date before an estimate before what is stored."""
+    read, guess = F.when(F.col("id") % 3 == 0, F.col("exif_at")), F.when(F.col("id") % 2 == 0, F.col("file_mtime"))
+    return c.photos.select("id", F.coalesce(read, guess, "capture_datetime").alias("capture_datetime"), F.when(read.isNotNull(), "exif").when(guess.isNotNull(), "filename").otherwise(F.col("capture_datetime_source")).alias("source"))
+
+
+@query("A25_owned_columns", "SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 50.0::DOUBLE ELSE sharpness END AS sharpness, face_count, scene_fine FROM analysis", "analysis")
+def owned_columns(c: Catalog) -> DataFrame:
+    """An analysis pass replaces its own columns and leaves those of the face and scene passes."""
+    base = c.analysis.select("photo_id", "sharpness", "face_count", "scene_fine")
+    return merge_rows(base, base.where("photo_id % 2 = 0").select("photo_id", F.lit(50.0).alias("sharpness"), F.lit(9).alias("face_count")), "photo_id", {"sharpness": "new"})
+
+
+@query("A26_csv_round_trip", "SELECT image_id, mid, fine, coarse, confidence FROM label_rows", "label_rows", rounded="confidence")
+def csv_round_trip(c: Catalog) -> DataFrame:
+    """Label rows written as sorted CSV with a header, and read back with their types."""
+    path = f"{shared_dir(c.spark)}/labels-{uuid.uuid4().hex}"
+    c.view("label_rows").orderBy("mid", "image_id").write.option("header", True).csv(path)
+    return c.spark.read.schema("image_id string, mid string, fine string, coarse string, confidence double").option("header", True).csv(path)
+
+
+@query("A27_tolerant_manifest", "SELECT count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS malformed, count(DISTINCT CASE WHEN event_id % 7 <> 0 THEN event_id END) AS ids FROM events")
+def tolerant_manifest(c: Catalog) -> DataFrame:
+    """A JSON-lines manifest with broken lines, which are counted."""
+    path = f"{shared_dir(c.spark)}/manifest-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("status")))
+    c.table("events").select(F.when(F.col("event_id") % 7 == 0, F.concat(line, F.lit("}{"))).otherwise(line).alias("value")).select(F.when(F.endswith("value", F.lit("}{")), F.lit("{broken")).otherwise(F.col("value")).alias("value")).write.text(path)
+    rows = manifest(c.spark, path)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("_corrupt").alias("malformed"), F.countDistinct("id").alias("ids"))
+
+
+@query("F02_cleared_states", "SELECT * FROM selections WHERE photo_id % 5 <> 0", "selections")
+def cleared_states(c: Catalog) -> DataFrame:
+    return c.view("selections").join(c.photos.where("id % 5 = 0").select(F.col("id").alias("photo_id")), "photo_id", "left_anti").select("photo_id", "state", "updated_at")
+
+
+@query("F06_review_progress", "SELECT session_id, max(id) AS focused_photo_id, count(*) AS unit_index FROM photos WHERE session_id IS NOT NULL AND session_id % 3 = 0 GROUP BY 1", "photos")
+def review_progress(c: Catalog) -> DataFrame:
+    """New progress rows; a focus that is no photo of its session, and a negative index, are refused."""
+    own = c.photos.where("session_id is not null")
+    asked = own.groupBy("session_id").agg(F.max("id").alias("focused_photo_id"), F.count(F.lit(1)).alias("unit_index"))
+    wrong = asked.selectExpr("session_id", "focused_photo_id - 1000000 as focused_photo_id", "unit_index")
+    rows = asked.where("session_id % 3 = 0").unionByName(wrong.where("session_id % 3 = 1"))
+    return curation.sound_progress(rows, own)
+
+
+@query("F09_removed_members", "SELECT * FROM collection_photos WHERE NOT (collection_id = 3 AND photo_id % 2 = 0)", "collection_photos")
+def removed_members(c: Catalog) -> DataFrame:
+    m = c.view("collection_photos")
+    return m.join(m.where("collection_id = 3 and photo_id % 2 = 0").select("collection_id", "photo_id"), ["collection_id", "photo_id"], "left_anti")
+
+
+@query("F13_moved_paths", "SELECT id, CASE WHEN id % 4 = 0 THEN '/moved' || path ELSE path END AS path, CASE WHEN id % 8 = 0 THEN 1 ELSE size_bytes END AS size_bytes FROM photos", "photos")
+def moved_paths(c: Catalog) -> DataFrame:
+    moves = c.photos.where("id % 4 = 0").select("id", F.concat(F.lit("/moved"), "path").alias("path"), F.when(F.col("id") % 8 == 0, 1).cast("long").alias("size_bytes"))
+    return merge_rows(c.photos.select("id", "path", "size_bytes"), moves, "id", {"path": "new_first", "size_bytes": "new_first"})
+
+
+@query("F15_plan_order", "SELECT id, row_number() OVER (ORDER BY capture_datetime NULLS FIRST, filename, id) AS place FROM photos", "photos")
+def plan_places(c: Catalog) -> DataFrame:
+    return curation.numbered(c.photos).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query("F24_applied_outcomes", """
+SELECT id, CASE WHEN id % 5 = 1 THEN '/new' || path ELSE path END AS path FROM photos WHERE id % 5 <> 2 UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY id), '/copy' || path FROM photos WHERE id % 5 = 3""", "photos")
+def applied_outcomes(c: Catalog) -> DataFrame:
+    """Outcomes of operations: renames and moves change the path, copies add a row, trash and deletion remove one."""
+    op = F.when(F.col("id") % 5 == 1, "move").when(F.col("id") % 5 == 2, "trash").when(F.col("id") % 5 == 3, "copy")
+    to = F.concat(F.when(F.col("id") % 5 == 1, "/new").otherwise("/copy"), F.col("path"))
+    done = c.photos.select(F.col("id").alias("photo_id"), op.alias("op_type"), to.alias("destination")).where("op_type is not null")
+    return curation.applied(c.photos.select("id", "path"), done)
+
+
+@query("F27_clean_labels", "SELECT p_partkey, CASE WHEN length(trim(p_name)) BETWEEN 1 AND 12 THEN trim(p_name) END AS label FROM part")
+def clean_labels(c: Catalog) -> DataFrame:
+    return c.table("part").select("p_partkey", names.cleaned("p_name", 12).alias("label"))

@@ -54,3 +54,9 @@ def dimensions(spark: SparkSession, folder: str) -> DataFrame:
     image = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
     size = lambda c: F.when(F.col(f"image.{c}") > 0, F.col(f"image.{c}"))
     return image.select(F.col("image.origin").alias("path"), size("width").alias("width"), size("height").alias("height"))
+
+
+def manifest(spark: SparkSession, path: str, schema: str = "id long, status string") -> DataFrame:
+    """Rows of a JSON-lines manifest; a line that is none has only its text, in _corrupt."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows
