@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import components, prefilter, write_table
 
-WORDS, TABLES, PICK, SIMILARITY = 5, 12, 2, 0.8
+WORDS, TABLES, PICK, SIMILARITY = 5, 20, 4, 0.8
 #: Shingles of a chunk on average; a task holds two chunks.
 CHUNK_SHINGLES = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_SEEDS = (np.arange(1, TABLES + 1, dtype=np.uint64) * _ODD[0]) ^ _ODD[1]
+_SEEDS = np.random.default_rng(41).integers(1 << 62, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
+_ROWS, _HALF, _TOP = np.arange(TABLES), np.uint64(32), np.uint64(2**64 - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,13 +71,15 @@ def shingles(words: np.ndarray) -> np.ndarray:
     width = min(WORDS, len(words))
     if not width:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(words) - width + 1, dtype=np.uint64)
-    for i in range(width):
-        h = mix(h * _ODD[0] + words[i : i + len(h)])
-    order = np.argsort(h, kind="stable")
-    same = h[order]
-    start = np.r_[True, same[1:] != same[:-1]]
-    if not start.all():
+    h = words[: len(words) - width + 1].copy()
+    for i in range(1, width):
+        h *= _ODD[0]
+        h += words[i : i + len(h)]
+    h = mix(h)
+    ordered = np.sort(h)
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.argsort(h, kind="stable")
+        start = np.r_[True, ordered[1:] != ordered[:-1]]
         first = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
         number = np.empty(len(h), dtype=np.uint64)
         number[order] = (np.arange(len(h)) - first).astype(np.uint64)
@@ -84,17 +87,30 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def _lowest(h: np.ndarray, pick: int) -> np.ndarray:
+    """For each table the places of the `pick` smallest hashes; long texts are searched a piece at a time."""
+    places = []
+    for at in range(0, len(h), 1 << 15):
+        x = h[None, at : at + (1 << 15)] * _SEEDS[:, None]
+        x ^= x >> _HALF
+        x *= _ODD[2]
+        for _ in range(min(pick, x.shape[1])):
+            low = x.argmin(axis=1)
+            places.append(low + at)
+            x[_ROWS, low] = _TOP
+    out = np.array(places).T
+    if out.shape[1] > pick:
+        x = h[out] * _SEEDS[:, None]
+        x ^= x >> _HALF
+        out = np.take_along_axis(out, np.argsort(x * _ODD[2], axis=1, kind="stable")[:, :pick], axis=1)
+    return out
+
+
 def sketch(h: np.ndarray) -> np.ndarray:
     """For each table the hash of the PICK smallest shingles in text order."""
-    out = np.empty(TABLES, dtype=np.uint64)
-    pick = min(PICK, len(h))
-    for t, seed in enumerate(_SEEDS):
-        x = mix(h ^ seed)
-        at = np.sort(np.argpartition(x, pick - 1)[:pick])
-        v = np.array([seed])
-        for i in at:
-            v = mix(v * _ODD[0] + h[i : i + 1])
-        out[t] = v[0]
+    out = _SEEDS.copy()
+    for place in np.sort(_lowest(h, min(PICK, len(h))), axis=1).T:
+        out = mix(out * _ODD[0] + h[place])
     return out
 
 
@@ -248,5 +264,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class: of the rows with the class's doc_id the one whose text is smallest; rows without an id or words stay."""
     classes = near_duplicates(docs)
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_doc")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_doc"), "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
