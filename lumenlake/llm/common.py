@@ -1,39 +1,16 @@
-"""Helpers that the training-data operators share: shared-folder tables, bounded prefilters, components."""
+"""What the training-data operators share besides the library's own tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most distinct values that `prefilter` broadcasts: 2^20 longs, about 16 MB, at any input size.
-PREFILTER_SLOTS = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumenlake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lumenlake.operators.tables import components, drop_table, shared_dir, write_table
 
+__all__ = ["PREFILTER_SLOTS", "components", "drop_table", "prefilter", "shared_dir", "write_table"]
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that write_table made."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Most distinct values that `prefilter` broadcasts: 2^20 longs, about 16 MB, at any input size.
+PREFILTER_SLOTS = 1 << 20
 
 
 def prefilter(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
@@ -45,27 +22,3 @@ def prefilter(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) ->
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER_SLOTS))
     slots = wanted.select(slot(wanted_key).alias("_slot")).distinct()
     return rows.withColumn("_slot", slot(key)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge table, as (node, label) with the smallest node as label.
-
-    Each round points every node at its smallest neighbour, follows that pointer once more and
-    contracts the edges, so of each edge's two ends one at least goes; rounds end when no edge is left.
-    Nothing but an emptiness test reaches the driver.  Loops and null ends are ignored.
-    """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    live = write_table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    found = live.select(F.col("a").alias("node")).distinct().withColumn("cur", F.col("node"))
-    while not live.isEmpty():
-        up = live.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        up = write_table(up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a"), "left").select("x.a", F.coalesce("y.p", "x.p").alias("p")), "parents")
-        left, right = up.select("a", F.col("p").alias("pa")), up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        after = write_table(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
-        moved = found.join(up.withColumnRenamed("a", "cur"), "cur", "left").select("node", F.coalesce("p", "cur").alias("cur"))
-        before, found = (live, found), write_table(moved, "labels")
-        drop_table(up)
-        for old in before:
-            drop_table(old) if old.inputFiles() else None
-        live = after
-    return found.select("node", F.col("cur").alias("label"))
