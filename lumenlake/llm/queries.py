@@ -114,6 +114,45 @@ WITH d AS (
 SELECT doc_id, source, size, source_size, target,
        (copies + CASE WHEN z IS NOT NULL AND upto <= remains THEN 1 ELSE 0 END) * size AS taken
 FROM c""",
+    "op2_line_hash_dedup": r"""
+WITH p0 AS (
+  SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?]+)(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS p FROM documents WHERE text IS NOT NULL
+), p1 AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM p0
+), p2 AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs,
+         regexp_replace(piece, '^\s+|\s+$', '', 'g') AS body, length(piece) - length(regexp_replace(piece, '^\s+', '')) AS blank FROM p1
+), u AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS unit, (offs + blank)::INTEGER AS start, (offs + blank + length(body))::INTEGER AS "end",
+         lower(regexp_replace(body, '\s+', ' ', 'g')) AS norm FROM p2 WHERE body <> ''
+), w AS (
+  SELECT *, len(string_split(norm, ' '))::INTEGER AS words FROM u
+), g AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY norm) AS kept_doc_id, row_number() OVER (PARTITION BY norm, doc_id ORDER BY unit) AS again FROM w WHERE words >= 6
+)
+SELECT doc_id, unit, start, "end", words, kept_doc_id FROM g WHERE doc_id > kept_doc_id OR again > 1""",
+    "op3_edit_join": r"""
+WITH RECURSIVE l0 AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents
+), l1 AS (
+  SELECT doc_id, unnest(range(len(x))) AS line, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS t FROM l0
+), l AS (
+  SELECT * FROM l1 WHERE length(t) >= 16
+), d AS (
+  SELECT DISTINCT t, length(t) AS n FROM l
+), e AS (
+  SELECT a.t AS a, b.t AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 32 AND b.n >= 32 AND a.t <> b.t
+  AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
+  AND levenshtein(a.t, b.t) <= 2
+), r AS (
+  SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node
+), c AS (
+  SELECT node, min(label) AS label FROM r GROUP BY node
+), o AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY coalesce(label, t) ORDER BY doc_id, line) AS k FROM l LEFT JOIN c ON node = t
+)
+SELECT doc_id, count(line) AS n_lines, count(*) FILTER (k > 1) AS n_removed, coalesce(string_agg(CASE WHEN k > 1 THEN line::VARCHAR END, ',' ORDER BY line), '') AS removed
+FROM (SELECT doc_id FROM documents) LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
     "op5_impact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
