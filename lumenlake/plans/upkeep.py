@@ -195,16 +195,20 @@ def exif_merge(c: Catalog) -> DataFrame:
     return merge_rows(base, read, "id", {"width": "old_first", "iso": "new_first", "gps_present": "or", "capture_datetime": "new_first", "capture_datetime_source": "new_first"})
 
 
-@query("A15_dates_from_names")
+#: The date that the names of these photos state, each of four kinds.
+_NAMED = """CASE id % 4 WHEN 0 THEN substr(filename, 5, 4) || '-' || substr(filename, 9, 2) || '-' || substr(filename, 11, 2) || 'T' || substr(filename, 14, 2) || ':' || substr(filename, 16, 2) || ':' || substr(filename, 18, 2) || 'Z'
+    WHEN 1 THEN substr(filename, 12, 10) || 'T' || replace(substr(filename, 26, 8), '.', ':') || 'Z'
+    WHEN 2 THEN substr(filename, 1, 4) || '-' || substr(filename, 5, 2) || '-' || substr(filename, 7, 2) || 'T00:00:00Z' END"""
+
+
+@query("A15_dates_from_names", f"SELECT id, filename, {_NAMED} AS capture_datetime FROM photos", "photos")
 def dates_from_names(c: Catalog) -> DataFrame:
     return c.photos.select("id", "filename", names.name_dates()("filename").alias("capture_datetime"))
 
 
-@query("A16_estimated_dates", r"""
+@query("A16_estimated_dates", f"""
 SELECT id, coalesce(n, file_mtime) AS capture_datetime, CASE WHEN n IS NOT NULL THEN 'filename' WHEN file_mtime IS NOT NULL THEN 'mtime' END AS source FROM (
-  SELECT *, CASE id % 4 WHEN 0 THEN substr(filename, 5, 4) || '-' || substr(filename, 9, 2) || '-' || substr(filename, 11, 2) || 'T' || substr(filename, 14, 2) || ':' || substr(filename, 16, 2) || ':' || substr(filename, 18, 2) || 'Z'
-    WHEN 1 THEN substr(filename, 12, 10) || 'T' || replace(substr(filename, 26, 8), '.', ':') || 'Z'
-    WHEN 2 THEN substr(filename, 1, 4) || '-' || substr(filename, 5, 2) || '-' || substr(filename, 7, 2) || 'T00:00:00Z' END AS n FROM photos)""", "photos")
+  SELECT *, {_NAMED} AS n FROM photos)""", "photos")
 def estimated_dates(c: Catalog) -> DataFrame:
     rows = dates_from_names(c).join(c.photos.select("id", "file_mtime"), "id")
     return rows.select("id", F.coalesce("capture_datetime", "file_mtime").alias("capture_datetime"), F.when(F.col("capture_datetime").isNotNull(), "filename").when(F.col("file_mtime").isNotNull(), "mtime").alias("source"))
