@@ -185,3 +185,28 @@ def applicable(dx: F.Column, dy: F.Column, value: F.Column, least: float = 6.0)
     """The value, where the eyes are far enough apart to be judged."""
     apart = F.hypot(dx, dy)
     return F.when(~F.isnan(apart) & (apart >= least), value)
+
+
+def detections(heads: DataFrame, least: float = 0.7, side: int = 640) -> DataFrame:
+    """Candidate boxes of detector heads (photo_id, stride, cell, obj, cls, box): score, x, y, w, h.
+
+    A cell's box is an offset from its corner in strides, and a size as the exponent of one; the score is the
+    geometric mean of the two heads.
+    """
+    grid = F.lit(side) / F.col("stride")
+    row, column = F.floor(F.col("cell") / grid), F.col("cell") % grid
+    s = F.col("stride").cast("double")
+    w, h = F.exp(F.get("box", F.lit(2))) * s, F.exp(F.get("box", F.lit(3))) * s
+    x, y = (F.get("box", F.lit(0)) + column) * s - w / 2, (F.get("box", F.lit(1)) + row) * s - h / 2
+    out = heads.withColumn("score", F.sqrt(F.col("obj") * F.col("cls"))).where(F.col("score") >= least)
+    return out.select("photo_id", "score", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+def face_hash(rgb: np.ndarray, x: float, y: float, w: float, h: float, margin: float = 0.18, least: int = 12) -> int | None:
+    """Difference hash of a face's surroundings, clamped to the image; null for faces that are too small to tell."""
+    height, width = rgb.shape[:2]
+    x0, y0 = max(0, int(np.floor(x - margin * w))), max(0, int(np.floor(y - margin * h)))
+    x1, y1 = min(width, int(np.ceil(x + w + margin * w))), min(height, int(np.ceil(y + h + margin * h)))
+    if x1 - x0 < least or y1 - y0 < least:
+        return None
+    return difference_hash(luma(rgb[y0:y1, x0:x1]))

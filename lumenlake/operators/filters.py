@@ -8,8 +8,12 @@ from functools import reduce
 from operator import and_, eq, ge, gt, le, lt, ne
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lumenlake.sources.catalog import merge_rows
 
 MAX_CONDITIONS, MAX_ITEMS = 50, 100
 #: Hue names by bit of the color signature.
@@ -128,6 +132,28 @@ def canonical(text: str | None) -> str:
     return json.dumps(sorted(json.dumps(c, sort_keys=True) for c in parse(text)))
 
 
+def canonical_key(name: str) -> Column:
+    """`canonical` of a column of filters; null for text that is no filter."""
+
+    @F.pandas_udf(T.StringType())
+    def key(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return canonical(text)
+            except FilterError:
+                return None
+
+        return texts.map(one)
+
+    return key(name)
+
+
+def saved(views: DataFrame, new: DataFrame) -> DataFrame:
+    """Saved views after new ones by name; text that is no filter does not replace one."""
+    sound = new.where(canonical_key("filter_json").isNotNull())
+    return merge_rows(views, sound, "name", {c: "new" for c in views.columns if c != "name"})
+
+
 def matches(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
     """(name, n) of many filters in one pass over the rows."""
     counts = rows.agg(*[F.count_if(compile_filter(f)).alias(f"c{i}") for i, f in enumerate(filters.values())])

@@ -248,3 +248,26 @@ def saved_view_counts(c: Catalog) -> DataFrame:
 @query("S14_session_camera_averages", "SELECT session_id, avg(iso) AS avg_iso, avg(aperture) AS avg_aperture, avg(shutter_speed) AS avg_shutter_speed FROM photos GROUP BY 1", "photos", rounded="avg_iso avg_aperture avg_shutter_speed")
 def session_camera_averages(c: Catalog) -> DataFrame:
     return c.photos.groupBy("session_id").agg(*stats.camera_averages())
+
+
+def saved_views(c: Catalog) -> DataFrame:
+    """A view of each nation: photos of at least as many stars as its region's number, whose name orders its conditions."""
+    rating = F.concat(F.lit('{"field": "rating", "operator": ">=", "value": '), F.col("n_regionkey").cast("string"), F.lit("}"))
+    flag = F.lit('{"operator": "=", "value": true, "field": "flagged"}')
+    both = F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws(", ", rating, flag)).otherwise(F.concat_ws(",", flag, rating))
+    return c.table("nation").select(F.col("n_name").alias("name"), F.concat(F.lit('{"operator": "AND", "conditions": ['), both, F.lit("]}")).alias("filter_json"))
+
+
+@query("C16_upserted_views", "SELECT n_name AS name, n_nationkey % 5 = 0 AS replaced FROM nation UNION ALL SELECT 'Best', true")
+def upserted_views(c: Catalog) -> DataFrame:
+    """Views saved again by name replace the old ones; broken filters are refused before."""
+    base = saved_views(c).withColumn("replaced", F.lit(False))
+    again = c.table("nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("name")).unionByName(c.table("region").limit(1).select(F.lit("Best").alias("name")))
+    new = again.withColumn("filter_json", F.lit(filters.as_json(("rating", "=", 5)))).withColumn("replaced", F.lit(True))
+    return filters.saved(base, new).select("name", "replaced")
+
+
+@query("C21_equal_views", "SELECT string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def equal_views(c: Catalog) -> DataFrame:
+    """Views that hold the same conditions in whatever order."""
+    return saved_views(c).groupBy(filters.canonical_key("filter_json").alias("key")).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")).select("names")

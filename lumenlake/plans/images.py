@@ -95,3 +95,11 @@ def size_guard(c: Catalog) -> DataFrame:
     """Files and images beyond a size are stamped as having no faces and count as done."""
     refused = (F.col("size_bytes") > 5_000_000) | F.coalesce(F.col("width") * F.col("height") > 9_000_000, F.lit(False))
     return c.photos.select("id", F.when(refused, 0).alias("face_count"), refused.alias("refused"))
+
+
+@query("B15_detections", """
+WITH k AS (SELECT l_orderkey AS photo_id, CASE l_linenumber % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS s, l_partkey % 400 AS cell, 0.5 + 5 * l_discount AS o, 0.6 + 5 * l_tax AS c, l_discount AS a, l_tax AS b, l_quantity / 50 AS p, l_linenumber / 10.0::DOUBLE AS q FROM lineitem)
+SELECT photo_id, sqrt(o * c) AS score, (a + cell % (640 // s)) * s - exp(p) * s / 2 AS x, (b + cell // (640 // s)) * s - exp(q) * s / 2 AS y, exp(p) * s AS w, exp(q) * s AS h FROM k WHERE sqrt(o * c) >= 0.7""", rounded="score x y w h")
+def detections(c: Catalog) -> DataFrame:
+    heads = c.table("lineitem").selectExpr("l_orderkey as photo_id", "case l_linenumber % 3 when 0 then 8 when 1 then 16 else 32 end as stride", "l_partkey % 400 as cell", "0.5D + 5 * l_discount as obj", "0.6D + 5 * l_tax as cls", "array(l_discount, l_tax, l_quantity / 50, l_linenumber / 10.0D) as box")
+    return pixels.detections(heads)

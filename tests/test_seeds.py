@@ -188,3 +188,45 @@ def test_scan(spark, tmp_path):
     assert [(r.filename, r["class"], r.size_bytes) for r in rows] == [("a.JPG", "decodable", 3), ("b.nef", "raw", 3), ("e.heic", "heic", 3)]
     s = scan_summary(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path")).first()
     assert (s.total_files, s.indexed, s.ignored) == (4, 3, 1)
+
+
+def test_face_hash_needs_enough_pixels():
+    ramp = np.repeat(np.arange(0, 252, 4, dtype=np.uint8)[None, :, None], 40, axis=0).repeat(3, axis=2)
+    assert pixels.face_hash(ramp, 10, 10, 20, 20) == -1
+    assert pixels.face_hash(ramp, 10, 10, 5, 5) is None and pixels.face_hash(ramp, 60, 10, 20, 20) is None
+
+
+def test_damaged_metadata_is_empty():
+    from lumenlake.sources import exif
+
+    whole = exif.write_tags({"make": "Sony", "focal": 50.0, "iso_photographic": 100, "taken": "2026:01:02 03:04:05", "gps": True})
+    assert exif.read_tags(whole) == {"make": "Sony", "focal": 50.0, "iso_photographic": 100, "taken": "2026:01:02 03:04:05", "gps": True}
+    for cut in range(len(whole)):
+        exif.read_tags(whole[:cut])
+    assert exif.read_tags(b"junk") == exif.read_tags(None) == exif.read_tags(b"") == {}
+
+
+def test_metadata_rules(spark):
+    from lumenlake.sources import exif
+
+    rows = [("Sony ", "0000:00:00 00:00:00", 5000.0, None, 0, None, 200), (" ", "2026:01:02 03:04:05,5", None, 35.0, 64, 50, 200), (None, "garbage", None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "make string, taken string, focal double, focal_35mm double, iso_speed long, iso_index long, iso_photographic long")
+    raw = raw.withColumns({k: F.lit(None).cast(t) for k, t in (c.split() for c in exif.RAW.split(", ")) if k not in raw.columns})
+    got = exif.fields(raw).withColumn("some", exif.has_metadata()).collect()
+    assert [(r.camera_make, r.capture_datetime, r.focal_length, r.iso, r.some) for r in got] == [("Sony", None, 50.0, 200, True), (None, "2026-01-02T03:04:05Z", 35.0, 64, True), (None, None, None, None, False)]
+
+
+def test_image_dimensions(spark, tmp_path):
+    import struct
+    import zlib
+
+    from lumenlake.sources.files import dimensions
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + b"\x10\x20\x30" * 3 for _ in range(2)))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in dimensions(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (3, 2), "b.png": (None, None)}
