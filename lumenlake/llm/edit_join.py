@@ -240,6 +240,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = write_table(lines.drop("digest"), "line-classes")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "text_key", "line")
     first = lines.where("line >= 0").groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join reads both sides from exchanges that Spark can split at a hot class
+    first = write_table(first, "line-firsts")
     return lines.join(first, "class", "left").withColumn("again", F.coalesce(place > F.col("first"), F.lit(False))).drop("first")
 
 
