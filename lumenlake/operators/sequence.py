@@ -18,12 +18,21 @@ def bursts(photos: DataFrame, gap: int = 3) -> DataFrame:
     """(session_id, start, id): photos within `gap` seconds of their burst's first photo, two at least.
 
     A longer step between neighbours always ends a burst, so photos are first cut at such steps; only within
-    these short islands is the distance to the first photo folded.
+    these short islands is the distance to the first photo folded.  A session is ordered day by day: what a day needs
+    of those before it, the last time and the start of an open island, comes from one row per day, so a session
+    that holds a large share of all photos is spread over tasks.
     """
     rows = photos.where("session_id is not null and capture_datetime is not null").select("session_id", "id", seconds("capture_datetime").alias("t"))
-    order = Window.partitionBy("session_id").orderBy("t", "id")
-    cut = rows.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(order) > gap).cast("int"), F.lit(1)))
-    islands = cut.withColumn("island", F.sum("new").over(order)).groupBy("session_id", "island").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("shots"))
+    rows = rows.withColumn("day", F.floor(F.col("t") / max(86400, gap + 1)))
+    keys = ["session_id", "day"]
+    days = Window.partitionBy("session_id").orderBy("day")
+    last = rows.groupBy(*keys).agg(F.max("t").alias("t")).select(*keys, F.lag("t").over(days).alias("before"))
+    order = Window.partitionBy(*keys).orderBy("t", "id")
+    prior = F.coalesce(F.lag("t").over(order), F.col("before"))
+    cut = rows.join(last, keys).withColumn("new", F.when(prior.isNull() | (F.col("t") - prior > gap), F.col("t")))
+    opened = cut.groupBy(*keys).agg(F.max("new").alias("s")).select(*keys, F.max("s").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    island = F.coalesce(F.max("new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
+    islands = cut.join(opened, keys).withColumn("island", island).groupBy("session_id", "island").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("shots"))
     islands = islands.where(F.size("shots") > 1)
     starts = F.aggregate("shots", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.when((F.size(acc) > 0) & (x["t"] - F.element_at(acc, -1) <= gap), F.element_at(acc, -1)).otherwise(x["t"]))))
     shots = islands.select("session_id", F.explode(F.arrays_zip("shots", starts.alias("starts"))).alias("s")).select("session_id", F.col("s.starts").alias("start"), F.col("s.shots.id").alias("id"))
