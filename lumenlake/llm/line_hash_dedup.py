@@ -73,6 +73,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     cut = write_table(rows.mapInArrow(_cut(unit, min_words), schema), "units")
     rank = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     known = cut.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join reads both sides from exchanges that Spark can split at a hot digest
+    known = write_table(known, "repeated")
     gone = cut.join(known, "digest").where((rank > F.col("first")) | F.col("again"))
     return gone.select("doc_id", "text_key", "unit", "start", "end", "words", F.when(F.col("first") < 2**63 - 1, F.col("first")).alias("kept_doc_id"))
 
