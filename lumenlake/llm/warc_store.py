@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import shared_dir
+from lumenlake.llm.common import shared_dir, write_table
 
 #: The smallest payload that is stored as a revisit when it recurs.
 REVISIT_FROM = 1000
@@ -34,7 +34,8 @@ def record_types(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     payload = F.coalesce(F.encode("html", "UTF-8"), F.encode(F.lit(""), "UTF-8"))
     rows = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
     last = rows.where(F.col("bytes") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(last, "digest", "left")
+    # a table of its own, so that the join can be split at a payload that recurs very often
+    rows = rows.join(write_table(last, "repeated-payloads"), "digest", "left")
     # among repeated rows of the largest id one is the response
     one = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
     again = rows.where("n is not null and page_id <=> last_id").withColumn("nth", one)
