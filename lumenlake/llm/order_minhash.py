@@ -240,6 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = write_table(texts, "texts")
     keys = texts.select("digest", F.posexplode("sketch").alias("table", "value"))
     shared = keys.groupBy("table", "value").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    # tables of their own, here and below, so that joins can be split at a hot sketch or class
+    shared = write_table(shared, "shared-sketches")
     met = keys.join(shared, ["table", "value"]).select("digest", "first").where("digest <> first").distinct()
     pools = components(met, "digest", "first").select(F.col("node").alias("digest"), F.col("label").alias("pool"))
     pools = pools.join(texts.select("digest", "doc_id", "n"), "digest")
@@ -255,7 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = pairs.groupBy("pool", "i", "j").applyInPandas(_compare, "a binary, b binary")
     classes = components(found, "a", "b").select(F.col("node").alias("digest"), F.col("label").alias("class"))
     named = texts.select("digest", "doc_id").join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-    named = named.join(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class").select("digest", "class_id")
+    named = write_table(named, "named")
+    lowest = write_table(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class-ids")
+    named = named.join(lowest, "class").select("digest", "class_id")
     plain = known.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return known.where("digest is not null").join(named, "digest").select("doc_id", "class_id").unionByName(plain)
 
