@@ -7,8 +7,11 @@ tags (outside; begin and inside of four kinds) and learned transitions, by the C
 Every text is read whole.  A span of any kind holds a digit or an @, so windows cover all surroundings of
 such characters and the rest is outside by rule.  Windows overlap by half and are decoded by
 Viterbi; each character takes the tag of the window in which it lies most centrally, and spans are built from the
-tags of the whole text.  A span of the network is added if it holds what its kind must hold, meets no base span
-and no match that a check refused.
+tags of the whole text.  A span of the network is added if it holds what its kind must hold, cuts no number in two, meets no
+base span and no match of its own kind that had that kind's form and failed its check.
+
+The patterns find one spelling of each kind, so the sample also holds its texts with the spans respelled:
+phones without their prefix, phones and cards with other separators, addresses at a host without a dot.
 
 Defined cases: a null text is empty; a text without digit and @ has no spans; where the sample has no labelled
 window, the base spans are all; repeated rows are treated alike; other columns are ignored.
@@ -18,11 +21,13 @@ Spans count code points, end exclusive.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Windows that the network is trained on at most, characters of a window, and how far a trigger reaches.
 TRAIN_WINDOWS, WINDOW, REACH = 1536, 64, 24
 TAGS = 1 + 2 * len(KINDS)
+#: Windows that one text offers the training sample at most, in each of its spellings.
+TEXT_WINDOWS = 64
 
 # Fixed patterns; digits and lengths are checked below.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +46,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+#: What may stand between the digits of a card or phone of the network.
+_NUMBER = re.compile(r"[+(]*[0-9][\x20().0-9/_-]*[0-9]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -129,6 +138,42 @@ def taught_spans(text: str) -> list[Span]:
     return kept + [s for s in refused if s[1] == card and 12 <= len(_NOT_DIGIT.sub("", text[s[0] : s[2]])) <= 19]
 
 
+def respelled(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its spans as the patterns do not find them, and where they then lie; by hash of what is found."""
+    parts, out, at, size = [], [], 0, 0
+    for start, kind, end in sorted(spans):
+        if start < at:
+            continue
+        found = text[start:end]
+        new = _respelling(KINDS[kind], found, xxhash.xxh3_64_intdigest(found.encode("utf-8", "surrogatepass")))
+        size += start - at
+        parts += [text[at:start], new]
+        out.append((size, kind, size + len(new)))
+        size, at = size + len(new), end
+    return "".join([*parts, text[at:]]), out
+
+
+def _respelling(kind: str, found: str, h: int) -> str:
+    if kind == "email":
+        return found[: found.index(".", found.index("@"))]
+    if kind == "ip":
+        return found
+    digits = _NOT_DIGIT.sub("", found)
+    if kind == "card":
+        return "./_-"[h % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    groups = re.findall("[0-9]+", found)
+    if len(groups) > 1 and len(digits) - len(groups[0]) >= 9 and h % 4:
+        groups = groups[1:]
+    elif len(groups) == 1:
+        groups = [digits[:3], digits[3:6], digits[6:]]
+    form = h // 4 % 6
+    if form == 0:
+        return f"({groups[0]}) {'-'.join(groups[1:])}"
+    if form == 1:
+        return f"{groups[0]} {''.join(groups[1:])}"
+    return ".-/ "[form - 2].join(groups)
+
+
 def labels(n: int, spans: list[Span]) -> np.ndarray:
     out = np.zeros(n, dtype=np.int8)
     for start, kind, end in sorted(spans, key=lambda s: (s[1], s[0])):
@@ -297,15 +342,28 @@ def _plausible(kind: int, found: str) -> bool:
         return 0 < found.find("@") < len(found) - 3
     if KINDS[kind] == "ip":
         return digits >= 4 and found.count(".") == 3 and _sound("ip", found) if re.fullmatch(r"[0-9.]+", found) and ".." not in found.strip(".") and found.strip(".") == found else False
-    return 12 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", found)) if KINDS[kind] == "card" else 9 <= digits <= 15
+    return _NUMBER.fullmatch(found) is not None and _sound(KINDS[kind], found)
+
+
+def _settled(kind: int, found: str) -> bool:
+    """Whether a refused match had the form of its kind, so that the network may not overrule the check."""
+    digits = len(_NOT_DIGIT.sub("", found))
+    return 12 <= digits <= 19 if KINDS[kind] == "card" else 9 <= digits <= 15 if KINDS[kind] == "phone" else True
+
+
+def _cuts_number(text: str, start: int, end: int) -> bool:
+    return text[start - 1 : start].isdigit() or text[end : end + 1].isdigit()
 
 
 def added_spans(text: str, tags: dict[int, int], base: list[Span], refused: list[Span]) -> list[Span]:
-    taken, out = [(a, b) for a, _, b in base + refused], []
+    taken, out = [(a, b) for a, _, b in base], []
+    settled = [s for s in refused if _settled(s[1], text[s[0] : s[2]])]
     for start, kind, end in _runs(tags):
         piece = text[start:end]
         start, end = start + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip())
-        if start < end and _plausible(kind, text[start:end]) and not any(start < b and a < end for a, b in taken):
+        if start >= end or not _plausible(kind, text[start:end]) or KINDS[kind] != "email" and _cuts_number(text, start, end):
+            continue
+        if not any(start < b and a < end for a, b in taken) and not any(k == kind and start < b and a < end for a, k, b in settled):
             taken.append((start, end))
             out.append((start, kind, end))
     return out
@@ -341,16 +399,23 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def sample_windows(text: str) -> Iterator[tuple[bytes, bytes]]:
+    """Classes and labels of windows about triggers, chosen by hash over the whole text; then of the text respelled."""
+    spans = taught_spans(text)
+    for version, known in [(text, spans), respelled(text, spans)][: 1 + bool(spans)]:
+        codes, tags = classes(version).astype(np.int8), labels(len(version), known)
+        picked = heapq.nsmallest(TEXT_WINDOWS, windows(version), key=lambda a: (xxhash.xxh3_64_intdigest(codes[a : a + WINDOW].tobytes()), a))  # noqa: B023
+        for a in picked:
+            yield tuple(np.pad(t := c[a : a + WINDOW], (0, WINDOW - len(t))).tobytes() for c in (codes, tags))
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows about triggers, with their base labels."""
     for batch in batches:
         x, y = [], []
         for text in batch["text"].to_pylist():
-            # a text offers the training sample 64 windows at most
-            starts = windows(text)[:64]
-            tags = labels(len(text), taught_spans(text))
-            x += [row.astype(np.int8).tobytes() for row in _windowed(text, starts)]
-            y += [np.pad(t := tags[a : a + WINDOW], (0, WINDOW - len(t))).tobytes() for a in starts]
+            for classes_, tags in sample_windows(text):
+                x.append(classes_)
+                y.append(tags)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
 
 

@@ -387,6 +387,38 @@ def test_tagger_learns_and_base_spans_stay():
     assert hit / total > 0.8
 
 
+@pytest.mark.parametrize("text, kind, want", [
+    ("call (030) 555-0199 now", "phone", "(030) 555-0199"), ("ring 0171 2345678.", "phone", "0171 2345678"), ("tel 555.123.4567", "phone", "555.123.4567"), ("pay 4111.1111.1111.1111 by", "card", "4111.1111.1111.1111"), ("to john2024@host, and", "email", "john2024@host"),
+    ("card 4111 1111 1111 1112 is", "card", ""), ("host 10.0.0.256 is", "ip", ""), ("key 12ab34cd567890ef1 is", "phone", ""),
+])
+def test_network_spans_over_short_refused_digits_are_added(text, kind, want):
+    found = want or text.split(" ", 1)[1].rsplit(" ", 1)[0]
+    start, n = text.index(found), pii.KINDS.index(kind)
+    tags = {start + i: 1 + 2 * n + (i > 0) for i in range(len(found))}
+    base, refused = pii.base_spans(text)
+    assert base == [] and pii.added_spans(text, tags, base, refused) == ([(start, n, start + len(want))] if want else [])
+
+
+def test_trained_network_adds_spans_in_other_spellings():
+    rng = random.Random(7)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    fill = lambda: " ".join([*(rng.choice(["the", "of", "und", "Year", "lamp,", "it.", d(2)]) for _ in range(8)), "at"])
+    texts = [f"{fill()} +1 ({d(3)}) 555-{d(4)} by {fill()} a{d(2)}@m{d(1)}.example.org or {fill()} 4111111111111111 by {fill()}" for _ in range(300)]
+    pairs = sorted({p for t in texts for p in pii.sample_windows(t)})[: pii.TRAIN_WINDOWS]
+    x, y = (np.array([np.frombuffer(p[i], np.int8) for p in pairs]) for i in (0, 1))
+    model = pii.Tagger().train(x.astype(np.int64), y)
+    want = [f"({d(3)}) 555-{d(4)}" for _ in range(50)] + [f"{d(3)}.555.{d(4)}" for _ in range(50)]
+    new = [f"{fill()} {w} by {fill()}" for w in want]
+    found = [[t[a:b] for a, k, b in spans if pii.KINDS[k] == "phone"] for t, (_, spans) in zip(new, pii.all_spans(new, model), strict=True)]
+    assert sum(w in f for w, f in zip(want, found, strict=True)) > 80
+
+
+def test_training_windows_come_from_the_whole_text():
+    text = "12 " + "x" * 80 + " "
+    long = text * 200 + "ring +1 (415) 555-0199 " * 80
+    assert sum(np.frombuffer(y, np.int8).any() for _, y in pii.sample_windows(long)) > 5
+
+
 # 10: archive
 
 
