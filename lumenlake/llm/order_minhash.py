@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import components, prefilter, write_table
+from lumenlake.llm.spans import text_key
 
 WORDS, TABLES, PICK, SIMILARITY = 5, 20, 4, 0.8
 #: Shingles of a chunk on average; a task holds two chunks.
@@ -205,7 +206,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = shingles(words)
                 sizes.append(len(h))
                 sketches.append(sketch(h).astype(np.int64) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "text_key", "digest", "n", "sketch"])
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +234,11 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [names[x] for x, _ in found], "b": [names[y] for _, y in found]}, dtype=object)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of every row: rows of a class are copies or connected by similar pairs."""
-    known = write_table(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, digest binary, n int, sketch array<long>"), "sketches")
-    texts = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, digest, first) of every row; first is the (none, doc_id, text_key) of the row that stands for its class."""
+    known = write_table(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_sketches, "doc_id long, text_key long, digest binary, n int, sketch array<long>"), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    texts = known.where("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     texts = write_table(texts, "texts")
     keys = texts.select("digest", F.posexplode("sketch").alias("table", "value"))
     shared = keys.groupBy("table", "value").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
@@ -244,29 +246,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = write_table(shared, "shared-sketches")
     met = keys.join(shared, ["table", "value"]).select("digest", "first").where("digest <> first").distinct()
     pools = components(met, "digest", "first").select(F.col("node").alias("digest"), F.col("label").alias("pool"))
-    pools = pools.join(texts.select("digest", "doc_id", "n"), "digest")
+    pools = pools.join(texts.select("digest", "first.doc_id", "first.text_key", "n"), "digest")
     sizes = pools.groupBy("pool").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    pools = write_table(pools.join(sizes, "pool").select("doc_id", "digest", "pool", "chunks"), "pools")
-    # texts of the pools alone are read once more; rows of another text with the same id fall out by digest
+    pools = write_table(pools.join(sizes, "pool").select("doc_id", "text_key", "digest", "pool", "chunks"), "pools")
+    # texts of the pools alone are read once more
     wanted = prefilter(docs.select("doc_id", "text"), "doc_id", pools, "doc_id")
-    wanted = wanted.join(pools.withColumnRenamed("doc_id", "_id"), wanted["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    wanted = wanted.join(pools.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), wanted["doc_id"].eqNullSafe(F.col("_id")) & (text_key(wanted["text"]) == F.col("_key")))
     members = wanted.select("text", "digest", "pool", "chunks").mapInArrow(_payload, "digest binary, pool binary, chunks int, shingles binary")
     own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = members.select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "shingles", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"))
     found = pairs.groupBy("pool", "i", "j").applyInPandas(_compare, "a binary, b binary")
     classes = components(found, "a", "b").select(F.col("node").alias("digest"), F.col("label").alias("class"))
-    named = texts.select("digest", "doc_id").join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    named = texts.select("digest", "first").join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
     named = write_table(named, "named")
-    lowest = write_table(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class-ids")
-    named = named.join(lowest, "class").select("digest", "class_id")
-    plain = known.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return known.where("digest is not null").join(named, "digest").select("doc_id", "class_id").unionByName(plain)
+    lowest = write_table(named.groupBy("class").agg(F.min("first").alias("first")), "class-firsts")
+    named = named.drop("first").join(lowest, "class").select("digest", "first")
+    plain = known.where("digest is null").withColumn("first", place)
+    cols = ["doc_id", "text_key", "digest", "first"]
+    return known.where("digest is not null").join(named, "digest").select(cols).unionByName(plain.select(cols))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row: rows of a class are copies or connected by similar pairs."""
+    return _classes(docs).select("doc_id", F.col("first.doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class: of the rows with the class's doc_id the one whose text is smallest; rows without an id or words stay."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_doc")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One row of each class: that of the smallest doc_id, in it of the smallest text_key, in it the smallest row.
+
+    Rows without an id rank last in their class; those without an id and without words all stay.
+    """
+    rows = write_table(_classes(docs), "class-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    pair = [F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")]
+    key = lambda df, by: df["doc_id"].eqNullSafe(by["_doc"]) & (text_key(df["text"]) == by["_key"])
+    gone = rows.where(~same).select(*pair).distinct()
+    left = docs.join(gone, key(docs, gone), "left_anti")
+    alone = rows.where("doc_id is null and digest is null").select(*pair).distinct()
+    # a row that holds a value without an order is told apart by what it reads as
+    one = left.join(alone, key(left, alone), "left_anti").groupBy("doc_id", text_key().alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))).alias("_row"))
+    return one.select("_row.*").unionByName(left.join(alone, key(left, alone), "left_semi"))

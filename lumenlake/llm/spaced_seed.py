@@ -11,7 +11,7 @@ are first cut down by a slot table of fixed size and then joined by a shuffle.
 
 Tokens are runs of letters or digits in lower case.  Defined cases: null and empty texts have no tokens; an
 item or document of fewer than WINDOW tokens matches nothing; rows with a null doc_id cannot be named
-in a result and are kept by `decontaminated`; equal doc_id with different texts are compared apart and reported once;
+in a result but are compared by `decontaminated`; equal doc_id with different texts are compared apart and reported once;
 repeated items count once per item_id; empty tables give empty results.
 """
 
@@ -46,10 +46,10 @@ def _windows(rows: DataFrame, key: str) -> DataFrame:
     return place.withColumn("at", F.floor(F.col("at") / len(MASKS)).cast("int"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, best, equal): equal tokens in the best window of WINDOW, and along its whole diagonal at most."""
+def _passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, row_key, item_id, best, equal) of each diagonal with a passage; row_key is the hash of the document's text."""
     test = items.where("item_id is not null").select("item_id", F.xxhash64("text").alias("row_key"), tokens("text").alias("tokens")).distinct()
-    train = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row_key"), tokens("text").alias("tokens"))
+    train = docs.select("doc_id", F.xxhash64("text").alias("row_key"), tokens("text").alias("tokens"))
     test = write_table(test, "items")
     probes = write_table(_windows(test, "item_id").select("item_id", F.col("row_key").alias("item_key"), F.col("at").alias("item_at"), "h").distinct(), "item-seeds")
     seeds = _windows(train, "doc_id")
@@ -60,20 +60,27 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = seeds.join(probes, "h")
     hits = write_table(hits.select("doc_id", "row_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     # only documents with a hit are compared
-    near = prefilter(train.withColumnRenamed("tokens", "doc_tokens"), "doc_id", hits, "doc_id").join(hits, ["doc_id", "row_key"])
+    near = prefilter(train.withColumnRenamed("tokens", "doc_tokens"), "doc_id", hits, "doc_id")
+    hits = hits.withColumnsRenamed({"doc_id": "_doc", "row_key": "_key"})
+    near = near.join(hits, near["doc_id"].eqNullSafe(hits["_doc"]) & (near["row_key"] == hits["_key"]))
     near = near.join(test.select("item_id", F.col("row_key").alias("item_key"), "tokens"), ["item_id", "item_key"])
     first = F.greatest(F.lit(0), -F.col("shift"))
     end = F.least(F.size("tokens"), F.size("doc_tokens") - F.col("shift"))
     near = near.withColumn("first", first).withColumn("end", end).where(F.col("end") - F.col("first") >= WINDOW)
     same = F.transform(F.sequence("first", F.col("end") - 1), lambda j: (F.get("tokens", j) == F.get("doc_tokens", j + F.col("shift"))).cast("int"))
-    near = near.select("doc_id", "item_id", same.alias("same"))
+    near = near.select("doc_id", "row_key", "item_id", same.alias("same"))
     count = lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y)
     windows = F.transform(F.sequence(F.lit(1), F.size("same") - (WINDOW - 1)), lambda s: count(F.slice("same", s, WINDOW)))
-    near = near.select("doc_id", "item_id", F.array_max(windows).cast("long").alias("best"), count(F.col("same")).cast("long").alias("equal"))
-    return near.where(F.col("best") >= WINDOW - MOST).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.max("equal").alias("equal"))
+    near = near.select("doc_id", "row_key", "item_id", F.array_max(windows).cast("long").alias("best"), count(F.col("same")).cast("long").alias("equal"))
+    return near.where(F.col("best") >= WINDOW - MOST)
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, best, equal): equal tokens in the best window of WINDOW, and along its whole diagonal at most."""
+    return _passages(docs.where("doc_id is not null"), items).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.max("equal").alias("equal"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a passage of a test item."""
-    found = contaminated(docs, items).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_doc"], "left_anti")
+    found = _passages(docs, items).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left_anti")

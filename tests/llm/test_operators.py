@@ -240,6 +240,15 @@ def test_pools_are_compared_in_chunks(spark, monkeypatch):
     assert {r.class_id for r in order_minhash.near_duplicates(docs).collect()} == {0}
 
 
+def test_one_row_of_each_class_with_shared_and_missing_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a"), "x"), (2, text("b"), "x"), (2, text("a"), "x"), (2, text("c"), "x"), (3, text("b"), "x"), (None, text("c"), "x"), (None, text("d"), "y"), (None, text("d"), "x"), (4, text("e"), "y"), (4, text("e"), "x"), (None, "", "x"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter([rows[0], rows[1], rows[3], rows[7], rows[9], *rows[10:]])
+    for n in (1, 5):
+        assert Counter(map(tuple, order_minhash.deduplicated(docs.repartition(n)).collect())) == want
+
+
 # 5: top-k
 
 
@@ -310,6 +319,15 @@ def test_substitutions_and_the_shuffled_way(spark, monkeypatch):
     assert sorted(r.doc_id for r in spaced_seed.decontaminated(docs, items).collect()) == [3, 4]
 
 
+def test_decontamination_by_row_with_shared_and_missing_ids(spark):
+    passage = " ".join(f"t{i}" for i in range(20))
+    rows = [(1, passage), (1, "a clean text of this id"), (None, f"left {passage} right"), (None, "a clean text without one"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    assert Counter(map(tuple, spaced_seed.decontaminated(docs, items).collect())) == Counter([rows[1], *rows[3:]])
+    assert [(r.doc_id, r.item_id) for r in spaced_seed.contaminated(docs, items).collect()] == [(1, 9)]
+
+
 # 8: language
 
 
