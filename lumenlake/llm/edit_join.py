@@ -10,8 +10,8 @@ banded bit-parallel edit distance decides the rest.
 Lines are compared without outer blanks.  Equal lines are one node from the start; linked ones form
 classes, and of each class the earliest line (smallest doc_id, then line number) stays.
 
-Lines shorter than NEAR_CHARS are only compared for equality, and those shorter than LEAST_CHARS are left
-alone: with MOST edits short lines are no longer the same line.  Seeds of a line are sent once per task
+Lines shorter than NEAR_CHARS are only compared for equality: with MOST edits short lines are no longer the
+same line.  Every line with a character is compared unless the caller asks for a floor.  Seeds of a line are sent once per task
 and made distinct by key before they meet, so a line in every document costs no more than a rare one.
 
 Defined cases: a null or empty text has no lines; a null doc_id ranks last; rows with equal doc_id and text
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import components, prefilter, write_table
 from lumenlake.llm.spans import text_key
 
-MOST, NEAR_CHARS, LEAST_CHARS = 2, 32, 16
+MOST, NEAR_CHARS = 2, 32
+#: The floor of op3's query and its SQL.
+LEAST_CHARS = 16
 #: Line numbers a task remembers as sent; beyond it some are sent again and made distinct later.
 REMEMBERED = 300_000
 #: Characters of a step of a task.
@@ -146,24 +148,28 @@ def _band(left: list[str], right: list[str], most: int) -> np.ndarray:
     return (np.abs(m - n) <= most) & (score <= most)
 
 
-def _lines(text: str | None) -> Iterator[tuple[int, str]]:
-    """Number and trimmed text of the lines that are compared."""
+def _lines(text: str | None, least: int = 1) -> Iterator[tuple[int, str]]:
+    """Number and trimmed text of the lines of `least` characters or more."""
     for number, line in enumerate((text or "").split("\n")):
         line = line.strip()
-        if len(line) >= LEAST_CHARS:
+        if len(line) >= least:
             yield number, line
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(least: int):
     """A row per compared line, and one with number -1 for each text."""
     names, types = ["doc_id", "text_key", "line", "digest"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for doc_id, key, text in zip(*(batch.slice(at, 256)[c].to_pylist() for c in names[:2] + ["text"]), strict=True):
-                rows.append((doc_id, key, -1, None))
-                rows += [(doc_id, key, number, _digest(line)) for number, line in _lines(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for doc_id, key, text in zip(*(batch.slice(at, 256)[c].to_pylist() for c in names[:2] + ["text"]), strict=True):
+                    rows.append((doc_id, key, -1, None))
+                    rows += [(doc_id, key, number, _digest(line)) for number, line in _lines(text, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
 
 
 def _digest(line: str) -> bytes:
@@ -228,12 +234,12 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return met.select("left", "right").mapInArrow(_verified, "a binary, b binary")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, text_key, line, class, again): a row per compared line and one with line -1 per text.
 
     again: the line repeats, exactly or nearly, an earlier one of its class.
     """
-    found = docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_occurrences, "doc_id long, text_key long, line int, digest binary")
+    found = docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_occurrences(least), "doc_id long, text_key long, line int, digest binary")
     found = write_table(found, "lines")
     near = components(near_lines(docs), "a", "b").select(F.col("node").alias("digest"), F.col("label").alias("class"))
     lines = found.join(near, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
@@ -245,9 +251,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return lines.join(first, "class", "left").withColumn("again", F.coalesce(place > F.col("first"), F.lit(False))).drop("first")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, text_key, n_lines, removed): compared lines of each text and the numbers of those that go, in order."""
-    by = line_classes(docs).groupBy("doc_id", "text_key")
+    by = line_classes(docs, least).groupBy("doc_id", "text_key")
     return by.agg(F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("again"), F.col("line")))).alias("removed"))
 
 

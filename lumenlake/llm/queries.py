@@ -22,8 +22,8 @@ def op2_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its lines, how many of them repeat an earlier one, and their numbers."""
-    lines = edit_join.removed_lines(_table(spark, sf_dir, "documents"))
+    """A row per document: its lines of LEAST_CHARS characters or more, how many of them repeat an earlier one, and their numbers."""
+    lines = edit_join.removed_lines(_table(spark, sf_dir, "documents"), edit_join.LEAST_CHARS)
     return lines.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 

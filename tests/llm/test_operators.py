@@ -188,6 +188,11 @@ def test_lines_against_all_pairs(spark):
         assert kept.get(d, "") == rest or not rest.strip()
 
 
+def test_short_lines_are_compared_for_equality(spark):
+    docs = spark.createDataFrame([(1, "And ornd.\n\nOne"), (2, " And ornd. \n\n}\n}"), (3, "And ornt.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in edit_join.deduplicated(docs).collect()} == {1: "And ornd.\n\nOne", 2: "\n}", 3: "And ornt."}
+
+
 # 4: Order MinHash
 
 
