@@ -23,14 +23,22 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """(left_id, right_id, score): for each left name the most similar right name that shares a word of three letters with it.
+    """(left_id, right_id, score): for each left name the most similar right name that shares a word of three letters with it or holds it or is held by it.
 
-    Names meet through their words, so only names with a word in common are scored; a containment of
-    whole words shares words as well.  Ties go to the smaller right_id.
+    Names meet through their words, and whole names through the substrings of the others: the ratio of a name and one
+    that it holds is 2 a / (a + b), so only substrings long enough for `least` are made.  A left name without
+    a word of three letters matches nothing.  Ties go to the smaller right_id.
     """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("norm", " +"))).alias("word")).where(F.length("word") > 2)
     a, b = (df.select(F.col("id").alias(key), normalized("name").alias("norm")) for df, key in ((left, "left_id"), (right, "right_id")))
-    met = words(a, "left_id").join(words(b, "right_id"), "word").select("left_id", "right_id").distinct()
+    shared = words(a, "left_id").join(words(b, "right_id"), "word").select("left_id", "right_id")
+    long = F.greatest(F.lit(1), F.ceil(F.length("norm") * (least / (2 - least)) - 1e-9).cast("int"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n))
+    parts = lambda df: df.select("norm").distinct().where(F.length("norm") > 0).select("norm", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(long, F.length("norm")), pieces)))).alias("part"))
+    named = a.where(F.col("norm").rlike("[^ ]{3}"))
+    inside = parts(b).join(named.withColumnRenamed("norm", "part"), "part").join(b, "norm").select("left_id", "right_id")
+    around = parts(named).join(b.withColumnRenamed("norm", "part"), "part").join(named, "norm").select("left_id", "right_id")
+    met = shared.unionByName(inside).unionByName(around).distinct()
     met = met.join(a.withColumnRenamed("norm", "x"), "left_id").join(b.withColumnRenamed("norm", "y"), "right_id").withColumn("score", _ratio("x", "y"))
     best = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return met.where(F.col("score") >= least).withColumn("n", F.row_number().over(best)).where("n = 1").select("left_id", "right_id", "score")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import names, pixels
-from lumenlake.operators import curation, filters, sequence, simjoin, stats
+from lumenlake.operators import corpus, curation, filters, sequence, simjoin, stats
 from lumenlake.operators.tables import components
 from lumenlake.sources.catalog import merge_rows
 from lumenlake.sources.files import scan, scan_summary
@@ -230,3 +230,9 @@ def test_image_dimensions(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in dimensions(spark, str(tmp_path)).collect()}
     assert got == {"a.png": (3, 2), "b.png": (None, None)}
+
+
+def test_names_that_hold_one_another_match_without_a_shared_word(spark):
+    left = spark.createDataFrame([(1, "street"), (2, "restaurants"), (3, "ab"), (4, "love"), (5, "sea")], "id long, name string")
+    right = spark.createDataFrame([(1, "Streets"), (2, "/restaurant"), (3, "abc"), (4, "alcove"), (5, "seaside")], "id long, name string")
+    assert {(r.left_id, r.right_id, round(r.score, 2)) for r in corpus.fuzzy_matches(left, right).collect()} == {(1, 1, 0.92), (2, 2, 0.95)}
