@@ -84,8 +84,7 @@ def face_groups(faces: DataFrame, photos: DataFrame, most: int = 10) -> DataFram
     """(group_id, session_id, id): photos of a session that share a face's appearance within `most` bits."""
     rows = faces.join(photos.select("id", "session_id"), F.col("photo_id") == F.col("id")).where("session_id is not null")
     # one vertex for each photo and face; links between faces of the same photo do not count
-    face = rows.select((F.col("photo_id") * 64 + F.col("face_index")).alias("vertex"), F.col("session_id").alias("scope"), F.col("appearance_hash").alias("hash"))
-    photo = lambda c: F.floor(F.col(c) / 64)
-    edges = pairs(face, most).select(photo("a").alias("a"), photo("b").alias("b")).where("a <> b").distinct()
+    face = rows.select(F.struct("photo_id", "face_index").alias("vertex"), F.col("session_id").alias("scope"), F.col("appearance_hash").alias("hash"))
+    edges = pairs(face, most).select(F.col("a.photo_id").alias("a"), F.col("b.photo_id").alias("b")).where("a <> b").distinct()
     linked = components(edges)
     return photos.select("id", "session_id").join(linked, F.col("id") == F.col("node")).select(F.col("label").alias("group_id"), "session_id", "id")

@@ -236,3 +236,9 @@ def test_names_that_hold_one_another_match_without_a_shared_word(spark):
     left = spark.createDataFrame([(1, "street"), (2, "restaurants"), (3, "ab"), (4, "love"), (5, "sea")], "id long, name string")
     right = spark.createDataFrame([(1, "Streets"), (2, "/restaurant"), (3, "abc"), (4, "alcove"), (5, "seaside")], "id long, name string")
     assert {(r.left_id, r.right_id, round(r.score, 2)) for r in corpus.fuzzy_matches(left, right).collect()} == {(1, 1, 0.92), (2, 2, 0.95)}
+
+
+def test_faces_past_the_sixty_fourth_link_their_own_photo(spark):
+    faces = spark.createDataFrame([(1, 70, 5), (9, 0, 5), (2, 0, 2**40 - 1)], "photo_id long, face_index int, appearance_hash long")
+    photos = spark.createDataFrame([(1, 1), (2, 1), (9, 1)], "id long, session_id long")
+    assert {tuple(r) for r in simjoin.face_groups(faces, photos).collect()} == {(1, 1, 1), (1, 1, 9)}
