@@ -22,8 +22,8 @@ def op2_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its lines of LEAST_CHARS characters or more, how many of them repeat an earlier one, and their numbers."""
-    lines = edit_join.removed_lines(_table(spark, sf_dir, "documents"), edit_join.LEAST_CHARS)
+    """A row per document: its lines with a character, how many of them repeat an earlier one, and their numbers."""
+    lines = edit_join.removed_lines(_table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
@@ -137,13 +137,13 @@ WITH RECURSIVE l0 AS (
 ), l1 AS (
   SELECT doc_id, unnest(range(len(x))) AS line, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS t FROM l0
 ), l AS (
-  SELECT * FROM l1 WHERE length(t) >= 16
+  SELECT * FROM l1 WHERE t <> ''
 ), d AS (
-  SELECT DISTINCT t, length(t) AS n FROM l
+  SELECT DISTINCT t, length(t) AS n FROM l WHERE length(t) >= 16
 ), e AS (
-  SELECT a.t AS a, b.t AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 32 AND b.n >= 32 AND a.t <> b.t
+  SELECT a.t AS a, b.t AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.t <> b.t
   AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
-  AND levenshtein(a.t, b.t) <= 2
+  AND levenshtein(a.t, b.t) <= least(2, least(a.n, b.n) // 16)
 ), r AS (
   SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node
 ), c AS (

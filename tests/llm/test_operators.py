@@ -159,9 +159,12 @@ def test_banded_edit_distance():
     assert edit_join.within(*map(list, zip(*pairs, strict=True))).tolist() == [edits(a, b) <= 2 for a, b in pairs]
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("chunk, wide", [(128, 2048), (3, 4)])
+def test_lines_against_all_pairs(spark, monkeypatch, chunk, wide):
+    monkeypatch.setattr(edit_join, "CHUNK", chunk)
+    monkeypatch.setattr(edit_join, "WIDE", wide)
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 70))).strip() + "z" * 14 for _ in range(40)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 70))).strip() + "z" * 10 for _ in range(40)]
     texts = ["\n".join(varied(rng, rng.choice(base), rng.randint(0, 3), "abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     lines = [(d, n, line) for d, t in enumerate(texts) for n, line in edit_join._lines(t)]
     parent = list(range(len(lines)))
@@ -172,8 +175,7 @@ def test_lines_against_all_pairs(spark):
         return x
 
     for (i, (_, _, a)), (j, (_, _, b)) in combinations(enumerate(lines), 2):
-        near = min(len(a), len(b)) >= edit_join.NEAR_CHARS and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2
-        if a == b or near:
+        if a == b or abs(len(a) - len(b)) <= 2 and edits(a, b) <= min(2, min(len(a), len(b)) // 16):
             x, y = root(i), root(j)
             parent[max(x, y)] = min(x, y)
     want = defaultdict(list)
@@ -193,6 +195,24 @@ def test_short_lines_are_compared_for_equality(spark):
     assert {r.doc_id: r.text for r in edit_join.deduplicated(docs).collect()} == {1: "And ornd.\n\nOne", 2: "\n}", 3: "And ornt."}
 
 
+def test_shorter_lines_are_near_within_fewer_edits(spark):
+    docs = spark.createDataFrame([(1, "Are is anwh reenen."), (2, "Are, is anwh reenen."), (3, "Are, is anwh reenen!!"), (4, "Fifteen letters"), (5, "Fifteen letterz")], "doc_id long, text string")
+    assert {r.doc_id for r in edit_join.deduplicated(docs).collect()} == {1, 3, 4, 5}
+
+
+def test_many_near_lines_give_few_links(spark):
+    base = "one line of some forty characters or a few more than that"
+    lines = sorted({base[:i] + c + base[i + 1 :] for i in range(len(base)) for c in "ABCDEFGHI"})
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, base])], "doc_id long, text string")
+    assert len(lines) > 500 and edit_join.near_lines(docs).count() < 2 * len(lines)
+    assert [r.doc_id for r in edit_join.deduplicated(docs).collect()] == [0]
+
+
+def test_lines_of_a_repeated_row_count_once(spark):
+    docs = spark.createDataFrame([(1, "a line"), (1, "a line"), (1, "another"), (2, "a line")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_lines, r.removed) for r in edit_join.removed_lines(docs).collect()) == [(1, 1, []), (1, 1, []), (2, 1, [0])]
+
+
 # 4: Order MinHash
 
 
