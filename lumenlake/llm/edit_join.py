@@ -6,7 +6,8 @@ edits share, unchanged, one of the k + 1 segments into which the shorter is cut;
 in the longer one follows from the two lengths and its number.  So each line is indexed by its segments, keyed
 with its length, and probes the indexes of its own length and of up to k less with the few substrings
 that can match.  Lines with an equal key form a group of candidates.  A parity sketch of the characters, in which an edit
-changes at most two bits, drops most wrong pairs of a group, and a banded bit-parallel edit distance decides the rest.
+changes at most two bits, and a finer partition, of whose FINE segments all but k are unchanged, drop most wrong pairs
+of a group; a banded bit-parallel edit distance decides the rest.
 
 A group is cut into chunks by size.  A task compares the lines of a chunk and returns no more links than connect what
 it found.  Groups of several chunks go on with one line for each class they hold, and those that still hold
@@ -39,6 +40,8 @@ from lumenlake.llm.spans import text_key
 
 #: Most edits, and characters of a line for each edit.
 MOST, CHARS_PER_EDIT = 2, 16
+#: Segments of the finer partition.
+FINE = 8
 #: Lines of a chunk of a group, and of one of the two wider chunks of a task.
 CHUNK, WIDE = 128, 2048
 #: Lines that a task compares at a time.
@@ -155,7 +158,7 @@ def _band(left: list[str], right: list[str], most: int) -> np.ndarray:
         hp = (vn | ~(d0 | vp)) & all_bits
         hn = d0 & vp
         down = j + most <= m
-        row = np.clip(m - j + most, 0, width - 1).astype(np.uint64)
+        row = np.minimum(np.maximum(m - j + most, 0), width - 1).astype(np.uint64)
         step = np.where(down, 1 - (d0 >> top).astype(np.int64), ((hp >> row) & _U(1)).astype(np.int64) - ((hn >> row) & _U(1)).astype(np.int64))
         score += np.where(j <= n, step, 0)
         vp = (hn | ~((d0 >> _U(1)) | hp)) & all_bits
@@ -246,14 +249,27 @@ class _Lines:
     """Some lines and what tells whether two of them can be near."""
 
     def __init__(self, ids: list[int], lines: list[str], own: np.ndarray) -> None:
-        block = Block(lines)
-        self.ids, self.lines, self.own, self.length, self.parity = ids, lines, own, block.length, block.parity()
+        self.block = Block(lines)
+        self.ids, self.lines, self.own, self.length, self.parity = ids, lines, own, self.block.length, self.block.parity()
         self.hash = np.array(ids, dtype=np.int64)
 
-    def candidates(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    def candidates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the pairs that the sketch and the finer partition leave."""
         most = edits_of(np.minimum(self.length[i], self.length[j]))
         alike = np.bitwise_count(self.parity[i] ^ self.parity[j]) <= 2 * most
-        return alike & (self.own[i] | self.own[j]) & (np.abs(self.length[i] - self.length[j]) <= most) & (self.hash[i] != self.hash[j])
+        left = np.flatnonzero(alike & (self.own[i] | self.own[j]) & (np.abs(self.length[i] - self.length[j]) <= most) & (self.hash[i] != self.hash[j]))
+        i, j, most = i[left], j[left], most[left]
+        short, long = np.where(self.length[i] <= self.length[j], [i, j], [j, i])
+        length, room, start = self.length[short], self.length[long], self.block.start
+        same = np.zeros(len(left), dtype=np.int64)
+        for number in range(FINE):
+            at, size = segment(length, number, FINE)
+            want, met = self.block.hashes(start[short] + at, size), np.zeros(len(left), dtype=bool)
+            for shift in range(-MOST, MOST + 1):
+                begin = np.clip(at + shift, 0, room - size)
+                met |= (begin == at + shift) & (self.block.hashes(start[long] + begin, size) == want)
+            same += met
+        return left[same >= FINE - most]
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         left, right = ([self.lines[x] for x in side.tolist()] for side in (i, j))
@@ -266,7 +282,7 @@ class _Lines:
 def spanning(group: np.ndarray, lines: _Lines) -> list[tuple[int, int]]:
     """Links that connect the near lines of each group, as few as do; rows of a group are neighbours.
 
-    In each step the groups' first, second, third ... lines are compared with those behind them.
+    In each step some lines of each group are compared with those behind them: its first, the next two, the next four and so on.
     """
     start = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1]
     rank = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
@@ -274,7 +290,7 @@ def spanning(group: np.ndarray, lines: _Lines) -> list[tuple[int, int]]:
     for d in range(1, int(rank.max(initial=0)) + 1):
         i = np.flatnonzero(group[:-d] == group[d:])
         i = i[lines.candidates(i, i + d)]
-        pairs.append(np.stack([rank[i], i, i + d]))
+        pairs.append(np.stack([np.frexp(rank[i] + 1.0)[1], i, i + d]))
     known, found = _Classes(), []
     if pairs:
         order, left, right = np.concatenate(pairs, axis=1)
@@ -326,7 +342,7 @@ def _crossed(rows: pd.DataFrame) -> pd.DataFrame:
     known, found = _Classes(), []
     names = [("class", c) for c in rows["class"]]
     for i in range(1, len(names)):
-        j = np.flatnonzero(lines.candidates(i, np.arange(i)))
+        j = lines.candidates(np.full(i, i), np.arange(i))
         j = np.array([x for x in j.tolist() if known.root(names[x]) != known.root(names[i])], dtype=np.int64)
         for x in j[lines.near(j, np.full(len(j), i))].tolist():
             if known.join(names[x], names[i]):
