@@ -6,7 +6,7 @@ family, and others, trained within each family, choose the language.  Votes of t
 logistic functions of their margins, give the choice and its score.
 
 The machines are fitted on a sample of about PER_LANGUAGE documents of each label, SAMPLE at most in
-all on average; every document is scored, over its whole text.
+all on average, and of more than SAMPLE labels the most frequent are learned; every document is scored, over its whole text.
 
 Defined cases: a null text and one without a letter are `und` with score 0; without any label every text is `und`; with
 one label it is that, with score 1; rows with a null doc_id are never learned from and not held out;
@@ -31,7 +31,8 @@ FAMILIES = {
     "slavic": ["bg", "cs", "hr", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 PER_LANGUAGE, SAMPLE, BUCKETS = 600, 4800, 4096
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters and some numerals, which `has_letter` leaves out.
+_LETTER = re.compile(r"[^\W\d_]+")
 _CHUNK = 1 << 20
 
 
@@ -39,6 +40,11 @@ def family_of(language: str) -> str:
     return next((f for f, members in FAMILIES.items() if language in members), language)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category, as \\p{L} has it."""
+    return any(any(map(str.isalpha, m.group())) for m in _LETTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Of unit length; long texts are counted a piece at a time."""
     counts = np.zeros(BUCKETS)
@@ -116,10 +122,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
     if not sizes:
         return None
     each = min(per_language, -(-sample // len(sizes)))
-    share = F.lit(0)
-    for language, n in sizes.items():
-        share = F.when(F.col("lang") == language, min(1 << 20, int(each / n * (1 << 20)) + 1)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share).select("text", "lang")
+    # at most `sample` rows
+    shares = docs.sparkSession.createDataFrame([(v, min(1 << 20, int(each / n * (1 << 20)) + 1)) for v, n in sizes.items()], "lang string, _share long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("_share")).select("text", "lang")
     got = chosen.mapInArrow(_embed, "lang string, x binary").collect()
     if not got:
         return None
@@ -129,7 +134,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
 
 def _named(model: Hierarchy | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text."""
-    named = np.array([model is not None and t is not None and bool(_LETTER.search(t)) for t in texts], dtype=bool)
+    named = np.array([model is not None and t is not None and has_letter(t) for t in texts], dtype=bool)
     lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
     if named.any():
         lang[named], score[named] = model.predict(np.array([features(texts[i]) for i in np.flatnonzero(named)]))
