@@ -1,12 +1,13 @@
 """Quality classification by co-training a text view and a page-metadata view.
 
-The text view is a logistic regression over hashed words; the metadata view is one over the source, the
-language and the shape of the page (lengths, line and character shares).  Both start from the labelled
+The text view is a logistic regression over hashed words and the shape of the text (line lengths and character
+shares); the metadata view is one over what the table says of the page without its text: source, language and
+recorded length.  Both start from the labelled
 documents.  In each round either view labels the documents of an unlabelled pool of which it is surest, in the
 labels' proportion, for the other view to learn from.  Each view is then calibrated on labelled documents
 that neither learned from, the calibrated log-odds are combined by a logistic regression on them, and all documents are scored.
 
-The models are fitted on bounded samples (LABELLED and POOL documents, chosen by hash); every
+The models are fitted on bounded samples (LABELLED and POOL ids, chosen by hash, of each its smallest text); every
 document is scored over its whole text.
 
 Defined cases: a null text is empty, and null metadata is a value of its own; labels other than 0 and 1 and
@@ -30,34 +31,41 @@ from pyspark.sql import functions as F
 LABELLED, POOL, ROUNDS, ADDED = 3000, 3000, 4, 0.1
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 1 << 14, 64, 16
 _WORD = re.compile(r"\S+")
-SHAPES = 9
-META = SHAPES + SOURCE_BUCKETS + LANG_BUCKETS
+SHAPES, LENGTH_BUCKETS = 8, 16
+TEXT, META = WORD_BUCKETS + SHAPES, SOURCE_BUCKETS + LANG_BUCKETS + LENGTH_BUCKETS
 
 
 def word_features(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's words and the square roots of their counts, of unit length."""
+    """Buckets of the text's words and the square roots of their counts, of unit length; behind them its shape."""
+    shape, places = shape_features(text), np.arange(WORD_BUCKETS, TEXT, dtype=np.int32)
     words = _WORD.findall(text.lower())
     if len(known) > 200_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return places, shape
     at, n = np.unique(np.fromiter(map(known.__getitem__, words), np.int32, len(words)), return_counts=True)
     x = np.sqrt(n)
-    return at.astype(np.int32), (x / np.linalg.norm(x)).astype(np.float32)
+    return np.r_[at.astype(np.int32), places], np.r_[(x / np.linalg.norm(x)).astype(np.float32), shape]
 
 
-def meta_features(text: str, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def shape_features(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = max(len(c), 1)
     blanks, lines = int(np.isin(c, (9, 10, 32)).sum()), int((c == 10).sum()) + 1
     digits, upper = ((c >= 48) & (c <= 57)).sum() / n, ((c >= 65) & (c <= 90)).sum() / n
     signs = ((c > 32) & (c < 127) & ~((c >= 48) & (c <= 57)) & ~((c >= 65) & (c <= 90)) & ~((c >= 97) & (c <= 122))).sum() / n
+    shape = np.log1p(lines) / 5, np.log1p(n / lines) / 8, np.log1p(n / (blanks + 1)) / 3, min(10 * digits, 3), min(10 * upper, 3), min(10 * signs, 5), blanks / n, (c[1:] == c[:-1]).mean() if len(c) > 1 else 0
+    return np.array(shape, dtype=np.float32)
+
+
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """One place each for source, language and the binary order of the recorded length; the first place of each is null's."""
     out = np.zeros(META, dtype=np.float32)
-    out[:SHAPES] = np.log1p(n_chars if n_chars is not None and n_chars >= 0 else len(c)) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, np.log1p(n / (blanks + 1)) / 3, min(10 * digits, 3), min(10 * upper, 3), min(10 * signs, 5), blanks / n, (c[1:] == c[:-1]).mean() if len(c) > 1 else 0
-    out[SHAPES + (zlib.crc32(source.encode()) % (SOURCE_BUCKETS - 1) + 1 if source is not None else 0)] = 1
-    out[SHAPES + SOURCE_BUCKETS + (zlib.crc32(lang.encode()) % (LANG_BUCKETS - 1) + 1 if lang is not None else 0)] = 1
+    out[zlib.crc32(source.encode()) % (SOURCE_BUCKETS - 1) + 1 if source is not None else 0] = 1
+    out[SOURCE_BUCKETS + (zlib.crc32(lang.encode()) % (LANG_BUCKETS - 1) + 1 if lang is not None else 0)] = 1
+    out[SOURCE_BUCKETS + LANG_BUCKETS + (min(1 + int(max(n_chars, 0)).bit_length(), LENGTH_BUCKETS - 1) if n_chars is not None else 0)] = 1
     return out
 
 
@@ -155,8 +163,8 @@ def cotrain(rows: list[Rows], y: np.ndarray, held: np.ndarray) -> Model:
 def _featured(batch: pa.RecordBatch, known: dict[str, int]) -> list[Rows]:
     texts = [t or "" for t in batch["text"].to_pylist()]
     words = [word_features(t, known) for t in texts]
-    meta = [meta_features(*r) for r in zip(texts, *(batch[c].to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
-    return [Rows([a for a, _ in words], [b for _, b in words], WORD_BUCKETS), Rows([np.arange(META)] * len(meta), meta, META)]
+    meta = [meta_features(*r) for r in zip(*(batch[c].to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+    return [Rows([a for a, _ in words], [b for _, b in words], TEXT), Rows([np.arange(META)] * len(meta), meta, META)]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     chosen = by_hash(said, labelled).unionByName(by_hash(rest, pool).withColumn("y", F.lit(-1)))
     # at most labelled + pool ids
     wanted = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")
-    got = wanted.mapInArrow(_sampled, "doc_id long, y int, at binary, x binary, meta binary").limit(2 * (labelled + pool)).collect()
+    one = wanted.groupBy("doc_id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row")).select("doc_id", "y", "row.*")
+    got = one.mapInArrow(_sampled, "doc_id long, y int, at binary, x binary, meta binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["meta"])))
-    rows = [Rows([np.frombuffer(r["at"], np.int32) for r in got], [np.frombuffer(r["x"], np.float32) for r in got], WORD_BUCKETS), Rows([np.arange(META)] * len(got), [np.frombuffer(r["meta"], np.float32) for r in got], META)]
+    rows = [Rows([np.frombuffer(r["at"], np.int32) for r in got], [np.frombuffer(r["x"], np.float32) for r in got], TEXT), Rows([np.arange(META)] * len(got), [np.frombuffer(r["meta"], np.float32) for r in got], META)]
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got], dtype=bool)
     return cotrain(rows, np.array([r["y"] for r in got], dtype=np.int64), held)
 
