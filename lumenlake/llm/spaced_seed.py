@@ -9,8 +9,11 @@ tokens are compared and the best window counted.
 Test hashes are broadcast only while their count is at most BROADCAST_ROWS; beyond it the training hashes
 are first cut down by a slot table of fixed size and then joined by a shuffle.
 
-Tokens are runs of letters or digits in lower case.  Defined cases: null and empty texts have no tokens; an
-item or document of fewer than WINDOW tokens matches nothing; rows with a null doc_id cannot be named
+An item of fewer than WINDOW tokens has no window of its own: it is looked for whole, without a substitution, by one
+hash of all its tokens.
+
+Tokens are runs of letters or digits in lower case.  Defined cases: null and empty texts have no tokens and match nothing; a
+document of fewer tokens than the item's window holds no passage of it; rows with a null doc_id cannot be named
 in a result but are compared by `decontaminated`; equal doc_id with different texts are compared apart and reported once;
 repeated items count once per item_id; empty tables give empty results.
 """
@@ -48,9 +51,33 @@ def _windows(rows: DataFrame, key: str) -> DataFrame:
 
 def _passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, row_key, item_id, best, equal) of each diagonal with a passage; row_key is the hash of the document's text."""
-    test = items.where("item_id is not null").select("item_id", F.xxhash64("text").alias("row_key"), tokens("text").alias("tokens")).distinct()
-    train = docs.select("doc_id", F.xxhash64("text").alias("row_key"), tokens("text").alias("tokens"))
+    words = tokens("text").alias("tokens")
+    test = items.where("item_id is not null").select("item_id", F.xxhash64("text").alias("row_key"), words).distinct()
     test = write_table(test, "items")
+    train = docs.select("doc_id", F.xxhash64("text").alias("row_key"), words)
+    found = _near(train, test.where(F.size("tokens") >= WINDOW))
+    # one number for each length below WINDOW that occurs
+    lengths = sorted(r["n"] for r in test.select(F.size("tokens").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+    return found.unionByName(_whole(train, test.where(F.size("tokens") < WINDOW), lengths)) if lengths else found
+
+
+def _whole(train: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+    """Documents that hold all tokens of a short item, one after the other."""
+    probes = short.select("item_id", F.col("tokens").alias("item_tokens"), F.xxhash64("tokens").alias("h"))
+    n = F.size("tokens")
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.slice("tokens", i + 1, k)))
+    each = F.array_distinct(F.flatten(F.array(*[F.coalesce(runs(k), F.array().cast("array<array<string>>")) for k in lengths])))
+    held = train.select("doc_id", "row_key", F.explode(each).alias("run")).withColumn("h", F.xxhash64("run"))
+    if short.count() <= BROADCAST_ROWS:
+        probes = F.broadcast(probes)
+    else:
+        held = prefilter(held, "h", probes, "h")
+    met = held.join(probes, "h").where(F.col("run") == F.col("item_tokens"))
+    return met.select("doc_id", "row_key", "item_id", F.size("run").cast("long").alias("best"), F.size("run").cast("long").alias("equal"))
+
+
+def _near(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The same for items of WINDOW tokens or more."""
     probes = write_table(_windows(test, "item_id").select("item_id", F.col("row_key").alias("item_key"), F.col("at").alias("item_at"), "h").distinct(), "item-seeds")
     seeds = _windows(train, "doc_id")
     if probes.count() <= BROADCAST_ROWS:
