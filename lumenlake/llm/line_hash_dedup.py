@@ -7,10 +7,14 @@ its inner sentences.  Units are normalised (lower case, single blanks), digested
 over the whole corpus; of each digest the occurrence in the smallest doc_id, and in it the first, stays,
 all others are removed and reported with their offsets in the original text.
 
+A unit of fewer than min_words words repeats by chance.  Neighbouring units of that kind are taken together as one run,
+which ends at a longer unit and, for sentences, at a line's end; so passages of short sentences are
+matched by their runs.  A run of fewer than min_words words is left alone.
+
 Digests, not texts, are shuffled; counts are combined before the shuffle, and the join of occurrences
 to repeated digests is an inner join, which Spark splits where one digest holds many rows.
 
-Defined cases: units of fewer than min_words words are neither matched nor removed; a null or empty text
+Defined cases: runs of fewer than min_words words are neither matched nor removed, with min_words 1 every unit is matched; a null or empty text
 has no units; a null doc_id ranks last; rows with equal doc_id are one document, so they keep
 what that document keeps; repeats inside a document are removed after the first; other columns are ignored.
 """
@@ -28,22 +32,36 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import write_table
 from lumenlake.llm.spans import text_key, without_spans
 
-#: Units with fewer words are left alone: they repeat by chance.
+#: Units with fewer words are matched in runs.
 MIN_WORDS = 6
 BREAKS = {"paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "line": re.compile(r"\n"), "sentence": re.compile(r"[.!?]+(?=\s)|\n")}
 #: Texts that one step of a task holds digests for.
 _STEP = 256
 
 
-def units(text: str, unit: str) -> Iterator[tuple[int, int, bytes, int]]:
-    """(start, end, digest, words) of each unit, outer blanks left out."""
-    at = 0
+def units(text: str, unit: str, min_words: int = 1) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """(number, start, end, digest, words) of each unit or run of short units, outer blanks left out; the number is that of the first unit."""
+    at = number = 0
+    run: list[tuple[int, int, int, list[str]]] = []
+
+    def ended() -> Iterator[tuple[int, int, int, bytes, int]]:
+        if run:
+            words = [w for *_, own in run for w in own]
+            yield run[0][0], run[0][1], run[-1][2], hashlib.blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(words)
+            run.clear()
+
     for end in [*(m.end() for m in BREAKS[unit].finditer(text)), len(text)]:
         piece = text[at:end]
         if words := piece.split():
             start = at + len(piece) - len(piece.lstrip())
-            yield start, start + len(piece.strip()), hashlib.blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(words)
+            if run and (len(words) >= min_words or len(run[-1][3]) >= min_words):
+                yield from ended()
+            run.append((number, start, start + len(piece.strip()), words))
+            number += 1
+        if unit == "sentence" and piece.endswith("\n"):
+            yield from ended()
         at = end
+    yield from ended()
 
 
 def _cut(unit: str, min_words: int):
@@ -57,7 +75,7 @@ def _cut(unit: str, min_words: int):
                 part = batch.slice(at, _STEP)
                 for doc_id, key, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                     seen: set[bytes] = set()
-                    for n, (start, end, digest, words) in enumerate(units(text, unit)):
+                    for n, start, end, digest, words in units(text, unit, min_words):
                         if words >= min_words:
                             rows.append((doc_id, key, n, start, end, words, digest, digest in seen))
                             seen.add(digest)
@@ -67,7 +85,7 @@ def _cut(unit: str, min_words: int):
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, text_key, unit, start, end, words, kept_doc_id."""
+    """One row per removed unit or run: doc_id, text_key, unit (the first's number), start, end, words, kept_doc_id."""
     rows = docs.where("text is not null").select("doc_id", text_key().alias("text_key"), "text")
     schema = "doc_id long, text_key long, unit int, start int, end int, words int, digest binary, again boolean"
     cut = write_table(rows.mapInArrow(_cut(unit, min_words), schema), "units")

@@ -121,12 +121,16 @@ WITH p0 AS (
   SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM p0
 ), p2 AS (
   SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs,
-         regexp_replace(piece, '^\s+|\s+$', '', 'g') AS body, length(piece) - length(regexp_replace(piece, '^\s+', '')) AS blank FROM p1
+         regexp_replace(piece, '^\s+|\s+$', '', 'g') AS body, length(piece) - length(regexp_replace(piece, '^\s+', '')) AS blank,
+         coalesce(count(*) FILTER (ends_with(piece, chr(10))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines FROM p1
+), u0 AS (
+  SELECT doc_id, i, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS unit, (offs + blank)::INTEGER AS start, (offs + blank + length(body))::INTEGER AS "end",
+         lower(regexp_replace(body, '\s+', ' ', 'g')) AS norm, len(string_split(regexp_replace(body, '\s+', ' ', 'g'), ' ')) AS n, lines FROM p2 WHERE body <> ''
 ), u AS (
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS unit, (offs + blank)::INTEGER AS start, (offs + blank + length(body))::INTEGER AS "end",
-         lower(regexp_replace(body, '\s+', ' ', 'g')) AS norm FROM p2 WHERE body <> ''
+  SELECT *, sum(CASE WHEN n >= 6 OR prior IS NULL OR prior >= 6 OR lines > prior_lines THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(n) OVER o AS prior, lag(lines) OVER o AS prior_lines FROM u0 WINDOW o AS (PARTITION BY doc_id ORDER BY i))
 ), w AS (
-  SELECT *, len(string_split(norm, ' '))::INTEGER AS words FROM u
+  SELECT doc_id, min(unit) AS unit, min(start) AS start, max("end") AS "end", string_agg(norm, ' ' ORDER BY unit) AS norm, sum(n)::INTEGER AS words FROM u GROUP BY doc_id, run
 ), g AS (
   SELECT *, min(doc_id) OVER (PARTITION BY norm) AS kept_doc_id, row_number() OVER (PARTITION BY norm, doc_id ORDER BY unit) AS again FROM w WHERE words >= 6
 )
@@ -177,16 +181,16 @@ WITH dt AS (
 ), i AS (
   SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM it
 ), e AS (
-  SELECT doc_id, item_id, d.p - i.p AS shift, i.p AS p FROM d JOIN i ON d.w = i.w
-  WHERE least(n, dn - (d.p - i.p)) - greatest(0, i.p - d.p) >= 12
+  SELECT doc_id, item_id, n, d.p - i.p AS shift, i.p AS p FROM d JOIN i ON d.w = i.w
+  WHERE least(n, dn - (d.p - i.p)) - greatest(0, i.p - d.p) >= least(n, 12)
 ), w AS (
-  SELECT doc_id, item_id, shift,
+  SELECT doc_id, item_id, shift, n,
          count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS best,
          count(*) OVER (PARTITION BY doc_id, item_id, shift) AS equal
   FROM e
 )
 SELECT doc_id, item_id, max(best) AS best, max(equal) AS equal FROM w
-WHERE (doc_id, item_id, shift) IN (SELECT (doc_id, item_id, shift) FROM w WHERE best >= 10)
+WHERE (doc_id, item_id, shift) IN (SELECT (doc_id, item_id, shift) FROM w WHERE best >= CASE WHEN n >= 12 THEN 10 ELSE n END)
 GROUP BY doc_id, item_id""",
     "op10_warc_store": """
 WITH p AS (

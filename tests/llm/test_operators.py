@@ -102,7 +102,7 @@ def test_line_hashing_against_a_loop(spark, small):
     first, want = {}, set()
     texts = {r.doc_id: r.text for r in docs.collect()}
     for doc_id in sorted(texts):
-        for n, (start, end, digest, words) in enumerate(line_hash_dedup.units(texts[doc_id], "sentence")):
+        for n, start, end, digest, words in line_hash_dedup.units(texts[doc_id], "sentence", line_hash_dedup.MIN_WORDS):
             if words >= line_hash_dedup.MIN_WORDS:
                 if digest in first:
                     want.add((doc_id, n, start, end, first[digest]))
@@ -125,6 +125,14 @@ def test_passage_inside_longer_lines_is_found(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in line_hash_dedup.repeated_units(docs).collect()} == {(2, 1)}
 
 
+def test_short_units_are_matched_in_runs(spark):
+    run = "He came. He saw. He won a lot."
+    docs = spark.createDataFrame([(1, "A first sentence of seven words stands here. " + run), (2, run + " A second sentence of seven words stands here."), (3, "He came. He saw."), (4, "Stop.")], "doc_id long, text string")
+    got = lambda n: {(r.doc_id, r.unit, r.start, r.end, r.words) for r in line_hash_dedup.repeated_units(docs, min_words=n).collect()}
+    assert got(6) == {(2, 0, 0, 30, 8)}
+    assert got(1) == {(2, 0, 0, 8, 2), (2, 1, 9, 16, 2), (2, 2, 17, 30, 4), (3, 0, 0, 8, 2), (3, 1, 9, 16, 2)}
+
+
 # 3: edit join
 
 
@@ -316,6 +324,43 @@ def test_quality_scores_separate_held_out_documents(spark, small):
     assert auc > 0.9 and np.mean([r.good for r in rows if r.quality == 1]) > 0.95
 
 
+def test_exchange_rounds_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    y = np.r_[np.ones(20), np.zeros(20), -np.ones(60)].astype(np.int64)
+    side = np.where(np.arange(100) % 2, 1.0, -1.0)
+    side[:40] = np.where(y[:40] == 1, 1.0, -1.0)
+    views = [cotraining.Rows([np.arange(2)] * 100, [np.array([s + n, 1.0]) for s, n in zip(side, rng.normal(0, 0.4, 100), strict=True)], 2) for _ in range(2)]
+    held = np.zeros(100, dtype=bool)
+    learned, pool = [{i: int(y[i]) for i in range(40)} for _ in range(2)], list(range(40, 100))
+    learn = lambda v: cotraining.logistic(views[v].take(np.array(list(learned[v]))), np.array(list(learned[v].values()), dtype=float))
+    for _ in range(cotraining.ROUNDS):
+        n = len(pool) // 10
+        high, picks = round(n * 0.5), []
+        for v in (0, 1):
+            w, b = learn(v)
+            order = sorted(pool, key=lambda i: (views[v].values[i] @ w + b, i))  # noqa: B023
+            picks.append({i: 0 for i in order[: n - high]} | {i: 1 for i in order[len(order) - high :]})
+        for v in (0, 1):
+            for i, label in picks[v].items():
+                learned[1 - v].setdefault(i, label)
+        pool = [i for i in pool if i not in picks[0] and i not in picks[1]]
+    model = cotraining.cotrain(views, y, held)
+    for v in (0, 1):
+        w, b = learn(v)
+        assert np.allclose(model.views[v][0], w) and np.isclose(model.views[v][1], b)
+
+
+def test_views_share_nothing():
+    a, b = ("Some text.", "s", "en", 10), ("Другой text, 7 lines\n" * 7, "s", "en", 10)
+    assert (cotraining.meta_features(*a[1:]) == cotraining.meta_features(*b[1:])).all()
+
+
+def test_a_repeated_id_takes_its_smallest_text(spark):
+    docs = spark.createDataFrame([(i, t, "s", "en", 5) for i in range(30) for t in ("b", "a")], DOCS.replace("lang string, source string", "source string, lang string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert cotraining.quality(docs, labels).count() == 60
+
+
 def test_quality_without_labels(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -344,6 +389,16 @@ def test_substitutions_and_the_shuffled_way(spark, monkeypatch):
     assert sorted(r.doc_id for r in spaced_seed.decontaminated(docs, items).collect()) == [3, 4]
 
 
+def test_items_below_a_window_are_found_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "They asked: what is the capital, then?"), (2, "what is THE Capital"), (3, "what is a capital"), (4, "the capital"), (5, None), (6, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "What is the capital?"), (2, "Never said before now"), (3, ""), (4, None), (5, "a capital")], "item_id long, text string")
+    want = {(1, 1, 4), (2, 1, 4), (3, 5, 2)}
+    assert {(r.doc_id, r.item_id, r.best) for r in spaced_seed.contaminated(docs, items).collect()} == want
+    assert sorted(r.doc_id for r in spaced_seed.decontaminated(docs, items).collect()) == [4, 5, 6]
+    monkeypatch.setattr(spaced_seed, "BROADCAST_ROWS", 0)
+    assert {(r.doc_id, r.item_id, r.best) for r in spaced_seed.contaminated(docs, items).collect()} == want
+
+
 def test_decontamination_by_row_with_shared_and_missing_ids(spark):
     passage = " ".join(f"t{i}" for i in range(20))
     rows = [(1, passage), (1, "a clean text of this id"), (None, f"left {passage} right"), (None, "a clean text without one"), (None, None)]
@@ -368,6 +423,7 @@ def test_held_out_languages(spark, small):
 def test_texts_without_letters_are_und(spark):
     got = {r.doc_id: r.lang_pred for r in langid.identified(odd_documents(spark).where("doc_id in (3, 4, 5, 7)")).collect()}
     assert set(got.values()) == {"und"}
+    assert [langid.has_letter(t) for t in ("½ ² ³ ¾", "٣ Ⅷ _", "1 a", "字", "")] == [False, False, True, True, False]
 
 
 def test_long_texts_are_counted_in_pieces(monkeypatch):
