@@ -5,15 +5,16 @@ shingles told apart by their occurrence number.  A sketch keeps, for each of TAB
 shingles of smallest hash in text order, so two documents share it only if the same shingles come in
 the same order.  Documents that share a sketch are candidates.
 
-Similarity is that of an alignment: the shingles that match in order, over all shingles of either text.  It is at
-most the Jaccard similarity of the shingles and equals it where the order is the same.  Matches lie
-within a band about the diagonal, which is as wide as the similarity asked for allows.
+Similarity is that of an alignment of the words: those that match in order, over all words of either text.  Matches lie
+within a band about the diagonal, which is as wide as the similarity asked for allows.  Two texts that agree in a share j
+of their shingles share one of TABLES sketches with a probability of about 1 - (1 - j ** PICK) ** TABLES.
 
-Copies of the same words are one node, found by digest.  Candidates that any sketches connect form a
-pool; a pool is cut into chunks by size, and each pair of chunks is compared in one task, which counts shared
-shingles through an inverted index, aligns only pairs whose count leaves room for the similarity, and
-returns no more links than connect what it found.  So a pool of any size is spread over tasks of
-bounded memory, no pair within a pool goes untested, and no list of all pairs is made.
+Copies of the same words are one node, found by digest.  Candidates that any sketches connect form a pool, which is
+cut into chunks by size.  A task takes the pairs of a chunk that share a shingle, found through an inverted index, aligns
+those whose words in common leave room for the similarity, and returns no more links than connect what it found.  Pools of
+several chunks go on with one text for each class they hold, and those that still hold several classes are compared by pairs of
+wider chunks, whose tasks know the classes and skip what is connected.  So a pool of any size is spread over tasks
+of bounded memory, no such pair within a pool goes untested, and no list of all pairs is made.
 
 Defined cases: a text of fewer than five words is one shingle of its words; a null text or one without words is in a class of
 its own; class_id is the smallest doc_id of a class and null where the class has none; equal doc_id with different texts are
@@ -23,7 +24,6 @@ separate documents of that id; repeated rows are copies; empty tables give empty
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import components, prefilter, write_table
 from lumenlake.llm.spans import text_key
 
-WORDS, TABLES, PICK, SIMILARITY = 5, 20, 4, 0.8
-#: Shingles of a chunk on average; a task holds two chunks.
-CHUNK_SHINGLES = 200_000
+WORDS, TABLES, PICK, SIMILARITY = 5, 24, 3, 0.8
+#: Shingles of a chunk on average, and of one of the two wider chunks of a task.
+CHUNK_SHINGLES, WIDE_SHINGLES = 200_000, 600_000
 _WORD = re.compile(r"[^\W_]+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SEEDS = np.random.default_rng(41).integers(1 << 62, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -76,7 +76,11 @@ def shingles(words: np.ndarray) -> np.ndarray:
     for i in range(1, width):
         h *= _ODD[0]
         h += words[i : i + len(h)]
-    h = mix(h)
+    return numbered(mix(h))
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes with the occurrence number of each mixed in from the second on."""
     ordered = np.sort(h)
     if (ordered[1:] == ordered[:-1]).any():
         order = np.argsort(h, kind="stable")
@@ -127,23 +131,22 @@ def banded_matches(a: np.ndarray, b: np.ndarray, band: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
-    places: dict[int, list[int]] = {}
+    places: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
-        places.setdefault(x, []).append(i)
-    full = (1 << len(a)) - 1
-    v = full
+        places[x] = places.get(x, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    window = (1 << (2 * band + 1)) - 1
     for j, x in enumerate(b.tolist()):
-        if at := places.get(x):
-            m = 0
-            for i in at[bisect_left(at, j - band) : bisect_right(at, j + band)]:
-                m |= 1 << i
-            if u := v & m:
-                v = ((v + u) | (v - u)) & full
+        m = places.get(x, 0)
+        if m and len(a) > band:
+            m &= window << j - band if j >= band else window >> band - j
+        if u := v & m:
+            v = ((v + u) | (v - u)) & full
     return head + tail + len(a) - v.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether aligned shingles over all shingles reach `least`."""
+    """Whether aligned words over all words reach `least`."""
     total = len(a) + len(b)
     # matched m with m / (total - m) >= least leaves total - 2 m unmatched, which bounds the band
     band = int(total - 2 * least * total / (1 + least)) + 1
@@ -151,26 +154,24 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return m >= least * (total - m) - 1e-9
 
 
-def _needed(total: np.ndarray, least: float) -> np.ndarray:
-    return np.ceil(least * total / (1 + least) - 1e-9)
-
+def links(docs: list[np.ndarray], split: int = 0, classes: list | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect what is similar among texts of hashed words and shares a shingle, as few as do.
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect what is similar between left and right (or within left), as few as do.
-
-    Numbers of right follow those of left.
+    With split, those before it are compared with those behind it alone.  Texts of one class are known to be connected.
     """
-    docs = left + (right or [])
+    cut = [shingles(x) for x in docs]
     sizes = np.array([len(x) for x in docs])
-    flat = np.concatenate(docs)
-    _, code = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    begin = np.r_[0, np.cumsum(sizes)]
-    inside = owner < len(left)
+    _, code = np.unique(np.concatenate(cut), return_inverse=True)
+    begin = np.r_[0, np.cumsum([len(x) for x in cut])]
+    owner = np.repeat(np.arange(len(docs)), np.diff(begin))
+    n_left = split or len(docs)
+    inside = owner < n_left
     order = np.argsort(code[inside], kind="stable")
     posting_doc = owner[inside][order]
     bounds = np.searchsorted(code[inside][order], np.arange(code.max() + 2))
-    parent = list(range(len(docs)))
+    first = {c: i for i, c in reversed(list(enumerate(classes or [])))}
+    parent = [first[c] for c in classes] if classes else list(range(len(docs)))
+    words: dict[int, np.ndarray] = {}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -178,17 +179,21 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, least: float =
             x = parent[x]
         return x
 
+    def counted(x: int) -> np.ndarray:
+        if x not in words:
+            words[x] = numbered(docs[x])
+        return words[x]
+
     found = []
-    for x in range(0 if right is None else len(left), len(docs)):
+    for x in range(split or 1, len(docs)):
         codes = code[begin[x] : begin[x + 1]]
         a, n = bounds[codes], bounds[codes + 1] - bounds[codes]
         total = int(n.sum())
         at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-        shared = np.bincount(posting_doc[at], minlength=len(left))
-        if right is None:
-            shared = shared[:x]
-        for y in np.flatnonzero(shared >= _needed(sizes[x] + sizes[: len(shared)], least)).tolist():
-            if shared[y] and root(x) != root(y) and similar(docs[x], docs[y], least):
+        shared = np.bincount(posting_doc[at], minlength=n_left)[: split or x]
+        needed = np.ceil(least * (sizes[x] + sizes[: len(shared)]) / (1 + least) - 1e-9)
+        for y in np.flatnonzero((shared > 0) & (np.minimum(sizes[x], sizes[: len(shared)]) >= needed)).tolist():
+            if root(x) != root(y) and len(np.intersect1d(counted(x), counted(y), assume_unique=True)) >= needed[y] and similar(docs[x], docs[y], least):
                 parent[root(x)] = root(y)
                 found.append((x, y))
     return found
@@ -210,7 +215,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of the texts that have the wanted digest."""
+    """The hashed words of the texts that have the wanted digest."""
     hashes = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -219,21 +224,64 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, digest in zip(part["text"].to_pylist(), part["digest"].to_pylist(), strict=True):
                 words = hashes(_WORD.findall((text or "").lower()))
                 keep.append(len(words) > 0 and xxhash.xxh3_128_digest(words.tobytes()) == digest)
-                packed.append(shingles(words).tobytes() if keep[-1] else None)
-            out = pa.RecordBatch.from_arrays([part["digest"], part["pool"], part["chunks"], pa.array(packed, pa.binary())], names=["digest", "pool", "chunks", "shingles"])
+                packed.append(words.tobytes() if keep[-1] else None)
+            out = pa.RecordBatch.from_arrays([part["digest"], part["pool"], part["chunks"], pa.array(packed, pa.binary())], names=["digest", "pool", "chunks", "words"])
             yield out.filter(pa.array(keep))
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links within one pair of chunks of a pool."""
+def _within(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links within a chunk."""
     rows = rows.drop_duplicates("digest").sort_values("digest", kind="stable")
-    sides = [rows[rows["side"] == s] for s in (0, 1)]
-    docs = [[np.frombuffer(x, np.uint64) for x in s["shingles"]] for s in sides]
-    found = links(docs[0], docs[1] if len(docs[1]) else None) if docs[0] and (docs[1] or rows["alone"].iloc[0]) else []
-    names = [*sides[0]["digest"], *sides[1]["digest"]]
+    found = links([np.frombuffer(x, np.uint64) for x in rows["words"]])
+    names = rows["digest"].tolist()
     return pd.DataFrame({"a": [names[x] for x, _ in found], "b": [names[y] for _, y in found]}, dtype=object)
 
 
+def _crossed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the classes of two wider chunks, or within one of them."""
+    rows = rows.drop_duplicates("digest").sort_values(["side", "digest"], kind="stable")
+    split = int((rows["side"] == 0).sum())
+    if not split or split == len(rows) and not rows["alone"].iloc[0]:
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
+    found = links([np.frombuffer(x, np.uint64) for x in rows["words"]], split % len(rows), rows["class"].tolist())
+    names = rows["digest"].tolist()
+    return pd.DataFrame({"a": [names[x] for x, _ in found], "b": [names[y] for _, y in found]}, dtype=object)
+
+
+def _in_chunks(members: DataFrame) -> DataFrame:
+    """Links within the chunks of members (pool, chunks, digest, words)."""
+    chunk = F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk")
+    return members.select("pool", chunk, "digest", "words").groupBy("pool", "chunk").applyInPandas(_within, "a binary, b binary")
+
+
+def _several(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members of the pools that hold several classes under these links, with their class."""
+    classes = write_table(components(links, "a", "b").select(F.col("node").alias("digest"), F.col("label").alias("class")), "pool-classes")
+    named = write_table(members.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest")), "pool-members")
+    several = named.groupBy("pool").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("pool")
+    return named.join(write_table(several, "open-pools"), "pool")
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between the digests of members (digest, pool, chunks, words)."""
+    found = write_table(_in_chunks(members), "links")
+    hot = members.where("chunks > 1")
+    if hot.isEmpty():
+        return found
+    # one text of each class in a pool
+    left = write_table(_several(hot, found), "open")
+    firsts = left.groupBy("pool", "class").agg(F.min(F.struct("digest", "words")).alias("first")).select("pool", "first.*")
+    sizes = firsts.groupBy("pool").agg(F.ceil(F.sum(F.length("words") / 8) / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    found = write_table(found.unionByName(_in_chunks(write_table(firsts, "pool-firsts").join(write_table(sizes, "first-sizes"), "pool"))), "links")
+    # and what is in several classes still
+    wide = F.ceil(F.col("chunks") * F.lit(CHUNK_SHINGLES / WIDE_SHINGLES)).cast("int")
+    left = _several(left.drop("class"), found).withColumn("wide", wide).withColumn("own", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("wide")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    side, alone = (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone")
+    left = left.select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "words", "class", side, alone)
+    return write_table(found.unionByName(left.groupBy("pool", "i", "j").applyInPandas(_crossed, "a binary, b binary")), "links")
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, digest, first) of every row; first is the (none, doc_id, text_key) of the row that stands for its class."""
     known = write_table(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_sketches, "doc_id long, text_key long, digest binary, n int, sketch array<long>"), "sketches")
@@ -252,11 +300,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     # texts of the pools alone are read once more
     wanted = prefilter(docs.select("doc_id", "text"), "doc_id", pools, "doc_id")
     wanted = wanted.join(pools.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), wanted["doc_id"].eqNullSafe(F.col("_id")) & (text_key(wanted["text"]) == F.col("_key")))
-    members = wanted.select("text", "digest", "pool", "chunks").mapInArrow(_payload, "digest binary, pool binary, chunks int, shingles binary")
-    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = members.select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "shingles", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"))
-    found = pairs.groupBy("pool", "i", "j").applyInPandas(_compare, "a binary, b binary")
+    members = wanted.select("text", "digest", "pool", "chunks").mapInArrow(_payload, "digest binary, pool binary, chunks int, words binary")
+    found = _links(write_table(members, "members"))
     classes = components(found, "a", "b").select(F.col("node").alias("digest"), F.col("label").alias("class"))
     named = texts.select("digest", "first").join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
     named = write_table(named, "named")

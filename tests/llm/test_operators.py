@@ -248,29 +248,64 @@ def test_near_duplicates_against_all_pairs(spark):
             texts.append(" ".join(copy))
     texts += [texts[0].upper() + "!", texts[0]]
     hashes = order_minhash.WordHashes()
-    sets = [order_minhash.shingles(hashes(order_minhash._WORD.findall(t.lower()))) for t in texts]
+    sets = [hashes(order_minhash._WORD.findall(t.lower())) for t in texts]
     parent = list(range(len(texts)))
 
-    def root(x):
+    def root(x, parent):
         while parent[x] != x:
             x = parent[x]
         return x
 
+    # shingles aligned at 0.8 are found for sure, words aligned at 0.8 are all that may be
+    certain = [[order_minhash.shingles(x) for x in sets], list(range(len(texts)))]
     for i, j in combinations(range(len(texts)), 2):
-        if order_minhash.similar(sets[i], sets[j]):
-            x, y = root(i), root(j)
-            parent[max(x, y)] = min(x, y)
+        for items, up in ((sets, parent), certain):
+            if order_minhash.similar(items[i], items[j]):
+                x, y = (root(v, up) for v in (i, j))
+                up[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == {i: root(i) for i in range(len(texts))}
-    assert sorted(r.doc_id for r in order_minhash.deduplicated(docs).collect()) == sorted({root(i) for i in range(len(texts))})
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    for i, j in combinations(range(len(texts)), 2):
+        assert root(i, certain[1]) != root(j, certain[1]) or got[i] == got[j]
+        assert got[i] != got[j] or root(i, parent) == root(j, parent)
+    assert all(got[i] == min(j for j in got if got[j] == got[i]) for i in got)
+    assert sorted(r.doc_id for r in order_minhash.deduplicated(docs).collect()) == sorted(set(got.values()))
 
 
-def test_pools_are_compared_in_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [400, 100_000])
+def test_pools_are_compared_in_chunks(spark, monkeypatch, wide):
     monkeypatch.setattr(order_minhash, "CHUNK_SHINGLES", 400)
+    monkeypatch.setattr(order_minhash, "WIDE_SHINGLES", wide)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(2, 98, 4)]
+    # as many that are all within the pool, of which each is near one other alone
+    half = [" ".join([*base[:60], *(f"{k}x{i}" for i in range(30))]) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *half, *(t + f" end{i}" for i, t in enumerate(half))])), "doc_id long, text string")
+    want = {i: 0 for i in range(24)} | {24 + i: 24 + i for i in range(12)} | {36 + i: 24 + i for i in range(12)}
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == want
+
+
+def test_copies_with_changed_words_are_found(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    texts, want = [], []
+    for share in (0.02, 0.05, 0.08):
+        for _ in range(40):
+            base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+            copy = [rng.choice(words) if rng.random() < share else w for w in base]
+            table = np.zeros((len(base) + 1, len(copy) + 1), int)
+            for i, x in enumerate(base):
+                for j, y in enumerate(copy):
+                    table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+            m = table[-1, -1]
+            if m / (len(base) + len(copy) - m) >= 0.8:
+                want.append((share, len(texts)))
+            texts += [" ".join(base), " ".join(copy)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.class_id for r in order_minhash.near_duplicates(docs).collect()} == {0}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    met = [got[i] == got[i + 1] for _, i in want]
+    assert len(want) > 100 and np.mean(met) >= 0.9 and np.mean([m for m, (s, _) in zip(met, want, strict=True) if s <= 0.05]) >= 0.97
+    assert all(got[i] >= i - 1 for i in got)
 
 
 def test_one_row_of_each_class_with_shared_and_missing_ids(spark):
