@@ -42,6 +42,40 @@ def collection_list(collections: DataFrame, members: DataFrame) -> DataFrame:
     return collections.join(counts, F.col("id") == F.col("collection_id"), "left").select("id", "name", F.coalesce("photos", F.lit(0)).alias("photos"))
 
 
+def created(collections: DataFrame, new: DataFrame) -> DataFrame:
+    """Collections with those of new (name) whose trimmed name of 1 to 60 characters none has yet; ids go on from the largest."""
+    named = new.select(F.trim("name").alias("name")).where(F.length("name").between(1, 60)).distinct()
+    free = named.join(collections.select(F.col("name").alias("_taken")), F.col("name") == F.col("_taken"), "left_anti")
+    last = collections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    return collections.unionByName(numbered(free, ["name"]).crossJoin(F.broadcast(last)).select((F.col("place") + F.col("_last")).alias("id"), "name"))
+
+
+def renamed(collections: DataFrame, changes: DataFrame) -> DataFrame:
+    """Collections after changes (id, new_name); a name that another one has is refused."""
+    free = changes.join(collections.select(F.col("name").alias("_taken")), F.col("new_name") == F.col("_taken"), "left_anti")
+    once = free.groupBy("new_name").agg(F.min("id").alias("id"))
+    return collections.join(once, "id", "left").select("id", F.coalesce("new_name", "name").alias("name"))
+
+
+def upserted_sessions(sessions: DataFrame, found: DataFrame) -> DataFrame:
+    """Sessions after a scan's folders (root_path, name): a known folder keeps its id and takes the name, others get the next ids in order of path."""
+    new = found.groupBy("root_path").agg(F.min("name").alias("name"))
+    kept = sessions.join(new.withColumnRenamed("name", "_name"), "root_path", "left").select("id", F.coalesce("_name", "name").alias("name"), "root_path")
+    last = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    fresh = numbered(new.join(sessions.select("root_path"), "root_path", "left_anti"), ["root_path"]).crossJoin(F.broadcast(last))
+    return kept.unionByName(fresh.select((F.col("place") + F.col("_last")).alias("id"), "name", "root_path"))
+
+
+def log_operations(path: str, operations: DataFrame) -> None:
+    """Append operations to the log, a table at path; rows that are there stay as they are."""
+    operations.write.mode("append").parquet(path)
+
+
+def recent_operations(log: DataFrame, most: int = 100) -> DataFrame:
+    """The latest 1 to 500 operations."""
+    return log.orderBy(F.desc("created_at"), F.desc("id")).limit(min(max(most, 1), 500))
+
+
 def added_members(members: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of wanted (collection_id, photo_id, added_at) that are not members yet, each once."""
     return wanted.groupBy("collection_id", "photo_id").agg(F.min("added_at").alias("added_at")).join(members, ["collection_id", "photo_id"], "left_anti")

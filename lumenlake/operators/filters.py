@@ -154,6 +154,20 @@ def saved(views: DataFrame, new: DataFrame) -> DataFrame:
     return merge_rows(views, sound, "name", {c: "new" for c in views.columns if c != "name"})
 
 
+def renamed(views: DataFrame, changes: DataFrame) -> DataFrame:
+    """Saved views after changes (name, new_name); a blank new name or one that another view has is refused."""
+    names = views.select(F.lower("name").alias("_taken"))
+    sound = changes.withColumn("new_name", F.trim("new_name")).where("new_name <> ''")
+    free = sound.join(names, (F.lower("new_name") == F.col("_taken")) & (F.lower("new_name") != F.lower("name")), "left_anti")
+    once = free.groupBy(F.lower("new_name").alias("_key")).agg(F.min(F.struct("name", "new_name")).alias("r")).select("r.*")
+    return views.join(once, "name", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+
+
+def listed(views: DataFrame, gone: DataFrame) -> DataFrame:
+    """Saved views without the deleted names, by name without regard to case."""
+    return views.join(gone.select("name"), "name", "left_anti").orderBy(F.lower("name"), "name")
+
+
 def matches(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
     """(name, n) of many filters in one pass over the rows."""
     counts = rows.agg(*[F.count_if(compile_filter(f)).alias(f"c{i}") for i, f in enumerate(filters.values())])

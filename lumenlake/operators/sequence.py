@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 OPEN, CLOSED, EYE_VERSION, SAME_FACE_BITS = 0.8, 0.2, 2, 10
 
 
+#: Order in which the kinds of sequences claim photos for review.
+CLAIMS = ["burst", "similar", "face"]
+
+
 def seconds(name: str) -> Column:
     return F.unix_timestamp(F.to_timestamp(name, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
@@ -82,6 +86,29 @@ def group_list(members: DataFrame, rows: DataFrame) -> DataFrame:
     return by.orderBy(F.when(F.col("group_type") == "burst", 0).otherwise(1), F.desc("photo_count"), "group_id")
 
 
+def of_kinds(members: DataFrame, kinds: list[str]) -> DataFrame:
+    """Members of the groups of some kinds; of all if none is named."""
+    return members.where(F.col("group_type").isin(kinds)) if kinds else members
+
+
+def similarity_summary(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """(group_type, groups, photos, hashed, failed): the last two count all photos with and without a hash."""
+    by = members.groupBy("group_type").agg(F.countDistinct("group_id").alias("groups"), F.count(F.lit(1)).alias("photos"))
+    return by.crossJoin(F.broadcast(photos.agg(F.count("phash").alias("hashed"), F.count_if(F.col("phash").isNull()).alias("failed"))))
+
+
+def comparison_window(rows: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """Of each group up to `most` neighbours in order of capture, from the one before its focus on, clamped to its ends.
+
+    rows: keys, id, capture_datetime, focus (true for one photo of a group at most; without one the group's beginning is shown).
+    """
+    group = Window.partitionBy(*keys)
+    placed = rows.withColumn("place", F.row_number().over(group.orderBy(F.col("capture_datetime").asc_nulls_last(), "id")) - 1)
+    at, n = F.coalesce(F.max(F.when(F.col("focus"), F.col("place"))).over(group), F.lit(0)), F.count(F.lit(1)).over(group)
+    first = F.greatest(F.lit(0), F.least(at - 1, n - most))
+    return placed.withColumn("_first", first).where((F.col("place") >= F.col("_first")) & (F.col("place") < F.col("_first") + most)).drop("_first")
+
+
 def covers(members: DataFrame, photos: DataFrame, most: int = 4) -> DataFrame:
     """The first photos of each group in order of capture."""
     order = Window.partitionBy("group_type", "group_id").orderBy(F.col("capture_datetime").asc_nulls_last(), "id")
@@ -108,13 +135,13 @@ def review_units(queue: DataFrame) -> DataFrame:
         by: dict = {}
         for i, named in zip(rows["index"], rows["sequences"], strict=True):
             for s in named if named is not None else ():
-                by.setdefault((s["kind"] != "burst", s["group_id"]), []).append(i)
+                by.setdefault((CLAIMS.index(s["kind"]), s["group_id"]), []).append(i)
         used, units = set(), []
         for key, at in sorted(by.items(), key=lambda x: (x[0][0], x[1][0], x[0][1])):
             left = [i for i in at if i not in used]
             if len(left) >= 2:
                 used.update(left)
-                units.append(("similar" if key[0] else "burst", left))
+                units.append((CLAIMS[key[0]], left))
         units += [("single", [i]) for i in rows["index"] if i not in used]
         ids = dict(zip(rows["index"], rows["id"], strict=True))
         out = [(rows["session_id"].iloc[0], n, kind, p, ids[i]) for n, (kind, at) in enumerate(sorted(units, key=lambda u: u[1][0])) for p, i in enumerate(at)]

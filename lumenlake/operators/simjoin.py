@@ -1,11 +1,14 @@
 """Pairs of 64-bit hashes within a Hamming distance, and the groups they form.
 
-Two hashes within t bits agree on one of t + 1 disjoint bands at least, so an equi-join on bands finds every
-pair; a pair is kept in its lowest agreeing band only.  Equal hashes of a scope are one vertex from the start.
+Of the t + k blocks into which a hash is cut, two hashes within t bits agree on k at least, so an equi-join on every
+choice of k blocks finds every pair; a pair is kept in its first agreeing choice only.  k grows as t shrinks, so that the keys stay
+selective.  Equal hashes, of a scope or over all of them, are one vertex from the start.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +32,27 @@ def label(name: str) -> Column:
     return F.lpad(F.lower(F.hex(name)), 16, "0")
 
 
-def bands(name: str, most: int) -> Column:
-    """The hash cut into most + 1 bands, as an array."""
-    narrow, wider = divmod(64, most + 1)
-    out, at = [], 0
-    for i in range(most + 1):
-        width = narrow + (i < wider)
-        out.append(F.shiftrightunsigned(name, at).bitwiseAND(F.lit((1 << width) - 1)))
-        at += width
-    return F.array(*out)
+def masks(most: int) -> list[int]:
+    """Masks, as signed numbers, of which two hashes within `most` bits agree on one at least."""
+    together = 3 if most <= 4 else 2 if most <= 6 else 1
+    n = most + together
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(1 << end) - (1 << start) for start, end in zip(edges, edges[1:], strict=False)]
+    whole = [sum(c) for c in combinations(blocks, together)]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
+
+
+def near(rows: DataFrame, most: int, keys: list[str], apart: Column | None = None) -> DataFrame:
+    """All pairs of rows (vertex, hash, ...) within `most` bits that agree in keys, as columns _a and _b, vertex_a below vertex_b."""
+    known = masks(most)
+    cut = rows.select("*", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in known])).alias("choice", "value"))
+    side = lambda s: cut.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns], "choice", "value")
+    x, y = side("a"), side("b")
+    on = [x["choice"] == y["choice"], x["value"] == y["value"], F.col("vertex_a") < F.col("vertex_b"), distance("hash_a", "hash_b") <= most]
+    on += [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + ([] if apart is None else [apart])
+    differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(m)) == 0 for m in known]), True) - 1
+    return x.join(y, on).where(first == x["choice"]).drop("choice", "value")
 
 
 def pairs(rows: DataFrame, most: int, across: bool = False) -> DataFrame:
@@ -45,14 +60,8 @@ def pairs(rows: DataFrame, most: int, across: bool = False) -> DataFrame:
 
     Within a scope, or with across between different scopes; null scopes link to nothing.
     """
-    cut = rows.where("scope is not null and hash is not null").withColumn("bands", bands("hash", most))
-    cut = cut.select("*", F.posexplode("bands").alias("band", "value"))
-    side = lambda s: cut.select(*[F.col(c).alias(f"{c}_{s}") for c in ("vertex", "scope", "hash", "bands")], "band", "value")
-    x, y = side("a"), side("b")
-    on = [x["band"] == y["band"], x["value"] == y["value"], F.col("vertex_a") < F.col("vertex_b"), distance("hash_a", "hash_b") <= most]
-    on.append(F.col("scope_a") != F.col("scope_b") if across else F.col("scope_a") == F.col("scope_b"))
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
-    met = x.join(y, on).where(first == x["band"])
+    known = rows.where("scope is not null and hash is not null")
+    met = near(known, most, [], F.col("scope_a") != F.col("scope_b")) if across else near(known, most, ["scope"])
     return met.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b"), "scope_a", "scope_b", distance("hash_a", "hash_b").alias("distance"))
 
 
@@ -67,12 +76,18 @@ def groups_within(photos: DataFrame, most: int = 6) -> DataFrame:
 
 
 def groups_across(photos: DataFrame, most: int = 4) -> DataFrame:
-    """(group_id, session_id, id): photos that links between different sessions connect, flat hashes left out."""
+    """(group_id, session_id, id): photos that links between different sessions connect, flat hashes left out.
+
+    A hash is one vertex over all sessions: where several sessions have it, its photos are connected, and two hashes are
+    linked unless the same single session has both.
+    """
     some = photos.where("session_id is not null and phash is not null").where(~degenerate("phash")).select("id", "session_id", "phash")
-    vertex = some.groupBy(F.col("session_id").alias("scope"), F.col("phash").alias("hash")).agg(F.min("id").alias("vertex"))
-    linked = components(pairs(vertex, most, across=True))
-    named = vertex.join(linked, F.col("vertex") == F.col("node")).select("scope", "hash", F.col("label").alias("group_id"))
-    return some.join(named, (F.col("session_id") == F.col("scope")) & (F.col("phash") == F.col("hash"))).select("group_id", "session_id", "id")
+    vertex = some.groupBy(F.col("phash").alias("hash")).agg(F.min("id").alias("vertex"), F.min("session_id").alias("low"), F.max("session_id").alias("high"))
+    apart = (F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b")) | (F.col("low_a") != F.col("low_b"))
+    linked = components(near(vertex, most, [], apart), "vertex_a", "vertex_b")
+    named = vertex.join(linked, F.col("vertex") == F.col("node"), "left").where("label is not null or low < high")
+    named = named.select("hash", F.coalesce("label", "vertex").alias("group_id"))
+    return some.join(named, F.col("phash") == F.col("hash")).select("group_id", "session_id", "id")
 
 
 def _sized(members: DataFrame, keys: list[str]) -> DataFrame:

@@ -137,3 +137,43 @@ def usage_by_month(rows: DataFrame, name: str, unknown: str) -> DataFrame:
     label = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(unknown))
     by = rows.groupBy(F.substring(known_time(), 1, 7).alias("month"), label.alias("name")).agg(F.count(F.lit(1)).alias("photos"))
     return by.withColumn("share", share(F.col("photos"), F.sum("photos").over(Window.partitionBy("month"))))
+
+
+#: Rows kept of each section that is not a histogram: names by photos, months by date.
+SECTION_ROWS = {"camera": 20, "lens": 20, "month": 36}
+
+
+def sections(rows: DataFrame, scope: str, scopes: DataFrame) -> DataFrame:
+    """(scope, section, place, name, photos, share, avg_sharpness, avg_iso, color_share) of every scope at once.
+
+    The sections are the four histograms, whose empty bins are kept for each of scopes, the most used cameras and lenses, and the latest
+    months.  share is of the scope's photos, null for histograms.  One grouping counts all sections.
+    """
+    label = lambda c, unknown: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(unknown))
+    binned = [F.struct(F.lit(n).alias("section"), F.when(F.col(n).isNotNull(), F.get(F.array(*map(F.lit, labels)), bin_number(n))).alias("name")) for n, (labels, _) in HISTOGRAMS.items()]
+    named = [("camera", label("camera_make", "Unknown camera")), ("lens", label("lens", "Unknown lens")), ("month", F.substring(known_time(), 1, 7))]
+    each = F.array(*binned, *[F.struct(F.lit(n).alias("section"), c.alias("name")) for n, c in named])
+    long = rows.where(F.col(scope).isNotNull()).select(scope, "sharpness", "iso", "is_monochrome", "photo_id", F.inline(each)).where("name is not null")
+    by = long.groupBy(scope, "section", "name").agg(
+        F.count(F.lit(1)).alias("photos"), F.avg("sharpness").alias("avg_sharpness"), F.avg("iso").alias("avg_iso"),
+        share(F.count_if(F.col("is_monochrome") == 0), F.count("photo_id")).alias("color_share"))
+    cells = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(i).alias("place"), F.lit(x).alias("name")) for n, (labels, _) in HISTOGRAMS.items() for i, x in enumerate(labels)])
+    bins = scopes.select(scope, F.inline(cells)).join(by, [scope, "section", "name"], "left").withColumn("photos", F.coalesce("photos", F.lit(0))).withColumn("share", F.lit(None).cast("double"))
+    group = Window.partitionBy(scope, "section")
+    order = group.orderBy(F.when(F.col("section") != "month", F.col("photos")).desc_nulls_last(), F.when(F.col("section") == "month", F.col("name")).desc_nulls_last(), "name")
+    tops = by.where(F.col("section").isin(list(SECTION_ROWS))).withColumn("place", F.row_number().over(order) - 1).withColumn("share", share(F.col("photos"), F.sum("photos").over(group)))
+    most = F.create_map(*[F.lit(x) for pair in SECTION_ROWS.items() for x in pair])
+    return bins.unionByName(tops.where(F.col("place") < most[F.col("section")]))
+
+
+def session_selection(photos: DataFrame, states: DataFrame) -> DataFrame:
+    """(session_id, selected, rejected, kept_ratio) of every session with photos."""
+    met = photos.where("session_id is not null").select("id", "session_id").join(states, F.col("id") == F.col("photo_id"), "left")
+    by = met.groupBy("session_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("state") == "selected").alias("selected"), F.count_if(F.col("state") == "rejected").alias("rejected"))
+    return by.withColumn("kept_ratio", F.try_divide("selected", "_all")).drop("_all")
+
+
+def in_periods(rows: DataFrame, periods: dict[str, tuple[str, str] | None]) -> DataFrame:
+    """rows once for each named period that holds them, as column period; periods come from `period` and are few."""
+    hit = [F.when(in_period(bounds), F.lit(name)) for name, bounds in periods.items()]
+    return rows.withColumn("period", F.explode(F.array_compact(F.array(*hit))))

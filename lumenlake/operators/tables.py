@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none."""
+    """The session's checkpoint folder.
+
+    Where the session names none, a temporary folder if it runs in one process, else one below the warehouse, which executors share.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lumenlake-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="lumenlake-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_between_stages"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -40,8 +44,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     contracts the edges, so of each edge's two ends one at least goes; rounds end when no edge is left.
     Nothing but an emptiness test reaches the driver.  Loops and null ends are ignored.
     """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    live = write_table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    once = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    live = write_table(once.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "edges")
     found = live.select(F.col("a").alias("node")).distinct().withColumn("cur", F.col("node"))
     while not live.isEmpty():
         up = live.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))

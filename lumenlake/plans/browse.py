@@ -271,3 +271,14 @@ def upserted_views(c: Catalog) -> DataFrame:
 def equal_views(c: Catalog) -> DataFrame:
     """Views that hold the same conditions in whatever order."""
     return saved_views(c).groupBy(filters.canonical_key("filter_json").alias("key")).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")).select("names")
+
+
+@query("C16_edited_views", """
+SELECT CASE WHEN n_nationkey % 3 = 1 AND n_nationkey <> 4 THEN 'best ' || n_name ELSE n_name END AS name FROM nation WHERE n_nationkey % 7 <> 0""")
+def edited_views(c: Catalog) -> DataFrame:
+    """The list after some views were renamed, one to a name that is taken, and others deleted."""
+    nation = c.table("nation").withColumnRenamed("n_name", "name")
+    taken = nation.where("n_nationkey = 5").select(F.lower("name").alias("taken"))
+    changes = nation.where("n_nationkey % 3 = 1").crossJoin(F.broadcast(taken)).select("name", F.when(F.col("n_nationkey") == 4, F.col("taken")).otherwise(F.concat(F.lit(" best "), "name")).alias("new_name"))
+    kept = filters.listed(saved_views(c), nation.where("n_nationkey % 7 = 0"))
+    return filters.renamed(kept, changes).select("name")

@@ -71,10 +71,10 @@ def box_overlaps(c: Catalog) -> DataFrame:
     return a.join(b, "id").where("i < j").groupBy("id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(pixels.iou("a", "b") > 0.3).alias("overlapping"))
 
 
-@query("B12_channel_histograms", "SELECT vec_id, 'luma' AS channel, l AS level, count(*) AS n FROM lum GROUP BY 1, 3 UNION ALL SELECT vec_id, 'red', r, count(*) FROM lum GROUP BY 1, 3", "px lum")
+@query("B12_channel_histograms", "SELECT vec_id, 'luma' AS channel, l AS level, count(*) AS n FROM lum GROUP BY 1, 3 UNION ALL SELECT vec_id, 'red', r, count(*) FROM lum GROUP BY 1, 3 UNION ALL SELECT vec_id, 'green', g, count(*) FROM lum GROUP BY 1, 3 UNION ALL SELECT vec_id, 'blue', b, count(*) FROM lum GROUP BY 1, 3", "px lum")
 def channel_histograms(c: Catalog) -> DataFrame:
-    """Non-zero cells of the luma and red histograms."""
-    return pixels.histogram_cells(images(c), "vec_id").where("channel in ('luma', 'red')")
+    """Non-zero cells of the luma, red, green and blue histograms."""
+    return pixels.histogram_cells(images(c), "vec_id")
 
 
 @query("B19_applicable_eyes", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN sqrt(pow(l_partkey % 9, 2) + pow(l_suppkey % 9, 2)) >= 6 THEN l_discount END AS left_open FROM lineitem")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +95,6 @@ def dimension_names(c: Catalog) -> DataFrame:
     return c.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("fine"), F.col("r_name").alias("coarse"))
 
 
-@query("E08_all_groups", "SELECT group_type, group_id, id FROM members UNION ALL SELECT 'similar', min(id) OVER (PARTITION BY session_id, phash), id FROM photos WHERE session_id IS NOT NULL AND phash IS NOT NULL", "photos bursts members")
-def all_groups(c: Catalog) -> DataFrame:
-    same = c.photos.where("session_id is not null and phash is not null")
-    first = same.groupBy("session_id", "phash").agg(F.min("id").alias("group_id"))
-    return members(c).select("group_type", "group_id", "id").unionByName(same.join(first, ["session_id", "phash"]).select(F.lit("similar").alias("group_type"), "group_id", "id"))
-
-
 @query("E09_replaced_groups", "SELECT session_id, id, CASE WHEN session_id % 2 = 0 THEN 'new' ELSE 'old' END AS run FROM bursts", "photos bursts")
 def replaced_groups(c: Catalog) -> DataFrame:
     """New groups of some sessions over a table partitioned by session; the others' stay."""
@@ -107,8 +102,8 @@ def replaced_groups(c: Catalog) -> DataFrame:
 
     rows = members(c).select("session_id", "id")
     old = write_table(rows.withColumn("run", F.lit("old")), "groups-old")
-    path = f"{shared_dir(c.spark)}/groups-{id(old):x}"
-    old.write.partitionBy("session_id").parquet(path)
+    path = f"{shared_dir(c.spark)}/groups-{uuid.uuid4().hex}"
+    old.repartition("session_id").write.partitionBy("session_id").parquet(path)
     new = old.where("session_id % 2 = 0").withColumn("run", F.lit("new"))
     new.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
     return c.spark.read.parquet(path).select(F.col("session_id").cast("long").alias("session_id"), "id", "run")
@@ -117,17 +112,3 @@ def replaced_groups(c: Catalog) -> DataFrame:
 @query("E26_group_kinds", "SELECT group_type, count(DISTINCT group_id) AS groups, count(*) AS photos FROM members GROUP BY 1", "photos bursts members")
 def group_kinds(c: Catalog) -> DataFrame:
     return members(c).groupBy("group_type").agg(F.countDistinct("group_id").alias("groups"), F.count(F.lit(1)).alias("photos"))
-
-
-@query("E22_comparison_window", """
-SELECT session_id, start, string_agg(id::VARCHAR, ',' ORDER BY k) AS ids FROM (
-  SELECT *, count(*) OVER (PARTITION BY session_id, start) AS n, row_number() OVER (PARTITION BY session_id, start ORDER BY id) - 1 AS k FROM bursts)
-WHERE k >= greatest(0, least(2 - 1, n - 4)) AND k < greatest(0, least(2 - 1, n - 4)) + 4 GROUP BY 1, 2""", "photos bursts")
-def comparison_window(c: Catalog) -> DataFrame:
-    """Up to four photos around the third one of each burst, clamped to its ends."""
-    from lumenlake.operators import sequence
-    from lumenlake.plans.sequences import GAP
-
-    by = sequence.bursts(c.photos, GAP).groupBy("session_id", "start").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    first = F.greatest(F.lit(0), F.least(F.lit(2 - 1), F.size("ids") - 4)) + 1
-    return by.select("session_id", "start", F.array_join(F.slice("ids", first, F.lit(4)).cast("array<string>"), ",").alias("ids"))

@@ -28,21 +28,27 @@ def hash_pairs(c: Catalog) -> DataFrame:
     return simjoin.pairs(rows, 6).select("a", "b", F.col("scope_a").alias("session_id"), "distance")
 
 
-@query("E01_similar_groups", _COMPONENTS.format(
+DERIVED["similar_rows"] = _COMPONENTS.format(
     vertices="SELECT id AS vertex FROM photos WHERE session_id IS NOT NULL AND phash IS NOT NULL",
     edges="SELECT a.id AS a, b.id AS b FROM photos a JOIN photos b ON a.session_id = b.session_id AND a.id <> b.id AND bit_count(xor(a.phash, b.phash)) <= 6") + """
-SELECT label AS group_id, session_id, id FROM c JOIN photos ON id = node WHERE label IN (SELECT label FROM c GROUP BY label HAVING count(*) > 1)""", "photos")
+SELECT label AS group_id, session_id, id FROM c JOIN photos ON id = node WHERE label IN (SELECT label FROM c GROUP BY label HAVING count(*) > 1)"""
+
+
+@query("E01_similar_groups", "SELECT * FROM similar_rows", "photos similar_rows")
 def similar_groups(c: Catalog) -> DataFrame:
     return simjoin.groups_within(c.photos)
 
 
-@query("E02_cross_session_groups", _COMPONENTS.format(
+DERIVED["cross_rows"] = _COMPONENTS.format(
     vertices="SELECT id AS vertex FROM photos WHERE session_id IS NOT NULL AND phash IS NOT NULL",
     edges="""SELECT a.id AS a, b.id AS b FROM photos a JOIN photos b ON a.session_id <> b.session_id AND bit_count(xor(a.phash, b.phash)) <= 4
       AND bit_count(a.phash) BETWEEN 3 AND 61 AND bit_count(b.phash) BETWEEN 3 AND 61""") + """
 , l AS (SELECT DISTINCT a FROM e), same AS (
   SELECT p.id, min(c.label) OVER (PARTITION BY p.session_id, p.phash) AS label FROM c JOIN photos p ON p.id = c.node JOIN l ON l.a = p.id)
-SELECT label AS group_id, session_id, photos.id FROM same JOIN photos USING (id)""", "photos")
+SELECT label AS group_id, session_id, photos.id FROM same JOIN photos USING (id)"""
+
+
+@query("E02_cross_session_groups", "SELECT * FROM cross_rows", "photos cross_rows")
 def cross_session_groups(c: Catalog) -> DataFrame:
     return simjoin.groups_across(c.photos)
 
@@ -52,11 +58,14 @@ def hash_labels(c: Catalog) -> DataFrame:
     return c.photos.select("id", simjoin.label("phash").alias("label"), simjoin.degenerate("phash").alias("degenerate"))
 
 
-@query("E04_face_groups", _COMPONENTS.format(
+DERIVED["face_rows"] = _COMPONENTS.format(
     vertices="SELECT id AS vertex FROM photos WHERE session_id IS NOT NULL",
     edges="""SELECT DISTINCT x.photo_id AS a, y.photo_id AS b FROM face_observations x JOIN photos p ON p.id = x.photo_id JOIN photos q ON q.session_id = p.session_id AND q.id <> p.id
       JOIN face_observations y ON y.photo_id = q.id AND bit_count(xor(x.appearance_hash, y.appearance_hash)) <= 10""") + """
-SELECT label AS group_id, session_id, id FROM c JOIN photos ON id = node WHERE label IN (SELECT label FROM c GROUP BY label HAVING count(*) > 1)""", "photos face_observations")
+SELECT label AS group_id, session_id, id FROM c JOIN photos ON id = node WHERE label IN (SELECT label FROM c GROUP BY label HAVING count(*) > 1)"""
+
+
+@query("E04_face_groups", "SELECT * FROM face_rows", "photos face_observations face_rows")
 def face_groups(c: Catalog) -> DataFrame:
     return simjoin.face_groups(c.view("face_observations"), c.photos)
 
@@ -156,10 +165,60 @@ def possible_blinks(c: Catalog) -> DataFrame:
     return sequence.blinks(sequence.bursts(c.photos, GAP), sequence.frames(c.photos, c.analysis, c.view("face_observations")))
 
 
+_KINDS = """
+SELECT group_type, group_id, session_id, id FROM members UNION ALL SELECT 'similar', group_id, session_id, id FROM similar_rows
+UNION ALL SELECT 'cross-session', group_id, session_id, id FROM cross_rows UNION ALL SELECT 'face', group_id, session_id, id FROM face_rows"""
+DERIVED["kinds"] = _KINDS
+_KIND_VIEWS = "photos face_observations bursts members similar_rows cross_rows face_rows kinds"
+
+
+def all_members(c: Catalog, across: bool = True) -> DataFrame:
+    """(group_type, group_id, session_id, id) of bursts, similar, face and, with across, cross-session groups."""
+    kinds = {"similar": similar_groups(c), "face": face_groups(c)} | ({"cross-session": cross_session_groups(c)} if across else {})
+    out = members(c)
+    for name, rows in kinds.items():
+        out = out.unionByName(rows.withColumn("group_type", F.lit(name)))
+    return out
+
+
+@query("E08_all_groups", "SELECT group_type, group_id, id FROM kinds", _KIND_VIEWS)
+def all_groups(c: Catalog) -> DataFrame:
+    return all_members(c).select("group_type", "group_id", "id")
+
+
+@query("E24_groups_of_tab", """
+SELECT group_type, group_id, count(*) AS photo_count, count(DISTINCT p.session_id) AS sessions FROM kinds k JOIN photos p ON p.id = k.id WHERE group_type IN ('face', 'cross-session') GROUP BY 1, 2""", _KIND_VIEWS)
+def groups_of_tab(c: Catalog) -> DataFrame:
+    """The group list of some kinds alone."""
+    return sequence.group_list(sequence.of_kinds(all_members(c), ["face", "cross-session"]), c.joined).select("group_type", "group_id", "photo_count", "sessions")
+
+
+@query("E26_similarity_summary", """
+SELECT group_type, groups, photos, hashed, failed FROM (SELECT group_type, count(DISTINCT group_id) AS groups, count(*) AS photos FROM kinds GROUP BY 1)
+CROSS JOIN (SELECT count(phash) AS hashed, count(*) FILTER (phash IS NULL) AS failed FROM photos)""", _KIND_VIEWS)
+def similarity_summary(c: Catalog) -> DataFrame:
+    """Groups and photos of each kind, beside the photos hashed and those that failed."""
+    return sequence.similarity_summary(all_members(c), c.photos)
+
+
+@query("E22_comparison_window", """
+SELECT session_id, start, string_agg(id::VARCHAR, ',' ORDER BY k) AS ids FROM (
+  SELECT *, max(CASE WHEN sharp = 1 THEN k END) OVER g AS f FROM (
+    SELECT b.session_id, b.start, b.id, count(*) OVER (PARTITION BY b.session_id, b.start) AS n, row_number() OVER (PARTITION BY b.session_id, b.start ORDER BY capture_datetime NULLS LAST, b.id) - 1 AS k,
+      row_number() OVER (PARTITION BY b.session_id, b.start ORDER BY sharpness DESC NULLS LAST, b.id) AS sharp
+    FROM bursts b JOIN photos p ON p.id = b.id LEFT JOIN analysis a ON a.photo_id = b.id) WINDOW g AS (PARTITION BY session_id, start))
+WHERE k >= greatest(0, least(f - 1, n - 4)) AND k < greatest(0, least(f - 1, n - 4)) + 4 GROUP BY 1, 2""", "photos analysis bursts")
+def comparison_window(c: Catalog) -> DataFrame:
+    """Up to four photos around the sharpest one of each burst, in order of capture, clamped to its ends."""
+    rows = sequence.bursts(c.photos, GAP).drop("session_id").join(c.joined, "id").select("session_id", "start", "id", "capture_datetime", "sharpness")
+    best = Window.partitionBy("session_id", "start").orderBy(F.col("sharpness").desc_nulls_last(), "id")
+    shown = sequence.comparison_window(rows.withColumn("focus", F.row_number().over(best) == 1), ["session_id", "start"])
+    return shown.groupBy("session_id", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
 def review_queue(c: Catalog) -> DataFrame:
-    """Photos of each session in order of capture with the bursts and equal-hash sequences they belong to."""
-    same = c.photos.where("session_id is not null and phash is not null").groupBy("session_id", "phash").agg(F.collect_list("id").alias("ids"), F.min("id").alias("group_id")).where(F.size("ids") > 1)
-    named = members(c).select("id", F.struct(F.lit("burst").alias("kind"), "group_id").alias("s")).unionByName(same.select(F.explode("ids").alias("id"), F.struct(F.lit("similar").alias("kind"), "group_id").alias("s")))
+    """Photos of each session in order of capture with the bursts, similar and face groups they belong to."""
+    named = all_members(c, across=False).select("id", F.struct(F.col("group_type").alias("kind"), "group_id").alias("s"))
     by = named.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("sequences"))
     order = Window.partitionBy("session_id").orderBy(F.col("capture_datetime").asc_nulls_last(), "id")
     return c.photos.where("session_id is not null").select("id", "session_id", (F.row_number().over(order) - 1).alias("index")).join(by, "id", "left")
@@ -167,9 +226,7 @@ def review_queue(c: Catalog) -> DataFrame:
 
 @query("E19_review_queue", """
 SELECT p.id, p.session_id, (row_number() OVER (PARTITION BY p.session_id ORDER BY capture_datetime NULLS LAST, p.id) - 1)::INTEGER AS index, coalesce(n, 0) AS sequences
-FROM photos p LEFT JOIN (
-  SELECT id, count(*) AS n FROM (SELECT id FROM bursts UNION ALL SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY session_id, phash) AS k FROM photos WHERE session_id IS NOT NULL AND phash IS NOT NULL) WHERE k > 1) GROUP BY id
-) s ON s.id = p.id WHERE p.session_id IS NOT NULL""", "photos bursts")
+FROM photos p LEFT JOIN (SELECT id, count(*) AS n FROM kinds WHERE group_type <> 'cross-session' GROUP BY id) s ON s.id = p.id WHERE p.session_id IS NOT NULL""", _KIND_VIEWS)
 def review_queue_sizes(c: Catalog) -> DataFrame:
     return review_queue(c).select("id", "session_id", "index", F.coalesce(F.size("sequences").cast("long"), F.lit(0)).alias("sequences")).withColumn("sequences", F.greatest("sequences", F.lit(0)))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lumenlake.functions import names
 from lumenlake.operators import curation
-from lumenlake.operators.tables import shared_dir
+from lumenlake.operators.tables import shared_dir, write_table
 from lumenlake.plans.registry import query
 from lumenlake.sources.catalog import Catalog, known_time, merge_rows
 from lumenlake.sources import exif
@@ -210,7 +210,7 @@ def dates_from_names(c: Catalog) -> DataFrame:
 SELECT id, coalesce(n, file_mtime) AS capture_datetime, CASE WHEN n IS NOT NULL THEN 'filename' WHEN file_mtime IS NOT NULL THEN 'mtime' END AS source FROM (
   SELECT *, {_NAMED} AS n FROM photos)""", "photos")
 def estimated_dates(c: Catalog) -> DataFrame:
-    rows = dates_from_names(c).join(c.photos.select("id", "file_mtime"), "id")
+    rows = c.photos.select("id", "file_mtime", names.name_dates()("filename").alias("capture_datetime"))
     return rows.select("id", F.coalesce("capture_datetime", "file_mtime").alias("capture_datetime"), F.when(F.col("capture_datetime").isNotNull(), "filename").when(F.col("file_mtime").isNotNull(), "mtime").alias("source"))
 
 
@@ -348,3 +348,39 @@ def applied_outcomes(c: Catalog) -> DataFrame:
 @query("F27_clean_labels", "SELECT p_partkey, CASE WHEN length(trim(p_name)) BETWEEN 1 AND 12 THEN trim(p_name) END AS label FROM part")
 def clean_labels(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", names.cleaned("p_name", 12).alias("label"))
+
+
+@query("A07_upserted_sessions", """
+SELECT id, CASE WHEN id % 2 = 0 AND id > 0 THEN 'Scan ' || id ELSE name END AS name, root_path FROM sessions
+UNION ALL SELECT (SELECT max(id) FROM sessions) + row_number() OVER (ORDER BY '/new/' || c_custkey), c_name, '/new/' || c_custkey FROM customer""", "sessions")
+def upserted_sessions(c: Catalog) -> DataFrame:
+    """A scan of known folders under new names and of as many unknown ones as there are customers."""
+    known = c.view("sessions").where("id % 2 = 0 and id > 0").select("root_path", F.concat(F.lit("Scan "), F.col("id").cast("string")).alias("name"))
+    fresh = c.table("customer").select(F.concat(F.lit("/new/"), F.col("c_custkey").cast("string")).alias("root_path"), F.col("c_name").alias("name"))
+    return curation.upserted_sessions(c.view("sessions"), known.unionByName(fresh))
+
+
+@query("F07_edited_collections", """
+WITH n AS (SELECT DISTINCT trim(p_brand) AS name FROM part), k AS (
+  SELECT id, CASE WHEN id = 2 THEN 'Two' ELSE name END AS name FROM collections
+  UNION ALL SELECT 99 + row_number() OVER (ORDER BY name), name FROM n WHERE name NOT IN (SELECT name FROM collections)
+)
+SELECT k.id, k.name, count(m.photo_id) AS photos FROM k LEFT JOIN collection_photos m ON m.collection_id = k.id WHERE k.id <> 3 GROUP BY 1, 2""", "collections collection_photos")
+def edited_collections(c: Catalog) -> DataFrame:
+    """Collections after some were created, one renamed, one refused its new name, and one deleted with its members."""
+    made = write_table(curation.created(c.view("collections"), c.table("part").select(F.col("p_brand").alias("name"))), "collections")
+    taken = made.where("id = 1").select(F.lit(4).cast("long").alias("id"), F.col("name").alias("new_name"))
+    changes = made.where("id = 2").select("id", F.lit("Two").alias("new_name")).unionByName(taken)
+    gone = made.where("id = 3").select("id")
+    left = curation.without_photos(curation.renamed(made, changes), "id", gone)
+    return curation.collection_list(left, curation.without_photos(c.view("collection_photos"), "collection_id", gone))
+
+
+@query("F14_appended_operations", "SELECT * FROM file_operations ORDER BY created_at DESC, id DESC LIMIT 200", "file_operations")
+def appended_operations(c: Catalog) -> DataFrame:
+    """The log written in two appends and read back."""
+    path = f"{shared_dir(c.spark)}/operations-{uuid.uuid4().hex}"
+    log = c.view("file_operations")
+    for part in (log.where("id % 2 = 0"), log.where("id % 2 = 1")):
+        curation.log_operations(path, part)
+    return curation.recent_operations(c.spark.read.schema(log.schema).parquet(path), 200)
