@@ -345,6 +345,27 @@ def test_index_stops_only_on_proof():
         assert scores.tolist() == sorted((int(v[own] @ w) for i, w in enumerate(v) if i != own), reverse=True)[:5]
 
 
+def test_index_leaves_postings_out_where_few_impacts_decide():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (2000, 32))
+    v[np.arange(2000), rng.integers(0, 32, 2000)] = rng.integers(200, 250, 2000)
+    v[:40, 5] = 240 + np.arange(40)
+    index = impact_index.ShardIndex(np.arange(2000), v)
+    assert index.postings == np.count_nonzero(v)
+    q = np.zeros((1, 32), np.int64)
+    q[0, 5] = 256
+    (_, scores), = index.top(q, np.array([-1]), 5)
+    assert scores.tolist() == sorted((int(q[0] @ w) for w in v), reverse=True)[:5] and index.touched < index.postings / 4
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_top_k_of_small_tables_with_clashing_columns(spark, rows):
+    frame = spark.createDataFrame([(50 * i, [float(i), 0.0]) for i in range(rows)], "vec_id long, embedding array<double>")
+    frame = frame.withColumns({c: F.lit("x") for c in ("v", "dims", "shard", "block", "batch", "ids", "packed", "q_ids", "score", "query_id")})
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in impact_index.top_k(frame, frame, 5).collect())
+    assert got == ([(0, 1, 50, 0), (0, 2, 100, 0), (50, 1, 100, 256 * 512), (50, 2, 0, 0), (100, 1, 50, 256 * 512), (100, 2, 0, 0)] if rows else [])
+
+
 # 6: co-training
 
 
