@@ -430,7 +430,7 @@ def fit(docs: DataFrame, most: int = TRAIN_WINDOWS) -> Tagger | None:
 
 
 def found(docs: DataFrame, model: Tagger | None) -> DataFrame:
-    """doc_id, the number of spans of each kind, base_sha256 and spans of every row."""
+    """doc_id, the number of spans of each kind, base_sha256, spans, their number and that of those the network added, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,9 +439,9 @@ def found(docs: DataFrame, model: Tagger | None) -> DataFrame:
                 each = all_spans([t or "" for t in part["text"].to_pylist()], model)
                 counts = [pa.array([sum(k == kind for _, k, _ in spans) for _, spans in each], pa.int64()) for kind in range(len(KINDS))]
                 digests = pa.array([hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in each])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *counts, digests, pa.array([spelled(spans) for _, spans in each])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *counts, digests, pa.array([spelled(spans) for _, spans in each]), pa.array([len(spans) for _, spans in each], pa.int64()), pa.array([len(spans) - len(base) for base, spans in each], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added"])
 
-    schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string"])
+    schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", "n_spans long", "n_added long"])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
