@@ -6,6 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The merged group of each raw scene group; a label that is missing here is other.
+MERGED_GROUPS = {
+    "nature": "nature",
+    "nature_water": "nature",
+    "urban": "urban",
+    "indoor_home": "home_stay",
+    "residential": "home_stay",
+    "hotel": "home_stay",
+    "indoor": "public_indoor",
+    "indoor_cultural": "public_indoor",
+    "indoor_retail": "public_indoor",
+    "workplace": "public_indoor",
+    "education": "public_indoor",
+    "healthcare": "public_indoor",
+    "religious": "faith_history",
+    "historic": "faith_history",
+    "sports": "sports_leisure",
+    "sports_stadium": "sports_leisure",
+    "food_dining": "food_night",
+    "public_transport": "transport",
+    "transport_vehicle": "transport",
+    "industrial": "industry",
+    "other": "other",
+}
+
+
+def merged_group(label: Column) -> Column:
+    """Merged group of a raw scene group; other where the label is unknown or null."""
+    known = F.create_map(*[F.lit(x) for pair in MERGED_GROUPS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.coalesce(label, F.lit("other"))), F.lit("other"))
+
+
+def marked_confusion(leaks: DataFrame, truth: str = "truth", top: str = "top") -> DataFrame:
+    """Confusion leaks with same_merged: whether both labels fall into one merged group, so that merging hides the leak."""
+    return leaks.withColumn("same_merged", merged_group(F.col(truth)) == merged_group(F.col(top)))
+
+
 def softmax_top(logits: str) -> list[Column]:
     """Index of the first largest logit and its softmax probability."""
     top = F.array_max(logits)

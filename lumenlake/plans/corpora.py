@@ -147,6 +147,19 @@ def confusion(c: Catalog) -> DataFrame:
     return evaluate.confusion(tops(c))
 
 
+_RAW = f"({list(evaluate.MERGED_GROUPS)})[{{0}} % 21 + 1]"
+_GROUP = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evaluate.MERGED_GROUPS.items()) + " END"
+
+
+@query("G25_marked_confusion", f"""
+SELECT truth, top, n, {_GROUP.format("truth")} = {_GROUP.format("top")} AS same_merged FROM (
+  SELECT {_RAW.format("truth")} AS truth, {_RAW.format("top")} AS top, count(*) AS n FROM tops WHERE {_RAW.format("truth")} <> {_RAW.format("top")} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10)""", "ranks tops")
+def marked_confusion(c: Catalog) -> DataFrame:
+    """Leaks between scene groups, marked where merging hides them."""
+    raw = lambda n: F.get(F.array(*map(F.lit, evaluate.MERGED_GROUPS)), (F.col(n) % 21).cast("int"))
+    return evaluate.marked_confusion(evaluate.confusion(tops(c).withColumns({"truth": raw("truth"), "top": raw("top")})))
+
+
 @query("G26_weak_recalls", "SELECT truth, count(*) AS n, avg((truth = top)::INTEGER) AS recall FROM tops GROUP BY 1 HAVING count(*) >= 10 ORDER BY 3, 1 LIMIT 15", "ranks tops", rounded="recall")
 def weak_recalls(c: Catalog) -> DataFrame:
     return evaluate.recalls(tops(c))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions import pixels
+from lumenlake.operators import evaluate
 from lumenlake.plans.registry import DERIVED, query
 from lumenlake.sources.catalog import Catalog
 
@@ -103,3 +104,15 @@ SELECT photo_id, sqrt(o * c) AS score, (a + cell % (640 // s)) * s - exp(p) * s
 def detections(c: Catalog) -> DataFrame:
     heads = c.table("lineitem").selectExpr("l_orderkey as photo_id", "case l_linenumber % 3 when 0 then 8 when 1 then 16 else 32 end as stride", "l_partkey % 400 as cell", "0.5D + 5 * l_discount as obj", "0.6D + 5 * l_tax as cls", "array(l_discount, l_tax, l_quantity / 50, l_linenumber / 10.0D) as box")
     return pixels.detections(heads)
+
+
+#: Raw labels by number; the last two are no scene groups.
+RAW = [*evaluate.MERGED_GROUPS, "unheard_of", "Nature"]
+_MERGED = "CASE raw " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evaluate.MERGED_GROUPS.items()) + " ELSE 'other' END"
+
+
+@query("B21_scene_groups", f"SELECT raw, {_MERGED} AS merged, count(*) AS n FROM (SELECT CASE WHEN photo_id % 9 > 0 THEN ({RAW})[photo_id % {len(RAW)} + 1] END AS raw FROM analysis) GROUP BY 1, 2", "analysis")
+def scene_groups(c: Catalog) -> DataFrame:
+    """Photos of each raw scene group with the merged group it falls into."""
+    raw = F.when(F.col("photo_id") % 9 > 0, F.get(F.array(*map(F.lit, RAW)), (F.col("photo_id") % len(RAW)).cast("int")))
+    return c.analysis.groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("n")).select("raw", evaluate.merged_group(F.col("raw")).alias("merged"), "n")

@@ -60,3 +60,47 @@ def test_suppressed_boxes_against_plain_loop(spark, small):
                 kept.append(r)
         want += len(kept)
     assert suppressed_boxes(c).count() == want
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    import difflib
+
+    from lumenlake.operators import corpus
+
+    left = ["street", "the old mill", "Restaurant/Bar", "ox", "the sea", "red_barn", "", "a b c"]
+    right = ["streets", "old mill", "restaurant bar", "the seas", "barn red", "ox", "the", "reads", "red barns"]
+    frame = lambda names: spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    plain = [[r.n for r in frame(x).orderBy("id").select(corpus.normalized("name").alias("n")).collect()] for x in (left, right)]
+    for least in (0.5, 0.8):
+        want = {}
+        for i, x in enumerate(plain[0]):
+            words = {w for w in x.split(" ") if len(w) > 2}
+            near = [(-difflib.SequenceMatcher(None, x, y).ratio(), j) for j, y in enumerate(plain[1]) if words and (words & {w for w in y.split(" ") if len(w) > 2} or x in y or (y and y in x))]
+            if near and -min(near)[0] >= least:
+                want[i] = min(near)[1]
+        assert {r.left_id: r.right_id for r in corpus.fuzzy_matches(frame(left), frame(right), least).collect()} == want
+
+
+def test_review_units_against_a_plain_loop(spark, small):
+    from lumenlake.plans.sequences import all_members
+    from lumenlake.sources.catalog import Catalog
+
+    c = Catalog(spark, small)
+    photos = sorted((r for r in c.photos.where("session_id is not null").collect()), key=lambda r: (r.capture_datetime is None, r.capture_datetime or "", r.id))
+    by: dict = {}
+    for m in all_members(c, across=False).collect():
+        by.setdefault((m.session_id, m.group_type, m.group_id), set()).add(m.id)
+    want = set()
+    for session in {r.session_id for r in photos}:
+        ids = [r.id for r in photos if r.session_id == session]
+        groups = [(("burst", "similar", "face").index(kind), min(map(ids.index, held)), group, kind, held) for (s, kind, group), held in by.items() if s == session]
+        claimed, units = set(), []
+        for *_, kind, held in sorted(groups, key=lambda g: g[:3]):
+            left = [i for i in ids if i in held and i not in claimed]
+            if len(left) > 1:
+                claimed |= set(left)
+                units.append((kind, left))
+        units += [("single", [i]) for i in ids if i not in claimed]
+        for n, (kind, held) in enumerate(sorted(units, key=lambda u: ids.index(u[1][0]))):
+            want |= {(session, n, kind, p, i) for p, i in enumerate(held)}
+    assert {(r.session_id, r.unit, r.kind, r.place, r.id) for r in QUERIES["E20_review_units"](spark, small).collect()} == want
