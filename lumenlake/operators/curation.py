@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import names
+from lumenlake.operators.tables import write_table
 from lumenlake.sources.catalog import merge_rows
 
 STATES = ("selected", "rejected", "needs_attention")
@@ -120,10 +121,11 @@ def rename_plan(photos: DataFrame, template: str, group_name: str, existing: Dat
 def numbered(photos: DataFrame, order: list | None = None) -> DataFrame:
     """photos with their place in an order, plan order by default, from 1, without ordering all in one task.
 
-    Rows are range-partitioned by the order; each partition counts itself and starts after those before it.
+    Rows are range-partitioned by the order and written, so that counts and numbers see the same ranges; each partition
+    counts itself and starts after those before it.
     """
     order = order or plan_order()
-    ranged = photos.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = write_table(photos.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

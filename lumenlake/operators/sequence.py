@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.operators.curation import numbered
+from lumenlake.operators.tables import write_table
+
 #: How open an eye is, and the version of the eye measurement that counts.
 OPEN, CLOSED, EYE_VERSION, SAME_FACE_BITS = 0.8, 0.2, 2, 10
 
@@ -18,30 +22,82 @@ def seconds(name: str) -> Column:
     return F.unix_timestamp(F.to_timestamp(name, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
+def _last_starts(gap: int, width: int):
+    """Column function of (times, period): times at which a burst may begin in the period, and for each the last start reached from it."""
+
+    @F.pandas_udf("entries array<bigint>, lasts array<bigint>")
+    def run(times: pd.Series, period: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, p in zip(times, period, strict=True):
+            after = np.searchsorted(t, t + gap, "right")
+            last = np.arange(len(t))
+            for i in range(len(t) - 1, -1, -1):
+                if after[i] < len(t):
+                    last[i] = last[after[i]]
+            known = np.searchsorted(t, p * width + gap - 1, "right") + 1
+            out.append((t[:known], t[last[:known]]))
+        return pd.DataFrame({"entries": [x for x, _ in out], "lasts": [y for _, y in out]})
+
+    return run
+
+
+def _carried(gap: int):
+    """Column function of a session's periods in order: the last start before each, null before the first."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(periods: pd.Series) -> pd.Series:
+        out = []
+        for rows in periods:
+            start, before = None, []
+            for row in rows:
+                before.append(start)
+                at = 0 if start is None else int(np.searchsorted(row["entries"], start + gap, "right"))
+                if at < len(row["entries"]):
+                    start = int(row["lasts"][at])
+            out.append(before)
+        return pd.Series(out)
+
+    return run
+
+
+def _starts(gap: int):
+    """Column function of (times, last start before them): the start that each time belongs to."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(times: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for t, start in zip(times, before, strict=True):
+            after = np.searchsorted(t, t + gap, "right")
+            at = int(np.searchsorted(t, start + gap, "right"))
+            found = np.full(len(t), start, "int64")
+            while at < len(t):
+                found[at : after[at]] = t[at]
+                at = int(after[at])
+            out.append(found)
+        return pd.Series(out)
+
+    return run
+
+
 def bursts(photos: DataFrame, gap: int = 3) -> DataFrame:
     """(session_id, start, id): photos within `gap` seconds of their burst's first photo, two at least.
 
-    A longer step between neighbours always ends a burst, so photos are first cut at such steps; only within
-    these short islands is the distance to the first photo folded.  A session is ordered day by day: what a day needs
-    of those before it, the last time and the start of an open island, comes from one row per day, so a session
-    that holds a large share of all photos is spread over tasks.
+    Only different times matter, so these are cut into periods of an hour, or of the gap if that is longer; a period holds at most
+    as many times as seconds.  Each period tells, for every time at which a burst may begin in its first `gap` seconds,
+    the last start reached from there.  One row per period then carries the last start through a session, and each period finds
+    its starts by itself, so nonstop shooting and a session with a large share of all photos are spread over tasks.
     """
     rows = photos.where("session_id is not null and capture_datetime is not null").select("session_id", "id", seconds("capture_datetime").alias("t"))
-    rows = rows.withColumn("day", F.floor(F.col("t") / max(86400, gap + 1)))
-    keys = ["session_id", "day"]
-    days = Window.partitionBy("session_id").orderBy("day")
-    last = rows.groupBy(*keys).agg(F.max("t").alias("t")).select(*keys, F.lag("t").over(days).alias("before"))
-    order = Window.partitionBy(*keys).orderBy("t", "id")
-    prior = F.coalesce(F.lag("t").over(order), F.col("before"))
-    cut = rows.join(last, keys).withColumn("new", F.when(prior.isNull() | (F.col("t") - prior > gap), F.col("t")))
-    opened = cut.groupBy(*keys).agg(F.max("new").alias("s")).select(*keys, F.max("s").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    island = F.coalesce(F.max("new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
-    islands = cut.join(opened, keys).withColumn("island", island).groupBy("session_id", "island").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("shots"))
-    islands = islands.where(F.size("shots") > 1)
-    starts = F.aggregate("shots", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.when((F.size(acc) > 0) & (x["t"] - F.element_at(acc, -1) <= gap), F.element_at(acc, -1)).otherwise(x["t"]))))
-    shots = islands.select("session_id", F.explode(F.arrays_zip("shots", starts.alias("starts"))).alias("s")).select("session_id", F.col("s.starts").alias("start"), F.col("s.shots.id").alias("id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("session_id", "start"))
-    return shots.withColumn("n", size).where("n > 1").drop("n")
+    width = max(3600, gap + 1)
+    times = rows.groupBy("session_id", F.floor(F.col("t") / width).alias("period"), "t").agg(F.count(F.lit(1)).alias("n"))
+    spans = times.groupBy("session_id", "period").agg(F.sort_array(F.collect_list(F.struct("t", "n"))).alias("shots"))
+    reach = spans.select("session_id", "period", _last_starts(gap, width)("shots.t", "period").alias("r"))
+    whole = reach.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("period", "r.entries", "r.lasts"))).alias("periods"))
+    chain = whole.select("session_id", F.explode(F.arrays_zip(F.col("periods.period").alias("period"), _carried(gap)("periods").alias("before"))).alias("c")).select("session_id", "c.period", F.coalesce("c.before", F.lit(-(2**62))).alias("before"))
+    found = spans.join(chain, ["session_id", "period"]).select("session_id", F.explode(F.arrays_zip("shots", _starts(gap)("shots.t", "before").alias("starts"))).alias("s"))
+    found = found.select("session_id", F.col("s.starts").alias("start"), F.col("s.shots.t").alias("t"), F.col("s.shots.n").alias("n"))
+    large = found.groupBy("session_id", "start").agg(F.sum("n").alias("photos")).where("photos > 1").select("session_id", "start")
+    return rows.join(found.join(large, ["session_id", "start"]).select("session_id", "t", "start"), ["session_id", "t"]).select("session_id", "start", "id")
 
 
 def eye_state(left: str, right: str) -> Column:
@@ -124,27 +180,30 @@ def page_order(name: str) -> list[Column]:
     return [*first[name], *time]
 
 
+def placed_within(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their place from 0 within a key, as column `name`; a key may hold most rows, as all are numbered range by range."""
+    all_ = numbered(rows, [F.col(key), *order])
+    first = all_.groupBy(key).agg(F.min("place").alias("_first"))
+    return all_.join(first, key).withColumn(name, (F.col("place") - F.col("_first")).cast("int")).drop("_first", *({"place"} - {name}))
+
+
 def review_units(queue: DataFrame) -> DataFrame:
     """(session_id, unit, kind, place, id): sequences claim photos in turn, the rest stand alone.
 
-    queue: session_id, id, index (order in the session), and sequences (array of kind, group_id).  The order in which sequences
-    claim matters, so a session is worked through as one group; a session is what one person reviews.
+    queue: session_id, id, index (order in the session), and sequences (array of kind, group_id).  A photo is in one sequence of each
+    kind at most, as bursts and connected groups are, so the sequences of one kind claim independently: each kind is a
+    round of joins, in which a sequence takes what earlier kinds left of it if that is two photos at least.
     """
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("index")
-        by: dict = {}
-        for i, named in zip(rows["index"], rows["sequences"], strict=True):
-            for s in named if named is not None else ():
-                by.setdefault((CLAIMS.index(s["kind"]), s["group_id"]), []).append(i)
-        used, units = set(), []
-        for key, at in sorted(by.items(), key=lambda x: (x[0][0], x[1][0], x[0][1])):
-            left = [i for i in at if i not in used]
-            if len(left) >= 2:
-                used.update(left)
-                units.append((CLAIMS[key[0]], left))
-        units += [("single", [i]) for i in rows["index"] if i not in used]
-        ids = dict(zip(rows["index"], rows["id"], strict=True))
-        out = [(rows["session_id"].iloc[0], n, kind, p, ids[i]) for n, (kind, at) in enumerate(sorted(units, key=lambda u: u[1][0])) for p, i in enumerate(at)]
-        return pd.DataFrame(out, columns=["session_id", "unit", "kind", "place", "id"])
-
-    return queue.groupBy("session_id").applyInPandas(claim, "session_id long, unit int, kind string, place int, id long")
+    flat = write_table(queue.select("session_id", "id", "index", F.explode_outer("sequences").alias("s")).select("session_id", "id", "index", "s.kind", "s.group_id"), "claims")
+    free, units = flat.select("session_id", "id", "index").distinct(), None
+    for kind in CLAIMS:
+        own = flat.where(F.col("kind") == kind).join(free.select("id"), "id", "left_semi")
+        size = own.groupBy("session_id", "group_id").agg(F.min("index").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        got = write_table(own.join(size, ["session_id", "group_id"]).select("session_id", "id", "index", "kind", "first"), "claimed")
+        free = free.join(got.select("id"), "id", "left_anti")
+        units = got if units is None else units.unionByName(got)
+    rows = units.unionByName(free.select("session_id", "id", "index", F.lit("single").alias("kind"), F.col("index").alias("first")))
+    rows = numbered(rows, [F.col("session_id"), F.col("first"), F.col("index")])
+    firsts = rows.groupBy("session_id", "first").agg(F.min("place").alias("_at"))
+    firsts = placed_within(firsts, "session_id", [F.col("first")], "unit")
+    return rows.join(firsts, ["session_id", "first"]).select("session_id", "unit", "kind", (F.col("place") - F.col("_at")).cast("int").alias("place"), "id")

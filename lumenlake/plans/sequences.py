@@ -220,8 +220,8 @@ def review_queue(c: Catalog) -> DataFrame:
     """Photos of each session in order of capture with the bursts, similar and face groups they belong to."""
     named = all_members(c, across=False).select("id", F.struct(F.col("group_type").alias("kind"), "group_id").alias("s"))
     by = named.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("sequences"))
-    order = Window.partitionBy("session_id").orderBy(F.col("capture_datetime").asc_nulls_last(), "id")
-    return c.photos.where("session_id is not null").select("id", "session_id", (F.row_number().over(order) - 1).alias("index")).join(by, "id", "left")
+    rows = c.photos.where("session_id is not null").select("id", "session_id", "capture_datetime")
+    return sequence.placed_within(rows, "session_id", [F.col("capture_datetime").asc_nulls_last(), F.col("id")], "index").drop("capture_datetime").join(by, "id", "left")
 
 
 @query("E19_review_queue", """

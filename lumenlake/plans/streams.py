@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import shared_dir
 from lumenlake.plans.registry import query
-from lumenlake.sources.catalog import Catalog, merge_rows
+from lumenlake.sources.catalog import Catalog
 from lumenlake.streaming import ingest
 
 
 @query("E28_activity_windows", "SELECT date_trunc('hour', ts) AS start, user_id AS session_id, count(*) AS frames FROM events GROUP BY 1, 2")
 def activity_windows(c: Catalog) -> DataFrame:
-    out = ingest.settled(ingest.activity(ingest.frames(c.spark, c.sf_dir)), "complete")
+    out = ingest.settled(ingest.activity(ingest.frames(c.spark, c.sf_dir)), "update", ["start", "session_id"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -39,18 +36,6 @@ def streaming_bursts(c: Catalog) -> DataFrame:
 
 @query("A29_continuous_ingest", "SELECT '/shoot/' || user_id::VARCHAR || '/' || (event_id % 500)::VARCHAR AS path, min(event_id) AS id, max(ts) AS t FROM events GROUP BY 1")
 def continuous_ingest(c: Catalog) -> DataFrame:
-    """New files become photo rows once: each micro-batch is merged by path, and merging it again changes nothing."""
-    path = lambda: f"{shared_dir(c.spark)}/photos-{uuid.uuid4().hex}"
-    first = path()
-    c.spark.createDataFrame([], "path string, id long, t timestamp").write.parquet(first)
-    versions = [first]
-
-    def merge(batch: DataFrame) -> None:
-        new = batch.groupBy("path").agg(F.min("id").alias("id"), F.max("t").alias("t"))
-        base = batch.sparkSession.read.parquet(versions[-1])
-        after = path()
-        merge_rows(base, new, "path", {"id": "old_first", "t": "new_first"}).write.parquet(after)
-        versions.append(after)
-
-    ingest.merged(ingest.frames(c.spark, c.sf_dir), merge)
-    return c.spark.read.parquet(versions[-1]).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    """New files become photo rows once: each micro-batch keeps its first id and last time of a path, which reading combines."""
+    out = ingest.folded(ingest.frames(c.spark, c.sf_dir), "path", {"id": F.min("id"), "t": F.max("t")})
+    return out.withColumn("t", F.col("t").cast("timestamp_ntz"))

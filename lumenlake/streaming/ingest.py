@@ -10,8 +10,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlake.operators.tables import shared_dir
 
@@ -23,18 +24,39 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), F.concat(F.lit("/shoot/"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 500).cast("string")).alias("path"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("t"))
 
 
-def settled(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all input that is there and return what it wrote; complete results replace each other."""
+def settled(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, brief: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run the stream over all input that is there and return what it wrote.
+
+    Each micro-batch writes a folder of its own, which it replaces if it runs again.  Complete results replace each other; in
+    update mode the row of the latest batch counts for each of the keys, so the state may forget what the watermark has passed.
+    brief: what to keep of a batch, with the stream's columns.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        (brief(batch) if brief else batch).write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch=-1")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    if mode == "append":
+        return out.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
+
+
+def folded(stream: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """One row per key of all that has arrived; rules: aggregates that may be taken again over their own results, under their inputs' names.
+
+    Each micro-batch keeps its own aggregates in a folder of its number, which it replaces if it runs again; so a batch costs what
+    it brings, and reading combines the batches.
+    """
+    brief = lambda rows: rows.groupBy(key).agg(*(rule.alias(name) for name, rule in rules.items()))
+    return brief(settled(stream.select(key, *rules), brief=brief))
 
 
 def activity(stream: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -54,13 +76,6 @@ def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("t", late).dropDuplicatesWithinWatermark(["path", "t"])
 
 
-def merged(stream: DataFrame, merge: Callable[[DataFrame], None]) -> None:
-    """Hand each micro-batch of new rows to a merge that may run again for the same rows, such as merge_rows into a table."""
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.option("checkpointLocation", base).trigger(availableNow=True).foreachBatch(lambda batch, n: merge(batch)).start()
-    query.awaitTermination()
-
-
 def bursts(stream: DataFrame, gap: int = 3, late: str = "1 hour") -> DataFrame:
     """(session_id, start, photos): bursts measured from their first frame, sent once no frame can join them any more."""
 

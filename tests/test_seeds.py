@@ -105,6 +105,51 @@ def test_bursts_are_measured_from_the_first_frame(spark):
     assert sorted(map(sorted, by.values())) == [[1, 2, 3], [5, 6], [7, 8]]
 
 
+def test_nonstop_shooting_against_a_plain_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for session, steps in ((1, [1]), (2, [0, 1, 2, 3]), (3, [1, 2, 3, 4, 5, 4000])):
+        t = 1_767_225_000
+        for _ in range(30_000 if session == 1 else 6_000):
+            t += draw.choice(steps)
+            rows.append((len(rows), session, t))
+    photos = spark.createDataFrame(rows, "id long, session_id long, t long").selectExpr("id", "session_id", "date_format(timestamp_seconds(t), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS capture_datetime")
+    for gap in (3, 3700):
+        want, at = {}, {}
+        for id_, session, t in rows:
+            if session not in at or t - at[session] > gap:
+                at[session] = t
+            want.setdefault((session, at[session]), set()).add(id_)
+        got: dict = {}
+        for r in sequence.bursts(photos, gap).collect():
+            got.setdefault((r.session_id, r.start), set()).add(r.id)
+        assert got == {k: v for k, v in want.items() if len(v) > 1}
+
+
+def test_review_units_claim_in_turn(spark):
+    kinds = "array<struct<kind:string,group_id:long>>"
+    held = {0: [("burst", 7), ("similar", 1)], 1: [("similar", 1)], 2: [("burst", 7), ("similar", 1)], 3: [("similar", 1), ("face", 4)], 4: [("face", 4), ("similar", 9)], 5: None, 6: [], 7: [("similar", 9)]}
+    queue = spark.createDataFrame([(1, 100 + i, i, s) for i, s in held.items()] + [(2, 200, 0, [("burst", 7)])], f"session_id long, id long, index int, sequences {kinds}")
+    got = {(r.session_id, r.unit, r.kind, r.place, r.id) for r in sequence.review_units(queue).collect()}
+    assert got == {(1, 0, "burst", 0, 100), (1, 0, "burst", 1, 102), (1, 1, "similar", 0, 101), (1, 1, "similar", 1, 103), (1, 2, "similar", 0, 104), (1, 2, "similar", 1, 107), (1, 3, "single", 0, 105), (1, 4, "single", 0, 106), (2, 0, "single", 0, 200)}
+
+
+def test_stream_results_over_several_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lumenlake.streaming import ingest
+
+    for n, rows in enumerate(([("a", 5, 10), ("b", 2, 20)], [("a", 1, 30)], [("b", 9, 15), ("c", 3, 40)])):
+        spark.createDataFrame(rows, "path string, id long, s long").selectExpr("path", "id", "timestamp_seconds(s) AS t", "1L AS session_id").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+    stream = lambda: spark.readStream.schema("path string, id long, t timestamp, session_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    kept = ingest.folded(stream(), "path", {"id": F.min("id"), "t": F.max("t")}).collect()
+    assert {(r.path, r.id, int(r.t.timestamp())) for r in kept} == {("a", 1, 30), ("b", 2, 20), ("c", 3, 40)}
+    windows = ingest.settled(ingest.activity(stream()), "update", ["start", "session_id"]).collect()
+    assert [(r.session_id, r.frames) for r in windows] == [(1, 5)]
+
+
 def test_hash_groups(spark):
     base = 0x1234567890ABCDEF
     signed = lambda v: v - (1 << 64) if v >> 63 else v
