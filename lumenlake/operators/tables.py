@@ -48,13 +48,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = write_table(once.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "edges")
     found = live.select(F.col("a").alias("node")).distinct().withColumn("cur", F.col("node"))
     while not live.isEmpty():
-        up = live.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        up = write_table(up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a"), "left").select("x.a", F.coalesce("y.p", "x.p").alias("p")), "parents")
+        # a table of its own, so that the join reads both sides from exchanges that Spark can split at a pointer that many nodes share
+        near = write_table(live.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "nearest")
+        up = write_table(near.alias("x").join(near.alias("y"), F.col("x.p") == F.col("y.a"), "left").select("x.a", F.coalesce("y.p", "x.p").alias("p")), "parents")
         left, right = up.select("a", F.col("p").alias("pa")), up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         after = write_table(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         moved = found.join(up.withColumnRenamed("a", "cur"), "cur", "left").select("node", F.coalesce("p", "cur").alias("cur"))
         before, found = (live, found), write_table(moved, "labels")
-        for old in (up, *before):
+        for old in (near, up, *before):
             drop_table(old) if old.inputFiles() else None
         live = after
     return found.select("node", F.col("cur").alias("label"))
