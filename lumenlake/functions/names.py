@@ -61,6 +61,18 @@ def duration(days: Column) -> Column:
     return F.when(days.isNull(), "unknown").when(hours < 1, "< 1 hour").when(days < 1, whole(hours, "hours")).when(days < 10, F.concat(_fixed(days, 1), F.lit(" days"))).otherwise(whole(days, "days"))
 
 
+def iso(v: Column) -> Column:
+    return F.when(v.isNull(), "unavailable").otherwise(F.round(v).cast("long").cast("string"))
+
+
+def group_label(kind: Column, count: Column) -> Column:
+    """What a card of a group says: its kind and how many photos it holds."""
+    n = count.cast("string")
+    face = F.concat(n, F.lit(" matching face appearances"))
+    near = F.when(count == 2, "2 similar").otherwise(F.concat(n, F.lit(" similar photographs")))
+    return F.when(kind == "burst", F.concat(F.lit("burst \u00b7 "), n)).when(kind == "face", face).otherwise(near)
+
+
 def aperture(v: Column) -> Column:
     return F.when(v.isNull(), "unavailable").otherwise(F.concat(F.lit("f/"), _fixed(v, 1)))
 

@@ -191,7 +191,8 @@ def detections(heads: DataFrame, least: float = 0.7, side: int = 640) -> DataFra
     """Candidate boxes of detector heads (photo_id, stride, cell, obj, cls, box): score, x, y, w, h.
 
     A cell's box is an offset from its corner in strides, and a size as the exponent of one; the score is the
-    geometric mean of the two heads.
+    geometric mean of the two heads.  Heads with `points`, the offsets of the eyes and of further landmarks, also
+    give right_eye and left_eye as structs of x and y.
     """
     grid = F.lit(side) / F.col("stride")
     row, column = F.floor(F.col("cell") / grid), F.col("cell") % grid
@@ -199,7 +200,21 @@ def detections(heads: DataFrame, least: float = 0.7, side: int = 640) -> DataFra
     w, h = F.exp(F.get("box", F.lit(2))) * s, F.exp(F.get("box", F.lit(3))) * s
     x, y = (F.get("box", F.lit(0)) + column) * s - w / 2, (F.get("box", F.lit(1)) + row) * s - h / 2
     out = heads.withColumn("score", F.sqrt(F.col("obj") * F.col("cls"))).where(F.col("score") >= least)
-    return out.select("photo_id", "score", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    point = lambda i: F.struct(
+        ((F.get("points", F.lit(2 * i)) + column) * s).alias("x"), ((F.get("points", F.lit(2 * i + 1)) + row) * s).alias("y")
+    )
+    eyes = [point(0).alias("right_eye"), point(1).alias("left_eye")] if "points" in heads.columns else []
+    return out.select("photo_id", "score", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), *eyes)
+
+
+#: Files of more bytes and images of more pixels are not searched for faces.
+MOST_BYTES = 256 * 1024 * 1024
+MOST_PIXELS = 250_000_000
+
+
+def too_large(size: Column, width: Column, height: Column, most_bytes: int = MOST_BYTES, most_pixels: int = MOST_PIXELS) -> Column:
+    """Whether a photo is stamped as having no faces without being decoded; unknown dimensions are no reason."""
+    return F.coalesce(size > most_bytes, F.lit(False)) | F.coalesce(width.cast("long") * height > most_pixels, F.lit(False))
 
 
 def face_hash(rgb: np.ndarray, x: float, y: float, w: float, h: float, margin: float = 0.18, least: int = 12) -> int | None:

@@ -94,12 +94,21 @@ def region_queries(classes: DataFrame, regions: list[str], each: int = 8) -> Dat
     return rows.select("fine", region.alias("region"), F.concat(region, F.lit(" "), "fine").alias("query"))
 
 
-def plain_text(html: str) -> Column:
-    """Text of a markup: tags gone, five common entities read, blanks single."""
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
+def _unescaped(text: Column) -> Column:
+    """Five common entities read."""
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return text
+
+
+def plain_text(html: str) -> Column:
+    """Text of a markup: tags gone, five common entities read, blanks single."""
+    return F.trim(F.regexp_replace(_unescaped(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
+
+
+def stripped_markup(html: str) -> Column:
+    """A short markup without its tags, five common entities read; empty for null."""
+    return F.trim(_unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", "")))
 
 
 def within_quota(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
@@ -139,7 +148,121 @@ def mapped(places: DataFrame, classes: DataFrame, overrides: DataFrame, drops: D
     return exact.withColumn("how", F.lit("exact")).unionByName(overrides.withColumn("how", F.lit("override"))).select("place", "class_id", "how")
 
 
+def class_map(
+    places: DataFrame, classes: DataFrame, additions: DataFrame, drops: DataFrame, overrides: DataFrame, groups: DataFrame, least: float = 0.8
+) -> DataFrame:
+    """(name, mid, class_name, score, coarse, how) of each place name that finds a class.
+
+    places (name) meet classes (mid, name) by equal normalised names (the smallest mid of several), the others by
+    `fuzzy_matches`.  additions (name, class_name) come before both if there is such a class, whatever the case; drops
+    (name) take names out; overrides (name, mid, class_name) come before all.  groups (class_name, coarse) is looked up by
+    the class's name in lower case with underscores, else other.  Scores are rounded to three places.
+    """
+    named = places.select("name").where("name is not null").distinct().withColumn("norm", normalized("name"))
+    known = classes.select("mid", F.col("name").alias("class_name"))
+    by_norm = known.groupBy(normalized("class_name").alias("norm")).agg(F.min(F.struct("mid", "class_name")).alias("k")).select("norm", "k.*")
+    exact = named.join(by_norm, "norm").select("name", "mid", "class_name", F.lit(1.0).alias("score"), F.lit("1 exact").alias("how"))
+    rest = named.join(by_norm, "norm", "left_anti").select(F.col("name").alias("id"), "name")
+    near = fuzzy_matches(rest, classes.select(F.col("mid").alias("id"), "name"), least).withColumnsRenamed({"left_id": "name", "right_id": "mid"})
+    fuzzy = near.join(known, "mid").select("name", "mid", "class_name", "score", F.lit("2 fuzzy").alias("how"))
+    by_name = known.groupBy(F.lower("class_name").alias("_key")).agg(F.min(F.struct("mid", "class_name")).alias("k")).select("_key", "k.*")
+    added = additions.select("name", F.lower("class_name").alias("_key")).join(by_name, "_key")
+    added = added.withColumns({"_x": normalized("name"), "_y": normalized("class_name")}).withColumn("score", _ratio("_x", "_y"))
+    added = added.select("name", "mid", "class_name", "score", F.lit("3 added").alias("how"))
+    kept = exact.unionByName(fuzzy).unionByName(added).join(drops.select("name"), "name", "left_anti")
+    every = kept.unionByName(overrides.select("name", "mid", "class_name", F.lit(1.0).alias("score"), F.lit("4 override").alias("how")))
+    best = every.groupBy("name").agg(F.max(F.struct("how", "mid", "class_name", "score")).alias("b"))
+    best = best.select("name", "b.mid", "b.class_name", F.round("b.score", 3).alias("score"), F.substring("b.how", 3, 8).alias("how"))
+    key = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    coarse = groups.groupBy(key("class_name").alias("_key")).agg(F.min("coarse").alias("coarse"))
+    out = best.withColumn("_key", key("class_name")).join(coarse, "_key", "left")
+    return out.select("name", "mid", "class_name", "score", F.coalesce("coarse", F.lit("other")).alias("coarse"), "how")
+
+
+#: Parts of a short licence name that refuse it, and names that are taken as they stand.
+REFUSED_LICENCES = ["by-sa", "by-nc", "by-nd", "nc-sa", "sharealike", "non-free"]
+TAKEN_LICENCES = ["cc by", "cc by 1.0", "cc by 2.0", "cc by 2.5", "cc by 3.0", "cc by 4.0", "cc0", "cc0 1.0", "cc-zero"]
+
+
 def free_licence(name: str) -> Column:
-    """Whether a licence lets the image be used: public domain, CC0, or attribution with or without share-alike."""
-    n = F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit(" "))
-    return n.rlike(r"^(cc0|pdm|public domain|cc by( sa)?( [0-9.]+)?$)")
+    """Whether a short licence name asks for attribution at most: share-alike, non-commercial and unknown ones do not pass."""
+    n = F.lower(F.trim(_unescaped(F.col(name))))
+    refused = n.rlike("|".join(REFUSED_LICENCES))
+    public = F.contains(n, F.lit("public domain")) | n.rlike("^(pd[- ]|no restrictions)")
+    return F.coalesce(~refused & (n.isin(TAKEN_LICENCES) | public), F.lit(False))
+
+
+def free_address(address: str) -> Column:
+    """Whether a licence's address is that of attribution 2.0 or of the public domain."""
+    return F.coalesce(F.lower(F.col(address)).rlike(r"creativecommons\.org/licenses/by/2\.0|publicdomain"), F.lit(False))
+
+
+def image_manifest(images: DataFrame, ids: DataFrame) -> DataFrame:
+    """(image_id, url, author, licence, title) of the wanted image_ids whose licence address is free.
+
+    images (image_id, url, author, licence, title, and thumbnail if the source has small copies, whose address is then given).
+    """
+    url = "thumbnail" if "thumbnail" in images.columns else "url"
+    free = images.where(free_address("licence")).join(ids.select("image_id"), "image_id", "left_semi")
+    return free.select("image_id", F.col(url).alias("url"), "author", "licence", "title")
+
+
+def _first_unseen(rows: DataFrame, key: str, seen: DataFrame) -> DataFrame:
+    """Rows whose key was not seen, the first by place of each key."""
+    new = rows.join(seen.select(key), key, "left_anti")
+    rest = [c for c in rows.columns if c != key]
+    first = new.groupBy(key).agg(F.min(F.struct("place", *[c for c in rest if c != "place"])).alias("_r"))
+    return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def crawled_images(results: DataFrame, seen: DataFrame, least: int) -> DataFrame:
+    """(page_id, place, fine, query, title, licence, thumb, artist) of search results that can be used.
+
+    results (page_id, place, fine, query, title, mime, width, height, thumb, licence, artist): JPEG of `least` pixels both ways
+    with a small copy's address and a free licence; a page that seen (page_id) holds, or an earlier place, is left out.
+    """
+    fit = (F.col("mime") == "image/jpeg") & (F.col("width") >= least) & (F.col("height") >= least) & (F.col("thumb") != "")
+    good = results.where(fit & free_licence("licence")).withColumns({"licence": F.trim("licence"), "artist": stripped_markup("artist")})
+    return _first_unseen(good.select("page_id", "place", "fine", "query", "title", "licence", "thumb", "artist"), "page_id", seen)
+
+
+def searched_images(results: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, place, fine, query, url, licence) of results with an id that is new and an address; the licence as `CC BY 2.0`."""
+    licence = F.trim(F.concat(F.lit("CC "), F.upper(F.coalesce("licence", F.lit(""))), F.lit(" "), F.coalesce("version", F.lit(""))))
+    url = F.coalesce(F.when(F.col("thumbnail") != "", F.col("thumbnail")), F.when(F.col("url") != "", F.col("url")))
+    good = results.withColumns({"licence": licence, "url": url}).where("id is not null and url is not null")
+    return _first_unseen(good.select("id", "place", "fine", "query", "url", "licence"), "id", seen)
+
+
+def first_copies(rows: DataFrame, within: list[str]) -> DataFrame:
+    """(digest, *within, seq): the first row of each content within each split."""
+    return rows.groupBy(F.sha1("content").alias("digest"), *within).agg(F.min("seq").alias("seq"))
+
+
+def clean_subset(rows: DataFrame) -> DataFrame:
+    """Rows whose label a human gave."""
+    return rows.where(F.col("source") == TRUST[0])
+
+
+def validation_rows(rows: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
+    """(path, fine, confidence, source): labelled images (image_id, fine, confidence) of known classes (fine) whose file is held (path)."""
+    path = F.concat(F.lit("img/"), "image_id", F.lit(".jpg"))
+    rows = rows.select(path.alias("path"), "fine", "confidence", F.lit(TRUST[0]).alias("source"))
+    return rows.join(classes.select("fine"), "fine", "left_semi").join(held.select("path"), "path", "left_semi").select("path", "fine", "confidence", "source")
+
+
+def write_corpus(folder: str, kept: DataFrame, validation: DataFrame, audited: DataFrame) -> None:
+    """Sorted CSV with headers: train, train_clean (human labels), val and audit, each a folder of its own.
+
+    kept and validation have path, fine, confidence and source, audited has path, fine and region_query.
+    """
+    shown = lambda df: df.select("path", "fine", F.format_string("%.3f", F.col("confidence").cast("double")).alias("confidence"), "source")
+    splits = {"train": shown(kept), "train_clean": shown(clean_subset(kept)), "val": shown(validation), "audit": audited.select("path", "fine", "region_query")}
+    for name, rows in splits.items():
+        rows.orderBy(*rows.columns).write.option("header", True).csv(f"{folder}/{name}")
+
+
+def cooldowns(rows: DataFrame, pause: int = 300) -> DataFrame:
+    """(source, until): per source the end of the pause after its last refusal (source, ts, detail) that names code 429."""
+    last = rows.where(F.contains("detail", F.lit("429"))).groupBy("source").agg(F.max("ts").alias("last"))
+    return last.select("source", (F.col("last") + F.make_dt_interval(secs=F.lit(pause))).alias("until"))

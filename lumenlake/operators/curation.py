@@ -82,6 +82,17 @@ def added_members(members: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("collection_id", "photo_id").agg(F.min("added_at").alias("added_at")).join(members, ["collection_id", "photo_id"], "left_anti")
 
 
+def cleared_states(states: DataFrame, photos: DataFrame) -> DataFrame:
+    """Review states without those of the given photo_ids."""
+    return states.join(photos.select("photo_id"), "photo_id", "left_anti").select(*states.columns)
+
+
+def removed_members(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """Collection members without the given pairs of collection_id and photo_id."""
+    pair = ["collection_id", "photo_id"]
+    return members.join(gone.select(*pair), pair, "left_anti").select(*members.columns)
+
+
 def without_photos(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """A child table after photos (id) were deleted."""
     return table.join(gone.select(F.col("id").alias(key)), key, "left_anti")

@@ -82,6 +82,35 @@ def region_audit(rows: DataFrame) -> DataFrame:
     return by.crossJoin(by.agg(F.max("accuracy").alias("_best"))).withColumn("gap", F.col("_best") - F.col("accuracy")).drop("_best")
 
 
+#: First words of a query that name its region; any other query is global.
+REGIONS = """indian nigerian ethiopian kenyan egyptian moroccan chinese japanese korean vietnamese thai indonesian filipino turkish iranian
+arab israeli russian polish greek spanish portuguese italian mexican brazilian peruvian colombian argentinian cuban nepalese""".split()
+
+
+def region_of(query: str) -> Column:
+    """The region that the first word of a query names, else global."""
+    first = F.element_at(F.split(F.coalesce(F.col(query), F.lit("")), " "), 1)
+    return F.when(first.isin(REGIONS), first).otherwise("global")
+
+
+def region_delta(audited: DataFrame) -> DataFrame:
+    """(regions, delta): how far the best region of a region audit is from the worst; null below two regions."""
+    many, spread = F.count(F.lit(1)), F.max("accuracy") - F.min("accuracy")
+    return audited.agg(many.alias("regions"), F.when(many > 1, spread).alias("delta"))
+
+
+def merged_accuracy(rows: DataFrame) -> DataFrame:
+    """(n, accuracy): rows (truth: array of labels, top: label) whose top falls into the merged group of a true label, in percent."""
+    hit = F.array_contains(F.transform("truth", merged_group), merged_group(F.col("top")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (100.0 * F.avg(F.coalesce(hit, F.lit(False)).cast("double"))).alias("accuracy"))
+
+
+def any_true(rows: DataFrame, truth: str, guess: str, key: str = "image_id") -> DataFrame:
+    """Percent of keys whose guess is among the labels of any of their rows."""
+    by = rows.groupBy(key).agg(F.max(F.coalesce(F.col(truth) == F.col(guess), F.lit(False)).cast("double")).alias("_hit"))
+    return by.agg((100.0 * F.avg("_hit")).alias("accuracy"))
+
+
 def temperature(rows: DataFrame, low: float = 0.5, step: float = 0.05, n: int = 51) -> DataFrame:
     """(temperature, nll) over a grid, from one aggregate over (x, y): a logit and whether its label is true."""
     grid = [round(low + step * i, 10) for i in range(n)]

@@ -200,8 +200,8 @@ def release_gates(c: Catalog) -> DataFrame:
 def any_true(c: Catalog) -> DataFrame:
     """Images whose surest label is among their labels' groups."""
     rows = c.view("label_rows")
-    truth = rows.groupBy("image_id").agg(F.collect_set("coarse").alias("truth"))
-    return corpus.single_label(rows).join(truth, "image_id").agg((100.0 * F.avg(F.array_contains("truth", F.col("coarse")).cast("double"))).alias("accuracy"))
+    guesses = corpus.single_label(rows).select("image_id", F.col("coarse").alias("guess"))
+    return evaluate.any_true(rows.join(guesses, "image_id"), "coarse", "guess")
 
 
 @query("G02_class_mapping", """
@@ -221,13 +221,13 @@ def multi_label_rows(c: Catalog) -> DataFrame:
     return chosen(c).withColumn("confidence", F.format_string("%.3f", "confidence")).select("image_id", "mid", "fine", "coarse", "confidence").orderBy("image_id", "mid", "fine", "coarse", "confidence")
 
 
-@query("G09_licence_gates", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'CC BY 2.0' WHEN 1 THEN 'cc-by-sa-4.0' WHEN 2 THEN 'CC BY-NC 4.0' WHEN 3 THEN 'Public domain' WHEN 4 THEN 'CC0' ELSE '' END AS licence, page_id % 6 IN (0, 1, 3, 4) AS free FROM pages")
+@query("G09_licence_gates", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'CC BY 2.0' WHEN 1 THEN 'cc-by-sa-4.0' WHEN 2 THEN 'CC BY-NC 4.0' WHEN 3 THEN 'Public domain' WHEN 4 THEN 'CC0' ELSE '' END AS licence, page_id % 6 IN (0, 3, 4) AS free FROM pages")
 def licence_gates(c: Catalog) -> DataFrame:
     names = F.array(*map(F.lit, ["CC BY 2.0", "cc-by-sa-4.0", "CC BY-NC 4.0", "Public domain", "CC0", ""]))
     return c.table("pages").select("page_id", F.element_at(names, (F.col("page_id") % 6 + 1).cast("int")).alias("licence")).withColumn("free", corpus.free_licence("licence"))
 
 
-@query("G10_image_manifest", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '&size=small' END AS url, 'page ' || page_id::VARCHAR AS title FROM pages WHERE url IS NOT NULL AND page_id % 6 IN (0, 1, 3, 4)")
+@query("G10_image_manifest", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '&size=small' END AS url, 'page ' || page_id::VARCHAR AS title FROM pages WHERE url IS NOT NULL AND page_id % 6 IN (0, 3, 4)")
 def image_manifest(c: Catalog) -> DataFrame:
     """Free images with their small copy's address where there is one."""
     small = F.when(F.col("page_id") % 3 != 0, F.concat("url", F.lit("&size=small")))
@@ -238,19 +238,19 @@ def image_manifest(c: Catalog) -> DataFrame:
 @query("G11_split_dedup", "SELECT sha1(content) AS digest, fine, min(seq) AS seq FROM corpus GROUP BY content, fine", "corpus")
 def split_dedup(c: Catalog) -> DataFrame:
     """The first row of each content within a split."""
-    return c.view("corpus").select(F.sha1("content").alias("digest"), "fine", "seq").groupBy("digest", "fine").agg(F.min("seq").alias("seq"))
+    return corpus.first_copies(c.view("corpus"), ["fine"])
 
 
 @query("G14_clean_subset", "SELECT path, fine FROM corpus WHERE source = 'human'", "corpus")
 def clean_subset(c: Catalog) -> DataFrame:
-    return c.view("corpus").where("source = 'human'").select("path", "fine")
+    return corpus.clean_subset(c.view("corpus")).select("path", "fine")
 
 
 @query("G19_cooldowns", "SELECT event_type AS source, max(ts) + INTERVAL 300 SECOND AS until FROM events WHERE event_id % 13 = 0 GROUP BY 1")
 def cooldowns(c: Catalog) -> DataFrame:
     """Per source the end of the pause after its last refusal with code 429."""
     rows = c.table("events").select(F.col("event_type").alias("source"), "ts", F.when(F.col("event_id") % 13 == 0, "HTTP 429: slow down").otherwise("ok").alias("detail"))
-    return rows.groupBy("source").agg(F.max(F.when(F.contains("detail", F.lit("429")), F.col("ts"))).alias("last")).select("source", (F.col("last") + F.expr("interval 300 seconds")).alias("until")).where("until is not null")
+    return corpus.cooldowns(rows)
 
 
 _MERGED = "CASE WHEN {0} < 4 THEN 'people' WHEN {0} < 16 THEN 'nature' WHEN {0} < 40 THEN 'city' ELSE 'other' END"

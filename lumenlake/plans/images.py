@@ -94,7 +94,7 @@ def merged_groups(c: Catalog) -> DataFrame:
 @query("B22_size_guard", "SELECT id, CASE WHEN size_bytes > 5000000 OR width * height > 9000000 THEN 0 END AS face_count, size_bytes > 5000000 OR coalesce(width * height > 9000000, false) AS refused FROM photos", "photos")
 def size_guard(c: Catalog) -> DataFrame:
     """Files and images beyond a size are stamped as having no faces and count as done."""
-    refused = (F.col("size_bytes") > 5_000_000) | F.coalesce(F.col("width") * F.col("height") > 9_000_000, F.lit(False))
+    refused = pixels.too_large(F.col("size_bytes"), F.col("width"), F.col("height"), 5_000_000, 9_000_000)
     return c.photos.select("id", F.when(refused, 0).alias("face_count"), refused.alias("refused"))
 
 

@@ -13,7 +13,7 @@ from lumenlake.functions import names
 from lumenlake.operators import curation
 from lumenlake.operators.tables import shared_dir, write_table
 from lumenlake.plans.registry import query
-from lumenlake.sources.catalog import Catalog, known_time, merge_rows
+from lumenlake.sources.catalog import Catalog, capture_provenance as provenance, known_time, merge_rows
 from lumenlake.sources import exif
 from lumenlake.sources.files import extension_class, manifest, orientation_of, scan_summary, with_names
 
@@ -275,7 +275,7 @@ FROM (SELECT *, CASE WHEN id % 3 = 0 THEN exif_at END AS e, CASE WHEN id % 2 = 0
 def capture_provenance(c: Catalog) -> DataFrame:
     """A read date before an estimate before what is stored."""
     read, guess = F.when(F.col("id") % 3 == 0, F.col("exif_at")), F.when(F.col("id") % 2 == 0, F.col("file_mtime"))
-    return c.photos.select("id", F.coalesce(read, guess, "capture_datetime").alias("capture_datetime"), F.when(read.isNotNull(), "exif").when(guess.isNotNull(), "filename").otherwise(F.col("capture_datetime_source")).alias("source"))
+    return c.photos.select("id", *provenance(read, guess, "capture_datetime", "capture_datetime_source"))
 
 
 @query("A25_owned_columns", "SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 50.0::DOUBLE ELSE sharpness END AS sharpness, face_count, scene_fine FROM analysis", "analysis")
@@ -305,7 +305,7 @@ def tolerant_manifest(c: Catalog) -> DataFrame:
 
 @query("F02_cleared_states", "SELECT * FROM selections WHERE photo_id % 5 <> 0", "selections")
 def cleared_states(c: Catalog) -> DataFrame:
-    return c.view("selections").join(c.photos.where("id % 5 = 0").select(F.col("id").alias("photo_id")), "photo_id", "left_anti").select("photo_id", "state", "updated_at")
+    return curation.cleared_states(c.view("selections"), c.photos.where("id % 5 = 0").select(F.col("id").alias("photo_id")))
 
 
 @query("F06_review_progress", "SELECT session_id, max(id) AS focused_photo_id, count(*) AS unit_index FROM photos WHERE session_id IS NOT NULL AND session_id % 3 = 0 GROUP BY 1", "photos")
@@ -321,7 +321,7 @@ def review_progress(c: Catalog) -> DataFrame:
 @query("F09_removed_members", "SELECT * FROM collection_photos WHERE NOT (collection_id = 3 AND photo_id % 2 = 0)", "collection_photos")
 def removed_members(c: Catalog) -> DataFrame:
     m = c.view("collection_photos")
-    return m.join(m.where("collection_id = 3 and photo_id % 2 = 0").select("collection_id", "photo_id"), ["collection_id", "photo_id"], "left_anti")
+    return curation.removed_members(m, m.where("collection_id = 3 and photo_id % 2 = 0"))
 
 
 @query("F13_moved_paths", "SELECT id, CASE WHEN id % 4 = 0 THEN '/moved' || path ELSE path END AS path, CASE WHEN id % 8 = 0 THEN 1 ELSE size_bytes END AS size_bytes FROM photos", "photos")

@@ -135,6 +135,12 @@ def known_time() -> Column:
     return F.coalesce("capture_datetime", "indexed_at")
 
 
+def capture_provenance(read: Column, guessed: Column, stored: str, source: str) -> list[Column]:
+    """capture_datetime and source: a date that was read before one estimated from the name before the stored one."""
+    whence = F.when(read.isNotNull(), "exif").when(guessed.isNotNull(), "filename").otherwise(F.col(source))
+    return [F.coalesce(read, guessed, stored).alias("capture_datetime"), whence.alias("source")]
+
+
 def merge_rows(base: DataFrame, delta: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """base brought up to date by delta, one row per key, by one full outer join.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,40 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_summary(files: DataFrame) -> DataFrame:
-    """Visible files, indexed ones and ignored ones."""
-    return with_names(files).agg(F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("class") != "ignored").alias("indexed"), F.count_if(F.col("class") == "ignored").alias("ignored"))
+    """Visible files, indexed ones and ignored ones; also errors, where files say by `failed` which could not be read."""
+    used = F.col("class") != "ignored"
+    counts = [F.count(F.lit(1)).alias("total_files"), F.count_if(used).alias("indexed"), F.count_if(~used).alias("ignored")]
+    errors = [F.count_if(used & F.col("failed")).alias("errors")] if "failed" in files.columns else []
+    return with_names(files).agg(*counts, *errors)
+
+
+def _header_size(head: bytes | None) -> tuple[int, int] | None:
+    """Width and height that the head of a PNG or JPEG file states."""
+    head = bytes(head or b"")
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR" and len(head) >= 24:
+        return int.from_bytes(head[16:20], "big"), int.from_bytes(head[20:24], "big")
+    at = 2 if head[:2] == b"\xff\xd8" else len(head)
+    while at + 9 <= len(head) and head[at] == 0xFF:
+        kind, length = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if kind == 0xFF:
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(head[at + 7 : at + 9], "big"), int.from_bytes(head[at + 5 : at + 7], "big")
+        else:
+            at += 2 + max(length, 2)
+    return None
+
+
+def header_dimensions(files: DataFrame) -> DataFrame:
+    """files (content, ...) with width and height read from PNG and JPEG heads in place of content; null if they state none, or a zero."""
+
+    @F.pandas_udf("width long, height long")
+    def read(content: pd.Series) -> pd.DataFrame:
+        sizes = [_header_size(c) or (0, 0) for c in content]
+        known = lambda i: pd.array([s[i] if min(s) > 0 else None for s in sizes], dtype="Int64")
+        return pd.DataFrame({"width": known(0), "height": known(1)})
+
+    return files.withColumn("_size", read("content")).select(*[c for c in files.columns if c != "content"], "_size.*")
 
 
 def dimensions(spark: SparkSession, folder: str) -> DataFrame:

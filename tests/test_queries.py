@@ -104,3 +104,44 @@ def test_review_units_against_a_plain_loop(spark, small):
         for n, (kind, held) in enumerate(sorted(units, key=lambda u: ids.index(u[1][0]))):
             want |= {(session, n, kind, p, i) for p, i in enumerate(held)}
     assert {(r.session_id, r.unit, r.kind, r.place, r.id) for r in QUERIES["E20_review_units"](spark, small).collect()} == want
+
+
+def test_class_map_against_plain_loop(spark):
+    import difflib
+    import re
+
+    from lumenlake.operators import corpus
+
+    plain = lambda n: re.sub(r"[^a-z0-9 ]+", " ", n.strip().lstrip("/").replace("_", " ").lower())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    places = ["street", "streets", "Street", "movie theater indoor", "old_mill", "the mill", "church", "grotto", "zen garden", "unheard of", "city", "city"]
+    classes = {"/m/1": "Street", "/m/2": "Movie theater", "/m/3": "Old mill", "/m/4": "Church", "/m/5": "Garden", "/m/6": "grotto", "/m/7": "church"}
+    additions, drops = {"zen garden": "GARDEN", "old_mill": "church", "lost": "Nowhere"}, ["grotto", "city"]
+    overrides, groups = {"city": ("/m/9", "City Centre"), "church": ("/m/4", "Church")}, {"church": "religious", "city_centre": "urban"}
+
+    want = {}
+    for label in dict.fromkeys(places):
+        equal = sorted(m for m, n in classes.items() if plain(n) == plain(label))
+        words = {w for w in plain(label).split() if len(w) > 2}
+        near = sorted((-ratio(plain(label), plain(n)), m) for m, n in classes.items() if words & {w for w in plain(n).split() if len(w) > 2} or plain(n) in plain(label) or plain(label) in plain(n))
+        if equal:
+            want[label] = (equal[0], classes[equal[0]], 1.0, "exact")
+        elif near and -near[0][0] >= 0.8:
+            want[label] = (near[0][1], classes[near[0][1]], round(-near[0][0], 3), "fuzzy")
+    for label, name in additions.items():
+        if found := sorted(m for m, n in classes.items() if n.lower() == name.lower()):
+            want[label] = (found[0], classes[found[0]], round(ratio(plain(label), plain(classes[found[0]])), 3), "added")
+    want = {k: v for k, v in want.items() if k not in drops} | {k: (m, n, 1.0, "override") for k, (m, n) in overrides.items()}
+    want = {k: (*v[:3], groups.get(v[1].lower().replace(" ", "_"), "other"), v[3]) for k, v in want.items()}
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = corpus.class_map(
+        frame([(p,) for p in places], "name string"),
+        frame(list(classes.items()), "mid string, name string"),
+        frame(list(additions.items()), "name string, class_name string"),
+        frame([(d,) for d in drops], "name string"),
+        frame([(k, *v) for k, v in overrides.items()], "name string, mid string, class_name string"),
+        frame(list(groups.items()), "class_name string, coarse string"),
+    )
+    assert {r["name"]: (r.mid, r.class_name, r.score, r.coarse, r.how) for r in got.collect()} == want
+    assert {"exact", "fuzzy", "added", "override"} == {v[4] for v in want.values()}
