@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import cotraining, edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, pii, spaced_seed, warc_store
+from lumenlake.llm import backoff_automaton, cotraining, edit_join, grammar_runs, impact_index, langid, line_hash_dedup, mixing, order_minhash, pii, spaced_seed, warc_store, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_runs.document_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_automaton.scored(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_hash_dedup": op2_line_hash_dedup,
@@ -67,8 +79,16 @@ QUERIES = {
     "op8_language_hierarchy": op8_language_hierarchy,
     "op9_pii_bilstm_crf": op9_pii_bilstm_crf,
     "op10_warc_store": op10_warc_store,
+    "op11_whitening": op11_whitening,
+    "op12_grammar_runs": op12_grammar_runs,
+    "op13_backoff_automaton": op13_backoff_automaton,
 }
 
+#: CRC-32 of the decimal doc_id, which DuckDB lacks: the digits' codes and eight shifts after each.
+CRC = """xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [ord(c)::UBIGINT] || list_transform(range(8), lambda i: 1000::UBIGINT)))),
+  lambda a, x: CASE WHEN x = 1000 THEN xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) ELSE xor(a, x) END))::BIGINT"""
+
 ORACLE_SQL = {
     "op1_pareto_mix": r"""
 WITH d AS (
@@ -202,4 +222,48 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN n >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id < last_id THEN last_id END AS refers_to
 FROM m""",
+    "op12_grammar_runs": rf"""
+WITH d0 AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CASE WHEN doc_id IS NULL THEN 1 ELSE {CRC} END AS h FROM documents
+), d1 AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0
+), d2 AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d1
+), w AS (
+  SELECT doc_id, n, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM d2)
+), e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), g AS (
+  SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island, i FROM e
+), r0 AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM r0 GROUP BY doc_id, start, length
+), s AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY doc_id
+), k AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * top.l // top.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(s.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op13_backoff_automaton": rf"""
+WITH d AS (
+  SELECT doc_id, {CRC} % 10 = 0 AS held_out, list_concat([' '], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)]) AS t FROM documents
+), p AS (
+  SELECT doc_id, held_out, unnest(t) AS w, unnest(range(len(t))) AS i FROM d
+), g AS (
+  SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM p
+), one AS (
+  SELECT w, count(*) AS c FROM g WHERE NOT held_out GROUP BY w
+), two AS (
+  SELECT h, w, count(*) AS c FROM g WHERE NOT held_out AND i > 0 GROUP BY h, w
+), a AS (
+  SELECT sum(c)::BIGINT AS n, count(*) AS v FROM one WHERE w <> ' '
+), s AS (
+  SELECT g.doc_id, g.held_out, coalesce(one.c, 0) AS c, coalesce(two.c, 0) AS c2, coalesce(before.c, 0) AS ch, n, (coalesce(one.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p
+  FROM g CROSS JOIN a LEFT JOIN one ON one.w = g.w LEFT JOIN one before ON before.w = g.h LEFT JOIN two ON two.h = g.h AND two.w = g.w WHERE i > 0
+)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, sum(log10(p)) AS base_score, sum(log10((c2 + {backoff_automaton.MU} * p) / (ch + {backoff_automaton.MU}))) AS score
+FROM s GROUP BY doc_id""",
 }
