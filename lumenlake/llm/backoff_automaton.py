@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import write_table
 
 #: Characters of a block, n-grams of a shard.
-BLOCK, SHARD = 8_000_000, 2_000_000
+BLOCK, SHARD = 3_000_000, 2_000_000
 #: Longest n-gram, and the weight of the shorter history in tokens.
 ORDER, MU = 2, 200.0
 #: Added to each count of single tokens.
