@@ -8,68 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators.curation import numbered
-from lumenlake.operators.tables import write_table
+from lumenlake.operators.tables import drop_table, write_table
 
 #: How open an eye is, and the version of the eye measurement that counts.
 OPEN, CLOSED, EYE_VERSION, SAME_FACE_BITS = 0.8, 0.2, 2, 10
-
-
-#: Order in which the kinds of sequences claim photos for review.
-CLAIMS = ["burst", "similar", "face"]
+#: Different times of a session that are walked as one array; longer sessions are spread over rows.
+SESSION_TIMES = 4096
 
 
 def seconds(name: str) -> Column:
     return F.unix_timestamp(F.to_timestamp(name, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-def _last_starts(gap: int, width: int):
-    """Column function of (times, period): times at which a burst may begin in the period, and for each the last start reached from it."""
-
-    @F.pandas_udf("entries array<bigint>, lasts array<bigint>")
-    def run(times: pd.Series, period: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, p in zip(times, period, strict=True):
-            after = np.searchsorted(t, t + gap, "right")
-            last = np.arange(len(t))
-            for i in range(len(t) - 1, -1, -1):
-                if after[i] < len(t):
-                    last[i] = last[after[i]]
-            known = np.searchsorted(t, p * width + gap - 1, "right") + 1
-            out.append((t[:known], t[last[:known]]))
-        return pd.DataFrame({"entries": [x for x, _ in out], "lasts": [y for _, y in out]})
-
-    return run
-
-
-def _carried(gap: int):
-    """Column function of a session's periods in order: the last start before each, null before the first."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(periods: pd.Series) -> pd.Series:
-        out = []
-        for rows in periods:
-            start, before = None, []
-            for row in rows:
-                before.append(start)
-                at = 0 if start is None else int(np.searchsorted(row["entries"], start + gap, "right"))
-                if at < len(row["entries"]):
-                    start = int(row["lasts"][at])
-            out.append(before)
-        return pd.Series(out)
-
-    return run
-
-
 def _starts(gap: int):
-    """Column function of (times, last start before them): the start that each time belongs to."""
+    """Column function of a session's times in order: the start that each belongs to."""
 
     @F.pandas_udf("array<bigint>")
-    def run(times: pd.Series, before: pd.Series) -> pd.Series:
+    def run(times: pd.Series) -> pd.Series:
         out = []
-        for t, start in zip(times, before, strict=True):
-            after = np.searchsorted(t, t + gap, "right")
-            at = int(np.searchsorted(t, start + gap, "right"))
-            found = np.full(len(t), start, "int64")
+        for t in times:
+            after, at, found = np.searchsorted(t, t + gap, "right"), 0, np.zeros(len(t), "int64")
             while at < len(t):
                 found[at : after[at]] = t[at]
                 at = int(after[at])
@@ -79,23 +37,74 @@ def _starts(gap: int):
     return run
 
 
+def _next_starts(times: DataFrame, gap: int) -> DataFrame:
+    """(session_id, t, next): for each time the first one of its session more than gap seconds later, null if there is none.
+
+    Times and the marks t + gap + 1 are ordered together by ranges; a mark takes the first time behind it, from
+    its own range or, at a range's end, from the first later range that has one.
+    """
+    shot = times.select("session_id", F.col("t").alias("at"), F.col("t").alias("shot"), F.lit(None).cast("long").alias("t"))
+    mark = times.select("session_id", (F.col("t") + gap + 1).alias("at"), F.lit(None).cast("long").alias("shot"), "t")
+    both = shot.unionByName(mark)
+    ranged = write_table(both.repartitionByRange("session_id", "at").withColumn("_part", F.spark_partition_id()), "marks")
+    place = F.when(F.col("shot").isNotNull(), F.struct("session_id", "shot"))
+    firsts = ranged.groupBy("_part").agg(F.min(place).alias("_own"))
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range: as many as there are shuffle partitions
+    firsts = firsts.select("_part", F.last("_own", ignorenulls=True).over(later).alias("_later"))
+    behind = Window.partitionBy("_part").orderBy(F.desc("session_id"), F.desc("at"), F.col("shot").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = ranged.withColumn("_found", F.last(place, ignorenulls=True).over(behind)).where("t is not null").join(F.broadcast(firsts), "_part")
+    found = F.coalesce("_found", "_later")
+    return met.select("session_id", "t", F.when(found["session_id"] == F.col("session_id"), found["shot"]).alias("next"))
+
+
+def _reached(times: DataFrame, gap: int) -> DataFrame:
+    """(session_id, start): the first time of each session and all that are reached from it by going to the next start.
+
+    Pointers are doubled: after k rounds the first 2^k starts are known and each pointer leads 2^k starts on.  A row holds
+    one pointer, so neither a long session nor a long gap makes any row or group large.
+    """
+    jump = write_table(_next_starts(times, gap).where("next is not null"), "jumps")
+    known = write_table(times.groupBy("session_id").agg(F.min("t").alias("start")), "starts")
+    while True:
+        more = write_table(known.join(jump.withColumnRenamed("t", "start"), ["session_id", "start"]).select("session_id", F.col("next").alias("start")), "starts")
+        if more.isEmpty():
+            return known
+        known, old = write_table(known.unionByName(more), "starts"), (known, more)
+        further = jump.alias("x").join(jump.alias("y"), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.next") == F.col("y.t")))
+        jump, old = write_table(further.select("x.session_id", "x.t", "y.next"), "jumps"), (*old, jump)
+        for table in old:
+            drop_table(table)
+
+
+def _placed(times: DataFrame, starts: DataFrame) -> DataFrame:
+    """(session_id, start, t, n): each time (session_id, t, n) with the last start at or before it."""
+    rows = times.join(starts.select("session_id", F.col("start").alias("t"), F.col("start")), ["session_id", "t"], "left")
+    ranged = write_table(rows.repartitionByRange("session_id", "t").withColumn("_part", F.spark_partition_id()), "placed")
+    lasts = ranged.groupBy("_part").agg(F.max(F.when(F.col("start").isNotNull(), F.struct("session_id", "start"))).alias("_own"))
+    lasts = lasts.select("_part", F.last("_own", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    run = Window.partitionBy("_part").orderBy("session_id", "t").rowsBetween(Window.unboundedPreceding, 0)
+    # a session begins with a start, so what comes before in a range is of the same session
+    met = ranged.withColumn("_start", F.last("start", ignorenulls=True).over(run)).join(F.broadcast(lasts), "_part")
+    return met.select("session_id", F.coalesce("_start", "_before.start").alias("start"), "t", "n")
+
+
 def bursts(photos: DataFrame, gap: int = 3) -> DataFrame:
     """(session_id, start, id): photos within `gap` seconds of their burst's first photo, two at least.
 
-    Only different times matter, so these are cut into periods of an hour, or of the gap if that is longer; a period holds at most
-    as many times as seconds.  Each period tells, for every time at which a burst may begin in its first `gap` seconds,
-    the last start reached from there.  One row per period then carries the last start through a session, and each period finds
-    its starts by itself, so nonstop shooting and a session with a large share of all photos are spread over tasks.
+    Only different times matter.  Sessions of up to SESSION_TIMES of them are walked as one array; the starts of longer ones
+    are found by doubling pointers from each time to the next possible start, whatever the gap, and times take the last start before
+    them range by range.  Both ways give the same starts.
     """
     rows = photos.where("session_id is not null and capture_datetime is not null").select("session_id", "id", seconds("capture_datetime").alias("t"))
-    width = max(3600, gap + 1)
-    times = rows.groupBy("session_id", F.floor(F.col("t") / width).alias("period"), "t").agg(F.count(F.lit(1)).alias("n"))
-    spans = times.groupBy("session_id", "period").agg(F.sort_array(F.collect_list(F.struct("t", "n"))).alias("shots"))
-    reach = spans.select("session_id", "period", _last_starts(gap, width)("shots.t", "period").alias("r"))
-    whole = reach.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("period", "r.entries", "r.lasts"))).alias("periods"))
-    chain = whole.select("session_id", F.explode(F.arrays_zip(F.col("periods.period").alias("period"), _carried(gap)("periods").alias("before"))).alias("c")).select("session_id", "c.period", F.coalesce("c.before", F.lit(-(2**62))).alias("before"))
-    found = spans.join(chain, ["session_id", "period"]).select("session_id", F.explode(F.arrays_zip("shots", _starts(gap)("shots.t", "before").alias("starts"))).alias("s"))
+    times = write_table(rows.groupBy("session_id", "t").agg(F.count(F.lit(1)).alias("n")), "times")
+    long = write_table(times.groupBy("session_id").agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") > SESSION_TIMES).select("session_id"), "long-sessions")
+    short = times.join(long, "session_id", "left_anti").groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", "n"))).alias("shots"))
+    found = short.select("session_id", F.explode(F.arrays_zip("shots", _starts(gap)("shots.t").alias("starts"))).alias("s"))
     found = found.select("session_id", F.col("s.starts").alias("start"), F.col("s.shots.t").alias("t"), F.col("s.shots.n").alias("n"))
+    if not long.isEmpty():
+        own = times.join(long, "session_id", "left_semi")
+        found = found.unionByName(_placed(own, _reached(own, gap)))
     large = found.groupBy("session_id", "start").agg(F.sum("n").alias("photos")).where("photos > 1").select("session_id", "start")
     return rows.join(found.join(large, ["session_id", "start"]).select("session_id", "t", "start"), ["session_id", "t"]).select("session_id", "start", "id")
 
@@ -187,22 +196,47 @@ def placed_within(rows: DataFrame, key: str, order: list[Column], name: str) ->
     return all_.join(first, key).withColumn(name, (F.col("place") - F.col("_first")).cast("int")).drop("_first", *({"place"} - {name}))
 
 
+def _claims(flat: DataFrame) -> DataFrame | None:
+    """Photos that sequences claim (session_id, id, index, rank); null if there are no sequences.
+
+    flat: session_id, id, index, rank; sequences claim in order of rank what is free of their photos, if that is two at least.
+    Each round settles every sequence that comes first at all its free photos: no earlier one can take any of them.
+    Sequences left with one free photo go at once.
+    """
+    live, units = write_table(flat, "claims"), None
+    while not live.isEmpty():
+        first = live.groupBy("id").agg(F.min("rank").alias("_first"))
+        size = live.join(first, "id").groupBy("session_id", "rank").agg(F.count(F.lit(1)).alias("_n"), F.min((F.col("rank") == F.col("_first")).cast("int")).alias("_mine"))
+        settled = write_table(size.where("_n < 2 or _mine = 1"), "settled")
+        got = write_table(live.join(settled.where("_n > 1").select("session_id", "rank"), ["session_id", "rank"]).select(*flat.columns), "claimed")
+        units = got if units is None else units.unionByName(got)
+        rest = live.join(settled.select("session_id", "rank"), ["session_id", "rank"], "left_anti").join(got.select("id"), "id", "left_anti")
+        live, old = write_table(rest.select(*flat.columns), "claims"), live
+        drop_table(old)
+    return units
+
+
 def review_units(queue: DataFrame) -> DataFrame:
     """(session_id, unit, kind, place, id): sequences claim photos in turn, the rest stand alone.
 
-    queue: session_id, id, index (order in the session), and sequences (array of kind, group_id).  A photo is in one sequence of each
-    kind at most, as bursts and connected groups are, so the sequences of one kind claim independently: each kind is a
-    round of joins, in which a sequence takes what earlier kinds left of it if that is two photos at least.
+    queue: session_id, id, index (order in the session), and sequences (array of kind, group_id), in which a photo may be in
+    any number of sequences.  Bursts claim first, then similar and face groups together by the index of their first photo,
+    both as kind `similar`; equal places go to similar groups before face groups, then to the smaller group_id.  Sequences of
+    one photo of the session are none.
     """
-    flat = write_table(queue.select("session_id", "id", "index", F.explode_outer("sequences").alias("s")).select("session_id", "id", "index", "s.kind", "s.group_id"), "claims")
-    free, units = flat.select("session_id", "id", "index").distinct(), None
-    for kind in CLAIMS:
-        own = flat.where(F.col("kind") == kind).join(free.select("id"), "id", "left_semi")
-        size = own.groupBy("session_id", "group_id").agg(F.min("index").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        got = write_table(own.join(size, ["session_id", "group_id"]).select("session_id", "id", "index", "kind", "first"), "claimed")
-        free = free.join(got.select("id"), "id", "left_anti")
-        units = got if units is None else units.unionByName(got)
-    rows = units.unionByName(free.select("session_id", "id", "index", F.lit("single").alias("kind"), F.col("index").alias("first")))
+    flat = queue.select("session_id", "id", "index", F.explode("sequences").alias("s")).select("session_id", "id", "index", "s.kind", "s.group_id").distinct()
+    heads = flat.groupBy("session_id", "kind", "group_id").agg(F.min("index").alias("_at"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    tier = F.when(F.col("kind") == "burst", 0).otherwise(1)
+    rank = F.struct(tier.alias("tier"), F.col("_at").alias("at"), (F.col("kind") != "similar").cast("int").alias("face"), "group_id")
+    flat = flat.join(heads, ["session_id", "kind", "group_id"]).select("session_id", "id", "index", rank.alias("rank"))
+    units = _claims(flat)
+    alone = queue.select("session_id", "id", "index").distinct()
+    rows = alone.select("*", F.lit("single").alias("kind"), F.col("index").alias("first"))
+    if units is not None:
+        first = units.groupBy("session_id", "rank").agg(F.min("index").alias("first"))
+        kind = F.when(F.col("rank.tier") == 0, "burst").otherwise("similar")
+        taken = units.join(first, ["session_id", "rank"]).select("session_id", "id", "index", kind.alias("kind"), "first")
+        rows = rows.join(units.select("id"), "id", "left_anti").select(*taken.columns).unionByName(taken)
     rows = numbered(rows, [F.col("session_id"), F.col("first"), F.col("index")])
     firsts = rows.groupBy("session_id", "first").agg(F.min("place").alias("_at"))
     firsts = placed_within(firsts, "session_id", [F.col("first")], "unit")

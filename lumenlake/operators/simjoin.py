@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import components
+from lumenlake.operators.tables import components, write_table
 
 #: Bits that set too few or too many bits to tell images apart.
 FLAT_BITS = 2
+#: Hashes of a chunk; two chunks are compared at once, in a table of CHUNK * CHUNK distances.
+CHUNK = 1024
 
 
 def distance(a: str, b: str) -> Column:
@@ -95,11 +99,72 @@ def _sized(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(large, keys, "left_semi")
 
 
+def _linked(most: int):
+    """Column function of two chunks of hashes with their vertices, and whether they are one chunk: links that connect all vertices within `most` bits.
+
+    Of the pairs within `most` bits only as many come back as connect the same vertices: one fewer than there are at most.
+    """
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def run(hash_a: pd.Series, vertex_a: pd.Series, hash_b: pd.Series, vertex_b: pd.Series, same: pd.Series) -> pd.Series:
+        out = []
+        for ha, va, hb, vb, one in zip(hash_a, vertex_a, hash_b, vertex_b, same, strict=True):
+            ha, hb = np.asarray(ha, np.int64), np.asarray(hb, np.int64)
+            near = np.bitwise_count((ha[:, None] ^ hb[None, :]).view(np.uint64)) <= most
+            group_a, before = np.arange(len(ha)), None
+            # each round takes the smallest group of all that are near over one hash of the other chunk
+            while before is None or (group_a != before).any():
+                before = group_a
+                group_b = np.where(near, group_a[:, None], len(ha)).min(axis=0, initial=len(ha))
+                if one:
+                    group_b = np.minimum(group_b, group_a)
+                group_a = np.minimum(group_a, np.where(near, group_b[None, :], len(ha)).min(axis=1, initial=len(ha)))
+            links = [(va[i], va[g]) for i, g in enumerate(group_a.tolist()) if g != i]
+            if not one:
+                links += [(vb[j], va[g]) for j, g in enumerate(group_b.tolist()) if g < len(ha)]
+            out.append([{"a": int(x), "b": int(y)} for x, y in links])
+        return pd.Series(out)
+
+    return run
+
+
+def connecting_links(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b): links that connect the vertices of rows (scope, hash, vertex) whose hashes lie within `most` bits in one scope.
+
+    Hashes of a scope must be distinct.  A scope of up to CHUNK of them is one cell; larger ones have a cell for each value of
+    each of most + 1 blocks of bits, of which two hashes within `most` bits share one.  Cells are cut into chunks of about CHUNK
+    hashes, and every two chunks of a cell are compared in one row; a row returns fewer links than it holds vertices.
+    """
+    n = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("_n"))
+    met = rows.join(n, "scope")
+    edges = [64 * i // (most + 1) for i in range(most + 2)]
+    cut = lambda i: F.concat_ws(":", F.lit(str(i)), F.substring(F.lpad(F.bin("hash"), 64, "0"), edges[i] + 1, edges[i + 1] - edges[i]))
+    cells = F.when(F.col("_n") <= CHUNK, F.array(F.lit(""))).otherwise(F.array(*[cut(i) for i in range(most + 1)]))
+    celled = write_table(met.select("scope", "hash", "vertex", F.explode(cells).alias("cell")), "cells")
+    sizes = celled.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("chunks", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n")
+    chunk = F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int").alias("chunk")
+    packed = celled.join(sizes, ["scope", "cell"]).groupBy("scope", "cell", "chunks", chunk).agg(F.collect_list(F.struct("hash", "vertex")).alias("h"))
+    packed = write_table(packed, "chunks")
+    left = packed.select("scope", "cell", F.col("chunk").alias("i"), F.col("h").alias("x"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"))
+    right = packed.select("scope", "cell", F.col("chunk").alias("j"), F.col("h").alias("y"))
+    both = left.join(right, ["scope", "cell", "j"])
+    return both.select(F.inline(_linked(most)("x.hash", "x.vertex", "y.hash", "y.vertex", F.col("i") == F.col("j")))).select("a", "b")
+
+
+def face_links(faces: DataFrame, photos: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b): links between photos of a session that connect all those that share a face's appearance within `most` bits.
+
+    A hash of a session is one vertex, its smallest photo, to which its other photos are linked.  Hashes within `most` bits link
+    their smallest photos: that loses nothing, since where these are the same photo, it alone joins the two.
+    """
+    rows = faces.join(photos.select("id", "session_id"), F.col("photo_id") == F.col("id")).where("session_id is not null and appearance_hash is not null")
+    held = write_table(rows.select(F.col("session_id").alias("scope"), F.col("appearance_hash").alias("hash"), "id").distinct(), "faces")
+    vertex = held.groupBy("scope", "hash").agg(F.min("id").alias("vertex"))
+    same = held.join(vertex, ["scope", "hash"]).select(F.col("id").alias("a"), F.col("vertex").alias("b"))
+    return same.unionByName(connecting_links(vertex, most)).where("a <> b")
+
+
 def face_groups(faces: DataFrame, photos: DataFrame, most: int = 10) -> DataFrame:
     """(group_id, session_id, id): photos of a session that share a face's appearance within `most` bits."""
-    rows = faces.join(photos.select("id", "session_id"), F.col("photo_id") == F.col("id")).where("session_id is not null")
-    # one vertex for each photo and face; links between faces of the same photo do not count
-    face = rows.select(F.struct("photo_id", "face_index").alias("vertex"), F.col("session_id").alias("scope"), F.col("appearance_hash").alias("hash"))
-    edges = pairs(face, most).select(F.col("a.photo_id").alias("a"), F.col("b.photo_id").alias("b")).where("a <> b").distinct()
-    linked = components(edges)
+    linked = components(face_links(faces, photos, most))
     return photos.select("id", "session_id").join(linked, F.col("id") == F.col("node")).select(F.col("label").alias("group_id"), "session_id", "id")

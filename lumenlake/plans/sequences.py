@@ -231,7 +231,25 @@ def review_queue_sizes(c: Catalog) -> DataFrame:
     return review_queue(c).select("id", "session_id", "index", F.coalesce(F.size("sequences").cast("long"), F.lit(0)).alias("sequences")).withColumn("sequences", F.greatest("sequences", F.lit(0)))
 
 
-@query("E20_review_units")
+@query("E20_review_units", """
+WITH RECURSIVE o AS (
+  SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY capture_datetime NULLS LAST, id) - 1 AS i FROM photos WHERE session_id IS NOT NULL
+), q AS (
+  SELECT o.session_id, CASE WHEN group_type = 'burst' THEN 'burst' ELSE 'similar' END AS kind, group_type, group_id, array_agg(o.id ORDER BY i) AS ids, min(i) AS first
+  FROM kinds JOIN o ON o.id = kinds.id WHERE group_type <> 'cross-session' GROUP BY ALL HAVING count(*) > 1
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY kind <> 'burst', first, group_type <> 'similar', group_id) AS n FROM q
+), r AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS n, '' AS kind, []::BIGINT[] AS got, []::BIGINT[] AS used FROM s
+  UNION ALL
+  SELECT session_id, n, kind, CASE WHEN len(f) > 1 THEN f ELSE [] END, CASE WHEN len(f) > 1 THEN list_concat(used, f) ELSE used END
+  FROM (SELECT s.session_id, s.n, s.kind, r.used, list_filter(s.ids, lambda x: NOT list_contains(r.used, x)) AS f FROM r JOIN s ON s.session_id = r.session_id AND s.n = r.n + 1)
+), c AS (
+  SELECT session_id, kind, n, unnest(got) AS id FROM r WHERE len(got) > 0
+), u AS (
+  SELECT o.session_id, o.id, o.i, coalesce(c.kind, 'single') AS kind, min(o.i) OVER (PARTITION BY o.session_id, coalesce(c.n, -1 - o.i)) AS first FROM o LEFT JOIN c ON c.id = o.id
+)
+SELECT session_id, (dense_rank() OVER (PARTITION BY session_id ORDER BY first) - 1)::INTEGER AS unit, kind, (row_number() OVER (PARTITION BY session_id, first ORDER BY i) - 1)::INTEGER AS place, id FROM u""", _KIND_VIEWS)
 def review_units(c: Catalog) -> DataFrame:
     return sequence.review_units(review_queue(c))
 

@@ -93,13 +93,14 @@ def test_review_units_against_a_plain_loop(spark, small):
     want = set()
     for session in {r.session_id for r in photos}:
         ids = [r.id for r in photos if r.session_id == session]
-        groups = [(("burst", "similar", "face").index(kind), min(map(ids.index, held)), group, kind, held) for (s, kind, group), held in by.items() if s == session]
+        # bursts first, then similar and face groups by their first photo
+        groups = [(kind != "burst", min(map(ids.index, held)), kind != "similar", group, kind, held) for (s, kind, group), held in by.items() if s == session]
         claimed, units = set(), []
-        for *_, kind, held in sorted(groups, key=lambda g: g[:3]):
+        for *_, kind, held in sorted(groups, key=lambda g: g[:4]):
             left = [i for i in ids if i in held and i not in claimed]
             if len(left) > 1:
                 claimed |= set(left)
-                units.append((kind, left))
+                units.append(("burst" if kind == "burst" else "similar", left))
         units += [("single", [i]) for i in ids if i not in claimed]
         for n, (kind, held) in enumerate(sorted(units, key=lambda u: ids.index(u[1][0]))):
             want |= {(session, n, kind, p, i) for p, i in enumerate(held)}
