@@ -16,7 +16,8 @@ one copy of it; k rows per query and shard come back.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
 rows with a null vec_id; vectors of other lengths than the query's have no inner product with it; all rows that share the
-query's vec_id are its own; repeated candidates count as often as they occur; ties go to the
+query's vec_id are its own; query rows equal in vec_id and integers are one query, those of one vec_id that differ are queries
+of their own; repeated candidates count as often as they occur; ties go to the
 smaller vec_id; an empty table gives an empty result.
 """
 
@@ -104,13 +105,13 @@ def _probe(k: int):
     """Blocks of queries against the shard of their group."""
 
     def run(shards: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
         for dims, ids, packed in zip(shards["dims"], shards["ids"], shards["packed"], strict=True) if len(blocks) else ():
             index = ShardIndex(np.frombuffer(ids, np.int64), np.frombuffer(packed, np.int64).reshape(-1, dims))
-            for q_ids, q_packed in zip(blocks["q_ids"], blocks["q_packed"], strict=True):
-                own = np.frombuffer(q_ids, np.int64)
+            for q_ids, q_keys, q_packed in zip(blocks["q_ids"], blocks["q_keys"], blocks["q_packed"], strict=True):
+                own, keys = np.frombuffer(q_ids, np.int64), np.frombuffer(q_keys, np.int64)
                 best = index.top(np.frombuffer(q_packed, np.int64).reshape(-1, dims), own, k)
-                found.append(pd.DataFrame({"query_id": np.repeat(own, [len(at) for at, _ in best]), "vec_id": index.ids[np.concatenate([at for at, _ in best])], "score": np.concatenate([x for _, x in best])}))
+                found.append(pd.DataFrame({"query_id": np.repeat(own, n := [len(at) for at, _ in best]), "query": np.repeat(keys, n), "vec_id": index.ids[np.concatenate([at for at, _ in best])], "score": np.concatenate([x for _, x in best])}))
         return pd.concat(found)
 
     return run
@@ -119,7 +120,7 @@ def _probe(k: int):
 def _pack(keys: list[str]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         head = {c: [rows[c].iloc[0]] for c in keys}
-        return pd.DataFrame(head | {"ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "packed": [np.stack(rows["v"].to_numpy()).astype(np.int64).tobytes()]})
+        return pd.DataFrame(head | {"ids": [rows["vec_id"].to_numpy(np.int64).tobytes()]} | ({"keys": [rows["key"].to_numpy(np.int64).tobytes()]} if "key" in rows else {}) | {"packed": [np.stack(rows["v"].to_numpy()).astype(np.int64).tobytes()]})
 
     return run
 
@@ -130,14 +131,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n = max(1, -(-found.count() // SHARD))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     shards = found.withColumn("shard", shard).groupBy("shard", "dims").applyInPandas(_pack(["shard", "dims"]), "shard int, dims int, ids binary, packed binary")
-    asked = whole_numbers(queries).withColumn("dims", F.size("v"))
+    asked = whole_numbers(queries).distinct().withColumns({"dims": F.size("v"), "key": F.xxhash64("v")})
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("block", "dims").applyInPandas(_pack(["block", "dims"]), "block int, dims int, ids binary, packed binary")
+    asked = asked.groupBy("block", "dims").applyInPandas(_pack(["block", "dims"]), "block int, dims int, ids binary, keys binary, packed binary")
     together = F.floor(F.col("block") / TOGETHER).cast("int").alias("batch")
-    asked = asked.select("dims", together, F.col("ids").alias("q_ids"), F.col("packed").alias("q_packed"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
+    asked = asked.select("dims", together, F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("packed").alias("q_packed"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
     batches = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // TOGETHER))).alias("batch")
     keys = ["shard", "dims", "batch"]
-    part = shards.select("*", batches).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_probe(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    part = shards.select("*", batches).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_probe(k), "query_id long, query long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

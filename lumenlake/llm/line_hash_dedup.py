@@ -15,8 +15,8 @@ Digests, not texts, are shuffled; counts are combined before the shuffle, and th
 to repeated digests is an inner join, which Spark splits where one digest holds many rows.
 
 Defined cases: runs of fewer than min_words words are neither matched nor removed, with min_words 1 every unit is matched; a null or empty text
-has no units; a null doc_id ranks last; rows with equal doc_id are one document, so they keep
-what that document keeps; repeats inside a document are removed after the first; other columns are ignored.
+has no units; a null doc_id ranks last; rows with equal doc_id, or without one, rank by a hash of their texts, and only rows
+that are equal in both are one document and keep what it keeps; repeats inside a document are removed after the first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,12 +89,12 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     rows = docs.where("text is not null").select("doc_id", text_key().alias("text_key"), "text")
     schema = "doc_id long, text_key long, unit int, start int, end int, words int, digest binary, again boolean"
     cut = write_table(rows.mapInArrow(_cut(unit, min_words), schema), "units")
-    rank = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    rank = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("doc"), "text_key")
     known = cut.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # a table of its own, so that the join reads both sides from exchanges that Spark can split at a hot digest
     known = write_table(known, "repeated")
     gone = cut.join(known, "digest").where((rank > F.col("first")) | F.col("again"))
-    return gone.select("doc_id", "text_key", "unit", "start", "end", "words", F.when(F.col("first") < 2**63 - 1, F.col("first")).alias("kept_doc_id"))
+    return gone.select("doc_id", "text_key", "unit", "start", "end", "words", F.when(F.col("first.doc") < 2**63 - 1, F.col("first.doc")).alias("kept_doc_id"))
 
 
 def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:

@@ -12,8 +12,8 @@ A source can hold a third of all rows, so no window runs over a source's rows.
 into BINS bins, sums by bin find the bin of the cut, and only its rows are ordered.
 
 Defined cases: a null text or one without a word has size 0 and is never taken; a null source is a
-source of its own, last in order; rows with the same doc_id and size share their u and are taken alike; a null
-doc_id counts as the text 'null'; an empty table gives an empty result.  Columns of the input named
+source of its own, last in order; rows with the same doc_id share their u and are ordered by a hash of their texts, and of rows
+equal in both as many are taken as the target leaves room for; a null doc_id counts as the text 'null'; an empty table gives an empty result.  Columns of the input named
 like a computed one are replaced.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import write_table
+from lumenlake.llm.spans import text_key
 
 #: Words, as the contract has them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,7 +81,7 @@ def _ranked(sized: DataFrame, rates: DataFrame, most: int) -> DataFrame:
 
 
 def _cuts(ranked: DataFrame) -> DataFrame:
-    """(source, cut_z, cut_doc): the last row of each source's order that is taken once more."""
+    """(source, cut): the last step of each source's order that is taken once more, and how many of its n equal rows."""
     place = F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))
     left = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
     bins = ranked.where("z is not null").groupBy("source", place.alias("bin")).agg(F.sum("size").alias("words"))
@@ -90,31 +91,51 @@ def _cuts(ranked: DataFrame) -> DataFrame:
     # the bin in which the words run out; where they last for all bins, the last one
     at = bins.where("before < left").groupBy("source").agg(F.max_by(F.struct("bin", "before", "left"), "bin").alias("at")).select(F.col("source").alias("_source"), "at.*")
     rows = ranked.where("z is not null").join(at, F.col("source").eqNullSafe(F.col("_source")) & (place == at["bin"]))
-    inner = Window.partitionBy("source").orderBy("z", F.col("doc_id").asc_nulls_last())
-    rows = rows.withColumn("upto", F.col("before") + F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    cut = rows.where(F.col("upto") <= F.col("left")).groupBy("source").agg(F.max(F.struct("z", F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"))).alias("cut"))
+    # equal rows are one step, of which a part may be taken
+    steps = rows.groupBy("source", "z", _doc().alias("d"), "key").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("before").alias("before"), F.first("left").alias("left"))
+    inner = Window.partitionBy("source").orderBy("z", "d", "key").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("left") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(inner), F.lit(0))
+    steps = steps.withColumn("take", F.least(F.col("n"), F.floor(room / F.col("size") + 0.5))).where("take > 0")
+    cut = steps.groupBy("source").agg(F.max(F.struct("z", "d", "key", "take", "n")).alias("cut"))
     # no row of the bin fits: all before the bin are taken
     return at.join(cut.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("_source").alias("source"), F.coalesce(F.col("cut.z"), F.col("bin") / BINS).alias("cut_z"), F.coalesce(F.col("cut.d"), F.lit(-(2**63))).alias("cut_doc"))
+        F.col("_source").alias("source"), F.coalesce(F.col("cut"), F.struct((F.col("bin") / BINS).alias("z"), F.lit(-(2**63)).alias("d"), F.lit(-(2**63)).alias("key"), F.lit(0).cast("long").alias("take"), F.lit(0).cast("long").alias("n"))).alias("cut"))
+
+
+def _doc() -> Column:
+    """doc_id for ordering: null last."""
+    return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
 
 
 def _decided(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """rows (doc_id, source, size, perhaps row) with source_size, target and copies, as the rows of sized decide."""
+    """rows (doc_id, source, size, key, perhaps row) with source_size, target and copies, as the rows of sized decide."""
     rates = write_table(_source_rates(sized, source_targets(sized, weights, most), most), "mix-rates")
     cuts = write_table(_cuts(_ranked(sized, rates, most)), "mix-cuts")
     rows = _ranked(rows, rates, most)
     rows = rows.join(cuts.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")), "left")
-    more = (F.col("z") < F.col("cut_z")) | ((F.col("z") == F.col("cut_z")) & (F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)) <= F.col("cut_doc")))
-    return rows.withColumn("copies", F.col("copies") + F.coalesce(more.cast("long"), F.lit(0))).drop("z", "cut_z", "cut_doc", "_source")
+    place, end = F.struct("z", _doc().alias("d"), "key"), F.struct("cut.z", "cut.d", "cut.key")
+    torn = (place == end) & (F.col("cut.take") < F.col("cut.n"))
+    out = rows.withColumn("copies", F.col("copies") + F.coalesce((F.col("z").isNotNull() & (place <= end)).cast("long"), F.lit(0)))
+    if not cuts.where("cut.take < cut.n").isEmpty():
+        # rows that nothing tells apart are numbered, each part of the table by itself
+        equal = write_table(rows.where(torn).withColumn("_part", F.spark_partition_id()), "mix-ties")
+        counts = equal.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+        ahead = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))
+        own = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(F.lit(0)))
+        equal = equal.withColumn("_row", own).join(counts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+        more = (F.col("_row") + F.col("_ahead") <= F.col("cut.take")).cast("long")
+        out = out.where(~F.coalesce(torn, F.lit(False))).unionByName(equal.withColumn("copies", F.col("copies") + more).select(*out.columns))
+    return out.drop("z", "cut", "key", "_source")
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return write_table(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    return write_table(docs.select("doc_id", "source", word_count("text").alias("size"), text_key().alias("key")), "mix-sizes")
 
 
 def _with_rows(docs: DataFrame) -> DataFrame:
     """Each document with its whole row set aside, so that no column of it can clash."""
-    return docs.select("doc_id", "source", word_count("text").alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), text_key().alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, narrow: bool = False) -> DataFrame:
