@@ -106,6 +106,11 @@ def measure(rgb: np.ndarray) -> dict:
     }
 
 
+def measurable(width: int, height: int, size: int | None) -> bool:
+    """Whether an image of so many bytes has the pixels it states, and not too many of them."""
+    return size is not None and width > 0 and height > 0 and width * height <= MOST_PIXELS and size == 3 * width * height
+
+
 def measured(images: DataFrame, key: str) -> DataFrame:
     """key and measures of images (key, width, height, data: blue, green, red bytes by rows); null measures where there are no pixels or too many."""
 
@@ -114,8 +119,7 @@ def measured(images: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             rows = []
             for k, w, h, data in zip(batch[key], batch["width"], batch["height"], batch["data"], strict=True):
-                fits = data is not None and w > 0 and h > 0 and w * h <= MOST_PIXELS and len(data) == 3 * w * h
-                rows.append({key: k} | (measure(np.frombuffer(data, np.uint8).reshape(h, w, 3)[:, :, ::-1]) if fits else empty))
+                rows.append({key: k} | (measure(np.frombuffer(data, np.uint8).reshape(h, w, 3)[:, :, ::-1]) if measurable(w, h, data and len(data)) else empty))
             whole = [c.split()[0] for c in MEASURES.split(", ") if not c.endswith("double")]
             yield pd.DataFrame(rows).astype(dict.fromkeys(whole, "Int64"))
 
@@ -209,10 +213,10 @@ def detections(heads: DataFrame, least: float = 0.7, side: int = 640) -> DataFra
 
 #: Files of more bytes and images of more pixels are not searched for faces.
 MOST_BYTES = 256 * 1024 * 1024
-MOST_PIXELS = 250_000_000
+MOST_FACE_PIXELS = 250_000_000
 
 
-def too_large(size: Column, width: Column, height: Column, most_bytes: int = MOST_BYTES, most_pixels: int = MOST_PIXELS) -> Column:
+def too_large(size: Column, width: Column, height: Column, most_bytes: int = MOST_BYTES, most_pixels: int = MOST_FACE_PIXELS) -> Column:
     """Whether a photo is stamped as having no faces without being decoded; unknown dimensions are no reason."""
     return F.coalesce(size > most_bytes, F.lit(False)) | F.coalesce(width.cast("long") * height > most_pixels, F.lit(False))
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import difflib
+import html as html_entities
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenlake.operators.curation import numbered
+from lumenlake.operators.tables import write_table
+
 #: Sources from the most to the least trusted.
 TRUST = ["human", "machine", "openverse", "commons"]
 
@@ -86,28 +90,35 @@ def audit(id_: str) -> Column:
 
 
 def region_queries(classes: DataFrame, regions: list[str], each: int = 8) -> DataFrame:
-    """(fine, region, query): each class with `each` regions, starting one further with each class."""
-    at = F.row_number().over(Window.orderBy("fine")) - 1
-    rows = classes.withColumn("_i", at).select("fine", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_j"), "_i")
+    """(fine, region, query, turn): each class alone (region null) and with `each` regions.
+
+    In order of the classes the first region moves on by seven, and regions of a class lie evenly apart; turn is the place of
+    a query in the crawl, from 0.
+    """
+    rows = numbered(classes.select("fine"), ["fine"]).select("fine", (F.col("place") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(each))).alias("_j"))
+    step = max(1, len(regions) // each)
     names = F.array(*map(F.lit, regions))
-    region = F.element_at(names, ((F.col("_i") + F.col("_j")) % len(regions) + 1).cast("int"))
-    return rows.select("fine", region.alias("region"), F.concat(region, F.lit(" "), "fine").alias("query"))
+    region = F.when(F.col("_j") > 0, F.element_at(names, ((F.col("_i") * 7 + (F.col("_j") - 1) * step) % len(regions) + 1).cast("int")))
+    return rows.select("fine", region.alias("region"), F.concat_ws(" ", region, "fine").alias("query"), (F.col("_i") * (each + 1) + F.col("_j")).alias("turn"))
+
+
+@F.pandas_udf(T.StringType())
+def _entities(text: pd.Series) -> pd.Series:
+    return text.map(html_entities.unescape, na_action="ignore")
 
 
 def _unescaped(text: Column) -> Column:
-    """Five common entities read."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    """All named and numbered entities read; texts without an ampersand never reach Python."""
+    return F.when(F.contains(text, F.lit("&")), _entities(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
 
 
 def plain_text(html: str) -> Column:
-    """Text of a markup: tags gone, five common entities read, blanks single."""
+    """Text of a markup: tags gone, entities read, blanks single."""
     return F.trim(F.regexp_replace(_unescaped(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
 
 
 def stripped_markup(html: str) -> Column:
-    """A short markup without its tags, five common entities read; empty for null."""
+    """A short markup without its tags, entities read; empty for null."""
     return F.trim(_unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", "")))
 
 
@@ -116,6 +127,39 @@ def within_quota(rows: DataFrame, keys: list[str], order: list[Column], most: in
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
+def crawled_within_quotas(results: DataFrame, seen: DataFrame, per_query: int | None = None, per_class: int | None = None, page: int = 50) -> DataFrame:
+    """(fine, turn, place, id): what a crawl keeps of its results (fine, turn, place, id) when its queries run in order of turn.
+
+    A query skips ids that seen (id) holds or that an earlier query kept, free of charge.  It keeps per_query others at
+    most.  With per_class it reads pages of `page` results, the first in any case, and further ones while its class has kept fewer.
+    Which ids a query keeps depends on all before it.  Each round lets every query keep what the last round's earlier
+    queries left it; the first query is right after one round and each later one a round after those before it, so the rounds end
+    when nothing changes, after as many as the longest chain of queries that take ids from each other.
+    """
+    keys = ["fine", "turn", "place", "id"]
+    offered = write_table(results.join(seen.select("id"), "id", "left_anti").groupBy("fine", "turn", "id").agg(F.min("place").alias("place")).select(*keys), "offered")
+    turns = offered.select("fine", "turn").distinct()
+    kept = offered.limit(0)
+    while True:
+        first = kept.groupBy("id").agg(F.min("turn").alias("_first"))
+        now = offered.join(first, "id", "left").where("_first is null or _first >= turn").select(*keys)
+        if per_class is not None:
+            before = Window.partitionBy("fine").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+            counts = kept.groupBy("turn").agg(F.count(F.lit(1)).alias("_n"))
+            start = turns.join(counts, "turn", "left").select("turn", F.coalesce(F.sum(F.coalesce("_n", F.lit(0))).over(before), F.lit(0)).alias("_start"))
+            paged = now.withColumn("_page", F.floor(F.col("place") / page))
+            pages = paged.groupBy("turn", "_page").agg(F.count(F.lit(1)).alias("_n"))
+            inner = Window.partitionBy("turn").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+            read = pages.join(start, "turn").withColumn("_so_far", F.col("_start") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+            now = paged.join(read.where(f"_page = 0 or _so_far < {per_class}").select("turn", "_page"), ["turn", "_page"]).select(*keys)
+        if per_query is not None:
+            now = within_quota(now, ["turn"], [F.col("place"), F.col("id")], per_query)
+        now = write_table(now, "kept")
+        if kept.exceptAll(now).isEmpty() and now.exceptAll(kept).isEmpty():
+            return now
+        kept = now
+
+
 def manifest_progress(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source the ids done and settled for good, and how many its target still lacks."""
     done = rows.groupBy("source").agg(F.countDistinct(F.when(F.col("status") == "completed", F.col("id"))).alias("completed"), F.countDistinct(F.when(F.col("status").isin("completed", "rejected"), F.col("id"))).alias("processed"))

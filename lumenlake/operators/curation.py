@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import names
@@ -150,17 +150,61 @@ def move_plan(photos: DataFrame, folder: str, existing: DataFrame, rename: bool)
     rows = rows.join(here.withColumn("_taken", F.lit(True)), "filename", "left")
     if not rename:
         return rows.select("id", "source", "destination", F.col("_taken").isNull().alias("ok"), F.when(F.col("_taken"), "exists").alias("note"))
-    head = lambda c: F.regexp_replace(c, r"^(.+)\.[^.]*$", "$1")
-    tail = lambda c: F.regexp_extract(c, r"^.+(\.[^.]*)$", 1)
-    # numbers that are in use for a stem and ending; the first gap is the smallest number + 1 that is none of them
-    used = here.select(F.regexp_extract(head("filename"), r"^(.*)-([1-9][0-9]{0,8})$", 1).alias("_stem"), F.regexp_extract(head("filename"), r"^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("int").alias("_k"), tail("filename").alias("_end")).where("_k is not null")
-    used = used.groupBy("_stem", "_end").agg(F.collect_set("_k").alias("_used"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), F.col("_used")))
-    rows = rows.withColumns({"_stem": head("filename"), "_end": tail("filename")}).join(used, ["_stem", "_end"], "left")
-    other = F.concat(F.lit(f"{folder}/"), "_stem", F.lit("-"), F.when(F.col("_used").isNull(), F.lit(1)).otherwise(free).cast("string"), "_end")
+    used = _used_numbers(here)
+    # the first gap: numbers that stand where they would without one, and one more
+    free = used.groupBy("_stem", "_end").agg((F.count_if(F.col("_k") == F.col("_at") + 1) + 1).alias("_free"))
+    rows = rows.withColumns({"_stem": _stem("filename"), "_end": _ending("filename")}).join(free, ["_stem", "_end"], "left")
+    other = F.concat(F.lit(f"{folder}/"), "_stem", F.lit("-"), F.coalesce("_free", F.lit(1)).cast("string"), "_end")
     return rows.select("id", "source", F.when(F.col("_taken"), other).otherwise(F.col("destination")).alias("destination"), F.lit(True).alias("ok"), F.when(F.col("_taken"), "renamed").alias("note"))
 
 
+def _stem(name: str) -> Column:
+    return F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1")
+
+
+def _ending(name: str) -> Column:
+    return F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+
+
+def _placed_by(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """rows with their place from 0 within the keys, numbered range by range."""
+    all_ = numbered(rows, [*map(F.col, keys), *order])
+    first = all_.groupBy(*keys).agg(F.min("place").alias("_first"))
+    return all_.join(first, keys).withColumn(name, F.col("place") - F.col("_first")).drop("_first", "place")
+
+
+def _used_numbers(names_: DataFrame) -> DataFrame:
+    """(_stem, _end, _k, _at): numbers that distinct names (filename) have behind a stem, with their place from 0 among these."""
+    stem, number = (F.regexp_extract(_stem("filename"), r"^(.*)-([1-9][0-9]{0,8})$", i) for i in (1, 2))
+    used = names_.select(stem.alias("_stem"), number.try_cast("long").alias("_k"), _ending("filename").alias("_end")).where("_k is not null")
+    return _placed_by(used, ["_stem", "_end"], [F.col("_k")], "_at")
+
+
+def unique_move_plan(photos: DataFrame, folder: str, existing: DataFrame) -> DataFrame:
+    """(id, source, destination, ok, note): no two photos of the plan get one name, and none that the folder holds.
+
+    Of photos with one name the first in plan order keeps it, if the folder has no such file.  The others of a stem and ending take
+    in plan order the free numbers -1, -2 and so on; those of files in the folder and of the plan's own names are not free.
+    The k-th free number is k plus the used numbers with fewer than k free ones before them, which is what stands before k when both
+    are ordered together; so places, not sets of numbers, are computed, range by range.
+    """
+    here = existing.where(F.startswith(F.col("path"), F.lit(f"{folder}/"))).select(F.substring("path", len(folder) + 2, 1 << 20).alias("filename")).distinct()
+    keys = ["_stem", "_end"]
+    rows = photos.select("id", F.col("path").alias("source"), "filename", "capture_datetime").withColumns({"_stem": _stem("filename"), "_end": _ending("filename")})
+    rows = rows.join(here.withColumn("_taken", F.lit(True)), "filename", "left")
+    rows = write_table(_placed_by(rows, ["filename"], [F.col("capture_datetime").asc_nulls_first(), F.col("id")], "_turn"), "moves")
+    movers = rows.where("_taken or _turn > 0")
+    movers = write_table(_placed_by(movers.select("id", "filename", "capture_datetime", *keys), keys, plan_order(), "_k"), "movers").select("id", *keys, (F.col("_k") + 1).alias("_k"))
+    used = _used_numbers(here.unionByName(photos.select("filename")).distinct())
+    both = movers.select(*keys, "id", F.col("_k").alias("_v"), F.lit(0).alias("_kind")).unionByName(used.select(*keys, F.lit(None).cast("long").alias("id"), (F.col("_k") - F.col("_at") - 1).alias("_v"), F.lit(1).alias("_kind")))
+    both = _placed_by(both, keys, [F.col("_v"), F.col("_kind")], "_at").where("_kind = 0")
+    # before the k-th mover stand k - 1 movers; all others before it are used numbers
+    number = both.select("id", (F.col("_v") + F.col("_at") - (F.col("_v") - 1)).cast("long").alias("_number"))
+    met = rows.join(number, "id", "left")
+    name = F.when(F.col("_number").isNull(), F.col("filename")).otherwise(F.concat("_stem", F.lit("-"), F.col("_number").cast("string"), "_end"))
+    return met.select("id", "source", F.concat(F.lit(f"{folder}/"), name).alias("destination"), F.lit(True).alias("ok"), F.when(F.col("_number").isNotNull(), "renamed").alias("note"))
+
+
 def delete_plan(photos: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, source, ok, note): files that are there can go, missing ones and folders cannot."""
     there = existing.select(F.col("path").alias("_path"), F.col("is_file").alias("_file"))
@@ -183,9 +227,44 @@ def sheet_cells(photos: DataFrame, most: int = 500, columns: int = 4, rows: int
 
 
 def sound_progress(rows: DataFrame, photos: DataFrame) -> DataFrame:
-    """Progress rows whose focus is a photo of their session and whose index is not negative."""
-    own = photos.select("session_id", F.col("id").alias("focused_photo_id"))
-    return rows.where("unit_index >= 0").join(own, ["session_id", "focused_photo_id"], "left_semi")
+    """Progress rows whose index is not negative and whose focus, if they have one, is a photo of their session."""
+    own = photos.select(F.col("session_id").alias("_session"), F.col("id").alias("_photo"))
+    whole = rows.where("unit_index >= 0")
+    held = whole.join(own, (F.col("session_id") == F.col("_session")) & (F.col("focused_photo_id") == F.col("_photo")), "left_semi")
+    return whole.where("focused_photo_id is null").unionByName(held)
+
+
+def saved_progress(progress: DataFrame, changes: DataFrame, photos: DataFrame) -> DataFrame:
+    """progress (session_id, unit_index, focused_photo_id, updated_at) after the sound ones of changes: of a session the last counts, nulls included."""
+    parts = ["updated_at", "unit_index", "focused_photo_id"]
+    last = sound_progress(changes, photos).groupBy("session_id").agg(F.max(F.struct(*parts)).alias("c")).select("session_id", "c.*")
+    return merge_rows(progress, last, "session_id", dict.fromkeys(parts, "new"))
+
+
+def outcome_rows(done: DataFrame, now: Column) -> DataFrame:
+    """A row of the operation log for each operation that was carried out."""
+    return done.where("ok").select("op_type", F.col("source").alias("source_path"), F.col("destination").alias("dest_path"), F.lit("done").alias("status"), now.alias("created_at"))
+
+
+def applied_catalog(photos: DataFrame, done: DataFrame) -> DataFrame:
+    """photos after done operations (photo_id, op_type, destination, size_bytes, file_mtime, ok), failed ones left out.
+
+    A rename or move changes path and name, and size and time where they are known.  A copy is a photo of its own: it
+    has its source's extension and dimensions, the outcome's size and time, and no session; ids go on from the largest in order of path.
+    Trash and deletion remove the photo.  A photo has one operation that is no copy at most.
+    """
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    made = done.where("ok").select("photo_id", "op_type", "destination", F.col("size_bytes").alias("_size"), F.col("file_mtime").alias("_time"))
+    met = photos.join(made.where("op_type <> 'copy'"), F.col("id") == F.col("photo_id"), "left").where(~F.coalesce("op_type", F.lit("")).isin("trash", "delete"))
+    new = {"path": F.coalesce("destination", "path"), "size_bytes": F.coalesce("_size", "size_bytes"), "file_mtime": F.coalesce("_time", "file_mtime")}
+    kept = met.withColumns(new).withColumn("filename", name).select(*photos.columns)
+    copies = photos.drop("path").join(made.where("op_type = 'copy'"), F.col("id") == F.col("photo_id")).withColumnRenamed("destination", "path")
+    inherited = ("extension", "width", "height", "orientation", "path")
+    known = {"size_bytes": F.col("_size"), "file_mtime": F.col("_time"), "filename": name}
+    empty = {c: F.lit(None).cast(photos.schema[c].dataType) for c in photos.columns if c not in (*inherited, *known, "id")}
+    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    copies = numbered(copies.withColumns(known | empty), [F.col("path")]).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("place"))
+    return kept.unionByName(copies.select(*photos.columns))
 
 
 def applied(photos: DataFrame, done: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.operators.tables import write_table
 
 #: The merged group of each raw scene group; a label that is missing here is other.
 MERGED_GROUPS = {
@@ -83,8 +84,11 @@ def region_audit(rows: DataFrame) -> DataFrame:
 
 
 #: First words of a query that name its region; any other query is global.
-REGIONS = """indian nigerian ethiopian kenyan egyptian moroccan chinese japanese korean vietnamese thai indonesian filipino turkish iranian
-arab israeli russian polish greek spanish portuguese italian mexican brazilian peruvian colombian argentinian cuban nepalese""".split()
+REGIONS = [
+    "indian", "nigerian", "ethiopian", "kenyan", "egyptian", "moroccan", "chinese", "japanese", "korean", "vietnamese", "thai", "indonesian",
+    "filipino", "turkish", "iranian", "arab", "israeli", "russian", "polish", "greek", "spanish", "portuguese", "italian", "mexican", "brazilian",
+    "peruvian", "colombian", "argentinian", "cuban", "nepalese",
+]
 
 
 def region_of(query: str) -> Column:
@@ -124,10 +128,10 @@ def threshold(rows: DataFrame, precision: float) -> DataFrame:
     """(tau, precision, coverage): the lowest probability such that all rows (p, y) from it on are right often enough.
 
     Equal probabilities are one step.  Running sums need no single task: values are counted first, then
-    ranges of them, and a range starts from the sum of those above it.
+    ranges of them, written so that sums and rows see the same ranges; a range starts from the sum of those above it.
     """
     by = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("t"))
-    ranged = by.repartitionByRange(F.desc("p")).withColumn("_part", F.spark_partition_id())
+    ranged = write_table(by.repartitionByRange(F.desc("p")).withColumn("_part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_part").agg(F.sum("n").alias("_n"), F.sum("t").alias("_t"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t"))

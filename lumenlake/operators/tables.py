@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The session's checkpoint folder; where it names none, a temporary folder if all runs in one process.
 
-    Where the session names none, a temporary folder if it runs in one process, else one below the warehouse, which executors share.
+    A cluster must name one, since executors share no other folder for sure.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        alone = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="lumenlake-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_between_stages"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lumenlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 

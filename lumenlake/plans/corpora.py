@@ -75,15 +75,32 @@ def audit_split(c: Catalog) -> DataFrame:
     return c.view("corpus").select("seq", corpus.audit("seq").alias("audit"))
 
 
-@query("G15_region_queries", """
-WITH f AS (SELECT fine, row_number() OVER (ORDER BY fine) - 1 AS i FROM (SELECT DISTINCT fine FROM label_rows)), x AS (SELECT fine, list_extract(['asia', 'africa', 'europe', 'oceania', 'america'], ((i + j) % 5 + 1)::INTEGER) AS region FROM f, range(0, 4) r(j))
-SELECT fine, region, region || ' ' || fine AS query FROM x""", "label_rows")
+@query("G15_region_queries", f"""
+WITH f AS (SELECT fine, row_number() OVER (ORDER BY fine) - 1 AS i FROM (SELECT DISTINCT fine FROM label_rows)),
+x AS (SELECT fine, i, j, CASE WHEN j > 0 THEN list_extract({evaluate.REGIONS}, ((i * 7 + (j - 1) * ({len(evaluate.REGIONS)} // 8)) % {len(evaluate.REGIONS)} + 1)::INTEGER) END AS region FROM f, range(0, 9) r(j))
+SELECT fine, region, coalesce(region || ' ', '') || fine AS query, i * 9 + j AS turn FROM x""", "label_rows")
 def region_queries(c: Catalog) -> DataFrame:
-    return corpus.region_queries(c.view("label_rows").select("fine").distinct(), ["asia", "africa", "europe", "oceania", "america"], 4)
+    return corpus.region_queries(c.view("label_rows").select("fine").distinct(), evaluate.REGIONS)
+
+
+@query("G17_crawl_quotas", """
+WITH RECURSIVE e AS (SELECT user_id AS turn, event_id - event_id % 3 AS id, min(event_id) AS place FROM events WHERE event_id % 40 > 0 GROUP BY 1, 2),
+q AS (SELECT turn, array_agg(id ORDER BY place, id) AS ids, row_number() OVER (ORDER BY turn) AS n FROM e WHERE id NOT IN (SELECT event_id FROM events WHERE event_id % 30 = 0) GROUP BY turn),
+r AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS turn, []::BIGINT[] AS got, []::BIGINT[] AS used
+  UNION ALL
+  SELECT n, turn, got, list_concat(used, got) FROM (SELECT q.n, q.turn, r.used, list_filter(q.ids, lambda x: NOT list_contains(r.used, x))[1:20] AS got FROM r JOIN q ON q.n = r.n + 1)
+)
+SELECT turn, unnest(got) AS id FROM r""")
+def crawl_quotas(c: Catalog) -> DataFrame:
+    """Queries that find some of the same ids keep 20 new ones each, in their order."""
+    rows = c.table("events")
+    results = rows.where("event_id % 40 > 0").selectExpr("'class' as fine", "user_id as turn", "event_id as place", "event_id - event_id % 3 as id")
+    return corpus.crawled_within_quotas(results, rows.where("event_id % 30 = 0").selectExpr("event_id as id"), per_query=20).select("turn", "id")
 
 
 @query("G16_clean_results", r"""
-SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_length FROM pages WHERE url IS NOT NULL""")
+SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&(middot|copy|lt|gt|#39);', '.', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS text_length FROM pages WHERE url IS NOT NULL""")
 def clean_results(c: Catalog) -> DataFrame:
     return c.table("pages").where("url is not null").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.length(corpus.plain_text("html")).cast("long").alias("text_length"))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import write_table
+from lumenlake.operators.tables import shared_dir, write_table
 from lumenlake.plans.registry import query
 from lumenlake.plans.sequences import members
 from lumenlake.sources.catalog import Catalog
@@ -18,6 +18,24 @@ def photos_left_analysis(c: Catalog) -> DataFrame:
     return c.joined.select("id", "sharpness", "face_count")
 
 
+def bucketed(c: Catalog, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Photos and analysis as tables bucketed and sorted by the photo's id, so that joins on it move no rows."""
+    out = []
+    for name, rows, key in (("photos", c.photos, "id"), ("analysis", c.analysis, "photo_id")):
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(c.spark)}/{table}"
+        # a task for each bucket, else every task writes a file for each
+        rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        out.append(c.spark.table(table))
+    return out[0], out[1]
+
+
+@query("D01_bucketed_join", "SELECT id, path, sharpness, face_count FROM photos LEFT JOIN analysis ON photo_id = id", "photos analysis")
+def bucketed_join(c: Catalog) -> DataFrame:
+    photos, analysis = bucketed(c)
+    return photos.join(analysis.hint("merge"), F.col("id") == F.col("photo_id"), "left").select("id", "path", "sharpness", "face_count")
+
+
 @query("D02_analyzed_photos", "SELECT id, path, sharpness FROM photos JOIN analysis ON photo_id = id", "photos analysis")
 def analyzed_photos(c: Catalog) -> DataFrame:
     return c.photos.join(c.analysis, F.col("id") == F.col("photo_id")).select("id", "path", "sharpness")

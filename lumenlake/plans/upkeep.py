@@ -133,6 +133,23 @@ def move_plan_rename(c: Catalog) -> DataFrame:
     return curation.move_plan(c.photos, "/backup", taken(c), True)
 
 
+@query("F21_move_plan_unique", rf"""
+WITH k AS (SELECT DISTINCT substr(path, 9) AS name FROM ({_TAKEN})), p AS (
+  SELECT id, path AS source, filename, regexp_replace(filename, '^(.+)\.[^.]*$', '\1') AS stem, regexp_extract(filename, '^.+(\.[^.]*)$', 1) AS tail, filename IN (SELECT name FROM k) AS held,
+    row_number() OVER (PARTITION BY filename ORDER BY capture_datetime NULLS FIRST, id) AS turn, row_number() OVER (ORDER BY capture_datetime NULLS FIRST, filename, id) AS place FROM photos
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY stem, tail ORDER BY place) AS k FROM p WHERE held OR turn > 1
+), f AS (
+  SELECT stem, tail, n, row_number() OVER (PARTITION BY stem, tail ORDER BY n) AS k FROM (SELECT DISTINCT stem, tail FROM m), range(1, 2000) r(n)
+  WHERE stem || '-' || n || tail NOT IN (SELECT name FROM k UNION SELECT filename FROM photos) AND n <= 2 * (SELECT max(k) FROM m) + 50
+)
+SELECT p.id, p.source, '/backup/' || coalesce(p.stem || '-' || f.n || p.tail, p.filename) AS destination, true AS ok, CASE WHEN f.n IS NOT NULL THEN 'renamed' END AS note
+FROM p LEFT JOIN m ON m.id = p.id LEFT JOIN f ON f.stem = m.stem AND f.tail = m.tail AND f.k = m.k""", "photos")
+def move_plan_unique(c: Catalog) -> DataFrame:
+    """As F21_move_plan_rename, but no two photos of the plan get one name."""
+    return curation.unique_move_plan(c.photos, "/backup", taken(c))
+
+
 @query("F22_delete_plan", "SELECT id, path AS source, id % 4 <> 0 AND id % 9 <> 0 AS ok, CASE WHEN id % 4 = 0 THEN 'missing' WHEN id % 9 = 0 THEN 'not a file' END AS note FROM photos", "photos")
 def delete_plan(c: Catalog) -> DataFrame:
     return curation.delete_plan(c.photos, c.photos.where("id % 4 <> 0").select("path", (F.col("id") % 9 != 0).alias("is_file")))
@@ -269,13 +286,15 @@ def exif_fields(c: Catalog) -> DataFrame:
     return rows.select("id", "camera_make", "lens", "iso", "aperture", "capture_datetime", "gps_present", "has_metadata")
 
 
-@query("A14_capture_provenance", """
-SELECT id, coalesce(e, n, capture_datetime) AS capture_datetime, CASE WHEN e IS NOT NULL THEN 'exif' WHEN n IS NOT NULL THEN 'filename' ELSE capture_datetime_source END AS source
-FROM (SELECT *, CASE WHEN id % 3 = 0 THEN exif_at END AS e, CASE WHEN id % 2 = 0 THEN file_mtime END AS n FROM photos)""", "photos")
+@query("A14_capture_provenance", f"""
+SELECT id, coalesce(e, n, m, capture_datetime) AS capture_datetime, CASE WHEN e IS NOT NULL THEN 'exif' WHEN n IS NOT NULL THEN 'filename' WHEN m IS NOT NULL THEN 'mtime' WHEN s IS NOT NULL THEN s WHEN capture_datetime IS NOT NULL THEN 'exif' END AS source
+FROM (SELECT *, CASE WHEN id % 3 = 0 THEN exif_at END AS e, CASE WHEN id % 2 = 0 THEN {_NAMED} END AS n, CASE WHEN id % 10 = 0 THEN file_mtime END AS m, CASE WHEN id % 5 > 1 THEN capture_datetime_source END AS s FROM photos)""", "photos")
 def capture_provenance(c: Catalog) -> DataFrame:
-    """A read date before an estimate before what is stored."""
-    read, guess = F.when(F.col("id") % 3 == 0, F.col("exif_at")), F.when(F.col("id") % 2 == 0, F.col("file_mtime"))
-    return c.photos.select("id", *provenance(read, guess, "capture_datetime", "capture_datetime_source"))
+    """A read date before one from the name, before the file's time, before what is stored; some stored dates have no source."""
+    named = F.when(F.col("id") % 2 == 0, names.name_dates()("filename"))
+    rows = c.photos.withColumns({"_named": named, "_time": F.when(F.col("id") % 10 == 0, F.col("file_mtime")), "_source": F.when(F.col("id") % 5 > 1, F.col("capture_datetime_source"))})
+    guess, whence = F.coalesce("_named", "_time"), F.when(F.col("_named").isNotNull(), "filename").otherwise("mtime")
+    return rows.select("id", *provenance(F.when(F.col("id") % 3 == 0, F.col("exif_at")), guess, whence, "capture_datetime", "_source"))
 
 
 @query("A25_owned_columns", "SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 50.0::DOUBLE ELSE sharpness END AS sharpness, face_count, scene_fine FROM analysis", "analysis")
@@ -318,6 +337,23 @@ def review_progress(c: Catalog) -> DataFrame:
     return curation.sound_progress(rows, own)
 
 
+@query("F06_saved_progress", """
+WITH s AS (SELECT session_id, min(id) AS lo, max(id) AS hi, count(*) AS n FROM photos WHERE session_id IS NOT NULL GROUP BY 1),
+b AS (SELECT session_id, 1::BIGINT AS unit_index, lo AS focused_photo_id, '2024-01-01T00:00:00Z' AS updated_at FROM s WHERE session_id % 4 = 0),
+d AS (SELECT session_id, n AS unit_index, CASE WHEN session_id % 5 > 0 THEN hi END AS focused_photo_id, '2025-01-01T00:00:00Z' AS updated_at FROM s WHERE session_id % 5 <> 1 AND session_id % 7 > 0
+  UNION ALL SELECT session_id, 0, lo, '2024-06-01T00:00:00Z' FROM s WHERE session_id % 5 IN (1, 2) AND (session_id % 7 = 0 OR session_id % 5 = 1))
+SELECT coalesce(d.session_id, b.session_id) AS session_id, CASE WHEN d.session_id IS NULL THEN b.unit_index ELSE d.unit_index END AS unit_index,
+  CASE WHEN d.session_id IS NULL THEN b.focused_photo_id ELSE d.focused_photo_id END AS focused_photo_id, coalesce(d.updated_at, b.updated_at) AS updated_at FROM b FULL JOIN d ON d.session_id = b.session_id""", "photos")
+def saved_progress(c: Catalog) -> DataFrame:
+    """Stored progress after changes: some have no focus, some a focus of another session, a negative index or a later change of their session."""
+    own = c.photos.where("session_id is not null")
+    s = own.groupBy("session_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    stored = s.where("session_id % 4 = 0").selectExpr("session_id", "1L as unit_index", "lo as focused_photo_id", "'2024-01-01T00:00:00Z' as updated_at")
+    late = s.selectExpr("session_id", "if(session_id % 7 = 0, -1L, n) as unit_index", "case when session_id % 5 = 1 then hi + 1000000 when session_id % 5 > 0 then hi end as focused_photo_id", "'2025-01-01T00:00:00Z' as updated_at")
+    early = s.where("session_id % 5 in (1, 2)").selectExpr("session_id", "0L as unit_index", "lo as focused_photo_id", "'2024-06-01T00:00:00Z' as updated_at")
+    return curation.saved_progress(stored, late.unionByName(early), own)
+
+
 @query("F09_removed_members", "SELECT * FROM collection_photos WHERE NOT (collection_id = 3 AND photo_id % 2 = 0)", "collection_photos")
 def removed_members(c: Catalog) -> DataFrame:
     m = c.view("collection_photos")
@@ -345,6 +381,36 @@ def applied_outcomes(c: Catalog) -> DataFrame:
     return curation.applied(c.photos.select("id", "path"), done)
 
 
+_DONE = """SELECT id AS photo_id, path AS source, CASE id % 7 WHEN 1 THEN 'move' WHEN 2 THEN 'trash' WHEN 3 THEN 'copy' WHEN 4 THEN 'rename' ELSE 'delete' END AS op_type,
+  CASE id % 7 WHEN 1 THEN '/new' || path WHEN 3 THEN '/copy/' || CAST(id AS STRING) || '.jpg' WHEN 4 THEN replace(path, '.', '-x.') END AS destination,
+  CASE WHEN id % 2 = 0 THEN id END AS size_bytes, CASE WHEN id % 3 = 0 THEN '2026-01-01T00:00:00Z' END AS file_mtime, id % 11 > 0 AS ok FROM {photos} WHERE id % 7 > 0 AND id % 7 < 6"""
+
+
+def done_operations(c: Catalog) -> DataFrame:
+    return c.spark.sql(_DONE, photos=c.photos)
+
+
+@query("F24_applied_catalog", f"""
+WITH d AS ({_DONE.format(photos="photos").replace("STRING", "VARCHAR")})
+SELECT p.id, coalesce(destination, path) AS path, regexp_extract(coalesce(destination, path), '[^/]*$') AS filename, p.extension, coalesce(d.size_bytes, p.size_bytes) AS size_bytes, width, height, orientation, session_id, coalesce(d.file_mtime, p.file_mtime) AS file_mtime
+FROM photos p LEFT JOIN (SELECT * FROM d WHERE ok AND op_type <> 'copy') d ON photo_id = id WHERE op_type IS NULL OR op_type IN ('move', 'rename')
+UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY destination), destination, regexp_extract(destination, '[^/]*$'), p.extension, d.size_bytes, width, height, orientation, NULL, d.file_mtime FROM photos p JOIN d ON photo_id = id WHERE ok AND op_type = 'copy'""", "photos")
+def applied_catalog(c: Catalog) -> DataFrame:
+    """The catalog after operations: new paths and names, copies with the dimensions of their source and no session, trashed photos gone."""
+    photos = c.photos.select("id", "path", "filename", "extension", "size_bytes", "width", "height", "orientation", "session_id", "file_mtime")
+    return curation.applied_catalog(photos, done_operations(c))
+
+
+@query("F24_logged_outcomes", f"SELECT op_type, source AS source_path, destination AS dest_path, 'done' AS status, '2026-01-02T00:00:00Z' AS created_at FROM ({_DONE.format(photos='photos').replace('STRING', 'VARCHAR')}) WHERE ok UNION ALL SELECT op_type, source_path, NULL, status, created_at FROM file_operations", "photos file_operations")
+def logged_outcomes(c: Catalog) -> DataFrame:
+    """The operation log after a row for each operation that was carried out."""
+    path = f"{shared_dir(c.spark)}/operations-{uuid.uuid4().hex}"
+    log = c.view("file_operations").select("op_type", "source_path", F.lit(None).cast("string").alias("dest_path"), "status", "created_at")
+    curation.log_operations(path, log)
+    curation.log_operations(path, curation.outcome_rows(done_operations(c), F.lit("2026-01-02T00:00:00Z")))
+    return c.spark.read.schema(log.schema).parquet(path)
+
+
 @query("F27_clean_labels", "SELECT p_partkey, CASE WHEN length(trim(p_name)) BETWEEN 1 AND 12 THEN trim(p_name) END AS label FROM part")
 def clean_labels(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", names.cleaned("p_name", 12).alias("label"))

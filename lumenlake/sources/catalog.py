@@ -135,9 +135,13 @@ def known_time() -> Column:
     return F.coalesce("capture_datetime", "indexed_at")
 
 
-def capture_provenance(read: Column, guessed: Column, stored: str, source: str) -> list[Column]:
-    """capture_datetime and source: a date that was read before one estimated from the name before the stored one."""
-    whence = F.when(read.isNotNull(), "exif").when(guessed.isNotNull(), "filename").otherwise(F.col(source))
+def capture_provenance(read: Column, guessed: Column, guessed_from: Column, stored: str, source: str) -> list[Column]:
+    """capture_datetime and source: a date that was read before an estimate before the stored one.
+
+    An estimate keeps its own source, filename or mtime; a stored date without a source counts as read.
+    """
+    kept = F.coalesce(F.col(source), F.when(F.col(stored).isNotNull(), "exif"))
+    whence = F.when(read.isNotNull(), "exif").when(guessed.isNotNull(), guessed_from).otherwise(kept)
     return [F.coalesce(read, guessed, stored).alias("capture_datetime"), whence.alias("source")]
 
 

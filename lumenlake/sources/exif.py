@@ -1,8 +1,9 @@
-"""Camera metadata: reads the tag directories of JPEG or TIFF bytes, and writes small ones."""
+"""Camera metadata: reads the tag directories of JPEG, TIFF, PNG, WebP and HEIC bytes, and writes small ones."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,19 +19,129 @@ MOST_BYTES = 256 << 20
 RAW = "make string, model string, software string, lens_make string, lens string, taken string, exposure double, aperture double, focal double, focal_35mm double, iso_speed long, iso_index long, iso_photographic long, width long, height long, gps boolean"
 
 
-def _tiff(data: bytes) -> bytes | None:
-    """The TIFF part: the file itself, or the EXIF segment of a JPEG."""
-    if data[:2] in (b"II", b"MM"):
-        return data
+def _jpeg(data: bytes) -> bytes | None:
     at = 2
-    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
         size = struct.unpack(">H", data[at + 2 : at + 4])[0]
         if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
             return data[at + 10 : at + 2 + size]
-        at += 2 + size
+        at += 2 + max(size, 2)
+    return None
+
+
+def _png(data: bytes) -> bytes | None:
+    at = 8
+    while at + 12 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"eXIf":
+            return data[at + 8 : at + 8 + size]
+        at += 12 + size
+    return None
+
+
+def _webp(data: bytes) -> bytes | None:
+    at = 12
+    while at + 8 <= len(data):
+        kind, size = struct.unpack("<4sI", data[at : at + 8])
+        if kind == b"EXIF":
+            found = data[at + 8 : at + 8 + size]
+            return found.removeprefix(b"Exif\0\0")
+        at += 8 + size + size % 2
+    return None
+
+
+def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of the boxes between two places of an ISO media file; one that reaches beyond them ends the walk."""
+    while at + 8 <= end:
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        start = at + 8
+        if size == 1 and at + 16 <= end:
+            size, start = struct.unpack(">Q", data[at + 8 : at + 16])[0], at + 16
+        stop = end if size == 0 else at + size
+        if stop < start or stop > end:
+            return
+        yield kind, start, stop
+        at = stop
+
+
+def _number(data: bytes, at: int, size: int) -> int:
+    if at + size > len(data):
+        raise ValueError("beyond the end")
+    return int.from_bytes(data[at : at + size], "big")
+
+
+def _exif_item(data: bytes, start: int, end: int) -> int | None:
+    """Number of the item of kind Exif in an item table."""
+    version = data[start]
+    at = start + 4 + (2 if version == 0 else 4)
+    for kind, a, b in _boxes(data, at, end):
+        wide = 4 if data[a] >= 3 else 2
+        if kind == b"infe" and data[a] >= 2 and data[a + 4 + wide + 2 : a + 4 + wide + 6] == b"Exif" and a + 4 + wide + 6 <= b:
+            return _number(data, a + 4, wide)
     return None
 
 
+def _extents(data: bytes, start: int, wanted: int) -> list[tuple[int, int, int]]:
+    """(how, offset, size) of the parts of an item by the location table; how is 0 for places in the file, 1 for places in the item data."""
+    version = data[start]
+    sizes = _number(data, start + 4, 2)
+    offset_size, length_size, base_size, index_size = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version else 0
+    wide = 4 if version == 2 else 2
+    count, at = _number(data, start + 6, wide), start + 6 + wide
+    for _ in range(count):
+        item, at = _number(data, at, wide), at + wide
+        how = 0
+        if version:
+            how, at = _number(data, at, 2) & 15, at + 2
+        at += 2
+        base, at = _number(data, at, base_size), at + base_size
+        n, at = _number(data, at, 2), at + 2
+        parts = []
+        for _ in range(n):
+            at += index_size
+            parts.append((how, base + _number(data, at, offset_size), _number(data, at + offset_size, length_size)))
+            at += offset_size + length_size
+        if item == wanted:
+            return parts
+    return []
+
+
+def _heic(data: bytes) -> bytes | None:
+    """The Exif item of an ISO media file, found through its item and location tables."""
+    for kind, start, end in _boxes(data, 0, len(data)):
+        if kind != b"meta":
+            continue
+        inner = {k: (a, b) for k, a, b in _boxes(data, start + 4, end)}
+        if b"iinf" not in inner or b"iloc" not in inner:
+            return None
+        item = _exif_item(data, *inner[b"iinf"])
+        found = b""
+        for how, offset, size in _extents(data, inner[b"iloc"][0], item) if item is not None else []:
+            if how > 1 or (how == 1 and b"idat" not in inner):
+                return None
+            offset += inner[b"idat"][0] if how else 0
+            found += data[offset : offset + size]
+        # the item begins with the distance of the TIFF part from the end of these four bytes
+        return found[4 + struct.unpack(">I", found[:4])[0] :] if len(found) > 8 else None
+    return None
+
+
+def _tiff(data: bytes) -> bytes | None:
+    """The TIFF part of a TIFF, JPEG, PNG, WebP or HEIC file; null where there is none or the file is damaged."""
+    try:
+        if data[:2] in (b"II", b"MM"):
+            return data
+        if data[:2] == b"\xff\xd8":
+            return _jpeg(data)
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return _png(data)
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp(data)
+        return _heic(data) if data[4:8] == b"ftyp" else None
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
 def _entries(t: bytes, order: str, at: int) -> Iterator[tuple[int, object]]:
     """(tag, value) of one directory; what reaches beyond the bytes is left out."""
     if not 0 < at <= len(t) - 2:
@@ -110,8 +221,8 @@ def has_metadata() -> Column:
     return some.isNotNull() | F.col("gps_present")
 
 
-def write_tags(values: dict) -> bytes:
-    """A JPEG head with the given raw tags; rationals keep four decimals."""
+def write_tags(values: dict, container: str = "jpeg") -> bytes:
+    """The head of a file of a kind (jpeg, tiff, png, webp or heic) with the given raw tags; rationals keep four decimals."""
     numbers = {name: tag for tag, name in TAGS.items()}
 
     def directory(entries: list[tuple[int, int, bytes, int]], base: int) -> bytes:
@@ -135,4 +246,26 @@ def write_tags(values: dict) -> bytes:
     exif = directory(inner, 8 + 2 + 12 * 2 + 4)
     outer = [(EXIF_DIRECTORY, 4, struct.pack("<I", 8 + 2 + 12 * 2 + 4), 1), (GPS_DIRECTORY, 4, struct.pack("<I", 8 + 2 + 12 * 2 + 4 if values.get("gps") else 0), 1)]
     tiff = b"II*\0" + struct.pack("<I", 8) + directory(outer, 8) + exif
+    return _contained(tiff, container)
+
+
+def _contained(tiff: bytes, container: str) -> bytes:
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    if container == "tiff":
+        return tiff
+    if container == "png":
+        chunk = lambda kind, body: struct.pack(">I4s", len(body), kind) + body + struct.pack(">I", zlib.crc32(kind + body))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"eXIf", tiff) + chunk(b"IEND", b"")
+    if container == "webp":
+        chunk = lambda kind, body: struct.pack("<4sI", kind, len(body)) + body + b"\0" * (len(body) % 2)
+        body = b"WEBP" + chunk(b"VP8X", b"\x08" + bytes(9)) + chunk(b"EXIF", tiff)
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+    if container == "heic":
+        payload = struct.pack(">I", 6) + b"Exif\0\0" + tiff
+        item = box(b"infe", struct.pack(">IHH4s", 2 << 24, 7, 0, b"Exif") + b"\0")
+        names = box(b"iinf", struct.pack(">IH", 0, 1) + item)
+        place = lambda at: box(b"iloc", struct.pack(">IHHHHHII", 0, 0x4400, 1, 7, 0, 1, at, len(payload)))
+        head = box(b"ftyp", b"heic\0\0\0\0mif1heic")
+        meta = lambda at: box(b"meta", bytes(4) + names + place(at))
+        return head + meta(len(head) + len(meta(0)) + 8) + box(b"mdat", payload)
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xd9"

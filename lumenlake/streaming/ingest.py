@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lumenlake.operators.tables import shared_dir
 
@@ -24,12 +25,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), F.concat(F.lit("/shoot/"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 500).cast("string")).alias("path"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("t"))
 
 
-def settled(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, brief: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Setting that chooses where a stream keeps its state, and the store that processors with timers need.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def settled(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, brief: Callable[[DataFrame], DataFrame] | None = None, store: str | None = None, progress: list | None = None) -> DataFrame:
     """Run the stream over all input that is there and return what it wrote.
 
     Each micro-batch writes a folder of its own, which it replaces if it runs again.  Complete results replace each other; in
     update mode the row of the latest batch counts for each of the keys, so the state may forget what the watermark has passed.
-    brief: what to keep of a batch, with the stream's columns.
+    brief: what to keep of a batch, with the stream's columns.  store: class of the state store, where the stream needs another than the
+    session's.  progress: takes the reports of the stream's batches.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -37,8 +43,17 @@ def settled(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
     def keep(batch: DataFrame, number: int) -> None:
         (brief(batch) if brief else batch).write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    if store:
+        spark.conf.set(STORE, store)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    if progress is not None:
+        progress += query.recentProgress
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch=-1")
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -76,29 +91,84 @@ def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("t", late).dropDuplicatesWithinWatermark(["path", "t"])
 
 
+class BurstProcessor(StatefulProcessor):
+    """State of one session: times that the watermark has not passed yet, the burst that is open, and the timer that is set.
+
+    Frames may come in any order until the watermark passes their time; then they are folded in order of time, so the result does not depend on how
+    the stream was cut into batches.  The state holds no more than the frames behind the watermark and one burst.
+    """
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long")
+        self.open = handle.getValueState("open", "start long, n long")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _set_alarm(self, first: int | None) -> None:
+        """One timer: where the first waiting frame, or else the end of the open burst, has passed for good."""
+        ends = [self.open.get()[0] + self.gap] if self.open.exists() else []
+        at = min([*ends, *([first] if first is not None else [])], default=None)
+        if self.alarm.exists():
+            self.handle.deleteTimer(self.alarm.get()[0])
+            self.alarm.clear()
+        if at is not None:
+            self.handle.registerTimer((at + 1) * 1000)
+            self.alarm.update(((at + 1) * 1000,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        times = [int(t.timestamp()) for batch in rows for t in batch["t"]]
+        first = min([*times, *(r[0] for r in self.waiting.get())])
+        self.waiting.appendList([(t,) for t in times])
+        self._set_alarm(first)
+        yield self._sent(key, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # whole seconds before this one are past
+        mark = timerValues.getCurrentWatermarkInMs() // 1000
+        self.alarm.clear()
+        times = sorted(r[0] for r in self.waiting.get())
+        past, later = [t for t in times if t < mark], [t for t in times if t >= mark]
+        start, n = self.open.get() if self.open.exists() else (None, 0)
+        done = []
+        for t in past:
+            if start is None or t - start > self.gap:
+                done.append((start, n))
+                start, n = t, 0
+            n += 1
+        if start is not None and start + self.gap < mark:
+            done.append((start, n))
+            start = None
+        self.waiting.clear()
+        if later:
+            self.waiting.put([(t,) for t in later])
+        if start is None:
+            self.open.clear()
+        else:
+            self.open.update((start, n))
+        self._set_alarm(later[0] if later else None)
+        yield self._sent(key, [(s, n) for s, n in done if n > 1])
+
+    @staticmethod
+    def _sent(key: tuple, done: list[tuple[int, int]]) -> pd.DataFrame:
+        starts = pd.to_datetime(pd.Series([s for s, _ in done], dtype="int64"), unit="s")
+        return pd.DataFrame({"session_id": pd.Series([key[0]] * len(done), dtype="int64"), "start": starts, "photos": pd.Series([n for _, n in done], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
 def bursts(stream: DataFrame, gap: int = 3, late: str = "1 hour") -> DataFrame:
-    """(session_id, start, photos): bursts measured from their first frame, sent once no frame can join them any more."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = state.get[0] if state.exists else []
-        times = sorted([*map(int, times), *(int(x.timestamp()) for b in batches for x in b["t"])])
-        mark = state.getCurrentWatermarkMs() / 1000
-        done, at = [], 0
-        while at < len(times):
-            end = at
-            while end < len(times) and times[end] - times[at] <= gap:
-                end += 1
-            if times[at] + gap >= mark:
-                break
-            if end - at > 1:
-                done.append((key[0], pd.Timestamp(times[at], unit="s"), end - at))
-            at = end
-        if at < len(times):
-            state.update((times[at:],))
-            state.setTimeoutTimestamp(int(max(times[at] + gap, mark) * 1000) + 1000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(done, columns=["session_id", "start", "photos"])
+    """(session_id, start, photos): bursts measured from their first frame, sent once no frame can join them any more.
 
+    Frames that come later than the watermark are dropped and counted by Spark (`late_rows`).  Runs on the RocksDB store, see `settled`.
+    """
     rows = stream.withWatermark("t", late).select("session_id", "t")
-    return rows.groupBy("session_id").applyInPandasWithState(fold, "session_id long, start timestamp, photos long", "times array<long>", "append", "EventTimeTimeout")
+    return rows.groupBy("session_id").transformWithStateInPandas(BurstProcessor(gap), "session_id long, start timestamp, photos long", "append", "EventTime")
+
+
+def late_rows(progress: list) -> int:
+    """Rows that a finished stream dropped because the watermark had passed them, from its progress reports."""
+    return sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
