@@ -7,7 +7,8 @@ the same order.  Documents that share a sketch are candidates.
 
 Similarity is that of an alignment of the words: those that match in order, over all words of either text.  Matches lie
 within a band about the diagonal, which is as wide as the similarity asked for allows.  Two texts that agree in a share j
-of their shingles share one of TABLES sketches with a probability of about 1 - (1 - j ** PICK) ** TABLES.
+of their shingles share one of TABLES sketches with a probability of about 1 - (1 - j ** PICK) ** TABLES.  Texts of fewer than SHORT_TO shingles are known by
+SHORT_PICK of them instead.
 
 Copies of the same words are one node, found by digest.  Candidates that any sketches connect form a pool, which is
 cut into chunks by size.  A task takes the pairs of a chunk that share a shingle, found through an inverted index, aligns
@@ -36,7 +37,10 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import components, prefilter, write_table
 from lumenlake.llm.spans import text_key
 
-WORDS, TABLES, PICK, SIMILARITY = 5, 24, 3, 0.8
+WORDS, TABLES, PICK, SIMILARITY = 5, 48, 3, 0.8
+#: Shingles from which texts have sketches of PICK shingles, and below which they have sketches of SHORT_PICK.  Texts of which one is at most
+#: so much longer as the similarity allows have one of the two in common.
+SHORT_PICK, PICK_FROM, SHORT_TO = 2, 60, 75
 #: Shingles of a chunk on average, and of one of the two wider chunks of a task.
 CHUNK_SHINGLES, WIDE_SHINGLES = 200_000, 600_000
 _WORD = re.compile(r"[^\W_]+")
@@ -111,14 +115,20 @@ def _lowest(h: np.ndarray, pick: int) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """For each table the hash of the PICK smallest shingles in text order."""
-    out = _SEEDS.copy()
-    for place in np.sort(_lowest(h, min(PICK, len(h))), axis=1).T:
+def _sketch(h: np.ndarray, pick: int) -> np.ndarray:
+    """For each table the hash of the `pick` smallest shingles in text order."""
+    out = _SEEDS + np.uint64(pick)
+    for place in np.sort(_lowest(h, min(pick, len(h))), axis=1).T:
         out = mix(out * _ODD[0] + h[place])
     return out
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The sketches of a text, TABLES of each kind that it has; few of a short text's shingles outlive a change, so it is known by fewer of them."""
+    picks = [PICK] * (len(h) >= PICK_FROM) + [SHORT_PICK] * (len(h) < SHORT_TO)
+    return np.concatenate([_sketch(h, pick) for pick in picks])
+
+
 def banded_matches(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Most shingles matched in order, at places that differ by band at most; bit-parallel over a."""
     n = min(len(a), len(b))
@@ -288,7 +298,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     texts = known.where("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     texts = write_table(texts, "texts")
-    keys = texts.select("digest", F.posexplode("sketch").alias("table", "value"))
+    keys = texts.select("digest", F.posexplode("sketch").alias("at", "value")).select("digest", (F.col("at") % TABLES).alias("table"), "value")
     shared = keys.groupBy("table", "value").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     # tables of their own, here and below, so that joins can be split at a hot sketch or class
     shared = write_table(shared, "shared-sketches")

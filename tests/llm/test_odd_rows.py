@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, line_hash_dedup, mixing
+from lumenlake.llm import impact_index, line_hash_dedup, mixing, order_minhash
 
 DOCS = "doc_id long, text string, source string"
 
@@ -48,3 +48,21 @@ def test_repeated_query_rows(spark):
         want.update((50, k + 1, i, -s) for k, (s, i) in enumerate(best))
     got = impact_index.top_k(frame, frame.where("vec_id = 50"), 5)
     assert Counter(tuple(r) for r in got.collect()) == want and got.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("words", [20, 40, 62, 80, 200, 600])
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.08, 0.1, 0.11])
+def test_similar_pairs_share_a_sketch(words, share):
+    """Recall of the candidate search in each cell of length and changed words, over pairs that are similar."""
+    rng = np.random.default_rng(words + int(1000 * share))
+    met = []
+    for _ in range(400):
+        n = int(rng.integers(words * 9 // 10, words * 11 // 10 + 1))
+        a = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        b = np.where(rng.random(n) < share, rng.integers(1, 1 << 62, n, dtype=np.uint64), a)
+        if (a != b).any() and order_minhash.similar(a, b):
+            x, y = order_minhash.sketch(order_minhash.shingles(a)), order_minhash.sketch(order_minhash.shingles(b))
+            met.append(bool(np.isin(x, y).any()))
+        if len(met) == 150:
+            break
+    assert len(met) > 20 and np.mean(met) >= 0.9
