@@ -3,8 +3,8 @@
 A document is contaminated by a test item if WINDOW consecutive tokens of the two, laid side by side,
 differ in at most MOST places.  MASKS are three fixed seeds of six token positions each; between
 them any WINDOW tokens with MOST substitutions hold one seed without a substitution, so equal seed hashes
-find every such passage.  Each hit gives a diagonal (document, item, shift), and along it the
-tokens are compared and the best window counted.
+find every such passage.  The hits of a document and an item give one row with the shifts between them, each a diagonal
+along which the tokens are compared and the best window counted; of the document, the row holds what the diagonals reach.
 
 Test hashes are broadcast only while their count is at most BROADCAST_ROWS; beyond it the training hashes
 are first cut down by a slot table of fixed size and then joined by a shuffle.
@@ -37,15 +37,15 @@ def tokens(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, row_key, at, h): the seeds of each row, with the token at which each begins.
+def _windows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, row_key, at, h): the seeds of each row, with the token at which each begins.
 
     A seed that reaches over the end leaves the missing tokens out of its hash, on both sides alike.
     """
-    hashed = rows.select(key, "row_key", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") >= WINDOW)
+    hashed = rows.select(*keys, "row_key", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") >= WINDOW)
     seeds = lambda i: F.array(*[F.xxhash64(F.lit(n), *[F.get("hashes", i + p) for p in mask]) for n, mask in enumerate(MASKS)])
     each = F.flatten(F.transform(F.sequence(F.lit(0), F.size("hashes") - (min(m[-1] for m in MASKS) + 1)), seeds))
-    place = hashed.select(key, "row_key", F.posexplode(each).alias("at", "h"))
+    place = hashed.select(*keys, "row_key", F.posexplode(each).alias("at", "h"))
     return place.withColumn("at", F.floor(F.col("at") / len(MASKS)).cast("int"))
 
 
@@ -78,28 +78,43 @@ def _whole(train: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _near(train: DataFrame, test: DataFrame) -> DataFrame:
     """The same for items of WINDOW tokens or more."""
-    probes = write_table(_windows(test, "item_id").select("item_id", F.col("row_key").alias("item_key"), F.col("at").alias("item_at"), "h").distinct(), "item-seeds")
+    probes = _windows(test.withColumn("item_n", F.size("tokens")), "item_id", "item_n")
+    probes = probes.select("item_id", F.col("row_key").alias("item_key"), "item_n", F.col("at").alias("item_at"), "h").distinct()
+    probes = write_table(probes, "item-seeds")
     seeds = _windows(train, "doc_id")
     if probes.count() <= BROADCAST_ROWS:
         probes = F.broadcast(probes)
     else:
         seeds = prefilter(seeds, "h", probes, "h")
-    hits = seeds.join(probes, "h")
-    hits = write_table(hits.select("doc_id", "row_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-    # only documents with a hit are compared
+    hits = seeds.join(probes, "h").withColumn("shift", F.col("at") - F.col("item_at"))
+    # a document and an item have fewer diagonals than tokens, so a set of them is no longer than the text
+    hits = hits.groupBy("doc_id", "row_key", "item_id", "item_key", "item_n").agg(F.collect_set("shift").alias("shifts"))
+    hits = write_table(hits, "hits")
+    # only documents with a hit are compared, and only from the first token that a diagonal meets to the last
     near = prefilter(train.withColumnRenamed("tokens", "doc_tokens"), "doc_id", hits, "doc_id")
     hits = hits.withColumnsRenamed({"doc_id": "_doc", "row_key": "_key"})
+    hits = hits.withColumns({"from": F.greatest(F.lit(0), F.array_min("shifts")), "upto": F.array_max("shifts") + F.col("item_n")})
     near = near.join(hits, near["doc_id"].eqNullSafe(hits["_doc"]) & (near["row_key"] == hits["_key"]))
+    reach = F.slice("doc_tokens", F.col("from") + 1, F.greatest(F.lit(0), F.col("upto") - F.col("from")))
+    shifts = F.transform("shifts", lambda s: s - F.col("from"))
+    near = near.select("doc_id", "row_key", "item_id", "item_key", reach.alias("doc_tokens"), shifts.alias("shifts"))
     near = near.join(test.select("item_id", F.col("row_key").alias("item_key"), "tokens"), ["item_id", "item_key"])
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    end = F.least(F.size("tokens"), F.size("doc_tokens") - F.col("shift"))
-    near = near.withColumn("first", first).withColumn("end", end).where(F.col("end") - F.col("first") >= WINDOW)
-    same = F.transform(F.sequence("first", F.col("end") - 1), lambda j: (F.get("tokens", j) == F.get("doc_tokens", j + F.col("shift"))).cast("int"))
-    near = near.select("doc_id", "row_key", "item_id", same.alias("same"))
+    near = near.select("doc_id", "row_key", "item_id", _judged().alias("passages")).where(F.size("passages") > 0)
+    most = lambda name: F.array_max(F.transform("passages", lambda v: v[name])).cast("long").alias(name)
+    return near.select("doc_id", "row_key", "item_id", most("best"), most("equal"))
+
+
+def _judged() -> Column:
+    """(best, equal) of each of `shifts` along which tokens and doc_tokens hold a passage, one diagonal at a time."""
+    first = lambda s: F.greatest(F.lit(0), -s)
+    end = lambda s: F.least(F.size("tokens"), F.size("doc_tokens") - s)
     count = lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y)
-    windows = F.transform(F.sequence(F.lit(1), F.size("same") - (WINDOW - 1)), lambda s: count(F.slice("same", s, WINDOW)))
-    near = near.select("doc_id", "row_key", "item_id", F.array_max(windows).cast("long").alias("best"), count(F.col("same")).cast("long").alias("equal"))
-    return near.where(F.col("best") >= WINDOW - MOST)
+    same = lambda s: F.transform(F.sequence(first(s), end(s) - 1), lambda j: (F.get("tokens", j) == F.get("doc_tokens", j + s)).cast("int"))
+    windows = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (WINDOW - 1)), lambda i: count(F.slice(x, i, WINDOW)))
+    # an array of one binds what is used twice
+    judged = lambda s: F.transform(F.array(same(s)), lambda x: F.struct(F.array_max(windows(x)).alias("best"), count(x).alias("equal")))
+    long = F.filter("shifts", lambda s: end(s) - first(s) >= WINDOW)
+    return F.filter(F.flatten(F.transform(long, judged)), lambda v: v["best"] >= WINDOW - MOST)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

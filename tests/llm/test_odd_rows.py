@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, line_hash_dedup, mixing, order_minhash
+from lumenlake.llm import impact_index, line_hash_dedup, mixing, order_minhash, spaced_seed
 
 DOCS = "doc_id long, text string, source string"
 
@@ -66,3 +66,21 @@ def test_similar_pairs_share_a_sketch(words, share):
         if len(met) == 150:
             break
     assert len(met) > 20 and np.mean(met) >= 0.9
+
+
+def test_one_repeated_token_gives_one_row_of_diagonals(spark):
+    """A word over and over meets an item along many diagonals, all of them in one row, and the result is a plain loop's."""
+    texts = {1: "a " * 800, 2: "b " * 30 + "a " * 11 + "b " * 30, 3: "c d e " * 40, 4: "a " * 5 + "b " + "a " * 6, 5: "a " * 10 + "x y " + "a " * 3}
+    tests = {1: "a " * 100, 2: "c d e " * 6, 3: "a " * 12}
+    got = spaced_seed.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(tests.items()), "item_id long, text string"))
+    want = {}
+    for d, text in texts.items():
+        for i, item in tests.items():
+            a, b = text.split(), item.split()
+            for shift in range(-len(b), len(a)):
+                same = [int(b[j] == a[j + shift]) for j in range(max(0, -shift), min(len(b), len(a) - shift))]
+                best = max((sum(same[k : k + 12]) for k in range(len(same) - 11)), default=0)
+                if best >= 10:
+                    old = want.get((d, i), (0, 0))
+                    want[d, i] = (max(old[0], best), max(old[1], sum(same)))
+    assert {(r.doc_id, r.item_id): (r.best, r.equal) for r in got.collect()} == want and (1, 1) in want and len(want) >= 6
