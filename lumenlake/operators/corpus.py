@@ -26,26 +26,73 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+#: Names a word may stand in, on the right, before names that share it have to share more than the word.
+COMMON = 64
+
+
+def _letters(names: DataFrame) -> DataFrame:
+    """norm and its letters, the k-th of a kind apart from the others, as an array `bag`."""
+    seen = F.transform(F.split("norm", ""), lambda c, i: F.concat(c, F.size(F.filter(F.split(F.substring("norm", F.lit(1), i + 1), ""), lambda d: d == c)).cast("string")))
+    return names.withColumn("bag", seen)
+
+
+def _alike(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Pairs of names (x, y) that share a word which stands in many names and enough letters for a ratio of `least`.
+
+    The ratio is at most twice the common letters over all letters, so a pair needs least * (a + b) / 2 of them.  Letters are put in
+    one order, rarest first; names of lengths a and b that share c letters share one among the first a - c + 1 of the one and the
+    first b - c + 1 of the other, and at places i and j no more than the letters that are left from there.  The key
+    holds the word and both lengths, so that only names of fitting lengths meet.
+    """
+    bags = _letters(x.select("norm").unionByName(y.select("norm")).distinct())
+    often = bags.select(F.explode("bag").alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+    # letters are 36 and the space, each numbered up to the longest name: a small table, but no hint where names are long
+    order = bags.select("norm", F.explode("bag").alias("letter")).join(often, "letter").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("often", "letter"))).alias("bag"))
+    ranked = lambda df, name: df.join(order, "norm").select(F.col("norm").alias(name), "word", F.size("bag").alias(f"{name}_n"), F.transform("bag", lambda v: v["letter"]).alias(f"{name}_bag"))
+    x, y = ranked(x, "x"), ranked(y, "y")
+    lengths = y.groupBy("word").agg(F.collect_set("y_n").alias("others"))
+    need = lambda n, m: F.ceil((n + m) * (least / 2) - 1e-9).cast("int")
+    head = lambda bag, n, m: F.posexplode(F.slice(bag, F.lit(1), F.greatest(F.lit(0), n - need(n, m) + 1)))
+    own = lambda df, name, sizes: df.select("*", F.explode(sizes).alias("m")).where(need(F.col(f"{name}_n"), F.col("m")) <= F.least(F.col(f"{name}_n"), F.col("m")))
+    left = own(x.join(lengths, "word"), "x", F.col("others")).select("x", "x_n", "x_bag", "word", "m", head("x_bag", F.col("x_n"), F.col("m")).alias("i", "letter"))
+    shorter = x.groupBy("word").agg(F.collect_set("x_n").alias("others"))
+    right = own(y.join(shorter, "word"), "y", F.col("others")).select("y", "y_n", "y_bag", "word", F.col("m").alias("k"), head("y_bag", F.col("y_n"), F.col("m")).alias("j", "letter"))
+    met = left.join(right.withColumnsRenamed({"word": "_word", "letter": "_letter"}), (F.col("word") == F.col("_word")) & (F.col("letter") == F.col("_letter")) & (F.col("m") == F.col("y_n")) & (F.col("k") == F.col("x_n")))
+    # the first letter that both have in common is the one that counts the pair
+    enough = need(F.col("x_n"), F.col("y_n"))
+    met = met.where(F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j")) >= enough)
+    met = met.where(F.size(F.array_intersect(F.slice("x_bag", F.lit(1), F.col("i")), F.slice("y_bag", F.lit(1), F.col("j")))) == 0)
+    return met.where(F.size(F.array_intersect("x_bag", "y_bag")) >= enough).select("x", "y").distinct()
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.8, common: int = COMMON) -> DataFrame:
     """(left_id, right_id, score): for each left name the most similar right name that shares a word of three letters with it or holds it or is held by it.
 
-    Names meet through their words, and whole names through the substrings of the others: the ratio of a name and one
-    that it holds is 2 a / (a + b), so only substrings long enough for `least` are made.  A left name without
-    a word of three letters matches nothing.  Ties go to the smaller right_id.
+    Different names are compared, however many ids bear one.  They meet through words that stand in at most `common` right names; through
+    words of more names by `_alike`, which loses no pair of at least `least`; and whole names through the substrings of the others: the ratio of
+    a name and one that it holds is 2 a / (a + b), so only substrings long enough for `least` are made.  A left name without
+    a word of three letters matches nothing, nor does a null name or id.  Ties go to the smaller right_id.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("norm", " +"))).alias("word")).where(F.length("word") > 2)
-    a, b = (df.select(F.col("id").alias(key), normalized("name").alias("norm")) for df, key in ((left, "left_id"), (right, "right_id")))
-    shared = words(a, "left_id").join(words(b, "right_id"), "word").select("left_id", "right_id")
+    a, b = (df.select(F.col("id").alias(key), normalized("name").alias("norm")).where(F.col("norm").isNotNull() & F.col(key).isNotNull()) for df, key in ((left, "left_id"), (right, "right_id")))
+    # of the ids of one right name, the smallest is the one that can be returned
+    b = b.groupBy("norm").agg(F.min("right_id").alias("right_id"))
+    names = a.select("norm").distinct()
+    words = lambda df: df.select("norm", F.explode(F.array_distinct(F.split("norm", " +"))).alias("word")).where(F.length("word") > 2)
+    x, y = words(names), words(b)
+    many = y.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > common).select("word")
+    few = lambda df: df.join(many, "word", "left_anti")
+    shared = few(x).withColumnRenamed("norm", "x").join(few(y).withColumnRenamed("norm", "y"), "word").select("x", "y")
+    alike = _alike(x.join(many, "word", "left_semi"), y.join(many, "word", "left_semi"), least)
     long = F.greatest(F.lit(1), F.ceil(F.length("norm") * (least / (2 - least)) - 1e-9).cast("int"))
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n))
-    parts = lambda df: df.select("norm").distinct().where(F.length("norm") > 0).select("norm", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(long, F.length("norm")), pieces)))).alias("part"))
-    named = a.where(F.col("norm").rlike("[^ ]{3}"))
-    inside = parts(b).join(named.withColumnRenamed("norm", "part"), "part").join(b, "norm").select("left_id", "right_id")
-    around = parts(named).join(b.withColumnRenamed("norm", "part"), "part").join(named, "norm").select("left_id", "right_id")
-    met = shared.unionByName(inside).unionByName(around).distinct()
-    met = met.join(a.withColumnRenamed("norm", "x"), "left_id").join(b.withColumnRenamed("norm", "y"), "right_id").withColumn("score", _ratio("x", "y"))
-    best = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    return met.where(F.col("score") >= least).withColumn("n", F.row_number().over(best)).where("n = 1").select("left_id", "right_id", "score")
+    parts = lambda df: df.where(F.length("norm") > 0).select("norm", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(long, F.length("norm")), pieces)))).alias("part"))
+    named = names.where(F.col("norm").rlike("[^ ]{3}"))
+    inside = parts(b.select("norm")).join(named, F.col("part") == named["norm"]).select(named["norm"].alias("x"), b["norm"].alias("y"))
+    around = parts(named).join(b.select(F.col("norm").alias("y")), F.col("part") == F.col("y")).select(F.col("norm").alias("x"), "y")
+    met = shared.unionByName(alike).unionByName(inside).unionByName(around).distinct()
+    met = met.withColumn("score", _ratio("x", "y")).where(F.col("score") >= least)
+    best = met.join(b.withColumnRenamed("norm", "y"), "y").groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("right_id").alias("id"))).alias("best"))
+    return a.join(best, a["norm"] == best["x"]).select("left_id", F.col("best.id").alias("right_id"), (-F.col("best.s")).alias("score"))
 
 
 def selected_labels(rows: DataFrame, least: float = 0.7, cap: int = 100) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 
+from lumenlake.operators import corpus
 from lumenlake.plans import ORACLE_SQL, QUERIES
 from tests.oracle import differences
 
@@ -146,3 +150,24 @@ def test_class_map_against_plain_loop(spark):
     )
     assert {r["name"]: (r.mid, r.class_name, r.score, r.coarse, r.how) for r in got.collect()} == want
     assert {"exact", "fuzzy", "added", "override"} == {v[4] for v in want.values()}
+
+
+def test_fuzzy_names_that_all_share_a_word(spark):
+    """With one word in every name, pairs meet by their letters: the same matches as all pairs, and few candidates."""
+    rng = random.Random(5)
+    name = lambda: "camera " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(4, 12)))
+    right = [(i, name()) for i in range(400)]
+    left = [(1000 + i, n[:-1] + "x" if i % 2 else n + "s") for i, n in right[:60]] + [(2000 + i, name()) for i in range(60)] + [(3000, None), (3001, ""), (3002, "camera")]
+    left, right = left + [(4000, left[0][1])], right + [(9000, right[3][1]), (9001, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    for least in (0.8, 0.9, 0.5):
+        want = {}
+        for i, x in left:
+            near = sorted((-SequenceMatcher(None, x, y).ratio(), j) for j, y in right if x and y)
+            if near and -near[0][0] >= least:
+                want[i] = (near[0][1], round(-near[0][0], 9))
+        got = corpus.fuzzy_matches(frame(left), frame(right), least, common=8)
+        assert {r.left_id: (r.right_id, round(r.score, 9)) for r in got.collect()} == want
+    words = lambda rows: frame(rows).where("name like 'camera %'").selectExpr("name as norm", "'camera' as word").distinct()
+    met = corpus._alike(words(left), words(right), 0.8).count()
+    assert 60 <= met < 0.2 * 121 * 400
