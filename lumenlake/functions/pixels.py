@@ -229,3 +229,34 @@ def face_hash(rgb: np.ndarray, x: float, y: float, w: float, h: float, margin: f
     if x1 - x0 < least or y1 - y0 < least:
         return None
     return difference_hash(luma(rgb[y0:y1, x0:x1]))
+
+
+def face_hashes(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """(key, face, x, y, w, h, hash): the appearance of each box (key, score, x, y, w, h), numbered from 0 by falling score, x, y, w, h.
+
+    An image is read once for all its boxes.  The hash is null for faces that are too small to tell and where the image
+    holds no pixels, not those it states, or too many; boxes with a null or non-finite side have none either.  Boxes without an image
+    and images without a box give no row; boxes without a key neither.
+    """
+    place = F.struct((-F.col("score")).alias("s"), "x", "y", "w", "h")
+    # the boxes of a photo are few: what is left of a detector's candidates
+    faces = boxes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_of")).agg(F.sort_array(F.collect_list(place)).alias("boxes"))
+    held = images.select(key, "width", "height", "data").join(faces, F.col(key) == F.col("_of")).drop("_of")
+    sides = [F.col(f"boxes.{k}").alias(k) for k in "xywh"]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(width: pd.Series, height: pd.Series, data: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for wide, high, pixels, *box in zip(width, height, data, x, y, w, h, strict=True):
+            if pd.isna(wide) or pd.isna(high) or not measurable(int(wide), int(high), pixels and len(pixels)):
+                out.append([None] * len(box[0]))
+                continue
+            rgb = np.frombuffer(pixels, np.uint8).reshape(int(high), int(wide), 3)[:, :, ::-1]
+            sides = np.array([np.asarray(b, dtype=np.float64) for b in box]).T
+            out.append([face_hash(rgb, *b) if np.isfinite(b).all() else None for b in sides])
+        return pd.Series(out)
+
+    read = held.select(key, "boxes", "width", "height", "data", *sides)
+    told = read.select(key, "boxes", hashes("width", "height", "data", *"xywh").alias("hashes"))
+    each = told.select(key, F.posexplode(F.arrays_zip("boxes", "hashes")).alias("face", "f"))
+    return each.select(key, "face", *[F.col(f"f.boxes.{k}").alias(k) for k in "xywh"], F.col("f.hashes").alias("hash"))

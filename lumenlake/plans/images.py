@@ -116,3 +116,21 @@ def scene_groups(c: Catalog) -> DataFrame:
     """Photos of each raw scene group with the merged group it falls into."""
     raw = F.when(F.col("photo_id") % 9 > 0, F.get(F.array(*map(F.lit, RAW)), (F.col("photo_id") % len(RAW)).cast("int")))
     return c.analysis.groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("n")).select("raw", evaluate.merged_group(F.col("raw")).alias("merged"), "n")
+
+
+def enlarged(c: Catalog, times: int = 8) -> DataFrame:
+    """The images with every pixel repeated in both directions, large enough for faces."""
+    row = lambda y: f"concat(array_join(transform(sequence(0, 7), x -> repeat(substr(h, 6 * (8 * {y} + x) + 1, 6), {times})), ''))"
+    data = F.expr(f"unhex(array_join(transform(sequence(0, 7), y -> repeat({row('y')}, {times})), ''))")
+    return images(c).withColumn("h", F.hex("data")).select("vec_id", F.lit(8 * times).alias("width"), F.lit(8 * times).alias("height"), data.alias("data"))
+
+
+def face_boxes(c: Catalog) -> DataFrame:
+    """The faces left of each order's candidate boxes, as those of the image of the same number."""
+    return pixels.suppressed(boxes(c)).withColumnRenamed("photo_id", "vec_id")
+
+
+@query("B14_face_hashes")
+def face_hashes(c: Catalog) -> DataFrame:
+    """Appearance of the faces of each image, by boxes that overlap little; tests compare it with a plain loop."""
+    return pixels.face_hashes(enlarged(c), face_boxes(c), "vec_id")

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import struct
 import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import pixels
 from lumenlake.operators import corpus, curation
+from lumenlake.plans import QUERIES
+from lumenlake.plans import images as image_plans
 from lumenlake.sources import exif, heads
+from lumenlake.sources.catalog import Catalog
 from lumenlake.streaming import ingest
 
 
@@ -183,3 +189,36 @@ def test_limits_of_pixels(spark):
     assert pixels.measurable(20_000, 15_000, 900_000_000) and not pixels.measurable(25_000, 20_001, 3 * 25_000 * 20_001)
     assert not pixels.measurable(10, 10, 299) and not pixels.measurable(0, 10, 0) and not pixels.measurable(10, 10, None)
     assert spark.range(1).select(pixels.too_large(F.lit(1), F.lit(20_000), F.lit(15_000)).alias("x")).first().x
+
+
+def test_face_hashes_against_a_plain_loop(spark, small):
+    """Each image's faces one by one, from its pixels."""
+    c = Catalog(spark, small)
+    seen = {r.vec_id: (r.width, r.height, bytes(r.data)) for r in image_plans.enlarged(c).collect()}
+    plain = {r.vec_id: bytes(r.data) for r in image_plans.images(c).collect()}
+    for key, (width, height, data) in seen.items():
+        big = np.frombuffer(data, np.uint8).reshape(height, width, 3)
+        assert (width, height) == (64, 64) and (big == np.frombuffer(plain[key], np.uint8).reshape(8, 8, 3).repeat(8, 0).repeat(8, 1)).all()
+    found = defaultdict(list)
+    for r in image_plans.face_boxes(c).collect():
+        found[r.vec_id].append((-r.score, r.x, r.y, r.w, r.h))
+    want = {}
+    for key in seen.keys() & found.keys():
+        rgb = np.frombuffer(seen[key][2], np.uint8).reshape(64, 64, 3)[:, :, ::-1]
+        for n, (_, x, y, w, h) in enumerate(sorted(found[key])):
+            x0, x1, y0, y1 = max(0, math.floor(x - 0.18 * w)), min(64, math.ceil(x + 1.18 * w)), max(0, math.floor(y - 0.18 * h)), min(64, math.ceil(y + 1.18 * h))
+            part = rgb[y0:y1, x0:x1]
+            want[key, n] = pixels.difference_hash(pixels.luma(part)) if min(part.shape[:2]) >= 12 else None
+    got = {(r.vec_id, r.face): r.hash for r in QUERIES["B14_face_hashes"](spark, small).collect()}
+    assert got == want and len({v for v in got.values() if v is not None}) > 20
+
+
+def test_face_hashes_of_odd_rows(spark):
+    ramp = bytes(v for y in range(20) for x in range(20) for v in (10 * x, 10 * x, 10 * x))
+    images = spark.createDataFrame([(1, 20, 20, ramp), (2, 20, 20, None), (3, 20, 20, b"short"), (4, None, 20, ramp), (5, 20, 20, ramp), (None, 20, 20, ramp)], "id long, width int, height int, data binary")
+    box = [(1, 0.9, 2.0, 2.0, 15.0, 15.0), (1, 0.9, 2.0, 2.0, 3.0, 3.0), (1, 0.5, None, 2.0, 9.0, 9.0), (1, 0.4, float("nan"), 2.0, 9.0, 9.0), (6, 0.9, 2.0, 2.0, 9.0, 9.0), (None, 0.9, 2.0, 2.0, 9.0, 9.0)]
+    box += [(k, 0.9, 2.0, 2.0, 15.0, 15.0) for k in (2, 3, 4)]
+    boxes = spark.createDataFrame(box, "id long, score double, x double, y double, w double, h double")
+    got = {(r.id, r.face): r.hash for r in pixels.face_hashes(images, boxes, "id").collect()}
+    assert got == {(1, 0): None, (1, 1): -1, (1, 2): None, (1, 3): None, (2, 0): None, (3, 0): None, (4, 0): None}
+    assert pixels.face_hashes(images.limit(0), boxes, "id").count() == 0 and pixels.face_hashes(images, boxes.limit(0), "id").count() == 0
