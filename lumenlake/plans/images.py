@@ -34,7 +34,17 @@ def image_measures(c: Catalog) -> DataFrame:
     return pixels.measured(images(c), "vec_id").drop("is_monochrome", "color_signature", "phash")
 
 
-@query("B11_signatures_and_hashes")
+@query("B11_signatures_and_hashes", """
+WITH f AS (SELECT vec_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, hi / 255.0::DOUBLE AS hi, hi / 255.0::DOUBLE - lo / 255.0::DOUBLE AS d FROM lum),
+q AS (SELECT vec_id, floor((CASE WHEN hi = r THEN (g - b) / d + (CASE WHEN g < b THEN 6 ELSE 0 END) WHEN hi = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END * 60 + 15) / 30)::INTEGER % 12 AS hue FROM f WHERE hi >= 0.08::DOUBLE AND d > 0 AND d >= 0.2::DOUBLE * hi),
+c AS (SELECT vec_id, hue, count(*) AS k, sum(count(*)) OVER (PARTITION BY vec_id) AS n FROM q GROUP BY 1, 2),
+sig AS (SELECT vec_id, sum(1 << hue) FILTER (k / n::DOUBLE >= 0.04 AND k / 64.0 >= 0.01) AS bits, CASE WHEN max(n) / 64.0 >= 0.01 THEN 1 << max_by(hue, (k, hue)) END AS main_hue FROM c GROUP BY 1),
+sinc AS (SELECT j, k, CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END AS w FROM (SELECT j, k, (j + 0.5::DOUBLE) * 8 / 9 - (k + 0.5::DOUBLE) AS x FROM range(9) a(j), range(8) b(k))),
+weight AS (SELECT j, k, round(16384 * w / sum(w) OVER (PARTITION BY j))::BIGINT AS w FROM sinc),
+small AS (SELECT vec_id, y, j, sum(l * w) AS s FROM lum JOIN weight ON k = x GROUP BY 1, 2, 3),
+bit AS (SELECT vec_id, sum(CASE WHEN s < more THEN CASE WHEN y * 8 + j = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << (y * 8 + j)::INTEGER END ELSE 0 END)::BIGINT AS phash FROM (SELECT *, lead(s) OVER (PARTITION BY vec_id, y ORDER BY j) AS more FROM small) WHERE j < 8 GROUP BY 1),
+m AS (SELECT vec_id, avg(CASE WHEN hi > 0 THEN (hi - lo) / hi::DOUBLE ELSE 0 END) < 0.06 AND greatest(avg(r), avg(g), avg(b)) - least(avg(r), avg(g), avg(b)) < 8 AS mono FROM lum GROUP BY 1)
+SELECT m.vec_id, mono::INTEGER AS is_monochrome, coalesce(bits, main_hue, 0)::INTEGER AS color_signature, phash FROM m JOIN bit ON bit.vec_id = m.vec_id LEFT JOIN sig ON sig.vec_id = m.vec_id""", "px lum")
 def signatures(c: Catalog) -> DataFrame:
     return pixels.measured(images(c), "vec_id").select("vec_id", "is_monochrome", "color_signature", "phash")
 
@@ -57,7 +67,17 @@ def boxes(c: Catalog) -> DataFrame:
     return c.table("lineitem").selectExpr("l_orderkey as photo_id", "cast(l_extendedprice % 1000 as double) / 1000 as score", "cast(l_partkey % 40 as double) as x", "cast(l_suppkey % 40 as double) as y", "20 + cast(l_quantity as double) / 5 as w", "20 + cast(l_linenumber as double) as h")
 
 
-@query("B17_suppressed_boxes")
+@query("B17_suppressed_boxes", """
+WITH RECURSIVE b AS (SELECT l_orderkey AS photo_id, l_extendedprice::DOUBLE % 1000 / 1000 AS score, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, 20 + l_quantity::DOUBLE / 5 AS w, 20 + l_linenumber::DOUBLE AS h FROM lineitem),
+r AS (SELECT photo_id, list({'score': score, 'x': x, 'y': y, 'w': w, 'h': h} ORDER BY score DESC, x, y, w, h) AS boxes FROM b GROUP BY 1),
+walk AS (
+  SELECT photo_id, boxes, 1 AS i, [boxes[1]] AS kept FROM r
+  UNION ALL
+  SELECT photo_id, boxes, i + 1, CASE WHEN len(kept) < 100 AND len([o FOR o IN [{'both': greatest(0, least(k.x + k.w, boxes[i + 1].x + boxes[i + 1].w) - greatest(k.x, boxes[i + 1].x)) * greatest(0, least(k.y + k.h, boxes[i + 1].y + boxes[i + 1].h) - greatest(k.y, boxes[i + 1].y)),
+      'area': boxes[i + 1].w * boxes[i + 1].h + k.w * k.h} FOR k IN kept] IF o.both > 0.3::DOUBLE * (o.area - o.both)]) = 0 THEN list_append(kept, boxes[i + 1]) ELSE kept END
+  FROM walk WHERE i < len(boxes)),
+o AS (SELECT photo_id, unnest(kept) AS k FROM walk WHERE i = len(boxes))
+SELECT photo_id, k.score AS score, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM o""")
 def suppressed_boxes(c: Catalog) -> DataFrame:
     return pixels.suppressed(boxes(c))
 
