@@ -9,10 +9,11 @@ Records with equal payloads of at least `revisit_from` bytes: the one with the l
 response, the others are revisits of it.
 
 Defined cases: a null html has an empty payload; a null url gives the target URI `urn:none`; a null page_id is
-smaller than any other and stands as `null` in the header; of repeated rows of the largest page_id one
-stays the response and the rest are revisits of it; empty tables give empty archives; other columns of
-pages are not archived.  A payload may recur in any share of the rows: payloads are reduced before they are
-shuffled, and the response of a payload is found from ids and digests alone.
+smaller than any other and stands as `null` in the header; of repeated rows of the largest page_id one with the
+smallest url, null first, stays the response and the rest are revisits of it; repeated rows of one payload share their
+record id; empty tables give empty archives; other columns of pages are not archived.  A payload, with or without
+ids, may recur in any share of the rows: payloads are reduced before they are shuffled, the response of a payload is
+found from ids and digests alone, and repeated rows of the largest id are counted, not ordered.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from lumenlake.llm.common import shared_dir, write_table
 #: The smallest payload that is stored as a revisit when it recurs.
 REVISIT_FROM = 1000
 EOL = "\r\n"
+#: Fixed value: what the standard calls a record that repeats a payload.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Equal rows that are written again at a time from their count.
+CHUNK = 4096
 
 
 def record_types(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
@@ -36,13 +41,17 @@ def record_types(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     last = rows.where(F.col("bytes") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # a table of its own, so that the join can be split at a payload that recurs very often
     rows = rows.join(write_table(last, "repeated-payloads"), "digest", "left")
-    # among repeated rows of the largest id one is the response
-    one = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    again = rows.where("n is not null and page_id <=> last_id").withColumn("nth", one)
-    rest = rows.where("n is null or not (page_id <=> last_id)").withColumn("nth", F.lit(1))
-    rows = again.unionByName(rest)
-    revisit = F.col("n").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("last_id")) | (F.col("nth") > 1))
-    return rows.select("page_id", "url", "digest", "sha1", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last_id")).alias("refers_to"))
+    heads = F.col("n").isNotNull() & F.col("page_id").eqNullSafe(F.col("last_id"))
+    rest = rows.where(~heads).withColumn("first", F.col("n").isNull())
+    # equal rows of the largest id are one row with a count, so no task holds or orders a group of them
+    equal = write_table(rows.where(heads).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times")), "largest-ids")
+    lead = equal.groupBy("digest").agg(F.min(F.struct("url")).alias("lead"))
+    from_ = F.col("chunk") * CHUNK
+    each = equal.join(lead, "digest").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK)))).repartition("digest", "chunk")
+    each = each.withColumn("k", F.explode(F.sequence(from_, F.least(from_ + CHUNK, "times") - 1)))
+    again = each.withColumn("first", (F.col("k") == 0) & F.col("url").eqNullSafe(F.col("lead.url"))).select(rest.columns)
+    kept = rest.unionByName(again)
+    return kept.select("page_id", "url", "digest", "sha1", "bytes", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("first"), F.col("last_id")).alias("refers_to"))
 
 
 def _header(date: str) -> F.Column:
@@ -56,7 +65,7 @@ def _header(date: str) -> F.Column:
         F.lit(f"WARC/1.1{EOL}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uid, F.lit(">"))),
         line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\r\n]", " ")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("X-Page-ID", page), line("X-Payload-Bytes", F.col("bytes").cast("string")),
-        F.coalesce(F.when(F.col("record_type") == "revisit", line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit("null")))), F.lit("")),
+        F.when(F.col("record_type") == "revisit", F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))).otherwise(F.lit("")),
         line("Content-Length", stored), F.lit(EOL))
 
 
@@ -75,9 +84,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     heads = spark.read.schema("page_id long, digest string, header string").parquet(f"{path}/headers")
     blobs = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    rows = heads.join(blobs, "digest", "left")
-    sound = F.sha2("payload", 256) == F.col("digest")
-    return rows.select("header", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("archive: no sound payload for "), F.col("digest"))).cast("binary")).alias("payload"))
+    refuse = F.raise_error(F.concat(F.lit("archive: no sound payload for "), F.col("digest"))).cast("binary")
+    # once for each payload, before the join repeats it for each of its records
+    sound = blobs.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(refuse))
+    rows = heads.join(sound, "digest", "left")
+    return rows.select("header", F.coalesce("payload", refuse).alias("payload"))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import impact_index, line_hash_dedup, mixing, order_minhash, spaced_seed
+from lumenlake.llm import impact_index, line_hash_dedup, mixing, order_minhash, spaced_seed, warc_store
 
 DOCS = "doc_id long, text string, source string"
 
@@ -84,3 +84,18 @@ def test_one_repeated_token_gives_one_row_of_diagonals(spark):
                     old = want.get((d, i), (0, 0))
                     want[d, i] = (max(old[0], best), max(old[1], sum(same)))
     assert {(r.doc_id, r.item_id): (r.best, r.equal) for r in got.collect()} == want and (1, 1) in want and len(want) >= 6
+
+
+def test_repeated_rows_of_the_largest_page(spark, monkeypatch):
+    """One row of the largest id is the response, by url, however many there are; ids may be missing throughout."""
+    monkeypatch.setattr(warc_store, "CHUNK", 7)
+    one, two, three = "a" * 1000, "b" * 1000, "c" * 999
+    rows = [(None, None, one)] * 50 + [(None, "u", one)] * 3 + [(8, "x", two)] * 21 + [(8, "w", two)] * 15 + [(2, "w", two)] * 4 + [(8, "x", three)] * 3
+    got = warc_store.record_types(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+    told = Counter((r.page_id, r.url, r.bytes, r.record_type, r.refers_to) for r in got.collect())
+    assert told == {
+        (None, None, 1000, "response", None): 1, (None, None, 1000, "revisit", None): 49, (None, "u", 1000, "revisit", None): 3,
+        (8, "w", 1000, "response", None): 1, (8, "w", 1000, "revisit", 8): 14, (8, "x", 1000, "revisit", 8): 21, (2, "w", 1000, "revisit", 8): 4, (8, "x", 999, "response", None): 3,
+    }
+    heads = warc_store.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter(r.record_type for r in heads.collect()) == {"response": 5, "revisit": 91}
