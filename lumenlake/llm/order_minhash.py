@@ -8,7 +8,8 @@ the same order.  Documents that share a sketch are candidates.
 Similarity is that of an alignment of the words: those that match in order, over all words of either text.  Matches lie
 within a band about the diagonal, which is as wide as the similarity asked for allows.  Two texts that agree in a share j
 of their shingles share one of TABLES sketches with a probability of about 1 - (1 - j ** PICK) ** TABLES.  Texts of fewer than SHORT_TO shingles are known by
-SHORT_PICK of them instead.
+SHORT_PICK of them instead, those of fewer than SINGLE_TO by single ones too: one change may leave them one shingle.
+Similar texts without a shingle in common are not met: some of those under 16 words, most of those under 6 (README).
 
 Copies of the same words are one node, found by digest.  Candidates that any sketches connect form a pool, which is
 cut into chunks by size.  A task takes the pairs of a chunk that share a shingle, found through an inverted index, aligns
@@ -41,6 +42,8 @@ WORDS, TABLES, PICK, SIMILARITY = 5, 48, 3, 0.8
 #: Shingles from which texts have sketches of PICK shingles, and below which they have sketches of SHORT_PICK.  Texts of which one is at most
 #: so much longer as the similarity allows have one of the two in common.
 SHORT_PICK, PICK_FROM, SHORT_TO = 2, 60, 75
+#: Shingles below which texts have sketches of a single one as well.
+SINGLE_TO = 16
 #: Shingles of a chunk on average, and of one of the two wider chunks of a task.
 CHUNK_SHINGLES, WIDE_SHINGLES = 200_000, 600_000
 _WORD = re.compile(r"[^\W_]+")
@@ -125,7 +128,7 @@ def _sketch(h: np.ndarray, pick: int) -> np.ndarray:
 
 def sketch(h: np.ndarray) -> np.ndarray:
     """The sketches of a text, TABLES of each kind that it has; few of a short text's shingles outlive a change, so it is known by fewer of them."""
-    picks = [PICK] * (len(h) >= PICK_FROM) + [SHORT_PICK] * (len(h) < SHORT_TO)
+    picks = [PICK] * (len(h) >= PICK_FROM) + [SHORT_PICK] * (len(h) < SHORT_TO) + [1] * (len(h) < SINGLE_TO)
     return np.concatenate([_sketch(h, pick) for pick in picks])
 
 

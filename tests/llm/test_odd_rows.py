@@ -50,7 +50,7 @@ def test_repeated_query_rows(spark):
     assert Counter(tuple(r) for r in got.collect()) == want and got.columns == ["query_id", "rank", "vec_id", "score"]
 
 
-@pytest.mark.parametrize("words", [20, 40, 62, 80, 200, 600])
+@pytest.mark.parametrize("words", [12, 14, 20, 40, 62, 80, 200, 600])
 @pytest.mark.parametrize("share", [0.02, 0.05, 0.08, 0.1, 0.11])
 def test_similar_pairs_share_a_sketch(words, share):
     """Recall of the candidate search in each cell of length and changed words, over pairs that are similar."""
