@@ -2,7 +2,7 @@
 
 Of the t + k blocks into which a hash is cut, two hashes within t bits agree on k at least, so an equi-join on every
 choice of k blocks finds every pair; a pair is kept in its first agreeing choice only.  k grows as t shrinks, so that the keys stay
-selective.  Equal hashes, of a scope or over all of them, are one vertex from the start.
+selective; a block takes every (t + k)-th bit, so that runs of bits in which hashes vary little spread over all blocks.  Equal hashes, of a scope or over all of them, are one vertex from the start.
 """
 
 from __future__ import annotations
@@ -40,8 +40,7 @@ def masks(most: int) -> list[int]:
     """Masks, as signed numbers, of which two hashes within `most` bits agree on one at least."""
     together = 3 if most <= 4 else 2 if most <= 6 else 1
     n = most + together
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [(1 << end) - (1 << start) for start, end in zip(edges, edges[1:], strict=False)]
+    blocks = [sum(1 << bit for bit in range(i, 64, n)) for i in range(n)]
     whole = [sum(c) for c in combinations(blocks, together)]
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
@@ -52,11 +51,12 @@ def near(rows: DataFrame, most: int, keys: list[str], apart: Column | None = Non
     cut = rows.select("*", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in known])).alias("choice", "value"))
     side = lambda s: cut.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns], "choice", "value")
     x, y = side("a"), side("b")
-    on = [x["choice"] == y["choice"], x["value"] == y["value"], F.col("vertex_a") < F.col("vertex_b"), distance("hash_a", "hash_b") <= most]
+    on = [x["choice"] == y["choice"], x["value"] == y["value"], F.col("vertex_a") < F.col("vertex_b")]
     on += [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + ([] if apart is None else [apart])
     differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(m)) == 0 for m in known]), True) - 1
-    return x.join(y, on).where(first == x["choice"]).drop("choice", "value")
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(known)])
+    # Spark takes exploded rows for as few as there were before, and would send them through the driver
+    return x.join(y.hint("merge"), [*on, F.when(distance("hash_a", "hash_b") <= most, first) == x["choice"]]).drop("choice", "value")
 
 
 def pairs(rows: DataFrame, most: int, across: bool = False) -> DataFrame:

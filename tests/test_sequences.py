@@ -152,3 +152,21 @@ def test_links_stay_linear(spark):
     near = faces_of(spark, [(100_000 + p, 1 << (p % 60) | 1 << (p // 60)) for p in range(3000)])
     assert simjoin.face_links(*near).count() < 3000 * 16
     assert simjoin.face_groups(*near).agg(F.countDistinct("group_id"), F.count("id")).first() == (1, 3000)
+
+
+def test_near_hashes_meet_through_exchanges(spark):
+    rows = spark.range(50).select(F.col("id").alias("vertex"), (F.col("id") % 3).alias("scope"), (F.col("id") * F.lit(0x9E3779B97F4A7)).alias("hash"))
+    for most, across in ((6, False), (4, True)):
+        plan = simjoin.pairs(rows, most, across)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_masks_spread_and_lose_nothing():
+    pick = random.Random(5)
+    for most in (4, 6, 10):
+        known = [m & (1 << 64) - 1 for m in simjoin.masks(most)]
+        # the low and the high half weigh alike in each key
+        assert all(abs((m >> 32).bit_count() - (m & 0xFFFFFFFF).bit_count()) <= 3 for m in known)
+        for _ in range(500):
+            differ = sum(1 << b for b in pick.sample(range(64), most))
+            assert any(not differ & m for m in known)
