@@ -332,8 +332,10 @@ def review_progress(c: Catalog) -> DataFrame:
     """New progress rows; a focus that is no photo of its session, and a negative index, are refused."""
     own = c.photos.where("session_id is not null")
     asked = own.groupBy("session_id").agg(F.max("id").alias("focused_photo_id"), F.count(F.lit(1)).alias("unit_index"))
-    wrong = asked.selectExpr("session_id", "focused_photo_id - 1000000 as focused_photo_id", "unit_index")
-    rows = asked.where("session_id % 3 = 0").unionByName(wrong.where("session_id % 3 = 1"))
+    sound = asked.where("session_id % 3 = 0")
+    # the focus of one session is no photo of the next, however many photos there are
+    wrong = sound.selectExpr("session_id + 1 as session_id", "focused_photo_id", "unit_index")
+    rows = sound.unionByName(wrong)
     return curation.sound_progress(rows, own)
 
 

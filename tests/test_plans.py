@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 from collections import defaultdict
+from datetime import UTC
 
 import numpy as np
 import pytest
@@ -222,3 +223,22 @@ def test_face_hashes_of_odd_rows(spark):
     got = {(r.id, r.face): r.hash for r in pixels.face_hashes(images, boxes, "id").collect()}
     assert got == {(1, 0): None, (1, 1): -1, (1, 2): None, (1, 3): None, (2, 0): None, (3, 0): None, (4, 0): None}
     assert pixels.face_hashes(images.limit(0), boxes, "id").count() == 0 and pixels.face_hashes(images, boxes.limit(0), "id").count() == 0
+
+
+def test_refused_focus_at_any_number_of_photos(spark, tmp_path):
+    rows = [(n, 4 if n in (1, 1000001) else 3, "view") for n in (1, 1000001, 2, 1000002)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "user_id", "event_type", "1D as value", "'' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "n", "b", "t")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in QUERIES["F06_review_progress"](spark, str(tmp_path)).collect()] == [(3, 1000002, 2)]
+
+
+def test_all_shoots_of_several_files(spark, tmp_path):
+    start = 1_700_000_000
+    # the later file holds earlier times; the last shoot of each session is still open at the end
+    files = [[(1, start + 90_000), (1, start + 93_000), (2, start + 93_500)], [(1, start), (1, start + 7_199), (1, start + 14_500), (2, start + 60)]]
+    for k, rows in enumerate(files):
+        made = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(rows)], "event_id long, user_id long, s long").coalesce(1)
+        made.selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "user_id", "'view' as event_type", "1D as value", "'' as props").write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = {(r.session_id, int(r.start.replace(tzinfo=UTC).timestamp()) - start, r.frames) for r in QUERIES["E28_shoots"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 2), (1, 14_500, 1), (1, 90_000, 2), (2, 60, 1), (2, 93_500, 1)}
