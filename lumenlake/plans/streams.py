@@ -18,11 +18,10 @@ def activity_windows(c: Catalog) -> DataFrame:
 
 @query("E28_shoots", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id AS session_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS frames FROM s GROUP BY user_id, k
-HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT user_id AS session_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS frames FROM s GROUP BY user_id, k""")
 def shoots(c: Catalog) -> DataFrame:
-    """Shoots that the watermark has closed; those that a frame could still lengthen are not sent yet."""
-    out = ingest.settled(ingest.shoots(ingest.frames(c.spark, c.sf_dir)))
+    """All shoots of the frames that are there, those that a frame could still lengthen as they stand."""
+    out = ingest.settled(ingest.shoots(ingest.frames(c.spark, c.sf_dir), None), "complete", store=ingest.ROCKSDB)
     return out.withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("start", "end")})
 
 
