@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import shared_dir, write_table
+from lumenlake.operators.tables import replaced_by_session, shared_dir
 from lumenlake.plans.registry import query
 from lumenlake.plans.sequences import members
 from lumenlake.sources.catalog import Catalog
@@ -115,16 +115,10 @@ def dimension_names(c: Catalog) -> DataFrame:
 
 @query("E09_replaced_groups", "SELECT session_id, id, CASE WHEN session_id % 2 = 0 THEN 'new' ELSE 'old' END AS run FROM bursts", "photos bursts")
 def replaced_groups(c: Catalog) -> DataFrame:
-    """New groups of some sessions over a table partitioned by session; the others' stay."""
-    from lumenlake.operators.tables import shared_dir
-
-    rows = members(c).select("session_id", "id")
-    old = write_table(rows.withColumn("run", F.lit("old")), "groups-old")
-    path = f"{shared_dir(c.spark)}/groups-{uuid.uuid4().hex}"
-    old.repartition("session_id").write.partitionBy("session_id").parquet(path)
-    new = old.where("session_id % 2 = 0").withColumn("run", F.lit("new"))
-    new.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
-    return c.spark.read.parquet(path).select(F.col("session_id").cast("long").alias("session_id"), "id", "run")
+    """New groups of some sessions over a stored table; the others' stay."""
+    rows = members(c).select("session_id", "id").withColumn("run", F.lit("old"))
+    stored = replaced_by_session(rows, lambda old: old.where("session_id % 2 = 0").withColumn("run", F.lit("new")))
+    return stored.select("session_id", "id", "run")
 
 
 @query("E26_group_kinds", "SELECT group_type, count(DISTINCT group_id) AS groups, count(*) AS photos FROM members GROUP BY 1", "photos bursts members")

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators import sequence, simjoin
+from lumenlake.operators import sequence, simjoin, tables
 
 
 def photo_rows(times: dict[int, list[int]]):
@@ -170,3 +170,12 @@ def test_masks_spread_and_lose_nothing():
         for _ in range(500):
             differ = sum(1 << b for b in pick.sample(range(64), most))
             assert any(not differ & m for m in known)
+
+
+def test_replaced_sessions_in_few_folders(spark):
+    rows = spark.range(3000).selectExpr("id % 700 as session_id", "id", "'old' as run")
+    got = tables.replaced_by_session(rows, lambda old: old.where("session_id % 5 = 0 and id < 2500").withColumn("run", F.lit("new")))
+    want = {(i % 700, i, "new" if i % 700 % 5 == 0 else "old") for i in range(3000) if i % 700 % 5 or i < 2500}
+    assert {(r.session_id, r.id, r.run) for r in got.collect()} == want
+    folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert 1 < len(folders) <= tables.SESSION_PARTS
