@@ -58,13 +58,23 @@ def signature(rgb: np.ndarray) -> int:
     return int(sum(1 << int(i) for i in bits))
 
 
+#: Weights made before, of so many sizes at most.
+_MADE: dict[tuple, np.ndarray] = {}
+MOST_MADE = 256
+
+
 def _weights(size: int, to: int, reach: float = 3.0) -> np.ndarray:
     """Rows of windowed-sinc weights that resample `size` places to `to`, in whole 2^-14ths so that reruns agree."""
+    if (size, to, reach) in _MADE:
+        return _MADE[size, to, reach]
     scale = max(size / to, 1.0)
     at = (np.arange(to)[:, None] + 0.5) * size / to - (np.arange(size)[None, :] + 0.5)
     x = at / scale
     w = np.where(np.abs(x) < reach, np.sinc(x) * np.sinc(x / reach), 0.0)
-    return np.round(w / w.sum(axis=1, keepdims=True) * 16384).astype(np.int64)
+    if len(_MADE) >= MOST_MADE:
+        _MADE.clear()
+    made = _MADE[size, to, reach] = np.round(w / w.sum(axis=1, keepdims=True) * 16384).astype(np.int64)
+    return made
 
 
 def difference_hash(gray: np.ndarray) -> int:
@@ -136,19 +146,33 @@ def iou(a: str, b: str) -> F.Column:
 def suppressed(boxes: DataFrame, least: float = 0.3, most: int = 100) -> DataFrame:
     """Boxes (photo_id, score, x, y, w, h) that overlap no better one of their photo by more than `least`; at most `most` a photo."""
 
-    def chosen(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> list[int]:
-        kept: list[int] = []
-        for i in range(len(x)):
-            both = np.clip(np.minimum(x[i] + w[i], x[kept] + w[kept]) - np.maximum(x[i], x[kept]), 0, None) * np.clip(np.minimum(y[i] + h[i], y[kept] + h[kept]) - np.maximum(y[i], y[kept]), 0, None)
-            if not (both > least * (w[i] * h[i] + w[kept] * h[kept] - both)).any():
-                kept.append(i)
-                if len(kept) == most:
-                    break
-        return kept
+    def chosen(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which boxes stay, of photos with the same number of them, a photo a row: each place is compared with the boxes kept before it."""
+        photos, n = x.shape
+        kept = np.full((4, photos, min(n, most)), np.nan)
+        count, stays = np.zeros(photos, np.int64), np.zeros((photos, n), bool)
+        for i in range(n):
+            kx, ky, kw, kh = kept[:, :, : count.max()]
+            a, b, u, v = x[:, i, None], y[:, i, None], w[:, i, None], h[:, i, None]
+            both = np.clip(np.minimum(a + u, kx + kw) - np.maximum(a, kx), 0, None) * np.clip(np.minimum(b + v, ky + kh) - np.maximum(b, ky), 0, None)
+            free = np.flatnonzero(~(both > least * (u * v + kw * kh - both)).any(axis=1) & (count < most))
+            kept[:, free, count[free]] = x[free, i], y[free, i], w[free, i], h[free, i]
+            count[free] += 1
+            stays[free, i] = True
+            if count.min() == most:
+                break
+        return stays
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def keep(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([chosen(*map(np.asarray, r)) for r in zip(x, y, w, h, strict=True)])
+        sizes = np.array([len(r) for r in x])
+        out = np.empty(len(sizes), object)
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            sides = (np.concatenate(s.to_numpy()[same]).astype(np.float64).reshape(len(same), n) for s in (x, y, w, h))
+            for k, row in zip(same.tolist(), chosen(*sides), strict=True):
+                out[k] = np.flatnonzero(row)
+        return pd.Series(out)
 
     # a photo's candidates are few: what a detector returns for one image
     ranked = boxes.groupBy("photo_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "x", "y", "w", "h"))).alias("b"))

@@ -242,3 +242,44 @@ def test_all_shoots_of_several_files(spark, tmp_path):
         made.selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "user_id", "'view' as event_type", "1D as value", "'' as props").write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = {(r.session_id, int(r.start.replace(tzinfo=UTC).timestamp()) - start, r.frames) for r in QUERIES["E28_shoots"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, 2), (1, 14_500, 1), (1, 90_000, 2), (2, 60, 1), (2, 93_500, 1)}
+
+
+def test_rounds_of_a_crawl_broadcast_nothing(spark, monkeypatch):
+    plans, plain = [], corpus.write_table
+    monkeypatch.setattr(corpus, "write_table", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    frame = spark.createDataFrame([("a", t, p, t + p) for t in range(4) for p in range(6)], "fine string, turn long, place long, id long")
+    corpus.crawled_within_quotas(frame, spark.createDataFrame([(3,)], "id long"), 2, 4, 3).collect()
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoop" in p for p in plans)
+
+
+def test_suppressed_boxes_of_mixed_lengths(spark):
+    pick = random.Random(11)
+    by = {}
+    for photo in range(60):
+        own = by[photo] = []
+        for _ in range(pick.choice([1, 2, 3, 7, 40])):
+            own.append((pick.random(), *(float(pick.randrange(60)) for _ in range(2)), *(float(pick.randrange(5, 30)) for _ in range(2))))
+    by[60] = [(0.9, None, 1.0, 5.0, 5.0), (0.8, 1.0, 1.0, 5.0, 5.0), (0.7, 1.0, 1.0, 5.0, 5.0)]
+    frame = spark.createDataFrame([(k, *b) for k, own in by.items() for b in own], "photo_id long, score double, x double, y double, w double, h double")
+
+    def overlap(a, b):
+        if None in a or None in b:
+            return False
+        (_, x, y, w, h), (_, p, q, u, v) = a, b
+        both = max(0, min(x + w, p + u) - max(x, p)) * max(0, min(y + h, q + v) - max(y, q))
+        return both > 0.3 * (w * h + u * v - both)
+
+    for most in (3, 100):
+        want = set()
+        for k, own in by.items():
+            kept = []
+            for b in sorted(own, key=lambda b: (-b[0], *(v if v is not None else -1 for v in b[1:]))):
+                if len(kept) < most and not any(overlap(b, o) for o in kept):
+                    kept.append(b)
+            want |= {(k, *b) for b in kept}
+        assert {tuple(r) for r in pixels.suppressed(frame, most=most).collect()} == want
+
+
+def test_only_boxes_of_images_are_suppressed(spark, small):
+    plan = QUERIES["B14_face_hashes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
