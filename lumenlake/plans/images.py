@@ -146,8 +146,9 @@ def enlarged(c: Catalog, times: int = 8) -> DataFrame:
 
 
 def face_boxes(c: Catalog) -> DataFrame:
-    """The faces left of each order's candidate boxes, as those of the image of the same number."""
-    return pixels.suppressed(boxes(c)).withColumnRenamed("photo_id", "vec_id")
+    """The faces left of each order's candidate boxes, as those of the image of the same number; orders without an image have none."""
+    held = c.table("embeddings").select(F.col("vec_id").alias("photo_id"))
+    return pixels.suppressed(boxes(c).join(held, "photo_id", "left_semi")).withColumnRenamed("photo_id", "vec_id")
 
 
 @query("B14_face_hashes")
