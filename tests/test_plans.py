@@ -11,6 +11,7 @@ from collections import defaultdict
 from datetime import UTC
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,52 @@ def test_suppressed_boxes_of_mixed_lengths(spark):
 def test_only_boxes_of_images_are_suppressed(spark, small):
     plan = QUERIES["B14_face_hashes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan
+
+
+class CountedState:
+    """A state value and its timers, with the calls that a processor makes on them."""
+
+    def __init__(self):
+        self.held, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls += 1
+        self.held = value
+
+    def clear(self):
+        self.update(None)
+
+    def exists(self):
+        return self.get() is not None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return max(self.timers)
+
+
+def test_a_session_of_a_stream_takes_few_calls():
+    state, run = CountedState(), ingest.BurstProcessor(3)
+    run.init(state)
+    frames = pd.DataFrame({"t": pd.to_datetime([100.5, 101.2, 900], unit="s")})
+    assert list(run.handleInputRows((1,), iter([frames]), None)) == []
+    assert state.calls <= 4 and state.timers == {101_000}
+    state.timers, state.calls = {800_000}, 0
+    sent = pd.concat(run.handleExpiredTimer((1,), state, None))
+    assert state.calls <= 4 and [(t.timestamp(), n) for t, n in zip(sent["start"], sent["photos"], strict=True)] == [(100, 2)]
+    assert 901_000 in state.timers
