@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import components, write_table
+from lumenlake.operators.tables import components, exchanged, write_table
 
 #: Bits that set too few or too many bits to tell images apart.
 FLAT_BITS = 2
@@ -55,8 +55,8 @@ def near(rows: DataFrame, most: int, keys: list[str], apart: Column | None = Non
     on += [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + ([] if apart is None else [apart])
     differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(known)])
-    # Spark takes exploded rows for as few as there were before, and would send them through the driver
-    return x.join(y.hint("merge"), [*on, F.when(distance("hash_a", "hash_b") <= most, first) == x["choice"]]).drop("choice", "value")
+    # Spark takes exploded rows for as few as there were before
+    return x.join(exchanged(y), [*on, F.when(distance("hash_a", "hash_b") <= most, first) == x["choice"]]).drop("choice", "value")
 
 
 def pairs(rows: DataFrame, most: int, across: bool = False) -> DataFrame:
@@ -72,10 +72,10 @@ def pairs(rows: DataFrame, most: int, across: bool = False) -> DataFrame:
 def groups_within(photos: DataFrame, most: int = 6) -> DataFrame:
     """(group_id, session_id, id): connected photos of a session, two at least; group_id is the lowest id."""
     some = photos.where("session_id is not null and phash is not null").select("id", "session_id", "phash")
-    vertex = some.groupBy(F.col("session_id").alias("scope"), F.col("phash").alias("hash")).agg(F.min("id").alias("vertex"))
+    vertex = write_table(some.groupBy(F.col("session_id").alias("scope"), F.col("phash").alias("hash")).agg(F.min("id").alias("vertex")), "vertices")
     linked = components(pairs(vertex, most))
-    named = vertex.join(linked, F.col("vertex") == F.col("node"), "left").select("scope", "hash", F.coalesce("label", "vertex").alias("group_id"))
-    members = some.join(named, (F.col("session_id") == F.col("scope")) & (F.col("phash") == F.col("hash"))).select("group_id", "session_id", "id")
+    named = vertex.join(exchanged(linked), F.col("vertex") == F.col("node"), "left").select("scope", "hash", F.coalesce("label", "vertex").alias("group_id"))
+    members = some.join(exchanged(named), (F.col("session_id") == F.col("scope")) & (F.col("phash") == F.col("hash"))).select("group_id", "session_id", "id")
     return _sized(members, ["group_id"])
 
 
@@ -87,16 +87,17 @@ def groups_across(photos: DataFrame, most: int = 4) -> DataFrame:
     """
     some = photos.where("session_id is not null and phash is not null").where(~degenerate("phash")).select("id", "session_id", "phash")
     vertex = some.groupBy(F.col("phash").alias("hash")).agg(F.min("id").alias("vertex"), F.min("session_id").alias("low"), F.max("session_id").alias("high"))
+    vertex = write_table(vertex, "vertices")
     apart = (F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b")) | (F.col("low_a") != F.col("low_b"))
     linked = components(near(vertex, most, [], apart), "vertex_a", "vertex_b")
-    named = vertex.join(linked, F.col("vertex") == F.col("node"), "left").where("label is not null or low < high")
+    named = vertex.join(exchanged(linked), F.col("vertex") == F.col("node"), "left").where("label is not null or low < high")
     named = named.select("hash", F.coalesce("label", "vertex").alias("group_id"))
-    return some.join(named, F.col("phash") == F.col("hash")).select("group_id", "session_id", "id")
+    return some.join(exchanged(named), F.col("phash") == F.col("hash")).select("group_id", "session_id", "id")
 
 
 def _sized(members: DataFrame, keys: list[str]) -> DataFrame:
     large = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return members.join(large, keys, "left_semi")
+    return members.join(exchanged(large), keys, "left_semi")
 
 
 def _linked(most: int):
@@ -136,18 +137,18 @@ def connecting_links(rows: DataFrame, most: int) -> DataFrame:
     hashes, and every two chunks of a cell are compared in one row; a row returns fewer links than it holds vertices.
     """
     n = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("_n"))
-    met = rows.join(n, "scope")
+    met = rows.join(exchanged(n), "scope")
     edges = [64 * i // (most + 1) for i in range(most + 2)]
     cut = lambda i: F.concat_ws(":", F.lit(str(i)), F.substring(F.lpad(F.bin("hash"), 64, "0"), edges[i] + 1, edges[i + 1] - edges[i]))
     cells = F.when(F.col("_n") <= CHUNK, F.array(F.lit(""))).otherwise(F.array(*[cut(i) for i in range(most + 1)]))
     celled = write_table(met.select("scope", "hash", "vertex", F.explode(cells).alias("cell")), "cells")
     sizes = celled.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("chunks", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n")
     chunk = F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int").alias("chunk")
-    packed = celled.join(sizes, ["scope", "cell"]).groupBy("scope", "cell", "chunks", chunk).agg(F.collect_list(F.struct("hash", "vertex")).alias("h"))
+    packed = celled.join(exchanged(sizes), ["scope", "cell"]).groupBy("scope", "cell", "chunks", chunk).agg(F.collect_list(F.struct("hash", "vertex")).alias("h"))
     packed = write_table(packed, "chunks")
     left = packed.select("scope", "cell", F.col("chunk").alias("i"), F.col("h").alias("x"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"))
     right = packed.select("scope", "cell", F.col("chunk").alias("j"), F.col("h").alias("y"))
-    both = left.join(right, ["scope", "cell", "j"])
+    both = left.join(exchanged(right), ["scope", "cell", "j"])
     return both.select(F.inline(_linked(most)("x.hash", "x.vertex", "y.hash", "y.vertex", F.col("i") == F.col("j")))).select("a", "b")
 
 
@@ -157,14 +158,14 @@ def face_links(faces: DataFrame, photos: DataFrame, most: int = 10) -> DataFrame
     A hash of a session is one vertex, its smallest photo, to which its other photos are linked.  Hashes within `most` bits link
     their smallest photos: that loses nothing, since where these are the same photo, it alone joins the two.
     """
-    rows = faces.join(photos.select("id", "session_id"), F.col("photo_id") == F.col("id")).where("session_id is not null and appearance_hash is not null")
+    rows = faces.join(exchanged(photos.select("id", "session_id")), F.col("photo_id") == F.col("id")).where("session_id is not null and appearance_hash is not null")
     held = write_table(rows.select(F.col("session_id").alias("scope"), F.col("appearance_hash").alias("hash"), "id").distinct(), "faces")
     vertex = held.groupBy("scope", "hash").agg(F.min("id").alias("vertex"))
-    same = held.join(vertex, ["scope", "hash"]).select(F.col("id").alias("a"), F.col("vertex").alias("b"))
+    same = held.join(exchanged(vertex), ["scope", "hash"]).select(F.col("id").alias("a"), F.col("vertex").alias("b"))
     return same.unionByName(connecting_links(vertex, most)).where("a <> b")
 
 
 def face_groups(faces: DataFrame, photos: DataFrame, most: int = 10) -> DataFrame:
     """(group_id, session_id, id): photos of a session that share a face's appearance within `most` bits."""
     linked = components(face_links(faces, photos, most))
-    return photos.select("id", "session_id").join(linked, F.col("id") == F.col("node")).select(F.col("label").alias("group_id"), "session_id", "id")
+    return photos.select("id", "session_id").join(exchanged(linked), F.col("id") == F.col("node")).select(F.col("label").alias("group_id"), "session_id", "id")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.operators import sequence, simjoin, tables
+from lumenlake.plans import QUERIES
 
 
 def photo_rows(times: dict[int, list[int]]):
@@ -179,3 +181,22 @@ def test_replaced_sessions_in_few_folders(spark):
     assert {(r.session_id, r.id, r.run) for r in got.collect()} == want
     folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
     assert 1 < len(folders) <= tables.SESSION_PARTS
+
+
+def broadcast_keys(spark, run):
+    """Keys by which the executions of run() met a broadcast table."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = lambda: {(x := found.apply(i)).executionId(): x.physicalPlanDescription() for found in [store.executionsList()] for i in range(found.size())}
+    before = max(known(), default=-1)
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [text for i, text in known().items() if i > before]
+    assert any("SortMergeJoin" in text for text in plans)
+    return {tuple(re.findall(r"(\w+)#", keys)) for text in plans for keys in re.findall(r"BroadcastHashJoin.*\nLeft keys.*\nRight keys \[\d+\]: (.*)", text)}
+
+
+@pytest.mark.parametrize("name", ["E02_cross_session_groups"])
+def test_groups_send_no_photos_to_the_driver(spark, small, name):
+    keys = broadcast_keys(spark, lambda: QUERIES[name](spark, small).collect())
+    # parts, counts of ranges, and sessions of over SESSION_TIMES different times
+    assert keys <= {("p_partkey",), ("_part",), ("session_id",)}
