@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators.curation import numbered
-from lumenlake.operators.tables import drop_table, write_table
+from lumenlake.operators.tables import drop_table, exchanged, write_table
 
 #: How open an eye is, and the version of the eye measurement that counts.
 OPEN, CLOSED, EYE_VERSION, SAME_FACE_BITS = 0.8, 0.2, 2, 10
@@ -67,11 +67,11 @@ def _reached(times: DataFrame, gap: int) -> DataFrame:
     jump = write_table(_next_starts(times, gap).where("next is not null"), "jumps")
     known = write_table(times.groupBy("session_id").agg(F.min("t").alias("start")), "starts")
     while True:
-        more = write_table(known.join(jump.withColumnRenamed("t", "start"), ["session_id", "start"]).select("session_id", F.col("next").alias("start")), "starts")
+        more = write_table(known.join(exchanged(jump.withColumnRenamed("t", "start")), ["session_id", "start"]).select("session_id", F.col("next").alias("start")), "starts")
         if more.isEmpty():
             return known
         known, old = write_table(known.unionByName(more), "starts"), (known, more)
-        further = jump.alias("x").join(jump.alias("y"), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.next") == F.col("y.t")))
+        further = jump.alias("x").join(exchanged(jump.alias("y")), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.next") == F.col("y.t")))
         jump, old = write_table(further.select("x.session_id", "x.t", "y.next"), "jumps"), (*old, jump)
         for table in old:
             drop_table(table)
@@ -79,7 +79,7 @@ def _reached(times: DataFrame, gap: int) -> DataFrame:
 
 def _placed(times: DataFrame, starts: DataFrame) -> DataFrame:
     """(session_id, start, t, n): each time (session_id, t, n) with the last start at or before it."""
-    rows = times.join(starts.select("session_id", F.col("start").alias("t"), F.col("start")), ["session_id", "t"], "left")
+    rows = times.join(exchanged(starts.select("session_id", F.col("start").alias("t"), F.col("start"))), ["session_id", "t"], "left")
     ranged = write_table(rows.repartitionByRange("session_id", "t").withColumn("_part", F.spark_partition_id()), "placed")
     lasts = ranged.groupBy("_part").agg(F.max(F.when(F.col("start").isNotNull(), F.struct("session_id", "start"))).alias("_own"))
     lasts = lasts.select("_part", F.last("_own", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
@@ -106,7 +106,8 @@ def bursts(photos: DataFrame, gap: int = 3) -> DataFrame:
         own = times.join(long, "session_id", "left_semi")
         found = found.unionByName(_placed(own, _reached(own, gap)))
     large = found.groupBy("session_id", "start").agg(F.sum("n").alias("photos")).where("photos > 1").select("session_id", "start")
-    return rows.join(found.join(large, ["session_id", "start"]).select("session_id", "t", "start"), ["session_id", "t"]).select("session_id", "start", "id")
+    kept = found.join(exchanged(large), ["session_id", "start"]).select("session_id", "t", "start")
+    return rows.join(exchanged(kept), ["session_id", "t"]).select("session_id", "start", "id")
 
 
 def eye_state(left: str, right: str) -> Column:
