@@ -145,7 +145,7 @@ def blinks(members: DataFrame, shots: DataFrame) -> DataFrame:
 
 def group_list(members: DataFrame, rows: DataFrame) -> DataFrame:
     """Each group with its size, sessions and eye counts from one aggregate, larger ones first within bursts and others."""
-    met = members.drop("session_id").join(rows, "id")
+    met = members.drop("session_id").join(exchanged(rows), "id")
     by = met.groupBy("group_type", "group_id").agg(
         F.count(F.lit(1)).alias("photo_count"), F.countDistinct("session_id").alias("sessions"), F.count_if("possible_blink").alias("blinks"), F.count_if(F.col("closed_eye_face_count") > 0).alias("closed_eyes"),
         F.count_if(F.col("closed_eye_face_count").isNull()).alias("unevaluated"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators import sequence, simjoin
+from lumenlake.operators.tables import exchanged
 from lumenlake.plans.registry import DERIVED, query
 from lumenlake.sources.catalog import Catalog
 
@@ -172,13 +175,13 @@ DERIVED["kinds"] = _KINDS
 _KIND_VIEWS = "photos face_observations bursts members similar_rows cross_rows face_rows kinds"
 
 
-def all_members(c: Catalog, across: bool = True) -> DataFrame:
-    """(group_type, group_id, session_id, id) of bursts, similar, face and, with across, cross-session groups."""
-    kinds = {"similar": similar_groups(c), "face": face_groups(c)} | ({"cross-session": cross_session_groups(c)} if across else {})
-    out = members(c)
-    for name, rows in kinds.items():
-        out = out.unionByName(rows.withColumn("group_type", F.lit(name)))
-    return out
+_GROUPS = {"burst": members, "similar": similar_groups, "cross-session": cross_session_groups, "face": face_groups}
+
+
+def all_members(c: Catalog, kinds: list[str] | None = None) -> DataFrame:
+    """(group_type, group_id, session_id, id) of the groups of some kinds; of bursts, similar, cross-session and face groups if none is named."""
+    found = [_GROUPS[k](c).select(F.lit(k).alias("group_type"), "group_id", "session_id", "id") for k in kinds or _GROUPS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("E08_all_groups", "SELECT group_type, group_id, id FROM kinds", _KIND_VIEWS)
@@ -190,7 +193,9 @@ def all_groups(c: Catalog) -> DataFrame:
 SELECT group_type, group_id, count(*) AS photo_count, count(DISTINCT p.session_id) AS sessions FROM kinds k JOIN photos p ON p.id = k.id WHERE group_type IN ('face', 'cross-session') GROUP BY 1, 2""", _KIND_VIEWS)
 def groups_of_tab(c: Catalog) -> DataFrame:
     """The group list of some kinds alone."""
-    return sequence.group_list(sequence.of_kinds(all_members(c), ["face", "cross-session"]), c.joined).select("group_type", "group_id", "photo_count", "sessions")
+    kinds = ["face", "cross-session"]
+    rows = c.photos.join(exchanged(c.analysis), F.col("id") == F.col("photo_id"), "left")
+    return sequence.group_list(sequence.of_kinds(all_members(c, kinds), kinds), rows).select("group_type", "group_id", "photo_count", "sessions")
 
 
 @query("E26_similarity_summary", """
@@ -218,7 +223,7 @@ def comparison_window(c: Catalog) -> DataFrame:
 
 def review_queue(c: Catalog) -> DataFrame:
     """Photos of each session in order of capture with the bursts, similar and face groups they belong to."""
-    named = all_members(c, across=False).select("id", F.struct(F.col("group_type").alias("kind"), "group_id").alias("s"))
+    named = all_members(c, ["burst", "similar", "face"]).select("id", F.struct(F.col("group_type").alias("kind"), "group_id").alias("s"))
     by = named.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("sequences"))
     rows = c.photos.where("session_id is not null").select("id", "session_id", "capture_datetime")
     return sequence.placed_within(rows, "session_id", [F.col("capture_datetime").asc_nulls_last(), F.col("id")], "index").drop("capture_datetime").join(by, "id", "left")
