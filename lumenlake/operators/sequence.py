@@ -194,7 +194,7 @@ def placed_within(rows: DataFrame, key: str, order: list[Column], name: str) ->
     """rows with their place from 0 within a key, as column `name`; a key may hold most rows, as all are numbered range by range."""
     all_ = numbered(rows, [F.col(key), *order])
     first = all_.groupBy(key).agg(F.min("place").alias("_first"))
-    return all_.join(first, key).withColumn(name, (F.col("place") - F.col("_first")).cast("int")).drop("_first", *({"place"} - {name}))
+    return all_.join(exchanged(first), key).withColumn(name, (F.col("place") - F.col("_first")).cast("int")).drop("_first", *({"place"} - {name}))
 
 
 def _claims(flat: DataFrame) -> DataFrame | None:

@@ -226,7 +226,7 @@ def review_queue(c: Catalog) -> DataFrame:
     named = all_members(c, ["burst", "similar", "face"]).select("id", F.struct(F.col("group_type").alias("kind"), "group_id").alias("s"))
     by = named.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("sequences"))
     rows = c.photos.where("session_id is not null").select("id", "session_id", "capture_datetime")
-    return sequence.placed_within(rows, "session_id", [F.col("capture_datetime").asc_nulls_last(), F.col("id")], "index").drop("capture_datetime").join(by, "id", "left")
+    return sequence.placed_within(rows, "session_id", [F.col("capture_datetime").asc_nulls_last(), F.col("id")], "index").drop("capture_datetime").join(exchanged(by), "id", "left")
 
 
 @query("E19_review_queue", """
