@@ -207,11 +207,11 @@ def _claims(flat: DataFrame) -> DataFrame | None:
     live, units = write_table(flat, "claims"), None
     while not live.isEmpty():
         first = live.groupBy("id").agg(F.min("rank").alias("_first"))
-        size = live.join(first, "id").groupBy("session_id", "rank").agg(F.count(F.lit(1)).alias("_n"), F.min((F.col("rank") == F.col("_first")).cast("int")).alias("_mine"))
+        size = live.join(exchanged(first), "id").groupBy("session_id", "rank").agg(F.count(F.lit(1)).alias("_n"), F.min((F.col("rank") == F.col("_first")).cast("int")).alias("_mine"))
         settled = write_table(size.where("_n < 2 or _mine = 1"), "settled")
-        got = write_table(live.join(settled.where("_n > 1").select("session_id", "rank"), ["session_id", "rank"]).select(*flat.columns), "claimed")
+        got = write_table(live.join(exchanged(settled.where("_n > 1").select("session_id", "rank")), ["session_id", "rank"]).select(*flat.columns), "claimed")
         units = got if units is None else units.unionByName(got)
-        rest = live.join(settled.select("session_id", "rank"), ["session_id", "rank"], "left_anti").join(got.select("id"), "id", "left_anti")
+        rest = live.join(exchanged(settled.select("session_id", "rank")), ["session_id", "rank"], "left_anti").join(exchanged(got.select("id")), "id", "left_anti")
         live, old = write_table(rest.select(*flat.columns), "claims"), live
         drop_table(old)
     return units
@@ -229,16 +229,16 @@ def review_units(queue: DataFrame) -> DataFrame:
     heads = flat.groupBy("session_id", "kind", "group_id").agg(F.min("index").alias("_at"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     tier = F.when(F.col("kind") == "burst", 0).otherwise(1)
     rank = F.struct(tier.alias("tier"), F.col("_at").alias("at"), (F.col("kind") != "similar").cast("int").alias("face"), "group_id")
-    flat = flat.join(heads, ["session_id", "kind", "group_id"]).select("session_id", "id", "index", rank.alias("rank"))
+    flat = flat.join(exchanged(heads), ["session_id", "kind", "group_id"]).select("session_id", "id", "index", rank.alias("rank"))
     units = _claims(flat)
     alone = queue.select("session_id", "id", "index").distinct()
     rows = alone.select("*", F.lit("single").alias("kind"), F.col("index").alias("first"))
     if units is not None:
         first = units.groupBy("session_id", "rank").agg(F.min("index").alias("first"))
         kind = F.when(F.col("rank.tier") == 0, "burst").otherwise("similar")
-        taken = units.join(first, ["session_id", "rank"]).select("session_id", "id", "index", kind.alias("kind"), "first")
-        rows = rows.join(units.select("id"), "id", "left_anti").select(*taken.columns).unionByName(taken)
+        taken = units.join(exchanged(first), ["session_id", "rank"]).select("session_id", "id", "index", kind.alias("kind"), "first")
+        rows = rows.join(exchanged(units.select("id")), "id", "left_anti").select(*taken.columns).unionByName(taken)
     rows = numbered(rows, [F.col("session_id"), F.col("first"), F.col("index")])
     firsts = rows.groupBy("session_id", "first").agg(F.min("place").alias("_at"))
     firsts = placed_within(firsts, "session_id", [F.col("first")], "unit")
-    return rows.join(firsts, ["session_id", "first"]).select("session_id", "unit", "kind", (F.col("place") - F.col("_at")).cast("int").alias("place"), "id")
+    return rows.join(exchanged(firsts), ["session_id", "first"]).select("session_id", "unit", "kind", (F.col("place") - F.col("_at")).cast("int").alias("place"), "id")

@@ -195,7 +195,7 @@ def broadcast_keys(spark, run):
     return {tuple(re.findall(r"(\w+)#", keys)) for text in plans for keys in re.findall(r"BroadcastHashJoin.*\nLeft keys.*\nRight keys \[\d+\]: (.*)", text)}
 
 
-@pytest.mark.parametrize("name", ["E02_cross_session_groups", "E08_all_groups", "E24_groups_of_tab", "E19_review_queue"])
+@pytest.mark.parametrize("name", ["E02_cross_session_groups", "E08_all_groups", "E24_groups_of_tab", "E19_review_queue", "E20_review_units"])
 def test_groups_send_no_photos_to_the_driver(spark, small, name):
     keys = broadcast_keys(spark, lambda: QUERIES[name](spark, small).collect())
     # parts, counts of ranges, and sessions of over SESSION_TIMES different times
