@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import components, drop_table, shared_dir, write_table
+from lumenlake.operators import tables
+from lumenlake.operators.tables import drop_table, shared_dir, write_table
 
-__all__ = ["PREFILTER_SLOTS", "components", "drop_table", "prefilter", "shared_dir", "write_table"]
+__all__ = ["PREFILTER_SLOTS", "SENT_EDGES", "components", "drop_table", "prefilter", "shared_dir", "write_table"]
 
 #: Most rows that `prefilter` broadcasts: 2^20 of two longs, about 32 MB, at any input size.
 PREFILTER_SLOTS = 1 << 20
+#: Most edges of a round of `components` that broadcasts its pointers, about 2 MB at any input size: the shuffles of so few rows
+#: take a task for each partition of the session and move next to nothing.
+SENT_EDGES = 1 << 14
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components as (node, label); the last rounds, and all of a small table, without the exchanges of large ones."""
+    return tables.components(edges, a, b, SENT_EDGES)
 
 
 def prefilter(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:

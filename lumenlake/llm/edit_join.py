@@ -46,6 +46,8 @@ FINE = 8
 CHUNK, WIDE = 128, 2048
 #: Lines that a task compares at a time.
 STEP_LINES = 4096
+#: Candidates that wait for each other, since a column of the band costs as much for one pair as for many.
+TOGETHER = 1024
 #: Line numbers a task remembers as sent; beyond it some are sent again and made distinct later.
 REMEMBERED = 300_000
 #: Characters of a step of a task.
@@ -282,7 +284,8 @@ class _Lines:
 def spanning(group: np.ndarray, lines: _Lines) -> list[tuple[int, int]]:
     """Links that connect the near lines of each group, as few as do; rows of a group are neighbours.
 
-    In each step some lines of each group are compared with those behind them: its first, the next two, the next four and so on.
+    In each step some lines of each group are compared with those behind them: its first, the next two, the next four and so on;
+    steps of few candidates go together.
     """
     start = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1]
     rank = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
@@ -294,6 +297,7 @@ def spanning(group: np.ndarray, lines: _Lines) -> list[tuple[int, int]]:
     known, found = _Classes(), []
     if pairs:
         order, left, right = np.concatenate(pairs, axis=1)
+        order = np.cumsum(np.bincount(order))[order] // TOGETHER
         for step in np.unique(order):
             mine = np.flatnonzero(order == step)
             mine = mine[[known.root(lines.ids[i]) != known.root(lines.ids[j]) for i, j in zip(left[mine].tolist(), right[mine].tolist(), strict=True)]]
@@ -339,14 +343,15 @@ def _crossed(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the lines of two wider chunks that are in different classes."""
     rows = rows.sort_values("id", kind="stable")
     lines = _Lines(rows["id"].tolist(), rows["line"].tolist(), rows["own"].to_numpy(bool))
-    known, found = _Classes(), []
+    known, found, waiting = _Classes(), [], []
     names = [("class", c) for c in rows["class"]]
     for i in range(1, len(names)):
         j = lines.candidates(np.full(i, i), np.arange(i))
-        j = np.array([x for x in j.tolist() if known.root(names[x]) != known.root(names[i])], dtype=np.int64)
-        for x in j[lines.near(j, np.full(len(j), i))].tolist():
-            if known.join(names[x], names[i]):
-                found.append((x, i))
+        waiting += [(x, i) for x in j.tolist() if known.root(names[x]) != known.root(names[i])]
+        if waiting and (len(waiting) >= TOGETHER or i == len(names) - 1):
+            near = lines.near(*np.array(waiting).T)
+            found += [(x, y) for x, y in np.array(waiting)[near].tolist() if known.join(names[x], names[y])]
+            waiting = []
     return pd.DataFrame(lines.links(found), dtype=object)
 
 

@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import cotraining, edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, pii, spaced_seed, warc_store
+from lumenlake.llm import common, cotraining, edit_join, impact_index, langid, line_hash_dedup, mixing, order_minhash, pii, spaced_seed, warc_store
 from lumenlake.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import differences
 
@@ -216,6 +217,52 @@ def test_many_near_lines_give_few_links(spark):
     assert [r.doc_id for r in edit_join.deduplicated(docs).collect()] == [0]
 
 
+def test_far_lines_of_a_group_are_verified_together(monkeypatch):
+    rng = random.Random(4)
+    base = "".join(map(chr, range(33, 113)))
+    # one segment of eight in another order: same characters, far apart but for some neighbours swapped
+    lines = sorted({"".join(rng.sample(base[:10], 10)) + base[10:] for _ in range(50)} | {base, base[:4] + base[5] + base[4] + base[6:]})
+    calls, band = [], edit_join._band
+    monkeypatch.setattr(edit_join, "_band", lambda left, right, most: calls.append(len(left)) or band(left, right, most))
+    want = {(i, j) for i, j in combinations(range(len(lines)), 2) if edits(lines[i], lines[j]) <= 2}
+    assert want
+    rows = pd.DataFrame({"id": range(len(lines)), "line": lines, "own": True, "class": range(len(lines))})
+    got = edit_join._crossed(rows)
+    assert set(zip(got["a"], got["b"], strict=True)) <= want and len(got) == len(lines) - n_classes(len(lines), want)
+    # 51 lines each waited for those before it
+    assert sum(calls) > 1000 and len(calls) <= 2
+    calls.clear()
+    found = edit_join.spanning(np.zeros(len(lines), np.int64), edit_join._Lines(list(range(len(lines))), lines, np.ones(len(lines), bool)))
+    assert set(found) <= want and len(found) == len(got)
+    assert sum(calls) > 1000 and len(calls) <= 2
+
+
+def n_classes(n, links):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    return len(set(label))
+
+
+def test_small_components_take_no_join_exchanges(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 7] + [(100, 3)], "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def run():
+        known = lambda: {(x := found.apply(i)).executionId(): x.physicalPlanDescription() for found in [store.executionsList()] for i in range(found.size())}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = max(known(), default=-1)
+        rows = {r.node: r.label for r in common.components(edges).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return rows, sum("SortMergeJoin" in text for i, text in known().items() if i > before)
+
+    small = run()
+    monkeypatch.setattr(common, "SENT_EDGES", 0)
+    large = run()
+    assert small[0] == large[0] and small[0][100] == 1 and small[0][8] == 8
+    assert small[1] == 0 < large[1]
+
+
 def test_lines_of_a_repeated_row_count_once(spark):
     docs = spark.createDataFrame([(1, "a line"), (1, "a line"), (1, "another"), (2, "a line")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_lines, r.removed) for r in edit_join.removed_lines(docs).collect()) == [(1, 1, []), (1, 1, []), (2, 1, [0])]
