@@ -178,9 +178,10 @@ _KIND_VIEWS = "photos face_observations bursts members similar_rows cross_rows f
 _GROUPS = {"burst": members, "similar": similar_groups, "cross-session": cross_session_groups, "face": face_groups}
 
 
-def all_members(c: Catalog, kinds: list[str] | None = None) -> DataFrame:
-    """(group_type, group_id, session_id, id) of the groups of some kinds; of bursts, similar, cross-session and face groups if none is named."""
-    found = [_GROUPS[k](c).select(F.lit(k).alias("group_type"), "group_id", "session_id", "id") for k in kinds or _GROUPS]
+def all_members(c: Catalog, kinds: list[str] | None = None, across: bool = True) -> DataFrame:
+    """(group_type, group_id, session_id, id) of the groups of some kinds; of bursts, similar, face and, with across, cross-session groups if none is named."""
+    named = kinds or [k for k in _GROUPS if across or k != "cross-session"]
+    found = [_GROUPS[k](c).select(F.lit(k).alias("group_type"), "group_id", "session_id", "id") for k in named]
     return reduce(DataFrame.unionByName, found)
 
 
