@@ -163,6 +163,44 @@ def test_near_hashes_meet_through_exchanges(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("most", [4, 6])
+def test_near_pairs_against_all_pairs(spark, monkeypatch, most):
+    pick = random.Random(most)
+    rows = [(v, v % 3, pick.getrandbits(64) - (1 << 63)) for v in range(300)]
+    rows += [(1000 + v, v % 3, v << 40 | v >> 2) for v in range(300)]
+    for v in range(300):
+        h = pick.choice(rows)[2] & (1 << 64) - 1
+        for bit in pick.sample(range(64), pick.randrange(0, most + 3)):
+            h ^= 1 << bit
+        rows.append((2000 + v, v % 3, h - (1 << 64) if h >> 63 else h))
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    want = {across: sorted((v, w, s, t, bits(x, y)) for v, s, x in rows for w, t, y in rows if v < w and (s != t) == across and bits(x, y) <= most) for across in (False, True)}
+    frame = spark.createDataFrame(rows, "vertex long, scope long, hash long").repartition(3).persist()
+    # groups in pieces and in one task, and some or all of them by a join
+    for shared, step in ((1 << 16, 1 << 17), (40, 100), (1, 2)):
+        monkeypatch.setattr(simjoin, "MOST_SHARED", shared)
+        monkeypatch.setattr(simjoin, "STEP", step)
+        for across, pairs in want.items():
+            assert sorted(tuple(r) for r in simjoin.pairs(frame, most, across).collect()) == pairs
+
+
+def test_near_hashes_are_shuffled_once_a_block(spark):
+    rows = spark.range(5000).select(F.col("id").alias("vertex"), (F.col("id") % 900).alias("scope"), F.xxhash64("id").alias("hash"))
+    for most, across in ((6, False), (4, True)):
+        assert shuffled_rows(spark, lambda: simjoin.pairs(rows, most, across).count()) < 5000 * (most + 2)  # noqa: B023
+
+
+def shuffled_rows(spark, run) -> int:
+    """Rows that the stages of run() wrote to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    listed = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = lambda: {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for found in [listed()] for i in range(found.size())}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
 def test_masks_spread_and_lose_nothing():
     pick = random.Random(5)
     for most in (4, 6, 10):
