@@ -201,6 +201,11 @@ def shuffled_rows(spark, run) -> int:
     return sum(n for stage, n in stages().items() if stage not in before)
 
 
+def test_similarity_summary_shuffles_few_rows_a_photo(spark, small):
+    photos = spark.read.parquet(f"{small}/events.parquet").count()
+    assert shuffled_rows(spark, lambda: QUERIES["E26_similarity_summary"](spark, small).collect()) < 60 * photos
+
+
 def test_masks_spread_and_lose_nothing():
     pick = random.Random(5)
     for most in (4, 6, 10):
